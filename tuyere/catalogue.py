@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from tuyere.plans import series_queries, table_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = series_queries.QUERIES | table_queries.QUERIES
+ORACLE_SQL: dict[str, str] = series_queries.ORACLE_SQL | table_queries.ORACLE_SQL
