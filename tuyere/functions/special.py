@@ -21,7 +21,7 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
         f *= c * d
         if abs(c * d - 1) < 1e-14:
             break
-    return front * (f if k else 1)
+    return front * (f - 1)
 
 
 def t_two_sided(t: float, freedom: float) -> float:
