@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,10 +68,9 @@ def assemble(df: DataFrame, columns: list[str], method: str = "zscore", name: st
 
 def infer_onnx(df: DataFrame, model: bytes, features: str = "features", name: str = "prediction") -> DataFrame:
     """The model's first output for each row, a session per task and one batch at a time."""
-    import pandas as pd
 
     @F.pandas_udf("array<float>")
-    def run(batches):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import numpy as np
         import onnxruntime
 
@@ -80,7 +82,6 @@ def infer_onnx(df: DataFrame, model: bytes, features: str = "features", name: st
             out = session.run(None, {entry: np.stack(x.to_numpy()).astype(np.float32)})[0]
             yield pd.Series(list(out.reshape(len(x), -1)))
 
-    run.func.__annotations__ = {}
     return df.withColumn(name, run(features))
 
 

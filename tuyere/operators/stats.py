@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,8 +120,6 @@ def top_pairs(corr: DataFrame, n: int = 10) -> DataFrame:
 
 def p_values(corr: DataFrame) -> DataFrame:
     """Two-sided p of t with n - 2 degrees of freedom."""
-    import pandas as pd
-
     from tuyere.functions.special import t_two_sided
 
     @F.pandas_udf("double")
