@@ -20,15 +20,17 @@ def neighbours(df: DataFrame, key: str, t: str, order: list[str], present: Colum
     place = F.struct(*order)
     ends = rows.where("_p is not null").groupBy(key, "_b").agg(F.min_by("_p", place).alias("_first"), F.max_by("_p", place).alias("_last"))
     buckets = rows.select(key, "_b").distinct().join(ends, [key, "_b"], "left")
-    over = Window.partitionBy(key).orderBy("_b")  # a row per bucket, not per point
+    # what follows is sought in the opposite order: a frame that grows takes one step per row, one that shrinks starts anew at each
+    by_bucket = Window.partitionBy(key)  # a row per bucket, not per point
     carried = buckets.select(
         key,
         "_b",
-        F.last("_last", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.first("_first", True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+        F.last("_last", True).over(by_bucket.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.last("_first", True).over(by_bucket.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)).alias("_after"),
     )
-    within = Window.partitionBy(key, "_b").orderBy(*order)
-    rows = rows.withColumn("prev", F.last("_p", True).over(within.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.first("_p", True).over(within.rowsBetween(0, Window.unboundedFollowing)))
+    within = Window.partitionBy(key, "_b")
+    rows = rows.withColumn("prev", F.last("_p", True).over(within.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("next", F.last("_p", True).over(within.orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)))
     return rows.join(carried, [key, "_b"]).withColumn("prev", F.coalesce("prev", "_before")).withColumn("next", F.coalesce("next", "_after")).drop("_b", "_p", "_before", "_after")
 
 
