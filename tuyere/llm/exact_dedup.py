@@ -88,7 +88,8 @@ def exact_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 def drop_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows whose text has no equal under a smaller id, with all their columns. Of rows with equal ids and equal
-    texts one stays."""
-    kept = exact_groups(df, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    rows = df.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__kept")), "left_semi")
-    return rows.dropDuplicates([id_col])
+    texts one stays; rows with equal ids and different texts are told apart by their text's digest."""
+    kept = exact_groups(df, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("__kept"), F.col("text_sha256").alias("__kept_sha")).distinct()
+    rows = df.withColumn("__sha", F.sha2(normalised(F.col(f"`{text_col}`")), 256))
+    rows = rows.join(kept, (F.col("__sha") == F.col("__kept_sha")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__kept")), "left_semi")
+    return rows.dropDuplicates([id_col, "__sha"]).drop("__sha")
