@@ -182,6 +182,23 @@ def test_simhash(docs, none):
     assert simhash.near_groups(none).count() == 0
 
 
+def test_near_copies_with_repeated_ids(spark):
+    one = " ".join(f"alpha{k}" for k in range(60))
+    other = " ".join(f"beta{k}" for k in range(60))
+    third = " ".join(f"gamma{k}" for k in range(60))
+    table = spark.createDataFrame([(1, one, "x"), (1, other, "x"), (1, one, "y"), (2, one, "x"), (3, third, "x"), (None, third, "x"), (None, None, "x")], "doc_id long, text string, text_hash string")
+    got = simhash.drop_near_copies(table, words=3)
+    assert got.columns == table.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(1, one), (1, other), (3, third), (None, None)])
+
+
+def test_mix_repeats_rows_of_equal_ids_by_source_and_size(spark):
+    table = spark.createDataFrame([(1, "a b c d e f g h", "p"), (1, "a b", "q"), (1, "a b", None), (2, "", "q")], "doc_id long, text string, source string")
+    plan = Counter({(r.doc_id, r.source, r.size): r.times for r in mixing.mix(table).collect()})
+    got = Counter((r.doc_id, r.source, len(r.text.split())) for r in mixing.repeat_documents(table).collect())
+    assert got == +plan
+
+
 @pytest.mark.parametrize("thresholds", [None, (1, 1), (2, 0), (1, 0, 0), (-1, 2, 0), (0, 0, 0, 0), (1, 0, 0, -1)])
 def test_simhash_links_in_dense_and_blocked_buckets(spark, monkeypatch, thresholds):
     rng = random.Random(5)

@@ -80,9 +80,11 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source
     return both.select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"))
 
 
-def repeat_documents(df: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of df as often as the mix takes them: not at all, once, or several times. Rows with equal ids are taken
-    equally often (the most that any of them is)."""
-    times = mix(df, id_col=id_col, **options).groupBy("doc_id").agg(F.max("times").alias("__times")).where("__times > 0").withColumnRenamed("doc_id", "__id")
-    rows = df.join(times, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")))
-    return rows.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).drop("__k", "__times", "__id")
+def repeat_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of df as often as the mix takes them: not at all, once, or several times. Rows of equal id, source and size
+    are taken equally often (the most that any of them is)."""
+    times = mix(df, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    times = times.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.max("times").alias("__times")).where("__times > 0")
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & F.col(f"`{source_col}`").eqNullSafe(F.col("__source")) & (words(F.col(f"`{text_col}`")) == F.col("__size"))
+    rows = df.join(times, same)
+    return rows.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).drop("__k", "__times", "__id", "__source", "__size")

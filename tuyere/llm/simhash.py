@@ -61,8 +61,9 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42, block: int = 1
 
 
 def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long). No shuffle."""
-    source = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    """doc_id, fp (the fingerprint as a signed long) and text_hash. No shuffle."""
+    text = F.col(f"`{text_col}`")
+    source = df.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def make(batches):
@@ -70,9 +71,9 @@ def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
         for batch in slices(batches):
             values = np.array([fingerprint(x, words) for x in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values), batch.column("text_hash")], ["doc_id", "fp", "text_hash"])
 
-    return source.mapInArrow(make, f"doc_id {kind}, fp long")
+    return source.mapInArrow(make, f"doc_id {kind}, fp long, text_hash long")
 
 
 def _co_occurrence(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -324,17 +325,22 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def near_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, words: int = 3) -> DataFrame:
-    """One row per input row: doc_id, fp (signed long), fingerprint (16 hex digits), component_id (smallest id reachable)."""
+    """One row per input row: doc_id, fp (signed long), fingerprint (16 hex digits), component_id (smallest id reachable),
+    root (the component's smallest fingerprint, its name where ids repeat) and text_hash (tells rows of equal ids apart)."""
     docs = written(fingerprints(df, id_col=id_col, text_col=text_col, words=words), "simhash")
     fps = written(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = written(components(links(fps, distance)), "simhash-roots")
     own = fps.join(roots.union(roots.select(F.col("root"), F.col("root")).distinct()), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = own.join(smallest, "root").select("fp", "component_id")
-    return docs.join(named, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = own.join(smallest, "root").select("fp", "component_id", "root")
+    return docs.join(named, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root", "text_hash")
 
 
 def drop_near_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, words: int = 5) -> DataFrame:
-    """The rows that are the smallest id of their component, with all their columns (one of rows with equal ids)."""
-    kept = near_groups(df, id_col=id_col, text_col=text_col, distance=distance, words=words).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return df.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([id_col])
+    """One row of each component with all its columns: that of the smallest id. Where rows of that id with different texts
+    are in the component, the text of the smallest hash stays; rows of equal ids in different components all stay."""
+    first = near_groups(df, id_col=id_col, text_col=text_col, distance=distance, words=words).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = first.groupBy("root", F.col("doc_id").alias("__kept")).agg(F.min("text_hash").alias("__kept_hash")).drop("root")
+    rows = df.withColumn("__hash", F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    rows = rows.join(kept, (F.col("__hash") == F.col("__kept_hash")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__kept")), "left_semi")
+    return rows.dropDuplicates([id_col, "__hash"]).drop("__hash")
