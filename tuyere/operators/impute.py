@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tuyere.functions.frames import chunked, frame, neighbours, numbered, with_stats
@@ -50,6 +50,28 @@ def fill_smoothed(df: DataFrame, chunk: int = 100_000) -> DataFrame:
     return rows.withColumn("filled", F.avg("_x").over(frame("series", 1, 1))).where("_home").drop("_x", "_i", "_c", "_home")
 
 
+def fill_cubic(df: DataFrame, chunk: int = 100_000) -> DataFrame:
+    """The cubic in the row number through two known values on either side; linear where one side has a single one, and the
+    ends filled with the nearest value. It is local, so that no task needs a whole series."""
+    rows = numbered(df, "series", "t", ORDER)
+    known = chunked(rows.where("v is not null").select("series", "t", "id", F.col("_i").alias("_at"), F.col("v").alias("_x")), "series", "t", ORDER, 1, 1, chunk)
+    order, place = Window.partitionBy("series", "_c").orderBy("_i"), F.struct(F.col("_at").alias("i"), F.col("_x").alias("x"))
+    known = known.withColumn("_far_a", F.lag(place).over(order)).withColumn("_far_b", F.lead(place).over(order)).where("_home")
+    rows = rows.join(known.select("series", F.col("_at").alias("_i"), "_far_a", "_far_b"), ["series", "_i"], "left")
+    rows = neighbours(rows, "series", "t", ORDER, F.col("v").isNotNull(), F.struct(F.col("_i").alias("i"), F.col("v").alias("x"), F.col("_far_a").alias("a"), F.col("_far_b").alias("b")))
+    p, q, at = F.col("prev"), F.col("next"), F.col("_i")
+    points = [p["a"], p, q, q["b"]]
+    cubic = F.lit(0.0)
+    for k, one in enumerate(points):
+        term = one["x"]
+        for j, other in enumerate(points):
+            if j != k:
+                term = term * F.try_divide(at - other["i"], one["i"] - other["i"])
+        cubic = cubic + term
+    line = p["x"] + (q["x"] - p["x"]) * F.try_divide(at - p["i"], q["i"] - p["i"])
+    return rows.withColumn("filled", F.coalesce("v", cubic, line, p["x"], q["x"])).drop("prev", "next", "_i", "_far_a", "_far_b")
+
+
 def fill_statistic(df: DataFrame, how: str = "mean") -> DataFrame:
     """The series' mean, median or mode (smallest of equals); the mean is also what a one-column nearest-neighbour or
     chained-equation fill comes to."""
@@ -64,6 +86,7 @@ METHODS = {
     "ffill": fill_forward,
     "bfill": fill_backward,
     "kalman": fill_smoothed,
+    "spline": fill_cubic,
     **{k: (lambda df, k=k: fill_statistic(df, k)) for k in ("mean", "median", "mode", "knn", "mice")},
 }
 
