@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tuyere.llm import exact_dedup, html_text, lang_id, lm, mixing, pieces, queries, sharding, simhash, tiff, token_files
+from tuyere.llm.labelled_pages import LABELLED
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SYLLABLES = {"en": "th er on an re he in ed nd ha at en".split(), "de": "sch ein ung ich keit ver zu ä ö ß".split()}
@@ -373,6 +374,33 @@ def test_best_region_is_the_maximum():
         assert sum(x[a:b]) == max([0, *(sum(x[i:j]) for i in range(len(x)) for j in range(i + 1, len(x) + 1))])
 
 
+def _hand_made_pages():
+    links = "<ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul>"
+    prose = "The council met on Monday to discuss the plan for the new harbour and its cost to the town over the years."
+    return {
+        'div body': (f"<body><nav>{links}</nav><article><h1>Title</h1><div>{prose}</div><div>{prose}</div></article><footer>x</footer></body>", f"Title {prose} {prose}"),
+        'div only': (f"<body><div>{links}</div><div><h1>Title</h1><div>{prose}</div><div>{prose}</div></div><div>Copyright 2020</div></body>", f"Title {prose} {prose}"),
+        'list end': (f"<body><nav>{links}</nav><article><h1>Title</h1><p>{prose}</p><ul><li>one</li><li>two</li><li>three</li></ul></article><footer>x</footer></body>", f"Title {prose} one two three"),
+        'list start': (f"<body><nav>{links}</nav><article><ul><li>one</li><li>two</li></ul><p>{prose}</p></article><footer>x</footer></body>", f"one two {prose}"),
+        'table': (f"<body><nav>{links}</nav><article><h1>T</h1><p>{prose}</p><table><tr><td>1</td><td>2</td></tr></table></article></body>", f"T {prose} 1 2"),
+        'quote': (f"<body><article><h1>T</h1><p>{prose}</p><blockquote>{prose}</blockquote><div class='byline'>By Ann</div></article></body>", f"T {prose} {prose} By Ann"),
+        'bare': (f"<article>{prose}<br>{prose}</article>", f"{prose} {prose}"),
+        'short': ("<body><article><h1>Hi</h1></article></body>", "Hi"),
+        'main link': (f"<body><main><p>See <a href=x>all the figures of the report here</a>.</p></main></body>", "See all the figures of the report here."),
+        'comments': (f"<body><article><h1>T</h1><p>{prose}</p><section class='comments'><p>{prose}</p></section></article><div id='comments'><p>{prose}{prose}</p></div></body>", f"T {prose}"),
+        'cookie': (f"<body><div class='cookie-notice'><p>{prose}</p></div><article><h1>T</h1><p>a&nbsp;b &amp; c&#233;</p></article><form><p>{prose}</p></form></body>", "T a b & cé"),
+        'two art': (f"<body><article><h1>T</h1><p>{prose}</p></article><aside><p>{prose}</p></aside><article><p>{prose}</p></article></body>", f"T {prose} {prose}"),
+        'art comment': (f"<body><article><h1>T</h1><p>{prose}</p></article><article class='comment'><p>{prose}</p></article><article><p>Z z</p></article></body>", f"T {prose} Z z"),
+        'bodytext': (prose, prose),
+    }
+
+
+def test_html_text_on_hand_made_pages():
+    weights = html_text.learn(LABELLED)
+    for name, (html, want) in _hand_made_pages().items():
+        assert html_text.main_text(html, weights) == want, name
+
+
 def test_html_text_on_generated_pages(spark):
     import re
     from html import unescape

@@ -37,6 +37,10 @@ NAMES = frozenset(
     "recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
 STARTS = ("advert", "comment", "breadcrumb", "sidebar", "cookie", "newsletter", "sponsor")
+#: Those that also turn an article element into no article.
+NO_ARTICLE = frozenset("ad ads comment comments promo related recommended reply replies sponsored".split())
+#: Words from which a text outside paragraphs counts as long.
+LONG = 10
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _NAMING = re.compile(r"""\b(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -46,7 +50,7 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 def _outside(name: str, attributes: str, in_article: bool) -> bool:
     if name in LEFT_OUT or (name == "header" and not in_article):
         return True
-    if name in ("html", "body", "main", "article") or not attributes:
+    if name in ("html", "body", "main") or not attributes:
         return False
     for key, a, b, c in _NAMING.findall(attributes):
         key, value = key.lower(), a or b or c
@@ -58,23 +62,30 @@ def _outside(name: str, attributes: str, in_article: bool) -> bool:
             return True
         if key in ("class", "id"):
             for part in (x.lower() for x in _PART.findall(value)):
-                if part in NAMES or part.startswith(STARTS):
+                if name == "article":
+                    if part in NO_ARTICLE:
+                        return True
+                elif part in NAMES or part.startswith(STARTS):
                     if not (in_article and part == "header"):
                         return True
     return False
 
 
 def sequence(html: str) -> list[tuple[str, str]]:
-    """(kind, text) in page order. Kinds of words: link, heading, paragraph, other; kinds of tags: their class. The text
-    of a tag is a space if it separates blocks."""
+    """(kind, text) in page order. Kinds of words: link, heading, paragraph, long, other; kinds of tags: their class; each on
+    its own, in a main element or in an article. The text of a tag is a space if it separates blocks."""
     out: list[tuple[str, str]] = []
-    skip, depth, article, link, heading, paragraph, at = "", 0, 0, 0, 0, False, 0
+    skip, depth, inside, link, heading, paragraph, at = "", 0, {"main": 0, "article": 0}, 0, 0, False, 0
     raw_end = None
 
     def words(upto: int) -> None:
         text = html[at:upto]
         if text and not skip:
-            out.append(("link" if link else "heading" if heading else "paragraph" if paragraph else "other", text))
+            kind = "heading" if heading else "paragraph" if paragraph else "link" if link else "long" if len(text.split()) >= LONG else "other"
+            out.append((where() + kind, text))
+
+    def where() -> str:
+        return "article " if inside["article"] else "main " if inside["main"] else ""
 
     search = _TOKEN.search
     while True:
@@ -94,13 +105,14 @@ def sequence(html: str) -> list[tuple[str, str]]:
                 if not depth:
                     skip = ""
                     out.append(("out", " "))
-            elif closing and name in ("body", "html", "article", "main") and skip != name:
+                continue
+            if closing and name in ("body", "html", "article", "main") and skip != name:
                 skip = ""
             else:
                 continue
-            if skip or name not in ("article", "main"):
+            if name not in inside:
                 continue
-        if not closing and name not in VOID and _outside(name, attributes, article > 0):
+        if not closing and name not in VOID and _outside(name, attributes, any(inside.values())):
             out.append(("out", " "))
             if name in RAW:
                 raw_end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
@@ -109,8 +121,8 @@ def sequence(html: str) -> list[tuple[str, str]]:
                 skip, depth = name, 1
             continue
         step = -1 if closing else 1
-        if name in ("article", "main"):
-            article = max(0, article + step)
+        if name in inside:
+            inside[name] = max(0, inside[name] + step)
         elif name == "a":
             link = 0 if closing else 1
         elif re.fullmatch("h[1-6]", name):
@@ -123,10 +135,12 @@ def sequence(html: str) -> list[tuple[str, str]]:
             kind = f"<{name}>"
         else:
             kind = "<heading>" if re.fullmatch("h[1-6]", name) else "<inline>" if name in INLINE else "<block>"
-        out.append((kind, "" if name in INLINE else " "))
+        out.append((kind if name in inside else where() + kind, "" if name in INLINE else " "))
 
 
-WORD_KINDS = ("link", "heading", "paragraph", "other")
+WORD_KINDS = frozenset(place + kind for place in ("", "main ", "article ") for kind in ("link", "heading", "paragraph", "long", "other"))
+#: Characters that stand for the marks while a labelled page is read.
+_BEGIN, _END = "\ue000", "\ue001"
 
 
 def learn(labelled: list[str]) -> dict[str, float]:
@@ -134,12 +148,14 @@ def learn(labelled: list[str]) -> dict[str, float]:
     inside: dict[str, float] = {}
     outside: dict[str, float] = {}
     for page in labelled:
-        before, main, after = re.split("<!--/?main-->", page)
-        for part, counts in ((main, inside), (before + after, outside)):
-            for kind, text in sequence(part):
+        counts = outside
+        for kind, text in sequence(page.replace("<!--main-->", _BEGIN).replace("<!--/main-->", _END)):
+            if text in (_BEGIN, _END):
+                counts = inside if text == _BEGIN else outside
+            else:
                 counts[kind] = counts.get(kind, 0) + (len(text.split()) if kind in WORD_KINDS else 1)
     weights = {}
-    for kind in sorted({*inside, *outside}):
+    for kind in sorted({*inside, *outside} - {"out"}):
         odds = log((inside.get(kind, 0) + 0.5) / (outside.get(kind, 0) + 0.5))
         weights[kind] = min(3.0, max(0.1, odds)) if kind in WORD_KINDS else max(-6.0, min(-0.1, odds))
     weights["out"] = 0.0  # parts that are left out do not count
@@ -164,7 +180,7 @@ def main_text(html: str | None, weights: dict[str, float]) -> str:
     items = sequence(html)
     scores = [weights.get(kind, -0.5) * (len(text.split()) if kind in WORD_KINDS else 1) for kind, text in items]
     a, b = best_region(scores)
-    while a > 0 and items[a - 1][0] == "<inline>":
+    while a > 0 and items[a - 1][0].endswith("<inline>"):
         a -= 1
     return " ".join("".join(unescape(text) if kind in WORD_KINDS else text for kind, text in items[a:b]).split())
 

@@ -21,4 +21,9 @@ LABELLED = [
     f'<html><body><header><a href="/">Site</a></header><main><div><a href="/a">Back</a></div><article><!--main--><h1>Market <i>day</i></h1>{_paragraphs(2, 5)}<ul><li>fruit and bread</li><li>tools</li></ul><!--/main--></article></main><aside>More</aside></body></html>',
     f'<html><body><table><tr><td><a href="/1">One</a></td><td><a href="/2">Two</a></td></tr></table><div><!--main--><h1>The bridge</h1><p>{_PROSE[3]}<br>{_PROSE[4]} See <a href="/r">the report</a>.</p>{_paragraphs(0, 2)}<!--/main--></div><div><a href="/x">Next page</a></div><div>All rights reserved</div></body></html>',
     f"<html><body><div><span>Search</span></div><section><!--main--><h2>Maps</h2>{_paragraphs(4, 6)}<!--/main--></section><section><ul>{_LINKS}</ul></section></body></html>",
+    f"<html><body><nav><ul>{_LINKS}</ul></nav><article><!--main--><h1>Clocks</h1><div>{_PROSE[1]}</div><div class='byline'>By the editor</div><blockquote>{_PROSE[2]}</blockquote><table><tr><td>spring</td><td>12</td></tr><tr><td>summer</td><td>30</td></tr></table><ul><li>bread</li><li><a href='/t'>tools</a></li><li>lamps</li></ul><!--/main--></article><footer>All rights reserved</footer></body></html>",
+    f"<html><body><article><!--main--><ul><li>rain</li><li><a href='/w'>wind</a></li></ul>{_paragraphs(3, 3)}<section><h2>More</h2><div><span>{_PROSE[0]}</span></div></section><dl><dt>heat</dt><dd>much</dd></dl><!--/main--></article><div>Share this page</div></body></html>",
+    f"<html><body><div><ul>{_LINKS}</ul></div><main><!--main--><h1>Maps</h1><p>See <a href='/m'>the list of the maps</a> and {_PROSE[4]}</p><div>{_PROSE[2]}</div><ul><li>by <a href='/a'>appointment</a> only</li><li>with a pencil</li></ul>{_paragraphs(1, 2)}<table><tr><td>open</td><td>daily</td></tr></table><!--/main--></main><div>Imprint and contact</div></body></html>",
+    f"<html><body><div><ul>{_LINKS}</ul></div><div><!--main--><h1>Bridges</h1><div>{_PROSE[3]}</div><div>{_PROSE[0]} {_PROSE[1]}</div><div>{_PROSE[4]}</div><!--/main--></div><div>Imprint</div><div><a href='/x'>Next page</a></div></body></html>",
+    f"<html><body><div>Town news</div><div><!--main--><div>{_PROSE[2]}<br>{_PROSE[1]}</div><!--/main--></div><ul>{_LINKS}</ul></body></html>",
 ]
