@@ -339,7 +339,12 @@ def near_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 def drop_near_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, words: int = 5) -> DataFrame:
     """One row of each component with all its columns: that of the smallest id. Where rows of that id with different texts
     are in the component, the text of the smallest hash stays; rows of equal ids in different components all stay."""
-    first = near_groups(df, id_col=id_col, text_col=text_col, distance=distance, words=words).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return keep_first(df, near_groups(df, id_col=id_col, text_col=text_col, distance=distance, words=words), id_col, text_col)
+
+
+def keep_first(df: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows that stay, of groups with doc_id, component_id, root and text_hash."""
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = first.groupBy("root", F.col("doc_id").alias("__kept")).agg(F.min("text_hash").alias("__kept_hash")).drop("root")
     rows = df.withColumn("__hash", F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
     rows = rows.join(kept, (F.col("__hash") == F.col("__kept_hash")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__kept")), "left_semi")
