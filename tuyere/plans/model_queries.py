@@ -40,7 +40,7 @@ ORACLE_SQL["shap_factorize"] = f"WITH {_ITEMS}, f AS (SELECT l_returnflag, row_n
 
 def shap_ranking(spark: SparkSession, sf: str) -> DataFrame:
     rows = attribution.prepare(_items(spark, sf), FEATURES, "l_extendedprice")
-    model = attribution.fit(rows.where("is_train"), FEATURES, "l_extendedprice", grid=((3,), (0.1,), (20,)))
+    model = attribution.fit(rows.where("is_train"), FEATURES, "l_extendedprice")
     return attribution.importance(attribution.explain(rows, model, FEATURES), FEATURES)
 
 

@@ -55,7 +55,7 @@ ORACLE_SQL["scale_log"] = f"SELECT {KEY}, round(ln(l_extendedprice::DOUBLE), 6)
 QUERIES["scale_grouped"] = lambda spark, sf: scale.within_groups(series(spark, sf), ["series"], "v").select("id", *_r("scaled"))
 ORACLE_SQL["scale_grouped"] = f"WITH {SERIES_SQL} SELECT id, round((v - avg(v) OVER w) / nullif(stddev_samp(v) OVER w, 0), 6) AS scaled FROM s WINDOW w AS (PARTITION BY series)"
 QUERIES["scale_quantile"] = lambda spark, sf: scale.quantile_uniform(_items(spark, sf), "l_extendedprice").select("l_orderkey", "l_linenumber", *_r("scaled"))
-QUERIES["scale_yeo_johnson"] = lambda spark, sf: scale.yeo_johnson(_items(spark, sf), "l_extendedprice", 12)[0].select("l_orderkey", "l_linenumber", *_r("scaled", digits=3))
+QUERIES["scale_yeo_johnson"] = lambda spark, sf: scale.yeo_johnson(_items(spark, sf), "l_extendedprice")[0].select("l_orderkey", "l_linenumber", *_r("scaled", digits=3))
 
 # statistics
 _MOMENTS = "count(x) AS n, avg(x) AS mean, stddev_samp(x) AS std, avg((x - m) ** 3) / nullif(stddev_pop(x) ** 3, 0) AS skew, avg((x - m) ** 4) / nullif(var_pop(x) ** 2, 0) - 3 AS kurt"
