@@ -17,13 +17,17 @@ SPACE_PATTERN = r"[\x20\x09-\x0D]+"
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 _own_folder: str | None = None
+_written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir of the session; a local one is set only where that is unset."""
+    """The folder all executors see: spark.checkpoint.dir of the session. A local one is set only where that is unset and
+    driver and executors are one machine."""
     global _own_folder
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if _own_folder is None:
             _own_folder = tempfile.mkdtemp(prefix="tuyere-")
         folder = "file://" + _own_folder
@@ -36,12 +40,23 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df written as Parquet to the shared folder and read again: lineage ends there, and lost executors cost nothing."""
+    """The rows of df written as Parquet to the shared folder and read again: lineage ends there, and lost executors cost
+    nothing. The table stays until clear() is called, as only the caller knows when its readers are done."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> int:
+    """Deletes the intermediate tables that this driver has written, once their results are stored; tells how many."""
+    n = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 def local_path(uri: str) -> str | None:
     """The path of a file:// or plain URI; None for other stores."""
     if uri.startswith("file:"):
