@@ -15,6 +15,7 @@ ordered by text and all kept; an empty table gives no shard and no row; further
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,12 +24,13 @@ from pyspark.sql import functions as F
 from tuyere.llm.shared import file_system, local_path, new_folder, one_thread, slices
 
 #: White space other than a space and a line feed, of Python or of the tokenizer's pattern.
-_OTHER_SPACE = "\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　"
+_OTHER_SPACE = "\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _OTHER = re.compile(rf"[{_OTHER_SPACE}]")
 _PAIRS = ("  ", " \n", "\n ", "\n\n")
 #: A run of Latin letters before an ASCII character that is none is a match of the tokenizer's pattern, with the space before it.
 _REGULAR = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[\x00-@\[-`{-\x7f]|$)| ?[^ \n]++|[ \n]")
-_INNER_SPACE = re.compile(r"(?!^)\s|^[^\S ]|^ ?$|^ \s")
+#: Chunks that are surely one match of the tokenizer's pattern.
+_ONE_MATCH = re.compile(r" ?(?:[A-Za-zÀ-ÖØ-öø-ÿ]++|[0-9]++|[!-/:-@\[-`{-~]++)|[ \n]")
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -37,76 +39,112 @@ class ByteBpeEncoder:
 
     A byte-level BPE tokenizer first splits text by a pattern whose matches never reach over the boundary between a
     non-space and a single space before a non-space, nor out of a run of letters. Chunks between such boundaries are
-    encoded alone, once each.
+    encoded alone, once each. The strings of added tokens are found first, as the library does, and text between them is
+    encoded apart; with special_as_text they are ordinary text.
     """
 
-    def __init__(self, path: str, most_chunks: int = 700_000) -> None:
+    def __init__(self, path: str, most_chunks: int = 700_000, special_as_text: bool = False) -> None:
         one_thread()
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         import numpy as np
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.model = self.tokenizer.model
+        bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.space = bytes_of(" ")[0][0]
+        letters = " \n" + "".join(chr(c) for c in range(0xC0, 0x100))
+        self.as_bytes = {ord(c): bytes_of(c)[0][0] for c in letters}
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        number = struct.Struct("<H" if self.dtype.itemsize == 2 else "<I").pack
+        self.packed = [number(k) for k in range(self.tokenizer.get_vocab_size())]
         self.most_chunks = most_chunks
-        self.memo: dict[str, bytes] = {}
-        self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Encodes chunks, all in one call: a line feed between two of them is a match of its own, and so a token."""
-        import numpy as np
-
-        if len(self.memo) + len(chunks) > self.most_chunks:
+        self.memo: dict[str, bytes] = {}  # by whole chunk
+        self.after_space: dict[str, bytes] = {}  # by what follows a chunk's space
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content: self.packed[k] for k, t in added.items()} if not (special_as_text and all(t.special for t in added.values())) else {}
+        self.plain_added = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
+        self.find_added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+
+    def _match(self, chunk: str) -> bytes:
+        """The ids of one match of the tokenizer's pattern, by the library's model alone."""
+        mapped = chunk.replace(" ", self.space) if chunk.isascii() and chunk != "\n" else chunk.translate(self.as_bytes)
+        return b"".join([self.packed[x.id] for x in self.model.tokenize(mapped)])
+
+    def _chunk(self, chunk: str) -> bytes:
+        got = self.memo.get(chunk)
+        if got is None:
+            if _ONE_MATCH.fullmatch(chunk):
+                got = self._match(chunk)
+            else:
+                got = b"".join([self.packed[x] for x in self.tokenizer.encode(chunk, add_special_tokens=False).ids])
+            self.memo[chunk] = got
+        return got
+
+    def _word(self, word: str) -> bytes:
+        """The ids of a space and a word, from its chunks."""
+        text = " " + word
+        if _ONE_MATCH.fullmatch(text):
+            got = self.after_space[word] = self._match(text)
+            return got
+        first, *others = _REGULAR.findall(text)
+        if not others:
+            got = self._chunk(text)
+        else:
+            head = self.after_space.get(first[1:])
+            got = (self._word(first[1:]) if head is None else head) + b"".join(map(self._chunk, others))
+        if "\n" not in word:  # words on both sides of a line feed seldom meet again
+            self.after_space[word] = got
+        return got
+
+    def _piece(self, text: str) -> bytes:
+        if len(self.memo) + len(self.after_space) > self.most_chunks:
             self.memo.clear()
-        learned = {}
-        one_by_one = [x for x in chunks if _INNER_SPACE.search(x)]
-        if len(one_by_one) < len(chunks):
-            together = [x for x in chunks if not _INNER_SPACE.search(x)] if one_by_one else chunks
-            ids = np.array(self.tokenizer.encode("\n".join(together), add_special_tokens=False).ids, self.dtype)
-            ends = np.append(np.flatnonzero(ids == self.line_feed), len(ids)).tolist()
-            raw, size, start = ids.tobytes(), self.dtype.itemsize, 0
-            for chunk, end in zip(together, ends, strict=True):
-                learned[chunk] = raw[start * size : end * size]
-                start = end + 1
-        for chunk in one_by_one:
-            learned[chunk] = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.dtype).tobytes()
-        self.memo.update(learned)
-        return learned
-
-    def _chunks(self, text: str) -> list[str]:
-        irregular = any(x in text for x in _PAIRS) or _OTHER.search(text)
-        return _BEFORE_SPACE.split(text) if irregular else _REGULAR.findall(text)
+            self.after_space.clear()
+        if any(x in text for x in _PAIRS) or _OTHER.search(text):
+            return b"".join(map(self._chunk, _BEFORE_SPACE.split(text)))
+        first, *words = text.split(" ")
+        got = list(map(self.after_space.get, words))
+        k = -1
+        for _ in range(got.count(None)):
+            k = got.index(None, k + 1)
+            found = self.after_space.get(words[k])
+            got[k] = self._word(words[k]) if found is None else found
+        return b"".join([*map(self._chunk, _REGULAR.findall(first)), *got])
 
     def encode(self, text: str, block: int = 1 << 20) -> bytes:
         """The ids of the whole text as little-endian bytes; very long texts go block by block, cut where chunks end."""
+        if self.find_added is None or not (found := self.find_added.search(text)):
+            return self._between(text, block)
+        if not self.plain_added:
+            return b"".join([self.packed[x] for x in self.tokenizer.encode(text, add_special_tokens=False).ids])
+        out, at = [], 0
+        while found:
+            out += [self._between(text[at : found.start()], block), self.added[found[0]]]
+            at = found.end()
+            found = self.find_added.search(text, at)
+        return b"".join([*out, self._between(text[at:], block)])
+
+    def _between(self, text: str, block: int) -> bytes:
         out, at = [], 0
         while at < len(text):
             end = len(text)
             if end - at > 2 * block and (found := _BEFORE_SPACE.search(text, at + block)):
                 end = found.start()
-            chunks = self._chunks(text[at:end])
-            got = list(map(self.memo.get, chunks))
-            if None in got:
-                new = {x for x, ids in zip(chunks, got, strict=True) if ids is None}
-                learned = self._learn(list(new))
-                i = -1
-                for _ in range(got.count(None)):
-                    i = got.index(None, i + 1)
-                    got[i] = learned[chunks[i]]
-            out.append(b"".join(got))
+            out.append(self._piece(text[at:end]))
             at = end
         return b"".join(out)
 
 
-_encoders: dict[str, ByteBpeEncoder] = {}
+_encoders: dict[tuple[str, bool], ByteBpeEncoder] = {}
 
 
-def encoder(path: str) -> ByteBpeEncoder:
+def encoder(path: str, special_as_text: bool = False) -> ByteBpeEncoder:
     """One per Python worker and file."""
-    if path not in _encoders:
-        _encoders[path] = ByteBpeEncoder(path)
-    return _encoders[path]
+    key = (path, special_as_text)
+    if key not in _encoders:
+        _encoders[key] = ByteBpeEncoder(path, special_as_text=special_as_text)
+    return _encoders[key]
 
 
 class _ShardWriter:
@@ -170,10 +208,11 @@ class _ShardWriter:
             self.fs.move(old, new)  # a file appears whole or not at all, so attempts can be repeated
 
 
-def write_token_files(df: DataFrame, tokenizer_path: str, folder: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, length: int = 2048, rows_per_batch: int = 64) -> DataFrame:
-    """Encodes every text, appends end_id, and writes the shards. One range shuffle puts documents in ascending id order;
-    each task then streams its range into one file. Returns the manifest: shard, path, n_docs, n_tokens, start (ids in
-    all shards before). The manifest has one row per task, so it may pass through the driver."""
+def write_token_files(df: DataFrame, tokenizer_path: str, folder: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, length: int = 2048, rows_per_batch: int = 64, special_as_text: bool = False) -> DataFrame:
+    """Encodes every text, appends end_id, and writes the shards. The strings of added tokens in a text become those tokens,
+    as the library has it, unless special_as_text is set. One range shuffle puts documents in ascending id order;
+    each task then streams its range into one file. Returns the manifest: shard, path, id_type, n_docs, n_tokens, start
+    (ids in all shards before). The manifest has one row per task, so it may pass through the driver."""
     assert length % 8 == 0
     spark = df.sparkSession
     folder = folder or new_folder(spark, "tokens")
@@ -181,7 +220,8 @@ def write_token_files(df: DataFrame, tokenizer_path: str, folder: str | None = N
         import os
 
         os.makedirs(path, exist_ok=True)
-    rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    id_type = rows.schema["doc_id"].dataType.simpleString()
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def write(batches):
@@ -190,7 +230,7 @@ def write_token_files(df: DataFrame, tokenizer_path: str, folder: str | None = N
         from pyspark import TaskContext
 
         task, out = TaskContext.get(), None
-        code = encoder(tokenizer_path)
+        code = encoder(tokenizer_path, special_as_text)
         end = np.array([end_id], code.dtype).tobytes()
         n_docs = 0
         for batch in slices(batches, 500):
@@ -207,7 +247,11 @@ def write_token_files(df: DataFrame, tokenizer_path: str, folder: str | None = N
     starts = [0]
     for x in shards:
         starts.append(starts[-1] + x.n_tokens)
-    return spark.createDataFrame([(x.shard, x.path, x.n_docs, x.n_tokens, at) for x, at in zip(shards, starts, strict=False)], "shard long, path string, n_docs long, n_tokens long, start long")
+    return spark.createDataFrame([(x.shard, x.path, id_type, x.n_docs, x.n_tokens, at) for x, at in zip(shards, starts, strict=False)], "shard long, path string, id_type string, n_docs long, n_tokens long, start long")
+
+
+#: Fixed by the Arrow stream format: the mark after the last batch.
+_STREAM_END = b"\xff\xff\xff\xff\0\0\0\0"
 
 
 def _open(uri: str):
@@ -221,20 +265,38 @@ def _open(uri: str):
 
 
 class TokenFile:
-    """Random access to the sequences of one shard; ids and packed masks are views of the memory map."""
+    """Random access to the sequences of one shard. The place of any batch follows from the size of the first one and of the
+    file, so only the batch that holds a sequence is touched; ids and packed masks are views of the memory map."""
 
     def __init__(self, path: str) -> None:
         import pyarrow as pa
 
-        self.batches = list(pa.ipc.open_stream(_open(f"{path}.arrow")))
-        self.rows = self.batches[0].num_rows if self.batches else 1
-        self.docs = pa.ipc.open_stream(_open(f"{path}.index.arrow")).read_all()
+        self.path, self.file = path, _open(f"{path}.arrow")
+        self.schema = pa.ipc.open_stream(self.file).schema
+        self.length = self.schema.field("ids").type.list_size
+        self.begin, end = self.file.tell(), self.file.size() - len(_STREAM_END)
+        self.held = (-1, None)
+        if self.begin >= end:  # no batch
+            self.rows = self.step = self.last = 0
+            return
+        self.last, self.step = 0, end - self.begin
+        self.rows = self.batch(0).num_rows
+        self.step = self.file.tell() - self.begin
+        self.last = -(-(end - self.begin) // self.step) - 1  # all batches but the last take the same number of bytes
+
+    def batch(self, k: int):
+        import pyarrow as pa
+
+        if self.held[0] != k:
+            self.file.seek(self.begin + k * self.step)
+            self.held = (k, pa.ipc.read_record_batch(pa.ipc.read_message(self.file), self.schema))
+        return self.held[1]
 
     def __len__(self) -> int:
-        return sum(x.num_rows for x in self.batches)
+        return self.last * self.rows + self.batch(self.last).num_rows if self.rows else 0
 
     def _row(self, column: int, k: int):
-        values = self.batches[k // self.rows].column(column)
+        values = self.batch(k // self.rows).column(column)
         width = values.type.list_size
         return values.values.to_numpy(zero_copy_only=True)[(values.offset + k % self.rows) * width :][:width]
 
@@ -245,21 +307,25 @@ class TokenFile:
         """A bit per id, packed."""
         return self._row(1, k)
 
-    def stream(self):
-        """All ids of the shard, without padding."""
-        import numpy as np
+    def between(self, start: int, n: int):
+        """Parts of the shard's ids from a place on, n in all; each part is a view of one batch."""
+        full = self.rows * self.length
+        while n > 0:
+            k, at = divmod(start, full)
+            part = self.batch(k).column(0).flatten().to_numpy(zero_copy_only=True)[at : at + n]
+            yield part
+            start, n = start + len(part), n - len(part)
+
+    def documents(self):
+        """Batches of the index: doc_id, start, n_tokens."""
+        import pyarrow as pa
 
-        if not self.batches:
-            return np.zeros(0, np.uint16)
-        ids = np.concatenate([x.column(0).flatten().to_numpy() for x in self.batches])
-        last = np.concatenate([x.column(1).flatten().to_numpy() for x in self.batches[-1:]])
-        padding = int((np.unpackbits(last) == 0).sum())
-        return ids[: len(ids) - padding]
+        yield from pa.ipc.open_stream(_open(f"{self.path}.index.arrow"))
 
 
-def read_token_files(spark: SparkSession, manifest: DataFrame, id_type: str = "long") -> DataFrame:
+def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """Every document's ids, read back from the files: doc_id, shard, start (in the whole dataset), n_tokens, ids_crc32 (of
-    the ids as little-endian unsigned 32-bit integers). A task reads whole shards."""
+    the ids as little-endian unsigned 32-bit integers). A task streams through whole shards, batch by batch."""
 
     def read(batches):
         import pyarrow as pa
@@ -267,12 +333,16 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, id_type: str = "l
         for batch in batches:
             for shard, path, base in zip(*(batch.column(x).to_pylist() for x in ("shard", "path", "start")), strict=True):
                 file = TokenFile(path)
-                ids, docs = file.stream(), file.docs
-                starts, counts = docs.column("start").to_numpy(), docs.column("n_tokens").to_numpy()
-                crc = [zlib.crc32(ids[a : a + n].astype("<u4").tobytes()) for a, n in zip(starts.tolist(), counts.tolist(), strict=True)]
-                if docs.num_rows:
-                    got = pa.table({"doc_id": docs.column("doc_id"), "shard": pa.array([shard] * docs.num_rows, pa.int64()), "start": starts + base, "n_tokens": counts, "ids_crc32": pa.array(crc, pa.int64())})
-                    yield from got.combine_chunks().to_batches()
-
+                for docs in file.documents():
+                    crcs = []
+                    for start, n in zip(docs.column("start").to_pylist(), docs.column("n_tokens").to_pylist(), strict=True):
+                        crc = 0
+                        for part in file.between(start, n):
+                            crc = zlib.crc32(part.astype("<u4"), crc)
+                        crcs.append(crc)
+                    starts = pa.array(docs.column("start").to_numpy() + base)
+                    yield pa.RecordBatch.from_arrays([docs.column("doc_id"), pa.array([shard] * len(crcs), pa.int64()), starts, docs.column("n_tokens"), pa.array(crcs, pa.int64())], ["doc_id", "shard", "start", "n_tokens", "ids_crc32"])
+
+    first = manifest.select("id_type").first()
     n = max(1, manifest.count())
-    return manifest.repartition(n).mapInArrow(read, f"doc_id {id_type}, shard long, start long, n_tokens long, ids_crc32 long")
+    return manifest.repartition(n).mapInArrow(read, f"doc_id {first.id_type if first else 'long'}, shard long, start long, n_tokens long, ids_crc32 long")
