@@ -53,8 +53,8 @@ def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     def fold(batches):
         import pyarrow as pa
 
-        schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
-        held, parts = None, []
+        fields = lambda kind: pa.schema([("doc_id", kind), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+        schema, held, parts = None, None, []
 
         def row():
             payload = b"".join(parts)
@@ -64,6 +64,7 @@ def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
         for batch in batches:
+            schema = schema or fields(batch.schema.field("doc_id").type)
             out = []
             for doc_id, n_bytes, media_bytes, media_sha, page, pixels in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 if page == 0:
@@ -75,7 +76,7 @@ def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
         if held is not None:
             yield batch_of([row()])
 
-    return pages.mapInArrow(fold, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return pages.mapInArrow(fold, f"doc_id {pages.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

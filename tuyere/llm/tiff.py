@@ -3,9 +3,10 @@
 Reading walks the chain of image directories of either byte order, decodes strips or tiles stored plain, as PackBits, LZW
 or deflate, undoes the horizontal predictor, and emits one row per page. Writing lays bytes out as 8-bit grey pages.
 
-Cases: a null or empty media value gives no page; a value that is no TIFF, a directory chain that loops, or a codec or
-sample format that is not known gives one row whose ``error`` says so and whose pixels are null, never a failed job; pages
-of any size are read whole; equal values give equal rows.
+Cases: a null or empty media value gives no page; a value that is no TIFF, a directory chain that loops, a size that the
+stored strips or tiles do not fill, or a codec or sample format that is not known gives one row whose ``error`` says so and
+whose pixels are null, never a failed job: no memory is taken for pixels before the parts that hold them are decoded, and
+no part is decoded beyond its size. Pages of any size are read whole; equal values give equal rows.
 """
 
 from __future__ import annotations
@@ -54,9 +55,9 @@ def packbits_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def packbits_decode(data: bytes) -> bytes:
+def packbits_decode(data: bytes, most: int | None = None) -> bytes:
     out, at = bytearray(), 0
-    while at < len(data):
+    while at < len(data) and (most is None or len(out) < most):
         n = data[at]
         if n < 128:
             out += data[at + 1 : at + 2 + n]
@@ -69,89 +70,95 @@ def packbits_decode(data: bytes) -> bytes:
     return bytes(out)
 
 
+def _widths(n: int) -> np.ndarray:
+    """Bits of the codes after a clear code: the width grows one code early, as the format has it."""
+    place = np.arange(n)
+    return 9 + (place >= 254).astype(np.int64) + (place >= 766) + (place >= 1790)
+
+
 def lzw_encode(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, high bit first; the width grows one code early, as the format has it."""
-    table = {bytes([k]): k for k in range(256)}
-    held, count, out = LZW_CLEAR, 9, bytearray()
-    width, size, prefix = 9, 258, b""
-
-    def put(code: int) -> None:
-        nonlocal held, count
-        held, count = held << width | code, count + width
-        while count >= 8:
-            out.append(held >> (count - 8) & 255)
-            count -= 8
-        held &= (1 << count) - 1
-
-    for k in range(len(data)):
-        longer = prefix + data[k : k + 1]
-        if longer in table:
-            prefix = longer
+    """Codes of 9 to 12 bits, high bit first; a clear code comes before the table is full."""
+    codes, widths = [LZW_CLEAR], [np.array([9])]
+    table, begin, size = {}, 1, 258
+    code = data[0] if data else -1
+    get = table.get
+    for byte in data[1:]:
+        longer = code << 8 | byte
+        found = get(longer)
+        if found is not None:
+            code = found
             continue
-        put(table[prefix])
+        codes.append(code)
         table[longer] = size
         size += 1
         if size == 4094:
-            put(LZW_CLEAR)
-            table, width, size = {bytes([j]): j for j in range(256)}, 9, 258
-        elif size >= 1 << width and width < 12:
-            width += 1
-        prefix = longer[-1:]
-    if prefix:
-        put(table[prefix])
-        size += 1
-        if size >= 1 << width and width < 12:
-            width += 1
-    put(LZW_END)
-    if count:
-        out.append(held << (8 - count) & 255)
-    return bytes(out)
-
-
-def lzw_decode(data: bytes) -> bytes:
+            widths += [_widths(len(codes) - begin), np.array([12])]
+            codes.append(LZW_CLEAR)
+            table.clear()
+            begin, size = len(codes), 258
+        code = byte
+    if data:
+        codes.append(code)
+    codes.append(LZW_END)
+    widths.append(_widths(len(codes) - begin))
+    width = np.concatenate(widths)
+    bits = np.unpackbits((np.array(codes) << (16 - width)).astype(">u2").view(np.uint8)).reshape(-1, 16)
+    return np.packbits(bits[np.arange(16) < width[:, None]]).tobytes()
+
+
+def lzw_decode(data: bytes, most: int | None = None) -> bytes:
+    """Up to an end code, the end of the data, or so many bytes."""
+    raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
     first = [bytes([k]) for k in range(256)] + [b"", b""]
-    table, width, last = list(first), 9, b""
-    held = count = at = 0
     out: list[bytes] = []
-    while True:
-        while count < width:
-            if at >= len(data):
-                return b"".join(out)
-            held, count, at = (held << 8 | data[at]) & 0xFFFFFF, count + 8, at + 1
-        code = held >> (count - width) & ((1 << width) - 1)
-        count -= width
-        if code == LZW_END:
-            return b"".join(out)
-        if code == LZW_CLEAR:
-            table, width, last = list(first), 9, b""
-            continue
-        if code < len(table):
-            entry = table[code]
-        elif last and code == len(table):
-            entry = last + last[:1]
-        else:
-            raise ValueError("LZW code out of range")
-        out.append(entry)
-        if last:
-            table.append(last + entry[:1])
-        last = entry
-        if len(table) >= (1 << width) - 1 and width < 12:
-            width += 1
+    at, done, bits = 0, 0, 8 * len(data)
+    while at + 9 <= bits and (most is None or done < most):
+        widths = _widths(4096)
+        ends = at + np.cumsum(widths)
+        n = int(np.searchsorted(ends, bits, side="right"))
+        widths, begins = widths[:n], ends[:n] - widths[:n]
+        byte = begins >> 3
+        window = raw[byte] << 16 | raw[byte + 1] << 8 | raw[byte + 2]
+        codes = window >> (24 - (begins & 7) - widths) & ((1 << widths) - 1)
+        stops = np.flatnonzero((codes == LZW_CLEAR) | (codes == LZW_END))
+        own = codes[: stops[0]].tolist() if len(stops) else codes.tolist()
+        if not len(stops) and n == 4096:
+            raise ValueError("LZW data without a clear code")
+        table, last = list(first), b""
+        for code in own:
+            if code < len(table):
+                entry = table[code]
+            elif last and code == len(table):
+                entry = last + last[:1]
+            else:
+                raise ValueError("LZW code out of range")
+            out.append(entry)
+            if last:
+                table.append(last + entry[:1])
+            last = entry
+            done += len(entry)
+            if most is not None and done >= most:
+                break
+        if not len(stops) or codes[stops[0]] == LZW_END:
+            break
+        at = int(ends[stops[0]])
+    return b"".join(out)
 
 
 def _coded(data: bytes, codec: int) -> bytes:
     return {PLAIN: bytes, PACKBITS: packbits_encode, LZW: lzw_encode, DEFLATE: lambda x: zlib.compress(x, 6)}[codec](data)
 
 
-def _plain(data: bytes, codec: int) -> bytes:
+def _plain(data: bytes, codec: int, most: int) -> bytes:
+    """The first bytes of a strip or tile, no more than it can hold."""
     if codec == PLAIN:
-        return data
+        return data[:most]
     if codec == PACKBITS:
-        return packbits_decode(data)
+        return packbits_decode(data, most)[:most]
     if codec == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, most)[:most]
     if codec in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, most)
     raise ValueError(f"compression {codec} is not known")
 
 
@@ -174,11 +181,11 @@ def _directory(entries: list[tuple[int, int, list[int]]], at: int, more: bool) -
 def encode_pages(payload: bytes, width: int = 64, rows_per_page: int = 4096, rows_per_strip: int = 1024, codec: int | None = None) -> bytes:
     """A TIFF of 8-bit grey pages that holds the payload, row after row; its length is a multiple of the width.
 
-    Without a codec, short payloads (up to 1 KB) are stored as LZW strips with the horizontal predictor, middle ones (up
-    to 4 KB) as PackBits tiles of 64 x 64, and longer ones as deflate strips."""
+    Without a codec, the payload's checksum chooses: LZW strips with the horizontal predictor, PackBits tiles of 64 x 64,
+    or deflate strips, each for a third of all payloads whatever their length."""
     assert payload and len(payload) % width == 0
     if codec is None:
-        codec = LZW if len(payload) <= 1024 else PACKBITS if len(payload) <= 4096 and width == 64 else DEFLATE
+        codec = (LZW, PACKBITS, DEFLATE)[zlib.crc32(payload) % 3]
     tiled, predictor = codec == PACKBITS and width == 64, 2 if codec == LZW else 1
     out = bytearray(b"II*\0" + struct.pack("<I", 8))
     page_bytes = rows_per_page * width
@@ -249,20 +256,34 @@ def _page(media: bytes, tags: dict[int, tuple[int, ...]], order: str):
     tiled = TILE_OFFSETS in tags
     across, down = (one(TILE_WIDTH, width), one(TILE_HEIGHT, height)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height) or 1)
     offsets, counts = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_COUNTS])
-    image = np.zeros((height, width, samples), kind)
+    if min(width, height, samples, across, down) < 1:
+        raise ValueError(f"an image of {width} x {height} x {samples} in parts of {across} x {down}")
     columns, rows = -(-width // across), -(-height // down)
+    if not len(offsets) == len(counts) == columns * rows * planes:
+        raise ValueError(f"{len(offsets)} parts for an image of {columns} x {rows} parts in {planes} planes")
+    parts = []
     for k, (start, size) in enumerate(zip(offsets, counts, strict=True)):
+        y = k % (columns * rows) // columns * down
+        tall = down if tiled else min(down, height - y)
+        need = tall * across * each * kind.itemsize
+        part = _plain(media[start : start + size], codec, need)
+        if len(part) < need:
+            raise ValueError(f"a part of {len(part)} bytes where {need} are due")
+        parts.append(np.frombuffer(part, kind).reshape(tall, across, each))
+    image = np.zeros((height, width, samples), kind)
+    for k, part in enumerate(parts):
         plane, place = divmod(k, columns * rows)
         y, x = place // columns * down, place % columns * across
-        tall = down if tiled else min(down, height - y)
-        part = np.frombuffer(_plain(media[start : start + size], codec), kind, tall * across * each).reshape(tall, across, each)
         if predictor == 2:
             part = np.cumsum(part, axis=1, dtype=kind.newbyteorder("="))
-        here = part[: height - y, : width - x]
-        image[y : y + tall, x : x + across, plane : plane + each] = here
+        image[y : y + len(part), x : x + across, plane : plane + each] = part[: height - y, : width - x]
     return width, height, samples, codec, image.astype(kind.newbyteorder("<")).tobytes()
 
 
+#: What a damaged file can raise.
+DAMAGE = (ValueError, KeyError, IndexError, OverflowError, MemoryError, struct.error, zlib.error)
+
+
 def read_pages(df: DataFrame, *, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """One row per page: the id column, page (from 0), width, height, samples, codec, pixels, error. No shuffle; the pages
     of a value come one after another."""
@@ -282,7 +303,7 @@ def read_pages(df: DataFrame, *, id_col: str = "doc_id", media_col: str = "media
                     for found in decode_pages(media) if media else ():
                         rows.append((doc_id, page, *found, None))
                         page += 1
-                except (ValueError, KeyError, struct.error, zlib.error) as e:
+                except DAMAGE as e:
                     rows.append((doc_id, page, None, None, None, None, None, str(e)))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
