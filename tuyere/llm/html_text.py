@@ -2,8 +2,12 @@
 
 A page is read as a sequence of words and tags. Words score positive and tags negative, with weights learned from labelled
 pages: the logarithm of how often a kind of word or tag occurs inside and outside the marked main text. One linear scan
-finds the contiguous region of the best total. What is by its element, role, class or name a menu, header, footer, sidebar,
-notice, advert, form, script, style or reader comment has no part in the sequence.
+finds the contiguous region of the best total.
+
+What is by its element or role a menu, footer, form, script or the like has no part in the sequence. The words of a class or
+id are features with learned weights of the same form, whole names and parts of names apart. An element whose names score
+below ``NAMED_OUT`` counts as one negative tag, and its text is no article; but an element that holds a main element, or an
+article or first heading and half of the page's words, is the article's wrapper, whatever its names.
 
 The text of the region: character references decoded, white space inside a block as one space, trimmed, blocks in page
 order joined by one space. Nothing else is dropped or cut.
@@ -25,117 +29,167 @@ from pyspark.sql import functions as F
 from tuyere.llm.shared import slices
 
 # Fixed values of HTML.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math q s samp small span strike strong sub sup svg time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object canvas audio video".split())
-LEFT_OUT = frozenset("head nav footer aside form button select option dialog menu fieldset figure-ad".split()) | RAW
+RAW = frozenset("script style noscript template iframe textarea title object canvas audio video".split())
+LEFT_OUT = frozenset("head nav footer aside form button select option dialog menu fieldset".split()) | RAW
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-#: Words in a class or id that name a part outside the article.
-NAMES = frozenset(
-    "ad ads adbox adslot aside alert banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr header "
-    "login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion "
-    "recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget".split()
-)
-STARTS = ("advert", "comment", "breadcrumb", "sidebar", "cookie", "newsletter", "sponsor")
-#: Those that also turn an article element into no article.
-NO_ARTICLE = frozenset("ad ads comment comments promo related recommended reply replies sponsored".split())
-#: Words from which a text outside paragraphs counts as long.
+#: Elements that an opening tag of the same name ends.
+SIBLINGS = frozenset("li dt dd tr td th option p".split())
+#: Words from which a text outside paragraphs is of the kind "long": its weight is learned apart from that of short texts.
 LONG = 10
+#: Names that score lower are no article; a part of a name counts half as much as a whole name.
+NAMED_OUT, PART_OF_NAME = -1.0, 0.5
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _NAMING = re.compile(r"""\b(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_HEADING = re.compile("h[1-6]")
+_INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+TEXT, OPEN, CLOSE, SINGLE = range(4)
+
+
+class Page:
+    """The events of a page (text, opening, closing and single tags) and the place where each element ends."""
+
+    def __init__(self, html: str) -> None:
+        self.events: list[tuple[int, str, str]] = []
+        self.ends: dict[int, int] = {}
+        stack: list[tuple[str, int]] = []
+        at, search = 0, _TOKEN.search
+
+        def text(upto: int) -> None:
+            if upto > at:
+                self.events.append((TEXT, html[at:upto], ""))
+
+        def close(depth: int) -> None:
+            while len(stack) > depth:
+                self.ends[stack.pop()[1]] = len(self.events)
+
+        while found := search(html, at):
+            text(found.start())
+            at = found.end()
+            closing, name, attributes = (found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])
+            if not name:
+                continue
+            name = name.lower()
+            if closing:
+                for depth in range(len(stack) - 1, -1, -1):
+                    if stack[depth][0] == name:
+                        close(depth)
+                        break
+                self.events.append((CLOSE, name, ""))
+            elif name in VOID or attributes.rstrip().endswith("/") and name not in RAW:
+                self.events.append((SINGLE, name, attributes))
+            else:
+                if stack and (stack[-1][0] == name and name in SIBLINGS or stack[-1][0] == "p" and name not in INLINE):
+                    close(len(stack) - 1)
+                stack.append((name, len(self.events)))
+                self.events.append((OPEN, name, attributes))
+                if name in RAW:
+                    end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
+                    at = end.end() if end else len(html)
+                    close(len(stack) - 1)
+        text(len(html))
+        close(0)
+        self.words, self.mains, self.articles = [0], [0], [0]  # counts before each event
+        left_out_until = 0
+        for k, (op, value, _) in enumerate(self.events):
+            if op == OPEN and value in LEFT_OUT:
+                left_out_until = max(left_out_until, self.ends[k])
+            self.words.append(self.words[-1] + (len(value.split()) if op == TEXT and k >= left_out_until else 0))
+            self.mains.append(self.mains[-1] + (op == OPEN and value == "main"))
+            self.articles.append(self.articles[-1] + (op == OPEN and value in ("article", "h1")))
+
+    def wraps(self, k: int) -> bool:
+        """Whether the element of an event holds the article."""
+        end = self.ends[k]
+        if self.events[k][1] in ("html", "body", "main") or self.mains[end] > self.mains[k]:
+            return True
+        return self.articles[end] > self.articles[k + 1] and 2 * (self.words[end] - self.words[k]) >= self.words[-1]
 
 
-def _outside(name: str, attributes: str, in_article: bool) -> bool:
-    if name in LEFT_OUT or (name == "header" and not in_article):
+def left_out(name: str, attributes: str, in_article: bool) -> bool:
+    """By element or role."""
+    if name in LEFT_OUT or name == "header" and not in_article:
         return True
-    if name in ("html", "body", "main") or not attributes:
+    if "role" not in attributes.lower() or name in ("html", "body", "main"):
         return False
-    for key, a, b, c in _NAMING.findall(attributes):
+    return any(key.lower() == "role" and (a or b or c).strip().lower() in ROLES for key, a, b, c in _NAMING.findall(attributes))
+
+
+def naming(attributes: str) -> list[str]:
+    """The features of an element's class, id and visibility: whole names as =name, parts of compound names as ~part."""
+    out = []
+    for key, a, b, c in _NAMING.findall(attributes) if attributes else ():
         key, value = key.lower(), a or b or c
-        if key == "role" and value.strip().lower() in ROLES:
-            return True
-        if key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true" and name != "a":
-            return True
-        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if key in ("class", "id"):
-            for part in (x.lower() for x in _PART.findall(value)):
-                if name == "article":
-                    if part in NO_ARTICLE:
-                        return True
-                elif part in NAMES or part.startswith(STARTS):
-                    if not (in_article and part == "header"):
-                        return True
-    return False
-
-
-def sequence(html: str) -> list[tuple[str, str]]:
+        if key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true" or key == "style" and _INVISIBLE.search(value):
+            out.append("@hidden")
+        elif key in ("class", "id"):
+            for token in value.split():
+                parts = [x.lower() for x in _PART.findall(token)]
+                if parts:
+                    out += ["=" + "-".join(parts), *(["~" + x for x in parts] if len(parts) > 1 else [])]
+    return out
+
+
+def names_score(name: str, features: list[str], in_article: bool, weights: dict[str, float]) -> float:
+    """The sum of the features' weights, and that of the element itself where it speaks for an article."""
+    if not features:
+        return 0.0
+    own = max(0.0, weights.get(f"#{name} inside" if in_article else f"#{name}", 0.0))
+    return own + sum(weights.get(x, 0.0) * (PART_OF_NAME if x[0] == "~" else 1.0) for x in features)
+
+
+def sequence(html: str, weights: dict[str, float]) -> list[tuple[str, str]]:
     """(kind, text) in page order. Kinds of words: link, heading, paragraph, long, other; kinds of tags: their class; each on
-    its own, in a main element or in an article. The text of a tag is a space if it separates blocks."""
+    its own, in a main element or in an article. The text of a tag is a space if it separates blocks. What is left out is
+    one item: "out", or of the kind "named" where names decide."""
+    page = Page(html)
     out: list[tuple[str, str]] = []
-    skip, depth, inside, link, heading, paragraph, at = "", 0, {"main": 0, "article": 0}, 0, 0, False, 0
-    raw_end = None
-
-    def words(upto: int) -> None:
-        text = html[at:upto]
-        if text and not skip:
-            kind = "heading" if heading else "paragraph" if paragraph else "link" if link else "long" if len(text.split()) >= LONG else "other"
-            out.append((where() + kind, text))
-
-    def where() -> str:
-        return "article " if inside["article"] else "main " if inside["main"] else ""
-
-    search = _TOKEN.search
-    while True:
-        found = search(html, at)
-        if not found:
-            words(len(html))
-            return out
-        words(found.start())
-        at = found.end()
-        closing, name, attributes = (found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])
-        if not name:
+    inside = {"main": 0, "article": 0}
+    link, heading, paragraph, k = 0, 0, False, 0
+    inline_until = -1  # all elements of a formula or drawing are inline
+    while k < len(page.events):
+        op, name, attributes = page.events[k]
+        where = "article " if inside["article"] else "main " if inside["main"] else ""
+        if op == TEXT:
+            kind = "heading" if heading else "paragraph" if paragraph else "link" if link else "long" if len(name.split()) >= LONG else "other"
+            out.append((where + kind, name))
+            k += 1
             continue
-        name = name.lower()
-        if skip:
-            if name == skip:
-                depth += -1 if closing else 1
-                if not depth:
-                    skip = ""
-                    out.append(("out", " "))
+        if op == OPEN:
+            if left_out(name, attributes, bool(where)):
+                out.append(("out", " "))
+                k = max(k + 1, page.ends[k])
                 continue
-            if closing and name in ("body", "html", "article", "main") and skip != name:
-                skip = ""
-            else:
+            features = naming(attributes)
+            if features and names_score(name, features, bool(where), weights) < NAMED_OUT and not page.wraps(k):
+                out.append((where + "named", "" if name in INLINE else " "))
+                k = max(k + 1, page.ends[k])
                 continue
-            if name not in inside:
-                continue
-        if not closing and name not in VOID and _outside(name, attributes, any(inside.values())):
-            out.append(("out", " "))
-            if name in RAW:
-                raw_end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
-                at = raw_end.end() if raw_end else len(html)
-            elif not attributes.rstrip().endswith("/"):
-                skip, depth = name, 1
-            continue
-        step = -1 if closing else 1
+            if name in ("math", "svg"):
+                inline_until = max(inline_until, page.ends[k])
+        inline = name in INLINE or k <= inline_until
+        step = 1 if op == OPEN else -1 if op == CLOSE else 0
         if name in inside:
             inside[name] = max(0, inside[name] + step)
         elif name == "a":
-            link = 0 if closing else 1
-        elif re.fullmatch("h[1-6]", name):
-            heading = 0 if closing else 1
+            link = int(op == OPEN)
+        elif _HEADING.fullmatch(name):
+            heading = int(op == OPEN)
         elif name == "p":
-            paragraph = not closing
-        elif name not in INLINE and name not in VOID:
+            paragraph = op == OPEN
+        elif not inline and name not in VOID:
             paragraph = False
+        where = "article " if inside["article"] else "main " if inside["main"] else ""
         if name in ("article", "main", "section", "div", "li", "p", "br", "a"):
             kind = f"<{name}>"
         else:
-            kind = "<heading>" if re.fullmatch("h[1-6]", name) else "<inline>" if name in INLINE else "<block>"
-        out.append((kind if name in inside else where() + kind, "" if name in INLINE else " "))
+            kind = "<heading>" if _HEADING.fullmatch(name) else "<inline>" if inline else "<block>"
+        out.append((kind if name in inside else where + kind, "" if inline else " "))
+        k += 1
+    return out
 
 
 WORD_KINDS = frozenset(place + kind for place in ("", "main ", "article ") for kind in ("link", "heading", "paragraph", "long", "other"))
@@ -143,18 +197,47 @@ WORD_KINDS = frozenset(place + kind for place in ("", "main ", "article ") for k
 _BEGIN, _END = "\ue000", "\ue001"
 
 
+def learn_names(labelled: list[str]) -> dict[str, float]:
+    """Weights of names and of elements that have names. Elements inside the marks, and those around them, speak for an
+    article; all others against it."""
+    counts: dict[str, list[float]] = {}
+    for html in labelled:
+        page = Page(html.replace("<!--main-->", _BEGIN).replace("<!--/main-->", _END))
+        marks = [next(k for k, e in enumerate(page.events) if e[0] == TEXT and mark in e[1]) for mark in (_BEGIN, _END)]
+        article = 0
+        for k, (op, name, attributes) in enumerate(page.events):
+            if name in ("main", "article") and op in (OPEN, CLOSE):
+                article += 1 if op == OPEN else -1
+            features = naming(attributes) if op == OPEN else []
+            if features:
+                good = marks[0] < k < marks[1] or k < marks[0] and page.ends[k] > marks[1]
+                inner = article - (name in ("main", "article")) > 0
+                if marks[0] < k < marks[1] and names_against(page, k):
+                    good = False
+                for x in {*features, f"#{name} inside" if inner else f"#{name}"}:
+                    counts.setdefault(x, [0.5, 0.5])[0 if good else 1] += 1
+    return {x: max(-4.0, min(1.5 if x[0] == "#" else 4.0, log(a / b))) for x, (a, b) in sorted(counts.items())}
+
+
+def names_against(page: Page, k: int) -> bool:
+    """Whether an element inside the marks is labelled as no article, by the attribute data-not."""
+    return "data-not" in page.events[k][2]
+
+
 def learn(labelled: list[str]) -> dict[str, float]:
-    """Weights of the kinds from pages whose main text stands between the comments ``main`` and ``/main``."""
+    """Weights of all kinds and names from pages whose main text stands between the comments ``main`` and ``/main``;
+    elements between them that are no article have the attribute data-not."""
+    names = learn_names(labelled)
     inside: dict[str, float] = {}
     outside: dict[str, float] = {}
     for page in labelled:
         counts = outside
-        for kind, text in sequence(page.replace("<!--main-->", _BEGIN).replace("<!--/main-->", _END)):
+        for kind, text in sequence(page.replace("<!--main-->", _BEGIN).replace("<!--/main-->", _END), names):
             if text in (_BEGIN, _END):
                 counts = inside if text == _BEGIN else outside
             else:
                 counts[kind] = counts.get(kind, 0) + (len(text.split()) if kind in WORD_KINDS else 1)
-    weights = {}
+    weights = dict(names)
     for kind in sorted({*inside, *outside} - {"out"}):
         odds = log((inside.get(kind, 0) + 0.5) / (outside.get(kind, 0) + 0.5))
         weights[kind] = min(3.0, max(0.1, odds)) if kind in WORD_KINDS else max(-6.0, min(-0.1, odds))
@@ -177,7 +260,7 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 def main_text(html: str | None, weights: dict[str, float]) -> str:
     if not html:
         return ""
-    items = sequence(html)
+    items = sequence(html, weights)
     scores = [weights.get(kind, -0.5) * (len(text.split()) if kind in WORD_KINDS else 1) for kind, text in items]
     a, b = best_region(scores)
     while a > 0 and items[a - 1][0].endswith("<inline>"):
