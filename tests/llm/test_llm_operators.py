@@ -58,7 +58,6 @@ def test_token_files(spark, docs, none, tmp_path):
     manifest = token_files.write_token_files(docs, path, f"file://{tmp_path}/tokens", length=64, rows_per_batch=4)
     got = sorted(token_files.read_token_files(spark, manifest).collect(), key=lambda r: r.start)
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     start, everything = 0, []
     for r, (doc_id, text, *_) in zip(got, sorted(rows(), key=lambda x: (x[0], x[1] or "")), strict=True):
         ids = [*plain.encode(text or "", add_special_tokens=False).ids, 0]
@@ -77,15 +76,24 @@ def test_token_files(spark, docs, none, tmp_path):
     assert token_files.read_token_files(spark, token_files.write_token_files(none, path)).count() == 0
 
 
-def test_token_chunks_equal_whole_texts():
+def test_token_files_by_text_ids(spark, tmp_path):
+    table = spark.createDataFrame([("b", "x y"), ("a", "<|endoftext|>"), (None, None)], "`my id` string, `a text` string")
+    manifest = token_files.write_token_files(table, queries.tokenizer_file("byte_bpe_50k.json"), f"file://{tmp_path}/t", id_col="my id", text_col="a text", length=8, rows_per_batch=1)
+    got = [(r.doc_id, r.start, r.n_tokens) for r in token_files.read_token_files(spark, manifest).orderBy("start").collect()]
+    assert got == [(None, 0, 1), ("a", 1, 2), ("b", 3, 3)]
+
+
+@pytest.mark.parametrize("as_text", [False, True])
+def test_token_chunks_equal_whole_texts(as_text):
     from tokenizers import Tokenizer
 
     path = queries.tokenizer_file("byte_bpe_50k.json")
-    plain, code = Tokenizer.from_file(path), token_files.ByteBpeEncoder(path, most_chunks=50)
-    plain.encode_special_tokens = True
+    plain, code = Tokenizer.from_file(path), token_files.ByteBpeEncoder(path, most_chunks=50, special_as_text=as_text)
+    plain.encode_special_tokens = as_text
     rng = random.Random(1)
-    for _ in range(1500):
-        text = "".join(rng.choice(" a'stéß漢½²́_ \n\t\x1c\xa0 12.,") for _ in range(rng.randint(0, 25)))
+    parts = [*" a'stéß漢½²́_ \n\t\x1c\xa0 12.,", "<|endoftext|>", " the", "word,", "don't", "Ünï", " 3rd", "\u2003", "e\u0301", "×", "÷"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
         for block in (1 << 20, 5):
             assert np.frombuffer(code.encode(text, block), code.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
@@ -119,6 +127,7 @@ def _normal(text):
 @pytest.mark.parametrize("key_bits", [64, 3])
 def test_exact_dedup(docs, none, key_bits):
     got = exact_dedup.exact_groups(docs, key_bits=key_bits, capacity=10, most_bits=6).collect()
+    assert key_bits < 64 or len({r.bucket for r in got}) > 8
     groups = {}
     for doc_id, text, *_ in rows():
         groups.setdefault(_normal(text), []).append(doc_id)
@@ -142,9 +151,31 @@ def exact_dedup_text(text):
 
 
 def test_directory_doubles():
-    found = exact_dedup.split_directory({0: 100, 1: 1, 15: 3}, 50, 4)
-    assert found[0] == (4, 0) and found[1] == (4, 1) and found[15] == (1, 1)
-    assert set(exact_dedup.split_directory({}, 5, 3).values()) == {(0, 0)}
+    assert exact_dedup.split_directory({0: 100, 1: 1, 15: 3}, 50, 4) == [(4, 0), (4, 1), (3, 1)] + [(3, 1)] + [(2, 1)] * 4 + [(1, 1)] * 8
+    assert exact_dedup.split_directory({}, 5, 3) == [(0, 0)]
+    assert exact_dedup.split_directory({0: 1, 7: 1}, 1, 3) == [(1, 0), (1, 1)]
+
+
+def test_directory_deals_and_finds(spark, docs):
+    """Rows are found through the directory: where a slot points to another bucket, its rows find no entry."""
+    source = docs.select("doc_id", exact_dedup.normalised(F.col("text")).alias("body")).withColumn("key", F.xxhash64("body"))
+    keys = source.select("doc_id", "key")
+    right = exact_dedup.build_directory(keys, 10, 6)
+    index = exact_dedup.build_index(source, right)
+    loads = [r.n for r in index.groupBy("bucket").agg(F.count_distinct("key").alias("n")).collect()]
+    assert max(loads) <= 10 and len(loads) > 8
+    assert exact_dedup.look_up(keys, index, right, source).count() == len(rows())
+    wrong = [right[-1], *right[1:]]
+    lost = keys.where(exact_dedup._cell(F.col("key"), len(right).bit_length() - 1) == 0).count()
+    assert lost and exact_dedup.look_up(keys, index, wrong, source).count() == len(rows()) - lost
+
+
+def test_frequent_texts_and_clashing_names(spark):
+    table = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("t "), F.col("id").cast("string"))).otherwise("same").alias("text"), F.lit(1).alias("sha"), F.lit(2).alias("__sha"), F.lit(3).alias("row"))
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_groups(table).collect()}
+    assert got == {k: (k, 1) if k % 3 else (0, 1667) for k in range(5000)}
+    kept = exact_dedup.drop_copies(table)
+    assert kept.columns == table.columns and kept.count() == 3334
 
 
 def _fingerprint(text, words=3):
@@ -268,6 +299,91 @@ def test_tiff_foreign_files():
     assert (width, height, samples) == (3, 2, 3) and got == pixels.astype("<u2").tobytes()
 
 
+def _lzw_by_strings(data):
+    """Codes read from a string of bits, for comparison."""
+    bits, at, table, out, last = "".join(f"{x:08b}" for x in data), 0, [], b"", None
+    width = 9
+    while True:
+        code, at = int(bits[at : at + width], 2), at + width
+        if code == 257:
+            return out
+        if code == 256:
+            table, width, last = [bytes([k]) for k in range(256)] + [None, None], 9, None
+            continue
+        entry = table[code] if code < len(table) else last + last[:1]
+        out += entry
+        if last is not None:
+            table.append(last + entry[:1])
+        last = entry
+        width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
+
+
+def _packbits_by_steps(data):
+    out, rest = b"", list(data)
+    while rest:
+        n = rest.pop(0)
+        if n < 128:
+            out, rest = out + bytes(rest[: n + 1]), rest[n + 1 :]
+        elif n > 128:
+            out, rest = out + bytes(rest[:1]) * (257 - n), rest[1:]
+    return out
+
+
+def test_codecs_against_plain_decoders():
+    rng = random.Random(8)
+    for n in (0, 1, 2, 250, 260, 800, 3000, 20_000):
+        for letters in (1, 3, 256):
+            data = bytes(rng.randrange(letters) for _ in range(n))
+            assert _lzw_by_strings(tiff.lzw_encode(data)) == data == tiff.lzw_decode(tiff.lzw_encode(data))
+            assert _packbits_by_steps(tiff.packbits_encode(data)) == data == tiff.packbits_decode(tiff.packbits_encode(data))
+            assert tiff.lzw_decode(tiff.lzw_encode(data), 100)[:100] == data[:100]
+
+
+def test_tiff_form_does_not_depend_on_length():
+    rng = random.Random(9)
+    for n in (64, 6400, 64 * 3000):
+        codecs = {next(tiff.decode_pages(tiff.encode_pages(bytes(rng.randrange(256) for _ in range(64)) + b"a" * (n - 64))))[3] for _ in range(20)}
+        assert codecs == {tiff.LZW, tiff.PACKBITS, tiff.DEFLATE}
+
+
+def test_tiff_features():
+    rng = random.Random(10)
+    for n in (64, 128, 6400):
+        data = bytes(rng.randrange(40) for _ in range(n))
+        mean = sum(data) / n
+        spread = (sum((x - mean) ** 2 for x in data) / n) ** 0.5
+        entropy = -sum(c / n * np.log2(c / n) for c in Counter(data).values())
+        edges = [int(k * n / 72) for k in range(73)]
+        cells = [sum(data[a:b]) / (b - a) if b > a else data[min(a, n - 1)] for a, b in zip(edges, edges[1:])]
+        bits = "".join("1" if cells[9 * r + c + 1] > cells[9 * r + c] else "0" for r in range(8) for c in range(8))
+        assert tiff.features(data) == f"mean={mean:.4f};std={spread:.4f};entropy={entropy:.4f};dhash={int(bits, 2):016x}"
+
+
+def _damaged(**changes):
+    """A page of 4 x 2 with some tags changed or left out."""
+    tags = {256: 4, 257: 2, 258: 8, 259: 1, 273: 8, 277: 1, 278: 2, 279: 8} | {int(k[1:]): v for k, v in changes.items()}
+    tags = {k: v for k, v in tags.items() if v is not None}
+    entries = b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in sorted(tags.items()))
+    return b"II*\0" + struct.pack("<I", 16) + bytes(range(8)) + struct.pack("<H", len(tags)) + entries + struct.pack("<I", 0)
+
+
+def test_damaged_tiffs_give_an_error(spark):
+    whole = tiff.encode_pages(bytes(range(64)) * 40, codec=tiff.LZW)
+    files = [_damaged(), _damaged(t256=None), _damaged(t257=0), _damaged(t322=0, t323=0, t324=8, t325=8), _damaged(t256=2_000_000, t257=2_000_000), _damaged(t256=2_000_000, t257=2_000_000, t278=2_000_000)]
+    files += [_damaged(t259=5), _damaged(t259=8), _damaged(t259=77), _damaged(t279=4), _damaged(t273=None), _damaged(t273=4_000_000_000), _damaged(t277=0), _damaged(t258=1), _damaged(t317=3), whole[:100], whole[:9], b"II*\0"]
+    files += [whole[:k] + bytes([whole[k] ^ 0xFF]) + whole[k + 1 :] for k in range(0, len(whole), 7)]
+    table = spark.createDataFrame([(f"f{k:03d}", bytearray(x)) for k, x in enumerate(files)], "doc_id string, media binary")
+    got = {r.doc_id: r for r in tiff.read_pages(table).collect()}
+    assert len(got) >= len(files) - 2 and got["f000"].pixels == bytes(range(8))
+    assert all(got[f"f{k:03d}"].error and got[f"f{k:03d}"].pixels is None for k in range(1, 17))
+
+
+def test_tiff_query_with_text_ids(spark):
+    table = spark.createDataFrame([("a", "x" * 100), ("b", None), (None, "é")], "doc_id string, text string")
+    table.write.parquet(f"{(folder := _folder(spark))}/documents.parquet")
+    assert {(r.doc_id, r.n_bytes, r.payload_bytes) for r in queries.op5_tiff(spark, folder).collect()} == {("a", 100, 128), ("b", 0, 64), (None, 2, 64)}
+
+
 def test_tiff_rows(spark, docs):
     frame = spark.createDataFrame([(1, bytearray(b"no image")), (2, None), (3, bytearray(tiff.encode_pages(b"z" * 64 * 5, rows_per_page=2)))], "doc_id long, media binary")
     got = tiff.read_pages(frame).orderBy("doc_id", "page").collect()
@@ -279,7 +395,7 @@ def test_tiff_rows(spark, docs):
         payload = body.ljust(max(64, -(-len(body) // 64) * 64), b"\0")
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         stored = tiff.encode_pages(payload)
-        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(stored), hashlib.sha256(stored).hexdigest(), tiff.features(payload))
 
 
 def _folder(spark):
@@ -401,6 +517,41 @@ def test_html_text_on_hand_made_pages():
         assert html_text.main_text(html, weights) == want, name
 
 
+# Names of parts around articles.
+_PART_NAMES = (
+    "ad ads adbox adslot aside alert banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices "
+    "notification overlay pager pagination popup promo promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget"
+).split()
+
+
+@pytest.mark.parametrize("name", _PART_NAMES)
+def test_html_names_cut_parts_but_not_articles(name):
+    weights = html_text.learn(LABELLED)
+    prose = "The council met on Monday to discuss the plan for the harbour and its cost."
+    wrappers = (
+        f'<body><div class="layout has-{name}"><article><p>{prose}</p></article></div></body>',
+        f'<div id="page" class="hfeed site no-{name}"><article><p>{prose}</p></article></div>',
+        f'<div class="{name}-area-off content"><main><article><p>{prose}</p></article></main></div>',
+        f'<body class="{name}"><div class="{name}"><h1>{prose}</h1></div></body>',
+    )
+    for page in wrappers:
+        assert html_text.main_text(page, weights) == prose
+    assert html_text.main_text(f'<article><p>{prose}</p><p class="{name}-board">{prose}</p></article>', weights) == f"{prose} {prose}"
+    part = f'<div class="{name}"><p>{prose}</p></div>'
+    for page in (f"<article><h1>Plan</h1>{part * 4}<p>{prose}</p></article>", f"<article><h1>Plan</h1><p>{prose}</p></article>{part}", f'<div id="{name}">{prose}</div><article><h1>Plan</h1><p>{prose}</p></article>'):
+        assert html_text.main_text(page, weights) == f"Plan {prose}"
+
+
+def test_html_formulas_and_open_elements():
+    weights = html_text.learn(LABELLED)
+    prose = "The council met on Monday to discuss the plan for the harbour and its cost."
+    assert html_text.main_text(f"<article><p>{prose}</p><p>where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> is <svg><text>drawn</text></svg></p></article>", weights) == f"{prose} where x=2 is drawn"
+    assert html_text.main_text(f"<article><div class='ad'>Buy<p>now</article><article><p>{prose}", weights) == prose
+    assert html_text.main_text(f"<article><ul><li>one<li class='x'>two<li>three</ul><p>{prose}<div>end</div></article>", weights) == f"one two three {prose} end"
+    deep = "<div class='ad'>" * 3000 + f"<article><h1>T</h1><p>{prose}</p></article>"
+    assert html_text.main_text(deep, weights) == f"T {prose}"
+
+
 def test_html_text_on_generated_pages(spark):
     import re
     from html import unescape
@@ -461,11 +612,42 @@ def test_lm_score(docs, none):
     assert lm.score(none).count() == 0
 
 
-def test_lm_is_normalised(docs):
-    share = np.full(lm.CLASSES, 1 / lm.CLASSES)
-    table = lm.log_table(lm.initial(share))
-    assert table.shape == ((lm.CLASSES + 1) ** 2, lm.CLASSES)
-    assert np.allclose((10.0 ** table.astype(float)).sum(axis=1), 1, atol=1e-4)
+def test_trained_lm_is_normalised_and_scores_as_defined(spark, docs):
+    """All known words and one unseen word a class add up to one after any context; scores are sums over tokens."""
+    model = lm.learn(docs, most_head=300, most_items=60)  # so that some words are outside the head
+    head = model.head.ready()
+    logs, inner = lm.log_table(model.first), lm.item_table(model.second, head.item_class)
+    counts = {r.word.encode(): r.c for r in model.counts.collect()}
+    assert len(counts) > 300 and len(head.words) <= 300
+    sums = Counter()
+    for w, c in counts.items():
+        if (item := head.of_word(w)[1]) >= 60:
+            sums[item] += c + 1
+
+    def log_p(word, far, near):
+        kind, item = head.of_word(word)
+        out = logs[far * (lm.CLASSES + 1) + near, kind]
+        if item >= 0:
+            out += inner[near, item]
+        if item >= 60:
+            out += np.log10((counts.get(word, 0) + 1) / (sums[item] + 1))
+        return float(out)
+
+    one_unseen = {lm.ending_class(f"{a}{b}".encode()): f"unseen{a}{b}".encode() for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"}
+    assert len(one_unseen) == lm.ENDINGS and not set(one_unseen.values()) & set(counts)
+    for far, near in ((lm.CLASSES, lm.CLASSES), (lm.CLASSES, 1), (3, 150), (191, 0)):
+        assert sum(10 ** log_p(w, far, near) for w in [*counts, *one_unseen.values()]) == pytest.approx(1, abs=1e-3)
+    got = lm.score_by(docs.select("doc_id", "text", F.lit(False).alias("held_out")), model).collect()
+    expected = []
+    for x in rows():
+        far = near = lm.CLASSES
+        total = 0.0
+        for w in [*lm.words_of(x[1]), b" "]:
+            total += log_p(w, far, near)
+            far, near = near, head.of_word(w)[0]
+        expected.append((x[0], total))
+    for (i, a), (j, b) in zip(sorted((r.doc_id, r.score) for r in got), sorted(expected), strict=True):
+        assert i == j and a == pytest.approx(b, rel=1e-4, abs=1e-4)
 
 
 def test_pipeline(spark, docs):
