@@ -2,6 +2,8 @@
 
 import json
 
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,18 +75,21 @@ def test_p_values(spark):
 
 
 def test_names(spark):
-    raw = ["Blast Furnace (No.1)", "9 lives", "select", "  ", "Über-Größe", "x" * 70]
+    raw = ["Blast Furnace (No.1)", "9 lives", "select", "  ", "Über-Größe", "x" * 70, "", None, "values", "「a」【b】", "a" * 49 + "-b"]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in raw], "s string").select(names.normalise_name(F.col("s"))).collect()]
-    assert got == ["blast_furnace_no_1", "t_9_lives", "select_col", "unnamed", "über_größe", "x" * 50]
+    assert got == ["blast_furnace_no_1", "t_9_lives", "select_col", "", "über_größe", "x" * 50, "unnamed", "unnamed", "values", "a_b", "a" * 49]
     long = spark.range(1).select(names.table_name(*[F.lit(c * 30) for c in "abcd"])).first()[0]
-    assert len(long) == 4 * 14 + 5 and long.startswith("a" * 13 + "_")
+    raw_name = "_".join(c * 30 for c in "abcd")
+    assert long == "_".join(c * 13 for c in "abcd") + "_" + format(zlib.crc32(raw_name.encode()), "05x")[-5:]
+    spaced = spark.range(1).select(names.table_name(*[F.lit("x" * 12 + " " + c * 20) for c in "abcd"])).first()[0]
+    assert spaced.startswith("x" * 12 + "__" + "x" * 12 + "_")
 
 
 def test_features_and_pools(spark):
     df = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (5.0,)], "x double")
     got = [r.features[0] for r in mapping.assemble(df, ["x"]).collect()]
     assert sum(got) == pytest.approx(0, abs=1e-6) and sum(x * x for x in got) / 4 == pytest.approx(1, abs=1e-6)
-    assert mapping.pool_of(["timestamp", "value"]) == "Continuous" and mapping.pool_of(["image_id", "capture_time"]) == "Image"
+    assert mapping.pool_of(["timestamp", "value"]) == "Continuous time-series data" and mapping.pool_of(["image_id", "capture_time"]) == "Image data"
     out, left = mapping.apply_rules(spark.createDataFrame([(1, 2)], "a long, b long"), {"a": ("param_a", 1.0)})
     assert out.columns == ["param_a"] and left == ["b"]
 

@@ -6,36 +6,47 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that cannot be column names, and the keyword rules of types in their order.
-RESERVED = "all alter and as between by case check column constraint create cross current_date current_time current_timestamp default delete desc distinct drop else end exists false foreign from full grant group having in index inner insert into is join key left like limit not null offset on or order outer primary references right rollback row rows select set table then to true union unique update user using values view when where with".split()
+RESERVED = (
+    "all analyse analyze and any array as asc asymmetric authorization between binary both case cast check collate collation column concurrently constraint create cross "
+    "current_catalog current_date current_role current_schema current_time current_timestamp current_user default deferrable desc distinct do else end except false fetch for "
+    "foreign from full grant group having ilike in initially inner intersect into is isnull join lateral leading left like limit localtime localtimestamp natural not notnull null "
+    "offset on only or order outer overlaps placing primary references returning right select session_user similar some symmetric table tablesample then to trailing true union "
+    "unique user using variadic verbose when where window with"
+).split()
 TYPE_RULES = [
-    ("timestamp", ["time", "timestamp", "date", "时间", "日期"]),
-    ("decimal(18,4)", ["value", "mean", "threshold", "limit", "range", "rate", "ratio", "max", "min", "std"]),
-    ("boolean", ["status", "flag", "is_", "has_"]),
-    ("json", ["label", "keyword", "tag", "mapping", "set"]),
-    ("int", ["count", "number", "num", "index"]),
+    ("timestamp", "time timestamp 时间 日期".split()),
+    ("decimal(18,4)", "value mean average threshold limit range frequency interval duration period cycle deviation quantile latency delay ratio rate score upper lower min max 标准 阈值 周期".split()),
+    ("boolean", "status state flag enabled valid available mapped triggered aligned async is_ has_ can_ 状态 有效 触发".split()),
+    ("json", "label keyword tag mapping set 规则".split()),
+    ("int", "count number priority level threshold index 优先级 序号 计数".split()),
 ]
+SEPARATORS, BRACKETS = r"(?U)[\s&%#\-./\\]+", r"[()（）\[\]「」『』〈〉《》【】{}]"
+LONGEST_NAME, LONGEST_TABLE, DIGEST = 50, 63, 5
 
 
 def normalise_name(c: Column) -> Column:
-    """Lower case; white space, punctuation and brackets to one underscore; no digit first; no reserved word; 50 characters."""
-    x = F.regexp_replace(F.lower(c), r"[\s&%#\-./\\()\[\]{}（）【】]+", "_")
+    """Lower case; separators and brackets to one underscore, none at the ends; no digit first; no reserved word; 50
+    characters. Null and empty names are unnamed; a name of separators only becomes empty."""
+    x = F.regexp_replace(F.regexp_replace(F.lower(c), SEPARATORS, "_"), BRACKETS, "_")
     x = F.regexp_replace(F.regexp_replace(x, "_+", "_"), "^_|_$", "")
-    x = F.when(x.rlike("^[0-9]"), F.concat(F.lit("t_"), x)).otherwise(x)
+    x = F.when(x.rlike(r"(?U)^\d"), F.concat(F.lit("t_"), x)).otherwise(x)
     x = F.when(x.isin(RESERVED), F.concat(x, F.lit("_col"))).otherwise(x)
-    x = F.regexp_replace(F.substring(x, 1, 50), "_+$", "")
-    return F.when(x == "", "unnamed").otherwise(x)
+    x = F.when(F.length(x) > LONGEST_NAME, F.regexp_replace(F.substring(x, 1, LONGEST_NAME), "_+$", "")).otherwise(x)
+    return F.when(F.coalesce(c, F.lit("")) == "", "unnamed").otherwise(x)
 
 
 def table_name(*parts: Column) -> Column:
-    """The normalised parts joined; beyond 63 characters each is cut to 13 and a digest of the raw name is added."""
+    """The normalised parts joined; where that is too long, each is cut so that the parts, their joints and five digits of the
+    raw names' CRC-32 fit."""
     names = [normalise_name(p) for p in parts]
     joined = F.concat_ws("_", *names)
-    digest = F.substring(F.lpad(F.lower(F.hex(F.crc32(F.concat_ws("_", *parts)))), 8, "0"), 4, 5)
-    short = F.concat_ws("_", *[F.regexp_replace(F.substring(n, 1, 13), "_+$", "") for n in names], digest)
-    return F.when(F.length(joined) > 63, short).otherwise(joined)
+    digest = F.right(F.concat(F.lit("0" * DIGEST), F.lower(F.hex(F.crc32(F.concat_ws("_", *parts).cast("binary"))))), F.lit(DIGEST))
+    each = (LONGEST_TABLE - (len(parts) - 1) - DIGEST) // len(parts)
+    return F.when(F.length(joined) > LONGEST_TABLE, F.concat_ws("_", *[F.substring(n, 1, each) for n in names], digest)).otherwise(joined)
 
 
 def inferred_type(c: Column) -> Column:
+    """The type of the first rule with a keyword inside the name; string without any."""
     x, out = F.lower(c), None
     for kind, words in TYPE_RULES:
         hit = F.lit(False)

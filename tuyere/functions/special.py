@@ -32,3 +32,34 @@ def normal_quantile(p: float) -> float:
     from statistics import NormalDist
 
     return NormalDist().inv_cdf(p)
+
+
+def normal_inverse(p):
+    """The standard normal quantile of a numpy array, by a rational starting value and Newton steps."""
+    import numpy as np
+
+    p = np.asarray(p, float)
+    tail = np.minimum(p, 1 - p)
+    r = np.sqrt(-2 * np.log(np.maximum(tail, 1e-300)))
+    x = -(r - (2.30753 + 0.27061 * r) / (1 + 0.99229 * r + 0.04481 * r * r))  # a known approximation, good to 0.003
+    for _ in range(4):
+        density = np.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+        x = x - (normal_share(x) - tail) / np.maximum(density, 1e-300)
+    return np.where(np.isnan(p), np.nan, np.where(p < 0.5, x, -x))
+
+
+def normal_share(x):
+    """The standard normal distribution function of a numpy array that is not above 0 by much, by series and continued fraction."""
+    import numpy as np
+
+    x = np.asarray(x, float)
+    density = np.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+    term = total = np.where(np.abs(x) < 3, x, 0.0)
+    for k in range(1, 80):
+        term = term * np.where(np.abs(x) < 3, x, 0.0) ** 2 / (2 * k + 1)
+        total = total + term
+    far, f = np.maximum(np.abs(x), 3.0), np.zeros_like(x)
+    for k in range(60, 0, -1):
+        f = k / (far + f)
+    outside = density / (far + f)
+    return np.where(np.abs(x) < 3, 0.5 + density * total, np.where(x < 0, outside, 1 - outside))

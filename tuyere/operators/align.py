@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tuyere.functions.frames import SPAN, neighbours, numbered, with_stats
+from tuyere.functions.frames import chunked, neighbours, numbered, with_stats
 
 HOUR = 3_600_000_000
 FREQUENCIES = {"1s": 1, "5s": 5, "1m": 60, "1min": 60, "1h": 3600, "1d": 86400}
@@ -35,10 +35,11 @@ def grid_of(points: DataFrame, step: int, shared: bool = False) -> DataFrame:
     return blocks.select("series", F.explode(F.sequence("at", F.least(F.col("b"), F.col("at") + step * 999), F.lit(step))).alias("t"))
 
 
-def bracket(points: DataFrame, grid: DataFrame, span: int = SPAN) -> DataFrame:
-    """grid rows with prev and next (structs t, v): the points at or before and at or after."""
-    rows = points.select("series", "t", "v", F.lit(0).alias("k")).unionByName(grid.select("series", "t", F.lit(None).cast("double").alias("v"), F.lit(1).alias("k")))
-    found = neighbours(rows, "series", "t", ["t", "k"], F.col("k") == 0, F.struct("t", "v"), span)
+def bracket(points: DataFrame, grid: DataFrame, *more: str) -> DataFrame:
+    """grid rows with prev and next (structs t, v and more columns of the points): the points at or before and at or after."""
+    kinds = dict(points.dtypes)
+    rows = points.select("series", "t", "v", *more, F.lit(0).alias("k")).unionByName(grid.select("series", "t", F.lit(None).cast("double").alias("v"), *[F.lit(None).cast(kinds[c]).alias(c) for c in more], F.lit(1).alias("k")))
+    found = neighbours(rows, "series", "t", ["t", "k"], F.col("k") == 0, F.struct("t", "v", *more))
     # a point at a grid time comes before the grid row: it is both neighbours then
     exact = F.col("prev.t") == F.col("t")
     return found.where("k = 1").select("series", "t", "prev", F.when(exact, F.col("prev")).otherwise(F.col("next")).alias("next"))
@@ -48,13 +49,10 @@ def interpolate(points: DataFrame, grid: DataFrame, method: str = "linear", max_
     """series, t, v, status. Methods: linear, nearest, cubic, forward_fill, backward_fill. A grid time with a point takes
     its value; outside the points and in gaps longer than max_gap the value is null."""
     if method == "cubic":
-        p = numbered(points, "series", "t", ["t"])
-        near = lambda k: p.select("series", (F.col("_i") - k).alias("_i"), F.struct("t", "v").alias(f"p{k + 1}"))
-        around = p
-        for k in (-1, 1, 2):  # neighbours by number: equi-joins, no window over a whole series
-            around = around.join(near(k), ["series", "_i"], "left")
-        found = bracket(points, grid).withColumn("at", F.col("prev.t"))
-        found = found.join(around.select("series", F.col("t").alias("at"), "p0", "p2", "p3"), ["series", "at"], "left")
+        order, point = Window.partitionBy("series", "_c").orderBy("_i"), F.struct("t", "v")
+        near = chunked(points, "series", "t", ["t"], 1, 2)
+        near = near.select("series", "t", "v", F.lag(point).over(order).alias("p0"), F.lead(point).over(order).alias("p2"), F.lead(point, 2).over(order).alias("p3"), "_home").where("_home")
+        found = bracket(near, grid, "p0", "p2", "p3").select("*", "prev.p0", "prev.p2", "prev.p3")
     else:
         found = bracket(points, grid)
     a, b, t = F.col("prev"), F.col("next"), F.col("t")

@@ -62,6 +62,19 @@ def tree(d: DataFrame) -> DataFrame:
     return d.groupBy("work_type", "category", "pool").agg(F.count("*").alias("n"), F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "dataset"))), lambda x: x["dataset"])).alias("datasets"))
 
 
+def full_chain(d: DataFrame, work_type: str, attributes: DataFrame | None = None) -> DataFrame:
+    """category, ordinal, pools: the work type's categories in order, each with its pools by name, these with their datasets
+    in order and the attributes of the pool (pool, attribute, ordinal). A row holds one category's branch."""
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("ordinal", c))), lambda e: e[c])
+    branch = chain_filter(d, work_type).groupBy("category", "pool").agg(F.min("ordinal").alias("first"), listed("dataset").alias("datasets"))
+    if attributes is None:
+        branch = branch.withColumn("attributes", F.lit(None).cast("array<string>"))
+    else:
+        own = attributes.groupBy("pool").agg(listed("attribute").alias("attributes"))
+        branch = branch.join(own, "pool", "left").withColumn("attributes", F.coalesce("attributes", F.array().cast("array<string>")))
+    return branch.groupBy("category").agg(F.min("first").alias("ordinal"), F.array_sort(F.collect_list(F.struct("pool", "datasets", "attributes"))).alias("pools"))
+
+
 def search(d: DataFrame, text: str) -> DataFrame:
     """level, name: the names at any level that contain the text."""
     out = None

@@ -9,22 +9,31 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tuyere.functions.frames import numbered
+from tuyere.functions.storage import stored
+
 # What an edge of a type passes on, forwards and in a trace.
 PASS = {"hierarchical": 1.0, "cross": 0.8, "co_category": 0.3, "co_pool": 0.3}
 TRACE = {"propagation": 1.0, "coupling": 0.8, "hierarchical": 0.6, "cross": 0.4}
 
 
-def nodes_of(d: DataFrame) -> DataFrame:
+def nodes_of(d: DataFrame, templates: DataFrame | None = None) -> DataFrame:
+    """id, type, name of all entries, and of the attributes (pool, attribute) if they are given."""
     levels = [("work_type", F.concat(F.lit("wt:"), "work_type")), ("category", F.concat(F.lit("cat:"), "category")), ("pool", F.concat(F.lit("pool:"), "pool")), ("dataset", F.concat(F.lit("ds:"), "dataset"))]
-    return reduce(lambda a, b: a.unionByName(b), [d.select(i.alias("id"), F.lit(t).alias("type"), F.col(t).alias("name")).distinct() for t, i in levels])
+    rows = [d.select(i.alias("id"), F.lit(t).alias("type"), F.col(t).alias("name")).distinct() for t, i in levels]
+    if templates is not None:
+        rows.append(templates.select(F.concat(F.lit("attr:"), "pool", F.lit("::"), "attribute").alias("id"), F.lit("attribute").alias("type"), F.col("attribute").alias("name")).distinct())
+    return reduce(lambda a, b: a.unionByName(b), rows)
 
 
-def edges_of(d: DataFrame, most: int = 50, reach: int = 9) -> DataFrame:
-    """Hierarchy and cross edges, and links of datasets of one category or pool: of the first ``most`` by order, each with
-    the next ``reach``. A later kind replaces an earlier one on the same pair."""
+def edges_of(d: DataFrame, most: int = 50, reach: int = 9, templates: DataFrame | None = None) -> DataFrame:
+    """Hierarchy and cross edges, also from pools to their attributes, and links of datasets of one category or pool: of the
+    first ``most`` by order, each with the next ``reach``. A later kind replaces an earlier one on the same pair."""
     wt, cat, pool, ds = (F.concat(F.lit(p), c) for p, c in (("wt:", "work_type"), ("cat:", "category"), ("pool:", "pool"), ("ds:", "dataset")))
     kinds = [(wt, cat, "hierarchical"), (cat, ds, "hierarchical"), (pool, ds, "cross")]
     parts = [d.select(a.alias("src"), b.alias("dst"), F.lit(t).alias("type"), F.lit(k).alias("seq")) for k, (a, b, t) in enumerate(kinds)]
+    if templates is not None:
+        parts.append(templates.select(F.concat(F.lit("pool:"), "pool").alias("src"), F.concat(F.lit("attr:"), "pool", F.lit("::"), "attribute").alias("dst"), F.lit("cross").alias("type"), F.lit(2).alias("seq")))
     for k, (group, t) in enumerate((("category", "co_category"), ("pool", "co_pool"))):
         firsts = d.groupBy(group, "dataset").agg(F.min("ordinal").alias("o"))
         firsts = firsts.withColumn("r", F.row_number().over(Window.partitionBy(group).orderBy("o", "dataset"))).where(F.col("r") <= most)
@@ -56,10 +65,13 @@ def initial_scores(d: DataFrame, nodes: DataFrame, work_types: list[str], catego
 
 def pass_messages(scores: DataFrame, edges: DataFrame, hops: int = 3) -> DataFrame:
     """Each hop moves a score by a tenth towards six parts of itself and four of its neighbours' mean; what comes against an
-    edge counts half. Nodes without neighbours keep theirs. The plan is unrolled; messages are summed before the shuffle."""
+    edge counts half. Nodes without neighbours keep theirs. Messages are summed before the shuffle; the steps and each hop's
+    scores are stored, so that no hop computes the ones before it again."""
     w = reduce(lambda c, kv: c.when(F.col("type") == kv[0], kv[1]), list(PASS.items())[1:], F.when(F.col("type") == "hierarchical", 1.0))
-    both = edges.select("src", "dst", w.alias("w")).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), (w * 0.5).alias("w")))
+    ways = F.array(F.struct("src", "dst", w.alias("w")), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), (w * 0.5).alias("w")))
+    both = stored(edges.select(F.explode(ways).alias("e")).select("e.*"), "graph-steps")
     for _ in range(hops):
+        scores = stored(scores, "graph-scores")
         got = both.join(scores.select(F.col("id").alias("src"), "s"), "src").groupBy(F.col("dst").alias("id")).agg(F.avg(F.col("s") * F.col("w")).alias("m"))
         scores = scores.join(got, "id", "left").withColumn("s", F.when(F.col("m").isNull(), F.col("s")).otherwise(F.col("s") + 0.1 * (0.6 * F.col("s") + 0.4 * F.col("m") - F.col("s")))).drop("m")
     return scores
@@ -80,13 +92,15 @@ def induced(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
 
 
-def descendants(edges: DataFrame, start: DataFrame, most: int = 6) -> DataFrame:
-    """root, id, hops: what is reached from each start in at most so many steps, by frontier joins."""
-    seen = start.select(F.col("id").alias("root"), "id", F.lit(0).alias("hops"))
-    front = seen
-    for k in range(1, most + 1):
-        step = front.join(edges.select(F.col("src").alias("id"), "dst"), "id").select("root", F.col("dst").alias("id")).distinct()
-        front = step.join(seen.select("root", "id"), ["root", "id"], "left_anti").withColumn("hops", F.lit(k))
+def descendants(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """root, id, hops: all that is reached from each start, in the fewest steps, by frontier joins until nothing is new."""
+    steps = edges.select(F.col("src").alias("id"), "dst").distinct()
+    front = stored(start.select(F.col("id").alias("root"), "id", F.lit(0).alias("hops")).distinct(), "graph-front")
+    seen, k = front, 0
+    while not front.isEmpty():
+        k += 1
+        reached = front.select("root", "id").join(steps, "id").select("root", F.col("dst").alias("id")).distinct()
+        front = stored(reached.join(seen.select("root", "id"), ["root", "id"], "left_anti").withColumn("hops", F.lit(k)), "graph-front")
         seen = seen.unionByName(front)
     return seen.where("hops > 0")
 
@@ -134,11 +148,14 @@ def propagation_edges(paths: DataFrame) -> DataFrame:
 
 
 def link_candidates(vectors: DataFrame, edges: DataFrame, least: float = 0.7, most: int = 2000, keep: int = 50, seed: int = 42) -> DataFrame:
-    """a, b, p: seeded random pairs that are not linked, by the logistic of their product, best first (a sampling operator)."""
+    """a, b, p: seeded random pairs that are not linked, by the logistic of their product, best first (a sampling operator).
+    Vectors are numbered by the hash of their id; only the picked ones are read."""
     n = vectors.count()
-    v = vectors.select("id", "x", (F.row_number().over(Window.orderBy("id")) - 1).alias("k"))
-    picks = vectors.sparkSession.range(most).select(F.floor(F.rand(seed) * n).alias("k"), F.floor(F.rand(seed + 1) * n).alias("l")).where("k < l").distinct()
-    pairs = picks.join(v.select("k", F.col("id").alias("a"), F.col("x").alias("xa")), "k").join(v.select(F.col("k").alias("l"), F.col("id").alias("b"), F.col("x").alias("xb")), "l")
+    v = numbered(vectors.select("id").withColumn("one", F.lit(1)).withColumn("t", F.pmod(F.xxhash64("id"), F.lit(1 << 40))), "one", "t", ["t", "id"]).select("id", F.col("_i").alias("k"))
+    draw = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "id"), F.lit(max(1, n)))
+    picks = vectors.sparkSession.range(most).select(draw(0).alias("k"), draw(1).alias("l")).where("k < l").distinct()
+    pairs = picks.join(v.select("k", F.col("id").alias("a")), "k").join(v.select(F.col("k").alias("l"), F.col("id").alias("b")), "l").select("a", "b")
+    pairs = pairs.join(vectors.select(F.col("id").alias("a"), F.col("x").alias("xa")), "a").join(vectors.select(F.col("id").alias("b"), F.col("x").alias("xb")), "b")
     pairs = pairs.join(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), ["a", "b"], "left_anti").join(edges.select(F.col("dst").alias("a"), F.col("src").alias("b")), ["a", "b"], "left_anti")
     dot = F.aggregate(F.zip_with("xa", "xb", lambda p, q: p * q), F.lit(0.0).cast("double"), lambda s, e: s + e)
     return pairs.select("a", "b", (1 / (1 + F.exp(-dot))).alias("p")).where(F.col("p") >= least).orderBy(F.desc("p"), "a", "b").limit(keep)

@@ -7,14 +7,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tuyere.functions.frames import chunked, frame, neighbours, numbered, with_stats
+from tuyere.functions.frames import bucketed, chunked, frame, neighbours, numbered, with_stats
+from tuyere.functions.quantiles import with_quantiles
 
 ORDER = ["t", "id"]
 
 
 def _around(df: DataFrame, value: str) -> DataFrame:
-    rows = numbered(df, "series", "t", ORDER)
-    return neighbours(rows, "series", "t", ORDER, F.col(value).isNotNull(), F.struct("_i", "t", F.col(value).alias("x")))
+    rows = numbered(bucketed(df, "series", "t"), "series", "t", ORDER)
+    return neighbours(rows, "series", "t", ORDER, F.col(value).isNotNull(), F.struct("_i", "t", F.col(value).alias("x"))).drop("_b")
 
 
 def fill_linear(df: DataFrame, value: str = "v", name: str = "filled", by_time: bool = False) -> DataFrame:
@@ -75,7 +76,9 @@ def fill_cubic(df: DataFrame, chunk: int = 100_000) -> DataFrame:
 def fill_statistic(df: DataFrame, how: str = "mean") -> DataFrame:
     """The series' mean, median or mode (smallest of equals); the mean is also what a one-column nearest-neighbour or
     chained-equation fill comes to."""
-    stat = {"mean": F.avg("v"), "median": F.percentile("v", 0.5), "mode": F.mode("v", True), "knn": F.avg("v"), "mice": F.avg("v")}[how]
+    if how == "median":
+        return with_quantiles(df, "series", F.col("v"), [0.5], "_q").withColumn("filled", F.coalesce("v", F.col("_q")[0])).drop("_q")
+    stat = {"mean": F.avg("v"), "mode": F.mode("v", True), "knn": F.avg("v"), "mice": F.avg("v")}[how]
     return with_stats(df, "series", stat.alias("_x")).withColumn("filled", F.coalesce("v", "_x")).drop("_x")
 
 
@@ -92,12 +95,21 @@ METHODS = {
 
 
 def fill_by_priority(df: DataFrame, methods: tuple[str, ...] = ("linear", "time", "ffill", "bfill")) -> tuple[DataFrame, str]:
-    """The first method that leaves fewer nulls, else the median; and its name."""
-    missing = df.where("v is null").count()
+    """The first method that leaves fewer nulls, else the median; and its name. How many nulls a method leaves follows from one
+    aggregation per series, so only the chosen method runs."""
+    first, last = (F.min if k else F.max for k in (1, 0))
+    place = F.struct(*ORDER)
+    known = F.when(F.col("v").isNotNull(), place)
+    ends = df.groupBy("series").agg(first(known).alias("a"), last(known).alias("b"))
+    inside = (F.struct(*ORDER) > F.col("a")) & (F.struct(*ORDER) < F.col("b"))
+    gaps = df.where("v is null").join(ends.withColumnRenamed("series", "_s"), F.col("series").eqNullSafe(F.col("_s")))
+    counts = gaps.agg(
+        F.count("*").alias("missing"), F.count_if(F.col("a").isNotNull()).alias("any"), F.count_if(inside).alias("inside"), F.count_if(place > F.col("a")).alias("after"), F.count_if(place < F.col("b")).alias("before")
+    ).first()
+    filled = {"nearest": counts.inside, "ffill": counts.after, "bfill": counts.before}  # all other methods fill wherever the series has a value
     for m in methods:
-        out = METHODS[m](df)
-        if not missing or out.where("filled is null").count() < missing:
-            return out, m
+        if not counts.missing or filled.get(m, counts["any"]):
+            return METHODS[m](df), m
     return METHODS["median"](df), "median"
 
 

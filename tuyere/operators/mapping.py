@@ -8,40 +8,69 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Column-name keywords of the pools, in their order.
-POOL_WORDS = {
-    "Image": ["image", "photo", "frame"],
-    "Text": ["text", "note", "comment"],
-    "Binary": ["switch", "on_off", "is_"],
-    "Batch": ["batch", "lot"],
-    "Constraint": ["limit", "constraint"],
-    "Controllable": ["setpoint", "control"],
-    "Response": ["response", "target"],
-    "Discrete": ["grade", "class", "level"],
-    "Continuous": ["value", "temperature", "pressure", "flow"],
-}
+# The pools in their order, and what column names say for them: names that must be equal, words that must be
+# inside, and what they add to the pools whose name holds a word.
+POOLS = ["Continuous time-series data", "Discrete time-series data", "Text data", "Binary status data", "Controllable data", "Constraint data", "Batch time-series data", "Image data", "Response data"]
+POOL_SIGNS = [
+    ("equal", ["timestamp", "time", "datetime"], {"continuous": 2.0, "discrete": 1.0}),
+    ("inside", ["image", "picture", "photo"], {"image": 3.0}),
+    ("inside", ["text", "content", "description", "note"], {"text": 3.0}),
+    ("inside", ["status", "state", "flag", "binary"], {"binary": 2.0}),
+]
+
+
+def _source(c: Column) -> Column:
+    return F.translate(F.lower(c), "_-", "  ")
+
+
+def _words(c: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """1 for equal names (without case and separators), else the larger of the containment ratio of lengths and the shared words."""
-    x, y = F.regexp_replace(F.lower(a), r"[\s_\-]+", " "), F.regexp_replace(F.lower(b), r"[\s_\-]+", " ")
-    ratio = F.when(x.contains(y) | y.contains(x), F.least(F.length(x), F.length(y)) / F.greatest(F.length(x), F.length(y))).otherwise(0.0)
-    p, q = F.array_distinct(F.split(x, " ")), F.array_distinct(F.split(y, " "))
-    words = F.size(F.array_intersect(p, q)) / F.greatest(F.size(p), F.size(q))
-    return F.when(x == y, 1.0).otherwise(F.greatest(ratio, words))
+    """Of a column's name a (underscores and hyphens as spaces) and a target's name b, without case: 1 if equal, else the
+    larger of the ratio of lengths if one holds the other, and the share of words in common."""
+    x, y = _source(a), F.lower(b)
+    ratio = F.when(x.contains(y) | y.contains(x), F.try_divide(F.least(F.length(x), F.length(y)), F.greatest(F.length(x), F.length(y)))).otherwise(0.0)
+    p, q = _words(x), _words(y)
+    shared = F.coalesce(F.try_divide(F.size(F.array_intersect(p, q)), F.greatest(F.size(p), F.size(q))), F.lit(0.0))
+    return F.when(x == y, 1.0).otherwise(F.greatest(F.coalesce(ratio, F.lit(0.0)), shared))
+
+
+def _parts(x: Column, least: float) -> Column:
+    """All parts of a name that are long enough to reach the ratio."""
+    n = F.length(x)
+    sizes = F.sequence(F.greatest(F.lit(1), F.ceil(n * least - 1e-9).cast("int")), F.greatest(n, F.lit(1)))
+    return F.array_distinct(F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - k + 1)), lambda at: F.substring(x, at, k)))))
 
 
 def discover(columns: DataFrame, names: DataFrame, least: float = 0.6) -> DataFrame:
-    """source, target, score: for each column the best name (the first by ordinal of equals). Candidates share a word, so
-    this is an equi-join on words and no cross join; containment inside one word counts by shared word pieces of 3 letters."""
-    def keys(df: DataFrame, c: str) -> DataFrame:
-        x = F.regexp_replace(F.lower(F.col(c)), r"[\s_\-]+", " ")
-        grams = F.when(F.length(x) < 3, F.array(x)).otherwise(F.transform(F.sequence(F.lit(1), F.length(x) - 2), lambda i: F.substring(x, i, 3)))
-        return df.withColumn("_k", F.explode(F.array_distinct(F.concat(grams, F.split(x, " ")))))
-
-    found = keys(columns, "source").join(keys(names, "target"), "_k").select("source", "target", "ordinal").distinct()
+    """source, target, score: for each column the best name: an equal one, else the best score, else the first by ordinal.
+
+    Candidates are found by equal keys, and none is lost. A name that holds another of nearly its length has it among its
+    parts of that length. Names that share most words share one of the few rarest words of each, so the join on words does
+    not meet at frequent ones. Empty names have no candidates."""
+    left = columns.select("source", _source(F.col("source")).alias("x")).where("x <> ''").distinct()
+    right = names.select("target", "ordinal", F.lower("target").alias("y")).where("y <> ''")
+    whole, part = F.col("k"), lambda c: F.explode(_parts(F.col(c), least)).alias("k")
+    inside = left.select("source", F.col("x").alias("k")).join(right.select("target", "ordinal", part("y")), "k").drop("k")
+    around = left.select("source", part("x")).join(right.select("target", "ordinal", F.col("y").alias("k")), "k").drop("k")
+    words = lambda df, c, *keep: df.select(*keep, _words(F.col(c)).alias("w"))
+    p, q = words(left, "x", "source"), words(right, "y", "target", "ordinal")
+    counts = p.select(F.explode("w").alias("word")).unionAll(q.select(F.explode("w").alias("word"))).groupBy("word").agg(F.count("*").alias("n"))
+
+    def rarest(df: DataFrame, *keep: str) -> DataFrame:
+        ranked = df.select(*keep, F.size("w").alias("m"), F.explode("w").alias("word")).join(counts, "word")
+        listed = ranked.groupBy(*keep, "m").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("l"))
+        few = F.slice("l", 1, F.col("m") - F.ceil(F.col("m") * least - 1e-9).cast("int") + 1)
+        return listed.select(*keep, F.explode(few).alias("e")).select(*keep, F.col("e.word").alias("k"))
+
+    sharing = rarest(p, "source").join(rarest(q, "target", "ordinal"), "k").drop("k")
+    found = inside.unionByName(around).unionByName(sharing).distinct()
     found = found.withColumn("score", similarity(F.col("source"), F.col("target"))).where(F.col("score") >= least)
-    return found.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "ordinal", "target"))).where("r = 1").select("source", "target", F.round("score", 6).alias("score"))
+    equal = _source(F.col("source")) == F.lower("target")
+    best = F.row_number().over(Window.partitionBy("source").orderBy(F.desc(equal), F.desc("score"), "ordinal", "target"))
+    return found.withColumn("r", best).where("r = 1").select("source", "target", F.round("score", 6).alias("score"))
 
 
 def apply_rules(df: DataFrame, rules: dict[str, tuple[str, float]]) -> tuple[DataFrame, list[str]]:
@@ -51,9 +80,14 @@ def apply_rules(df: DataFrame, rules: dict[str, tuple[str, float]]) -> tuple[Dat
 
 
 def pool_of(columns: list[str]) -> str:
-    hits = {p: sum(w in c.lower() for c in columns for w in words) for p, words in POOL_WORDS.items()}
-    best = max(hits.values())
-    return next(p for p, n in hits.items() if n == best) if best else "Continuous"
+    """The pool with the highest score, the first of equals; the first pool where no column name says anything."""
+    names = {c.lower() for c in columns}
+    score = dict.fromkeys(POOLS, 0.0)
+    for how, signs, gains in POOL_SIGNS:
+        if any(w in names if how == "equal" else any(w in c for c in names) for w in signs):
+            for pool in POOLS:
+                score[pool] += sum(gain for word, gain in gains.items() if word in pool.lower())
+    return max(POOLS, key=score.get)
 
 
 def assemble(df: DataFrame, columns: list[str], method: str = "zscore", name: str = "features") -> DataFrame:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tuyere.functions.special import normal_quantile
+from tuyere.functions.special import normal_quantile, normal_share
 from tuyere.operators.stats import longer
 
 #: Digits of a percentile of scores: one part in so many rows.
@@ -179,7 +179,7 @@ def ks_distance(df: DataFrame, columns: list[str], buckets: int = 4096) -> DataF
 
     @F.pandas_udf("double")
     def phi(x: pd.Series) -> pd.Series:
-        return pd.Series([0.5 * math.erfc(-v / math.sqrt(2)) for v in x])
+        return pd.Series(normal_share(x.to_numpy(float)))
 
     counts = longer(df, columns).where("x is not null and not isnan(x)").groupBy("param", "x").agg(F.count("*").alias("k")).withColumn("p", phi("x"))
     lo, hi = F.min("x").alias("lo"), F.max("x").alias("hi")

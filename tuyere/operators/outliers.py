@@ -9,7 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tuyere.functions.frames import centred, chunked, frame, neighbours, with_stats
+from tuyere.functions.frames import centred, chunked, frame, with_stats
+from tuyere.functions.quantiles import with_quantiles
 
 ORDER = ["t", "id"]
 
@@ -18,40 +19,53 @@ def _flag(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
+def _beyond(low: Column, high: Column, factor: float) -> Column:
+    return (F.col("v") < low - factor * (high - low)) | (F.col("v") > high + factor * (high - low))
+
+
 def zscore(df: DataFrame, threshold: float = 3.0, name: str = "is_outlier") -> DataFrame:
     rows = with_stats(df, "series", F.avg("v").alias("_m"), F.stddev_pop("v").alias("_s"))
     return rows.withColumn(name, _flag(F.try_divide(F.abs(F.col("v") - F.col("_m")), F.col("_s")) > threshold)).drop("_m", "_s")
 
 
 def iqr(df: DataFrame, factor: float = 1.5, name: str = "is_outlier") -> DataFrame:
-    rows = with_stats(df, "series", F.percentile("v", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
-    low, high = F.col("_q")[0], F.col("_q")[1]
-    return rows.withColumn(name, _flag((F.col("v") < low - factor * (high - low)) | (F.col("v") > high + factor * (high - low)))).drop("_q")
+    rows = with_quantiles(df, "series", F.col("v"), [0.25, 0.75], "_q")
+    return rows.withColumn(name, _flag(_beyond(F.col("_q")[0], F.col("_q")[1], factor))).drop("_q")
+
+
+def _rolling_mad(rows: DataFrame, before: int, after: int, factor: float, name: str) -> DataFrame:
+    w = frame("series", before, after)
+    rows = rows.withColumn("_d", F.abs(F.col("v") - F.percentile("v", 0.5).over(w)))
+    return rows.withColumn(name, _flag(F.col("_d") > factor * F.percentile("_d", 0.5).over(w))).drop("_d")
 
 
 def rolling_mad(df: DataFrame, window: int = 10, factor: float = 3.0, name: str = "is_outlier", chunk: int = 100_000) -> DataFrame:
     """Deviation from the centred rolling median, against the rolling median of such deviations."""
     before, after = centred(window)
-    rows = chunked(df, "series", "t", ORDER, 2 * before, 2 * after, chunk)
+    rows = _rolling_mad(chunked(df, "series", "t", ORDER, 2 * before, 2 * after, chunk), before, after, factor, name)
+    return rows.where("_home").drop("_i", "_c", "_home")
+
+
+def _moving_average(rows: DataFrame, before: int, after: int, factor: float, name: str) -> DataFrame:
     w = frame("series", before, after)
-    rows = rows.withColumn("_d", F.abs(F.col("v") - F.percentile("v", 0.5).over(w)))
-    rows = rows.withColumn("_mad", F.percentile("_d", 0.5).over(w)).where("_home")
-    return rows.withColumn(name, _flag(F.col("_d") > factor * F.col("_mad"))).drop("_d", "_mad", "_i", "_c", "_home")
+    return rows.withColumn(name, _flag(F.abs(F.col("v") - F.avg("v").over(w)) > factor * F.stddev_samp("v").over(w)))
 
 
 def moving_average(df: DataFrame, window: int = 10, factor: float = 3.0, name: str = "is_outlier", chunk: int = 100_000) -> DataFrame:
     before, after = centred(window)
-    rows = chunked(df, "series", "t", ORDER, before, after, chunk)
-    w = frame("series", before, after)
-    rows = rows.withColumn("_m", F.avg("v").over(w)).withColumn("_s", F.stddev_samp("v").over(w)).where("_home")
-    return rows.withColumn(name, _flag(F.abs(F.col("v") - F.col("_m")) > factor * F.col("_s"))).drop("_m", "_s", "_i", "_c", "_home")
+    rows = _moving_average(chunked(df, "series", "t", ORDER, before, after, chunk), before, after, factor, name)
+    return rows.where("_home").drop("_i", "_c", "_home")
 
 
 def exponential(df: DataFrame, alpha: float = 0.3, window: int = 10, factor: float = 3.0, reach: int = 120, name: str = "is_outlier", chunk: int = 100_000) -> DataFrame:
     """Residual from the adjusted exponentially weighted mean, against its centred rolling mean. Weights beyond ``reach``
     rows are below (1 - alpha) ** reach, less than a double's precision, so a halo of that many rows is exact."""
     before, after = centred(window)
-    rows = chunked(df, "series", "t", ORDER, reach + before, after, chunk)
+    rows = _exponential(chunked(df, "series", "t", ORDER, reach + before, after, chunk), alpha, before, after, factor, reach, name)
+    return rows.where("_home").drop("_i", "_c", "_home")
+
+
+def _exponential(rows: DataFrame, alpha: float, before: int, after: int, factor: float, reach: int, name: str) -> DataFrame:
     past = F.collect_list(F.coalesce("v", F.lit(float("nan")))).over(frame("series", reach, 0))
     state = F.aggregate(
         past,
@@ -60,20 +74,39 @@ def exponential(df: DataFrame, alpha: float = 0.3, window: int = 10, factor: flo
         lambda s: F.try_divide(s["n"], s["d"]),
     )
     rows = rows.withColumn("_r", F.abs(F.col("v") - state))
-    rows = rows.withColumn("_m", F.avg("_r").over(frame("series", before, after))).where("_home")
-    return rows.withColumn(name, _flag(F.col("_r") > factor * F.col("_m"))).drop("_r", "_m", "_i", "_c", "_home")
+    return rows.withColumn(name, _flag(F.col("_r") > factor * F.avg("_r").over(frame("series", before, after)))).drop("_r")
 
 
 METHODS = {"zscore": zscore, "iqr": iqr, "rolling_mad": rolling_mad, "moving_average": moving_average, "exponential": exponential}
 
 
-def ensemble(df: DataFrame, methods: tuple[str, ...] = ("zscore", "iqr", "rolling_mad", "moving_average")) -> DataFrame:
-    """votes, and is_outlier where more than half of the methods agree."""
+def ensemble(df: DataFrame, methods: tuple[str, ...] = ("zscore", "iqr", "rolling_mad", "moving_average"), window: int = 10, reach: int = 120, chunk: int = 100_000) -> DataFrame:
+    """votes, and is_outlier where more than half of the methods agree. The rows are numbered and dealt to chunks once; all
+    row windows share that order, and the series' statistics are joined to it."""
     rows = df
+    if "zscore" in methods:
+        rows = with_stats(rows, "series", F.avg("v").alias("_m"), F.stddev_pop("v").alias("_s"))
+    if "iqr" in methods:
+        rows = with_quantiles(rows, "series", F.col("v"), [0.25, 0.75], "_q")
+    before, after = centred(window)
+    halo = max([2 * before if "rolling_mad" in methods else 0, before if "moving_average" in methods else 0, reach + before if "exponential" in methods else 0])
+    if halo:
+        rows = chunked(rows, "series", "t", ORDER, halo, 2 * after, chunk)
     for m in methods:
-        rows = METHODS[m](rows, name=f"_{m}")
+        if m == "zscore":
+            rows = rows.withColumn("_zscore", _flag(F.try_divide(F.abs(F.col("v") - F.col("_m")), F.col("_s")) > 3.0))
+        elif m == "iqr":
+            rows = rows.withColumn("_iqr", _flag(_beyond(F.col("_q")[0], F.col("_q")[1], 1.5)))
+        elif m == "rolling_mad":
+            rows = _rolling_mad(rows, before, after, 3.0, "_rolling_mad")
+        elif m == "moving_average":
+            rows = _moving_average(rows, before, after, 3.0, "_moving_average")
+        else:
+            rows = _exponential(rows, 0.3, before, after, 3.0, reach, "_exponential")
+    if halo:
+        rows = rows.where("_home").drop("_i", "_c", "_home")
     votes = reduce(lambda a, b: a + b, [F.col(f"_{m}").cast("int") for m in methods])
-    return rows.withColumn("votes", votes).withColumn("is_outlier", F.col("votes") > len(methods) / 2).drop(*[f"_{m}" for m in methods])
+    return rows.withColumn("votes", votes).withColumn("is_outlier", F.col("votes") > len(methods) / 2).drop("_m", "_s", "_q", *[f"_{m}" for m in methods])
 
 
 def replace(flagged: DataFrame, how: str = "median", chunk: int = 100_000) -> DataFrame:
@@ -81,11 +114,13 @@ def replace(flagged: DataFrame, how: str = "median", chunk: int = 100_000) -> Da
     rolling median of 5 inliers, or the value clipped to the series' quartile fences."""
     inlier = F.when(~F.col("is_outlier"), F.col("v"))
     if how in ("median", "mean"):
-        stat = F.percentile(inlier, F.lit(0.5)) if how == "median" else F.avg(inlier)
-        rows = with_stats(flagged, "series", stat.alias("_x"))
+        if how == "median":
+            rows = with_quantiles(flagged, "series", inlier, [0.5], "_q").withColumn("_x", F.col("_q")[0]).drop("_q")
+        else:
+            rows = with_stats(flagged, "series", F.avg(inlier).alias("_x"))
         return rows.withColumn("fixed", F.when(F.col("is_outlier"), F.col("_x")).otherwise(F.col("v"))).drop("_x")
     if how == "clip":
-        rows = with_stats(flagged, "series", F.percentile("v", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+        rows = with_quantiles(flagged, "series", F.col("v"), [0.25, 0.75], "_q")
         low, high = F.col("_q")[0], F.col("_q")[1]
         clipped = F.greatest(F.least(F.col("v"), high + 1.5 * (high - low)), low - 1.5 * (high - low))
         return rows.withColumn("fixed", F.when(F.col("is_outlier"), clipped).otherwise(F.col("v"))).drop("_q")

@@ -4,9 +4,12 @@ Parameters are a DataFrame (name, a, b): scaled = (x - a) / b for all linear met
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tuyere.functions.quantiles import how_many_up_to, quantiles
+
 LINEAR = ("zscore", "mad", "minmax", "robust", "iqr_q1")
 
 
@@ -19,13 +22,15 @@ def parameters(df: DataFrame, columns: list[str], method: str, low: float = 0.0,
     elif method == "zscore_pop":
         p = g.agg(F.avg("x").alias("a"), F.stddev_pop("x").alias("b"))
     elif method == "mad":
-        centre = g.agg(F.percentile("x", 0.5).alias("a"))
-        p = long.join(centre, "name").groupBy("name", "a").agg(F.percentile(F.abs(F.col("x") - F.col("a")), F.lit(0.5)).alias("b"))
+        centre = quantiles(df, {c: F.col(c) for c in columns}, [0.5]).select("name", F.col("q")[0].alias("a"))
+        one = centre.groupBy().pivot("name", columns).agg(F.first("a")).select(*[F.col(f"`{c}`").alias(f"_a{k}") for k, c in enumerate(columns)])
+        away = quantiles(df.crossJoin(F.broadcast(one)), {c: F.abs(F.col(c) - F.col(f"_a{k}")) for k, c in enumerate(columns)}, [0.5])  # one row
+        p = centre.join(away.select("name", F.col("q")[0].alias("b")), "name")
     elif method == "minmax":
         p = g.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).withColumn("b", (F.col("hi") - F.col("lo")) / (high - low))
         p = p.withColumn("b", F.when(F.col("b") == 0, 1.0).otherwise(F.col("b"))).select("name", (F.col("lo") - low * F.col("b")).alias("a"), "b")
     elif method in ("robust", "iqr_q1"):
-        q = g.agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+        q = quantiles(df, {c: F.col(c) for c in columns}, [0.25, 0.5, 0.75])
         p = q.select("name", F.col("q")[1 if method == "robust" else 0].alias("a"), (F.col("q")[2] - F.col("q")[0]).alias("b"))
     else:
         raise ValueError(f"unknown method {method}")
@@ -60,19 +65,44 @@ def within_groups(df: DataFrame, group: list[str], column: str) -> DataFrame:
     return df.join(s, group).withColumn("scaled", F.try_divide(F.col(column) - F.col("_a"), F.col("_b"))).drop("_a", "_b")
 
 
-def quantile_uniform(df: DataFrame, column: str, points: int = 101) -> DataFrame:
-    """The share of the reference quantiles below a value, linear between two of them."""
+def quantile_scale(df: DataFrame, column: str, points: int = 1000, output: str = "uniform") -> DataFrame:
+    """The share of the reference quantiles below a value, linear between two of them, or the normal quantile of that share.
+    Where reference quantiles are equal, the mean of the lowest and the highest share of that value counts. A table of fewer
+    rows than points has as many reference quantiles as rows."""
+    n = df.where(F.col(column).isNotNull()).count()
+    points = max(2, min(points, n))
     share = [k / (points - 1) for k in range(points)]
-    ref = df.agg(F.percentile(column, F.array(*[F.lit(s) for s in share])).alias("_q"))
-    x, q = F.col(column), F.col("_q")
-    below = F.size(F.filter(q, lambda e: e <= x))
-    lo, hi = F.get(q, below - 1), F.get(q, below)
-    value = F.when(below == 0, 0.0).when(below >= points, 1.0).otherwise((below - 1 + F.coalesce(F.try_divide(x - lo, hi - lo), F.lit(0.0))) / (points - 1))
-    return df.crossJoin(F.broadcast(ref)).withColumn("scaled", F.when(x.isNotNull(), value)).drop("_q")
+    ref = quantiles(df, {column: F.col(column)}, share).select(F.col("q").alias("_q"))
+    steps = ref.select(F.posexplode("_q").alias("k", "v")).groupBy("v").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
+    steps = steps.agg(F.sort_array(F.collect_list(F.struct("v", "lo", "hi"))).alias("_s"))  # no more entries than points
+    x, s = F.col(column).cast("double"), F.col("_s")
+    at = how_many_up_to(s, x, points, lambda e: e["v"])
+    rows = df.crossJoin(F.broadcast(steps)).withColumn("_at", F.when(x.isNotNull(), at))
+    low, high = F.get(s, F.col("_at") - 1), F.get(s, F.col("_at"))
+    on = low["v"] == x
+    value = F.when(F.col("_at") == 0, 0.0).when(on & (F.col("_at") == 1), 0.0).when(high.isNull(), float(points - 1)).when(on, (low["lo"] + low["hi"]) / 2).otherwise(low["hi"] + (high["lo"] - low["hi"]) * F.try_divide(x - low["v"], high["v"] - low["v"]))
+    rows = rows.withColumn("scaled", F.when(x.isNotNull(), value / (points - 1))).drop("_s", "_at")
+    if output == "normal":
+        inside = F.least(F.lit(1 - 1e-7), F.greatest(F.lit(1e-7), F.col("scaled")))
+        return rows.withColumn("scaled", normal_quantile(F.when(F.col("scaled").isNotNull(), inside)))
+    return rows
+
+
+def normal_quantile(p):
+    """The standard normal quantile of a column of shares, vectorised in batches."""
+
+    @F.pandas_udf("double")
+    def inverse(x: pd.Series) -> pd.Series:
+        from tuyere.functions.special import normal_inverse
+
+        return pd.Series(normal_inverse(x.to_numpy(float)))
+
+    return F.when(p.isNotNull(), inverse(p))
 
 
-def yeo_johnson(df: DataFrame, column: str, steps: int = 40) -> tuple[DataFrame, float]:
-    """The transform with the likeliest lambda, found by golden-section search; every likelihood is one aggregation."""
+def yeo_johnson(df: DataFrame, column: str, steps: int = 40, standardise: bool = True) -> tuple[DataFrame, float]:
+    """The transform with the likeliest lambda, found by golden-section search, standardised; every likelihood is one
+    aggregation."""
     x = F.col(column)
 
     def transformed(lam: float):
@@ -102,4 +132,8 @@ def yeo_johnson(df: DataFrame, column: str, steps: int = 40) -> tuple[DataFrame,
         if b - a < 1e-4:
             break
     lam = (a + b) / 2
-    return df.withColumn("scaled", transformed(lam)), lam
+    scaled = df.withColumn("scaled", transformed(lam))
+    if standardise:
+        moments = scaled.agg(F.avg("scaled").alias("_m"), F.stddev_pop("scaled").alias("_s"))
+        scaled = scaled.crossJoin(F.broadcast(moments)).withColumn("scaled", F.coalesce(F.try_divide(F.col("scaled") - F.col("_m"), F.col("_s")), F.col("scaled") - F.col("_m"))).drop("_m", "_s")
+    return scaled, lam

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tuyere.functions.quantiles import how_many_up_to, quantiles
+
 
 def longer(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("param"), F.col(c).cast("double").alias("x")) for c in columns])).alias("e")).select("e.*")
@@ -27,10 +31,11 @@ def interpret(described: DataFrame) -> DataFrame:
 
 
 def table_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
-    return longer(df, columns).groupBy("param").agg(
+    moments = longer(df, columns).groupBy("param").agg(
         F.count("x").alias("n"), F.count_if(F.col("x").isNull()).alias("missing"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("least"), F.max("x").alias("largest"),
-        F.percentile("x", 0.5).alias("median"), F.percentile("x", 0.25).alias("q25"), F.percentile("x", 0.75).alias("q75"),
     )
+    q = quantiles(df, {c: F.col(c) for c in columns}, [0.25, 0.5, 0.75]).select(F.col("name").alias("param"), F.col("q")[1].alias("median"), F.col("q")[0].alias("q25"), F.col("q")[2].alias("q75"))
+    return moments.join(q, "param", "left")
 
 
 def quality_report(df: DataFrame) -> DataFrame:
@@ -57,6 +62,17 @@ def column_types(df: DataFrame) -> DataFrame:
     return e.select("column_name", kind.alias("kind"))
 
 
+def time_column(df: DataFrame) -> str | None:
+    """The first column whose name holds time or date and whose values are all times; else the first of a time type."""
+    kinds = [(c, k) for c, k in df.dtypes if k == "date" or k.startswith("timestamp")]
+    named = [(c, k) for c, k in df.dtypes if "time" in c.lower() or "date" in c.lower()]
+    texts = [c for c, k in named if k == "string"]
+    bad = df.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & F.try_to_timestamp(F.col(f"`{c}`")).isNull()).alias(f"b{k}") for k, c in enumerate(texts)]).first() if texts else []
+    wrong = {c for c, n in zip(texts, bad, strict=True) if n}
+    fitting = [c for c, k in named if c not in wrong and (k in ("string", "tinyint", "smallint", "int", "bigint", "float", "double") or (c, k) in kinds)]
+    return next(iter(fitting + [c for c, _ in kinds]), None)
+
+
 def _pairs(columns: list[str]) -> list[tuple[str, str]]:
     return [(a, b) for k, a in enumerate(columns) for b in columns[k + 1 :]]
 
@@ -77,28 +93,45 @@ def _with_t(e: DataFrame) -> DataFrame:
     return e.withColumn("t", F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") * F.col("r"))))
 
 
-def rank_of(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Adds the average rank. Counts per distinct value are summed per bucket of values first, so that the running sum over
-    everything has one row per bucket, and no task orders all values."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
-    ends = counts.agg(F.min("_v").cast("double").alias("_lo"), F.max("_v").cast("double").alias("_hi"))
-    counts = counts.crossJoin(F.broadcast(ends)).withColumn("_b", F.floor(F.coalesce(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)) * 4096)).drop("_lo", "_hi")
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+def ranks(df: DataFrame, column: str, buckets: int = 1000) -> DataFrame:
+    """_v, _rank: the average rank of each distinct value. Counts per value are summed per bucket of values first (buckets lie
+    between approximate quantiles), so that the running sum over everything has one row per bucket, and no task orders all."""
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("_v"))
+    counts = values.groupBy("_v").agg(F.count("*").alias("_n"))
+    bounds = values.agg(F.array_distinct(F.percentile_approx("_v", F.array(*[F.lit(k / buckets) for k in range(1, buckets)]), 10 * buckets)).alias("_q"))  # one row
+    counts = counts.crossJoin(F.broadcast(bounds)).withColumn("_b", how_many_up_to(F.col("_q"), F.col("_v"), buckets)).drop("_q")
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
     offsets = counts.groupBy("_b").agg(F.sum("_n").alias("_s")).select("_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_o"))
     within = Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn("_c", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(offsets, "_b")
-    ranks = ranks.select("_v", (F.col("_o") + F.col("_c") + (F.col("_n") + 1) / 2).alias(name))
-    return df.join(ranks, F.col(column) == F.col("_v"), "left").drop("_v")
+    counts = counts.withColumn("_c", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(F.broadcast(offsets), "_b")  # no more rows than buckets
+    return counts.select("_v", (F.col("_o") + F.col("_c") + (F.col("_n") + 1) / 2).alias("_rank"))
+
+
+def rank_of(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds the average rank."""
+    return df.join(ranks(df, column).withColumnRenamed("_rank", name), F.col(column) == F.col("_v"), "left").drop("_v")
 
 
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
-    """a, b, n, r, t: ranks within the rows complete in both columns, ties averaged."""
-    out = None
+    """a, b, n, r, t: ranks within the rows complete in both columns, ties averaged. Columns without nulls are ranked once
+    for all their pairs, which then take one aggregation."""
+    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n{k}") for k, c in enumerate(columns)]).first()
+    full = [c for k, c in enumerate(columns) if not nulls[k]]
+    parts = []
+    if len(full) > 1:
+        rows = df.select(*full)
+        for k, c in enumerate(full):
+            rows = rows.join(ranks(df, c).select(F.col("_v").alias(f"_v{k}"), F.col("_rank").alias(f"_r{k}")), F.col(c) == F.col(f"_v{k}"))
+        names = F.create_map(*[F.lit(x) for k, c in enumerate(full) for x in (f"_r{k}", c)])
+        r = pearson(rows.select(*[f"_r{k}" for k in range(len(full))]), [f"_r{k}" for k in range(len(full))])
+        parts.append(r.select(names[F.col("a")].alias("a"), names[F.col("b")].alias("b"), "n", "r", "t"))
     for a, b in _pairs(columns):
+        if a in full and b in full:
+            continue
         rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("x"), F.col(b).alias("y"))
-        r = pearson(rank_of(rank_of(rows, "x", "rx"), "y", "ry").select("rx", "ry"), ["rx", "ry"]).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "n", "r", "t")
-        out = r if out is None else out.unionByName(r)
-    return out
+        both = rows.join(ranks(rows, "x").select(F.col("_v").alias("_x"), F.col("_rank").alias("rx")), F.col("x") == F.col("_x")).join(ranks(rows, "y").select(F.col("_v").alias("_y"), F.col("_rank").alias("ry")), F.col("y") == F.col("_y"))
+        parts.append(pearson(both.select("rx", "ry"), ["rx", "ry"]).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "n", "r", "t"))
+    return reduce(lambda p, q: p.unionByName(q), parts)
 
 
 def kendall(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tuyere.functions import names
-from tuyere.operators import dictionary, graph, impute, mapping, metrics, outliers, scale, stats
+from tuyere.operators import dictionary, graph, impute, knowledge, mapping, metrics, outliers, retrieval, scale, stats
 from tuyere.sources.testdata import SERIES_SQL, series, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -54,7 +54,12 @@ QUERIES["scale_log"] = lambda spark, sf: scale.log_scale(scale.log_scale(_items(
 ORACLE_SQL["scale_log"] = f"SELECT {KEY}, round(ln(l_extendedprice::DOUBLE), 6) AS l_extendedprice, round(ln(1 + greatest(l_discount::DOUBLE, 1e-10)), 6) AS l_discount FROM lineitem"
 QUERIES["scale_grouped"] = lambda spark, sf: scale.within_groups(series(spark, sf), ["series"], "v").select("id", *_r("scaled"))
 ORACLE_SQL["scale_grouped"] = f"WITH {SERIES_SQL} SELECT id, round((v - avg(v) OVER w) / nullif(stddev_samp(v) OVER w, 0), 6) AS scaled FROM s WINDOW w AS (PARTITION BY series)"
-QUERIES["scale_quantile"] = lambda spark, sf: scale.quantile_uniform(_items(spark, sf), "l_extendedprice").select("l_orderkey", "l_linenumber", *_r("scaled"))
+QUERIES["scale_quantile"] = lambda spark, sf: scale.quantile_scale(_items(spark, sf), "l_extendedprice").select("l_orderkey", "l_linenumber", *_r("scaled"))
+_POINTS = "(SELECT least(1000, count(l_extendedprice)) AS m FROM i)"
+_Q1000 = f"WITH i AS (SELECT {KEY}, l_extendedprice::DOUBLE AS x FROM lineitem), m AS {_POINTS}, g AS (SELECT unnest(range(m)) AS k, m FROM m), a AS (SELECT list(x ORDER BY x) AS xs, count(*) AS n FROM i), "
+_Q1000 += "q AS (SELECT k, m, xs[floor(k::DOUBLE / (m - 1) * (n - 1))::BIGINT + 1] + (xs[least(n, floor(k::DOUBLE / (m - 1) * (n - 1))::BIGINT + 2)] - xs[floor(k::DOUBLE / (m - 1) * (n - 1))::BIGINT + 1]) * (k::DOUBLE / (m - 1) * (n - 1) - floor(k::DOUBLE / (m - 1) * (n - 1))) AS v FROM g, a), "
+_Q1000 += "s AS (SELECT v, min(k) AS lo, max(k) AS hi, any_value(m) AS m FROM q GROUP BY v), t AS (SELECT *, lead(v) OVER (ORDER BY v) AS v2, lead(lo) OVER (ORDER BY v) AS lo2, row_number() OVER (ORDER BY v) AS place FROM s) "
+ORACLE_SQL["scale_quantile"] = _Q1000 + f"SELECT {KEY}, round(CASE WHEN place = 1 AND v = x THEN 0 WHEN v2 IS NULL THEN m - 1 WHEN v = x THEN (lo + hi) / 2.0::DOUBLE ELSE hi + (lo2 - hi) * (x - v) / (v2 - v) END / (m - 1), 6) AS scaled FROM i ASOF JOIN t ON i.x >= t.v"
 QUERIES["scale_yeo_johnson"] = lambda spark, sf: scale.yeo_johnson(_items(spark, sf), "l_extendedprice")[0].select("l_orderkey", "l_linenumber", *_r("scaled", digits=3))
 
 # statistics
@@ -157,10 +162,39 @@ QUERIES["dict_enrich"] = lambda spark, sf: Q.enrich(parts(spark, sf), parts(spar
 ORACLE_SQL["dict_enrich"] = f"WITH {PARTS} SELECT ordinal, min(ordinal) OVER (PARTITION BY work_type) AS wt_first, max(ordinal) OVER (PARTITION BY work_type, category) AS cat_last, CASE WHEN {_IN('pool', C2)} THEN lower(pool) END AS pool_label FROM d"
 
 # names
-QUERIES["norm_names"] = lambda spark, sf: table(spark, sf, "part").select("p_partkey", names.normalise_name(F.concat_ws(" - ", "p_type", "p_brand", "p_name")).alias("name"))
-ORACLE_SQL["norm_names"] = r"SELECT p_partkey, regexp_replace(left(regexp_replace(regexp_replace(lower(concat_ws(' - ', p_type, p_brand, p_name)), '[\s&%#\-./\\]+', '_', 'g'), '^_|_$', '', 'g'), 50), '_+$', '') AS name FROM part"
-QUERIES["infer_types"] = lambda spark, sf: table(spark, sf, "part").select(F.explode(F.array(*[F.lit(x) for x in ("Creation_time", "Valid_range", "Normal_status", "Tag_list", "Row_count", "Name")])).alias("name")).distinct().select("name", names.inferred_type(F.col("name")).alias("kind"))
-ORACLE_SQL["infer_types"] = "SELECT * FROM (VALUES ('Creation_time', 'timestamp'), ('Valid_range', 'decimal(18,4)'), ('Normal_status', 'boolean'), ('Tag_list', 'json'), ('Row_count', 'int'), ('Name', 'string')) t(name, kind)"
+# every reserved word takes an ending, and words that are none stay
+_KEPT = ["values", "key", "row", "view", "set", "name", "time"]
+
+
+def norm_names(spark: SparkSession, sf: str) -> DataFrame:
+    words = F.array(*[F.lit(w) for w in [*names.RESERVED, *_KEPT]])
+    rows = table(spark, sf, "part").withColumn("word", F.get(words, F.pmod(F.col("p_partkey"), F.size(words)).cast("int")))
+    bracketed = F.concat(F.lit("  9("), "p_name", F.lit(")【"), "p_brand", F.lit("】% "))
+    return rows.select("p_partkey", names.normalise_name(F.concat_ws(" - ", "p_type", "p_brand", "p_name")).alias("name"), names.normalise_name(F.upper("word")).alias("word"), names.normalise_name(bracketed).alias("bracketed"))
+
+
+QUERIES["norm_names"] = norm_names
+_STRIPPED = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[\s&%#\-./\\]+', '_', 'g'), '[()（）【】]', '_', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g')"
+_CUT = "CASE WHEN length({0}) > 50 THEN regexp_replace(left({0}, 50), '_+$', '') ELSE {0} END"
+_JOINED, _BRACKETED = "p_type || ' - ' || p_brand || ' - ' || p_name", "'9(' || p_name || ')【' || p_brand || '】'"
+_NO_RESERVED = ", ".join(f"'{w}'" for w in _KEPT)
+_ALL_WORDS = "[" + ", ".join(f"'{w}'" for w in [*names.RESERVED, *_KEPT]) + "]"
+ORACLE_SQL["norm_names"] = (
+    f"WITH w AS (SELECT {_ALL_WORDS} AS words), x AS (SELECT p_partkey, {_STRIPPED.format(_JOINED)} AS a, words[p_partkey % len(words) + 1] AS b, 't_' || {_STRIPPED.format(_BRACKETED)} AS c FROM part, w) "
+    f"SELECT p_partkey, {_CUT.format('a')} AS name, CASE WHEN b IN ({_NO_RESERVED}) THEN b ELSE b || '_col' END AS word, {_CUT.format('c')} AS bracketed FROM x"
+)
+# names with every keyword, and the type they must have
+_TYPED = {
+    "timestamp": "Creation_time Timestamp_utc 采样时间 日期 mean_time",
+    "decimal(18,4)": "Value Mean_x Average Threshold Limit Valid_range Frequency Interval Duration Period Cycle Deviation Quantile Latency Delay Ratio Rate Score Upper Lower Min Max 标准 阈值 周期 threshold_index",
+    "boolean": "Normal_status State Flag Enabled Valid Available Mapped Triggered Aligned Async is_on has_x can_y 状态 有效 触发",
+    "json": "Label Keyword Tag_list Mapping Offset_ 规则",
+    "int": "Row_count Number Priority Level Index 优先级 序号 计数",
+    "string": "Name date std num Remark",
+}
+QUERIES["infer_types"] = lambda spark, sf: table(spark, sf, "part").select(F.explode(F.array(*[F.lit(x) for words in _TYPED.values() for x in words.split()])).alias("name")).distinct().select("name", names.inferred_type(F.col("name")).alias("kind"))
+ORACLE_SQL["infer_types"] = "SELECT * FROM (VALUES " + ", ".join(f"('{x}', '{kind}')" for kind, words in _TYPED.items() for x in words.split()) + ") t(name, kind)"
+QUERIES["table_names"] = lambda spark, sf: parts(spark, sf).select("ordinal", names.table_name("work_type", "category", "pool", "dataset").alias("table_name"))
 QUERIES["name_collisions"] = lambda spark, sf: Q.collisions(parts(spark, sf), ["category", "pool"])
 ORACLE_SQL["name_collisions"] = f"WITH {PARTS} SELECT category, pool, count(*) AS n FROM d GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY n DESC, category, pool LIMIT 5"
 
@@ -200,6 +234,105 @@ QUERIES["graph_message_pass"] = lambda spark, sf: _scores(spark, sf, 3).select("
 ORACLE_SQL["graph_message_pass"] = f"{_PASSED} SELECT id, round(s, 6) AS s FROM s3"
 QUERIES["graph_rank_topk"] = lambda spark, sf: graph.rank(_scores(spark, sf, 3), 10)
 ORACLE_SQL["graph_rank_topk"] = f"{_PASSED} SELECT name, round(s, 6) AS s FROM s3 WHERE type = 'dataset' ORDER BY s DESC, name LIMIT 10"
+
+
+def attributes(spark: SparkSession, sf: str) -> DataFrame:
+    """pool, attribute, ordinal: the pools' attributes, played by the nations."""
+    n = table(spark, sf, "nation")
+    return n.select(F.concat(F.lit("size "), (F.col("n_nationkey") % 12).cast("string")).alias("pool"), F.col("n_name").alias("attribute"), F.col("n_nationkey").alias("ordinal"))
+
+
+ATTRIBUTES = "attrs AS (SELECT 'size ' || (n_nationkey % 12) AS pool, n_name AS attribute, n_nationkey AS ordinal FROM nation)"
+CONFIG = dict(zip(("work_types", "categories", "pools", "keywords"), TASK, strict=True))
+
+
+def query_by_config(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.query_by_config(parts(spark, sf), CONFIG, 20, attributes(spark, sf)).select("place", "dataset", "ordinal", *_r("relevance"))
+
+
+def query_by_template(spark: SparkSession, sf: str) -> DataFrame:
+    stored = spark.createDataFrame([("t1", CONFIG), ("t2", {"pools": ["size 1"]})], "template_id string, task_config struct<work_types:array<string>,categories:array<string>,pools:array<string>,keywords:array<string>>")
+    return retrieval.query_by_template(parts(spark, sf), stored, "t1", 20, attributes(spark, sf)).select("place", "dataset", "ordinal", *_r("relevance"))
+
+
+def query_by_text(spark: SparkSession, sf: str) -> DataFrame:
+    text = f"Which green or blue data of {W1}?"
+    return retrieval.query(parts(spark, sf), text, {"green": "green", "blue": "blue"}, 20, attributes(spark, sf)).select("place", "dataset", "ordinal", *_r("relevance"))
+
+
+_GRAPH_A = _GRAPH.replace("nodes AS (", f"{ATTRIBUTES}, nodes AS (SELECT DISTINCT 'attr:' || pool || '::' || attribute AS id, 'attribute' AS type, attribute AS name FROM attrs UNION ALL ").replace("edges AS (SELECT src, dst, arg_max(type, seq) AS type FROM (", "edges AS (SELECT src, dst, arg_max(type, seq) AS type FROM (SELECT 'pool:' || pool AS src, 'attr:' || pool || '::' || attribute AS dst, 'cross' AS type, 2 AS seq FROM attrs UNION ALL ")
+_INIT_A = _INIT.replace("ELSE g.g END", "ELSE coalesce(g.g, 0) END")
+_RELEVANT = f"{_GRAPH_A}, {_INIT_A}, {_BOTH}, {_HOP(1)}, {_HOP(2)}, {_HOP(3)}, f AS (SELECT *, 0 AS part FROM d WHERE work_type = '{W1}' AND {_IN('category', B2)} UNION ALL SELECT *, 1 FROM d WHERE work_type = '{W1}' AND {_IN('pool', C2)} AND dataset NOT IN (SELECT dataset FROM d WHERE work_type = '{W1}' AND {_IN('category', B2)}))"
+ORACLE_SQL["query_by_config"] = f"{_RELEVANT}, r AS (SELECT f.dataset, f.ordinal, part, round(s, 9) AS relevance FROM f JOIN s3 ON s3.id = 'ds:' || dataset) SELECT row_number() OVER o::INT AS place, dataset, ordinal, round(relevance, 6) AS relevance FROM r WINDOW o AS (ORDER BY relevance DESC, part, ordinal) ORDER BY place LIMIT 20"
+ORACLE_SQL["query_by_template"] = ORACLE_SQL["query_by_config"]
+for _f in (query_by_config, query_by_template, query_by_text):
+    QUERIES[_f.__name__] = _f
+
+
+def dict_full_chain(spark: SparkSession, sf: str) -> DataFrame:
+    chain = Q.full_chain(parts(spark, sf), W1, attributes(spark, sf)).select("category", "ordinal", F.posexplode("pools").alias("place", "p"))
+    return chain.select("category", "ordinal", "place", "p.pool", F.concat_ws(",", "p.datasets").alias("datasets"), F.concat_ws(",", "p.attributes").alias("attributes"))
+
+
+QUERIES["dict_full_chain"] = dict_full_chain
+ORACLE_SQL["dict_full_chain"] = (
+    f"WITH {PARTS}, {ATTRIBUTES}, b AS (SELECT category, pool, string_agg(dataset, ',' ORDER BY ordinal, dataset) AS datasets, min(ordinal) AS o FROM d WHERE work_type = '{W1}' GROUP BY 1, 2), a AS (SELECT pool, string_agg(attribute, ',' ORDER BY ordinal) AS attributes FROM attrs GROUP BY 1) "
+    "SELECT category, min(o) OVER (PARTITION BY category) AS ordinal, (row_number() OVER (PARTITION BY category ORDER BY pool) - 1)::INT AS place, pool, datasets, coalesce(attributes, '') AS attributes FROM b LEFT JOIN a USING (pool)"
+)
+
+
+def _knowledge(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return knowledge.build(parts(spark, sf), attributes(spark, sf))
+
+
+_PLACE = lambda kind, key, source: f"{kind}_ AS (SELECT {key}, '{kind}_' || row_number() OVER (ORDER BY min(ordinal), {key}) AS id FROM {source} GROUP BY {key})"
+_KNOWN = (
+    f"WITH {PARTS}, {ATTRIBUTES}, {_PLACE('work_type', 'work_type', 'd')}, {_PLACE('category', 'work_type, category', 'd')}, {_PLACE('pool', 'pool', 'd')}, {_PLACE('attribute', 'pool, attribute', 'attrs')}, "
+    "v AS (SELECT id, 'work_type' AS type, work_type AS name, 0 AS level FROM work_type_ UNION ALL SELECT id, 'category', category, 1 FROM category_ UNION ALL SELECT id, 'pool', pool, 2 FROM pool_ UNION ALL SELECT 'dataset_' || ordinal, 'dataset', dataset, 3 FROM d UNION ALL SELECT id, 'attribute', attribute, 4 FROM attribute_), "
+    "e AS (SELECT w.id AS src, c.id AS dst, 'hierarchical' AS type, 1.0::DOUBLE AS weight FROM category_ c JOIN work_type_ w USING (work_type) UNION ALL SELECT c.id, 'dataset_' || ordinal, 'hierarchical', 1 FROM d JOIN category_ c USING (work_type, category) UNION ALL SELECT 'dataset_' || ordinal, p.id, 'cross', 1 FROM d JOIN pool_ p USING (pool) "
+    "UNION ALL SELECT * FROM (SELECT 'dataset_' || ordinal, 'dataset_' || lead(ordinal) OVER (PARTITION BY work_type, category ORDER BY ordinal) AS dst, 'cross', 0.5 FROM d) WHERE dst IS NOT NULL UNION ALL SELECT p.id, a.id, 'hierarchical', 1 FROM attribute_ a JOIN pool_ p USING (pool))"
+)
+QUERIES["kg_build"] = lambda spark, sf: _knowledge(spark, sf)[1]
+ORACLE_SQL["kg_build"] = f"{_KNOWN} SELECT * FROM e"
+QUERIES["kg_nodes"] = lambda spark, sf: _knowledge(spark, sf)[0]
+ORACLE_SQL["kg_nodes"] = f"{_KNOWN} SELECT * FROM v"
+
+
+def kg_children(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges = _knowledge(spark, sf)
+    ids = knowledge.of_type(nodes, "pool")
+    return knowledge.children(edges, ids, "hierarchical").select("id", F.col("child").alias("other"), F.lit("child").alias("way")).unionByName(knowledge.parents(edges, ids).select("id", F.col("parent").alias("other"), F.lit("parent").alias("way")))
+
+
+QUERIES["kg_children"] = kg_children
+ORACLE_SQL["kg_children"] = f"{_KNOWN} SELECT src AS id, dst AS other, 'child' AS way FROM e WHERE src LIKE 'pool%' AND type = 'hierarchical' UNION ALL SELECT dst, src, 'parent' FROM e WHERE dst LIKE 'pool%'"
+QUERIES["kg_subgraph_pool"] = lambda spark, sf: knowledge.subgraph_of_pool(*_knowledge(spark, sf), "pool_2")[1]
+ORACLE_SQL["kg_subgraph_pool"] = f"{_KNOWN}, k AS (SELECT src AS id FROM e WHERE dst = 'pool_2' AND type = 'cross'), u AS (SELECT id FROM k UNION SELECT src FROM e JOIN k ON dst = k.id WHERE type = 'hierarchical' UNION SELECT 'pool_2' UNION SELECT dst FROM e WHERE src = 'pool_2' AND type = 'hierarchical') SELECT * FROM e WHERE src IN (FROM u) AND dst IN (FROM u)"
+QUERIES["kg_subgraph_work_type"] = lambda spark, sf: knowledge.subgraph_of_work_type(*_knowledge(spark, sf), "work_type_3")[0]
+ORACLE_SQL["kg_subgraph_work_type"] = f"{_KNOWN}, k AS (SELECT dst AS id FROM e WHERE src = 'work_type_3'), u AS (SELECT 'work_type_3' AS id UNION SELECT id FROM k UNION SELECT dst FROM e JOIN k ON src = k.id WHERE type = 'hierarchical') SELECT * FROM v WHERE id IN (FROM u)"
+
+
+def kg_marks(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, _ = _knowledge(spark, sf)
+    first = knowledge.mark_anomalies(nodes, nodes.where("type = 'pool'").select("id", F.lit(0.7).alias("score")))
+    return knowledge.mark_anomalies(first, nodes.where("name like '%blue%' or id = 'pool_1'").select("id", F.lit(0.9).alias("score"))).select("id", "is_anomaly", "anomaly_score")
+
+
+QUERIES["kg_marks"] = kg_marks
+ORACLE_SQL["kg_marks"] = f"{_KNOWN} SELECT id, type = 'pool' OR name LIKE '%blue%' AS is_anomaly, CASE WHEN id = 'pool_1' OR name LIKE '%blue%' THEN 0.9 WHEN type = 'pool' THEN 0.7 ELSE 0 END::DOUBLE AS anomaly_score FROM v"
+
+
+def kg_put_edges(spark: SparkSession, sf: str) -> DataFrame:
+    _, edges = _knowledge(spark, sf)
+    new = edges.where("type = 'cross' and weight = 0.5").select("src", "dst", F.lit("coupling").alias("type"), F.lit(0.8).alias("weight"))
+    swapped = new.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("propagation").alias("type"), F.lit(0.6).alias("weight"))
+    return knowledge.clear_anomalies(spark.range(0).select(F.lit("x").alias("id")), knowledge.put_edges(edges, new.unionByName(swapped).unionByName(new.withColumn("weight", F.lit(0.1)))))[1]
+
+
+QUERIES["kg_put_edges"] = kg_put_edges
+ORACLE_SQL["kg_put_edges"] = f"{_KNOWN} SELECT src, dst, CASE WHEN weight = 0.5 THEN 'coupling' ELSE type END AS type, CASE WHEN weight = 0.5 THEN 0.8 ELSE weight END AS weight FROM e"
+QUERIES["kg_near"] = lambda spark, sf: knowledge.near(_knowledge(spark, sf)[1], spark.createDataFrame([("category_2",)], "id string"), 2)
+ORACLE_SQL["kg_near"] = f"{_KNOWN}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), o AS (SELECT DISTINCT dst AS id FROM b WHERE src = 'category_2'), w AS (SELECT DISTINCT dst AS id FROM b JOIN o ON src = id) SELECT 'category_2' AS id, 0 AS hops UNION ALL SELECT id, 1 FROM o UNION ALL SELECT id, 2 FROM w WHERE id <> 'category_2' AND id NOT IN (FROM o)"
 QUERIES["graph_subgraph"] = lambda spark, sf: graph.induced(*_graph(spark, sf)[1:], _graph(spark, sf)[1].where((F.col("type") == "dataset") & F.col("name").contains("blue")))
 ORACLE_SQL["graph_subgraph"] = f"{_GRAPH} SELECT src, dst, type FROM edges WHERE src LIKE 'ds:%blue%' AND dst LIKE 'ds:%blue%'"
 QUERIES["kg_degree_anomaly"] = lambda spark, sf: graph.degree_anomalies(*_graph(spark, sf)[1:])
@@ -238,13 +371,44 @@ ORACLE_SQL["kg_causal_trace"] = f"""WITH RECURSIVE {_PLACES},
     o AS (SELECT root, node, round(x[1], 6) AS score, x[3]::INT AS hop_count, x[2] AS path FROM b)
     SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY root ORDER BY score DESC, node) <= 10"""
 QUERIES["kg_descendants"] = lambda spark, sf: graph.descendants(_places(spark, sf), table(spark, sf, "region").select(F.col("r_name").alias("id")))
-ORACLE_SQL["kg_descendants"] = f"WITH RECURSIVE {_PLACES}, r AS (SELECT r_name AS root, r_name AS id, 0 AS hops FROM region UNION SELECT root, dst, hops + 1 FROM r JOIN edges ON src = id WHERE hops < 6) SELECT root, id, min(hops)::INT AS hops FROM r WHERE hops > 0 GROUP BY 1, 2"
+ORACLE_SQL["kg_descendants"] = f"WITH RECURSIVE {_PLACES}, r AS (SELECT r_name AS root, r_name AS id, 0 AS hops FROM region UNION SELECT root, dst, hops + 1 FROM r JOIN edges ON src = id) SELECT root, id, min(hops)::INT AS hops FROM r WHERE hops > 0 GROUP BY 1, 2"
+
+
+def kg_descendants_deep(spark: SparkSession, sf: str) -> DataFrame:
+    """A tree of all parts in which number k is below k / 2."""
+    keys = table(spark, sf, "part").where("p_partkey > 1")
+    edges = keys.select(F.floor(F.col("p_partkey") / 2).cast("string").alias("src"), F.col("p_partkey").cast("string").alias("dst"))
+    return graph.descendants(edges, spark.createDataFrame([("1",), ("3",)], "id string"))
+
+
+QUERIES["kg_descendants_deep"] = kg_descendants_deep
+ORACLE_SQL["kg_descendants_deep"] = "WITH RECURSIVE e AS (SELECT (p_partkey // 2)::VARCHAR AS src, p_partkey::VARCHAR AS dst FROM part WHERE p_partkey > 1), r AS (SELECT x AS root, x AS id, 0 AS hops FROM (VALUES ('1'), ('3')) v(x) UNION ALL SELECT root, dst, hops + 1 FROM r JOIN e ON src = id) SELECT root, id, hops::INT AS hops FROM r WHERE hops > 0"
 
 # mapping, messages, metrics
 QUERIES["map_apply"] = lambda spark, sf: mapping.apply_rules(table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_tax"), {"l_quantity": ("quantity", 1.0), "l_tax": ("tax_percent", 100.0), "l_orderkey": ("order_no", 1.0)})[0].select("order_no", "quantity", *_r("tax_percent"))
 ORACLE_SQL["map_apply"] = "SELECT l_orderkey::DOUBLE AS order_no, l_quantity::DOUBLE AS quantity, round(l_tax::DOUBLE * 100, 6) AS tax_percent FROM lineitem"
-QUERIES["map_discover"] = lambda spark, sf: mapping.discover(table(spark, sf, "part").select(F.lower("p_type").alias("source")).distinct(), table(spark, sf, "part").groupBy(F.col("p_type").alias("target")).agg(F.min("p_partkey").alias("ordinal")))
-ORACLE_SQL["map_discover"] = "SELECT DISTINCT lower(p_type) AS source, p_type AS target, 1.0::DOUBLE AS score FROM part"
+# columns named as a type with underscores, without its last two or eight letters, by its last two words in turned order, and as one letter
+_NAMED = ["replace(lower(p_type), ' ', '_')", "substring(p_type, 1, length(p_type) - 2)", "substring(p_type, 1, length(p_type) - 8)", "split_part(p_type, ' ', 3) || '-' || split_part(p_type, ' ', 2)", "lower(p_type) || ' x2'", "substring(p_type, 1, 1)"]
+
+
+def map_discover(spark: SparkSession, sf: str) -> DataFrame:
+    types = table(spark, sf, "part")
+    columns = types.select(F.explode(F.array(*[F.expr(x) for x in _NAMED])).alias("source")).distinct()
+    targets = types.groupBy(F.col("p_type").alias("target")).agg(F.min("p_partkey").alias("ordinal"))
+    short = spark.createDataFrame([("co2", -3), ("co", -2), ("h2 o", -1)], "target string, ordinal int")
+    asked = spark.createDataFrame([("CO",), ("co2",), ("c02",), ("h2_o",), ("h",), ("o h2",)], "source string")
+    return mapping.discover(columns.unionByName(asked), targets.unionByName(short))
+
+
+QUERIES["map_discover"] = map_discover
+_WORD_LIST = "list_distinct(list_filter(regexp_split_to_array({0}, '\\s+'), lambda w: w <> ''))"
+ORACLE_SQL["map_discover"] = (
+    "WITH c AS (SELECT DISTINCT unnest([" + ", ".join(_NAMED) + "]) AS source FROM part UNION SELECT unnest(['CO', 'co2', 'c02', 'h2_o', 'h', 'o h2'])), "
+    "t AS (SELECT p_type AS target, min(p_partkey) AS ordinal FROM part GROUP BY 1 UNION ALL SELECT * FROM (VALUES ('co2', -3), ('co', -2), ('h2 o', -1)) v(a, b)), "
+    f"x AS (SELECT source, target, ordinal, translate(lower(source), '_-', '  ') AS x, lower(target) AS y FROM c, t), w AS (SELECT *, {_WORD_LIST.format('x')} AS p, {_WORD_LIST.format('y')} AS q FROM x), "
+    "s AS (SELECT *, CASE WHEN x = y THEN 1.0::DOUBLE ELSE greatest(CASE WHEN contains(x, y) OR contains(y, x) THEN least(length(x), length(y))::DOUBLE / greatest(length(x), length(y)) ELSE 0 END, len(list_intersect(p, q))::DOUBLE / greatest(len(p), len(q))) END AS score FROM w) "
+    "SELECT source, target, round(score, 6) AS score FROM s WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY source ORDER BY x = y DESC, score DESC, ordinal, target) = 1"
+)
 QUERIES["feature_assemble"] = lambda spark, sf: mapping.assemble(_items(spark, sf), NUMBERS[:2]).select("l_orderkey", "l_linenumber", *[F.round(F.col("features")[k].cast("double"), 4).alias(f"f{k}") for k in range(2)])
 ORACLE_SQL["feature_assemble"] = f"WITH p AS (SELECT avg(l_quantity::DOUBLE) a0, stddev_pop(l_quantity::DOUBLE) b0, avg(l_extendedprice::DOUBLE) a1, stddev_pop(l_extendedprice::DOUBLE) b1 FROM lineitem) SELECT {KEY}, round(((l_quantity::DOUBLE - a0) / b0)::FLOAT::DOUBLE, 4) AS f0, round(((l_extendedprice::DOUBLE - a1) / b1)::FLOAT::DOUBLE, 4) AS f1 FROM lineitem, p"
 _BUS = lambda spark, sf: mapping.messages(table(spark, sf, "events").select("event_id", "event_type", "props"), F.lit("event"), F.col("event_type"), F.lit("table"), F.col("event_id"))
