@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 from tuyere.llm import exact_dedup, html_text, lang_id, lm, mixing, pieces, queries, sharding, simhash, tiff, token_files
@@ -665,10 +666,51 @@ def test_pipeline(spark, docs):
             first.setdefault(_normal(x[1]), x)
     assert sorted(r.doc_id for r in unique.collect()) == sorted(x[0] for x in first.values())
     left = sorted(first.values(), key=lambda x: x[0])
-    roots = _reach([_fingerprint(x[1]) for x in left], 3)
+    root = list(range(len(left)))
+    for i in range(len(left)):
+        for j in range(i):
+            if _shingle_similarity(left[i][1], left[j][1]) >= 0.8:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
     near = corpus_pipeline.drop_near_copies(spark, unique, "")
-    assert sorted(r.doc_id for r in near.collect()) == sorted({left[k][0] for k in roots})
+    assert sorted(r.doc_id for r in near.collect()) == sorted({left[k][0] for k in root})
     mixed = corpus_pipeline.mix_sources(spark, near, "")
     assert mixed.columns == plain.columns
-    coded = corpus_pipeline.encode(spark, mixed, "")
-    assert coded.count() == mixed.count() > 0
+    plan = {r.doc_id: r.times for r in mixing.mix(near).collect()}
+    assert Counter(r.doc_id for r in mixed.collect()) == +Counter(plan)
+    coded = corpus_pipeline.encode(spark, mixed, "").collect()
+    model = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_file("piece_bpe_32k.model"))
+    texts = {x[0]: x[1] for x in left}
+    expected = Counter({(i, tuple(model.encode(texts[i]))): n for i, n in plan.items() if n})
+    assert Counter((r.doc_id, tuple(r.ids)) for r in coded) == expected
+    folder = _folder(spark)
+    plain.write.parquet(f"{folder}/documents.parquet")
+    assert Counter((r.doc_id, tuple(r.ids)) for r in corpus_pipeline.run(spark, folder).collect()) == expected
+    plain.where("false").write.parquet(f"{(nothing := _folder(spark))}/documents.parquet")
+    assert corpus_pipeline.run(spark, nothing).count() == 0
+
+
+def _shingle_similarity(a, b, words=5):
+    bags = [Counter(tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))) for w in ((x or "").encode().lower().split() for x in (a, b))]
+    both = sum((bags[0] & bags[1]).values())
+    return both / (sum(bags[0].values()) + sum(bags[1].values()) - both)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    names = ["score", "held_out", "lang_pred", "__id", "__sha", "__hash", "row", "i", "text_", "slot", "times", "source_size"]
+    table = spark.createDataFrame(rows(), SCHEMA).select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, table, "")
+        assert got.columns == table.columns
+        assert all(r[c] == f"{c}{r.doc_id}" for r in got.collect() for c in names)
+    for key in ("shard", "slot", "doc_id"):
+        placed = sharding.place(table.withColumn("shard", F.lit("s")), ["a", "b"], key_col=key, size=101)
+        assert set(placed.columns) == {*table.columns, "shard"} and placed.count() == table.count()
+
+
+def test_components_of_stars_and_chains(spark):
+    edges = [(0, k) for k in range(1, 3000)] + [(k, k + 1) for k in range(5000, 5060)] + [(9000, 9001), (9001, 9000), (7, 7)]
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(1, 3000)} | {k: 5000 for k in range(5001, 5061)} | {9001: 9000}

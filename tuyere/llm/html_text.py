@@ -26,7 +26,7 @@ from math import log
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tuyere.llm.shared import slices
+from tuyere.llm.shared import slices, unused
 
 # Fixed values of HTML.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math q s samp small span strike strong sub sup svg time tt u var wbr".split())
@@ -274,7 +274,7 @@ def extract(df: DataFrame, *, html_col: str = "html", weights: dict[str, float]
 
     learned = weights or learn(LABELLED)
     rest = [c for c in df.columns if c not in (html_col, "text", "n_chars")]
-    source = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{html_col}`").alias("__html"))
+    source = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{html_col}`").alias(unused(df, "html")))
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + ["text string", "n_chars long"])
 
     def run(batches):

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tuyere.llm.shared import remainder, slices
+from tuyere.llm.shared import remainder, slices, unused
 
 PROFILE_LENGTH = 400
 DOCUMENT_LENGTH = 300
@@ -134,7 +134,7 @@ class Comparison:
 def predict(df: DataFrame, known: dict[str, list[int]], *, text_col: str = "text", length: int = PROFILE_LENGTH) -> DataFrame:
     """df with lang_pred and score; columns of these names are replaced. No shuffle."""
     rest = [c for c in df.columns if c not in ("lang_pred", "score")]
-    source = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`").alias("__text"))
+    source = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`").alias(unused(df, "text")))
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + ["lang_pred string", "score double"])
 
     def run(batches):

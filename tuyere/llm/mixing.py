@@ -84,7 +84,8 @@ def repeat_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """The rows of df as often as the mix takes them: not at all, once, or several times. Rows of equal id, source and size
     are taken equally often (the most that any of them is)."""
     times = mix(df, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    times = times.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.max("times").alias("__times")).where("__times > 0")
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & F.col(f"`{source_col}`").eqNullSafe(F.col("__source")) & (words(F.col(f"`{text_col}`")) == F.col("__size"))
-    rows = df.join(times, same)
-    return rows.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).drop("__k", "__times", "__id", "__source", "__size")
+    times = times.groupBy("doc_id", "source", "size").agg(F.max("times").alias("times")).where("times > 0")
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])  # so that no column's name clashes
+    rows = df.select(whole.alias("row"), F.col(f"`{id_col}`").alias("i"), F.col(f"`{source_col}`").alias("s"), words(F.col(f"`{text_col}`")).alias("n"))
+    rows = rows.join(times, F.col("i").eqNullSafe(F.col("doc_id")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("n") == F.col("size")))
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")

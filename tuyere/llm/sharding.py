@@ -7,7 +7,8 @@ broadcast: its size is the prime, whatever the number of rows. A row's slot is t
 placement takes constant time and no shuffle.
 
 Cases: a null key goes to the slot of the empty text; rows with equal keys go to one shard; an empty table gives an empty
-result; a key column named as one of the added columns is kept under its name only if it is not added.
+result; columns of the input named slot or shard are replaced by the added ones, also where one of them is the key; all others
+are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -63,9 +64,11 @@ def place(df: DataFrame, shards: list[str], *, key_col: str = "doc_id", size: in
     """df with the columns slot and shard (the shard's name); columns of these names are replaced."""
     spark = df.sparkSession
     names = F.array(*[F.lit(x) for x in shards])
-    table = F.broadcast(table_frame(spark, shards, size).select(F.col("slot").alias("__slot"), "shard"))  # size rows, whatever the input
-    rows = df.withColumn("slot", slot_of(F.col(f"`{key_col}`"), size)).drop("shard") if key_col not in ("slot", "shard") else df.select(F.col(key_col).alias("key"), slot_of(F.col(key_col), size).alias("slot"))
-    return rows.join(table, F.col("slot") == F.col("__slot")).withColumn("shard", F.get(names, F.col("shard"))).drop("__slot")
+    table = F.broadcast(table_frame(spark, shards, size).select(F.col("slot").alias("at"), "shard"))  # size rows, whatever the input
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in ("slot", "shard")]
+    rows = df.select(F.struct(*kept).alias("row") if kept else F.lit(None).alias("row"), slot_of(F.col(f"`{key_col}`"), size).alias("slot"))
+    placed = rows.join(table, F.col("slot") == F.col("at"))
+    return placed.select(*(["row.*"] if kept else []), "slot", F.get(names, F.col("shard")).alias("shard"))
 
 
 def write_shards(df: DataFrame, shards: list[str], path: str, *, key_col: str = "doc_id", files_per_shard: int = 8) -> None:

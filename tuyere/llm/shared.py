@@ -57,6 +57,13 @@ def clear(spark: SparkSession) -> int:
     return n
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or one like it that df has no column of."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
 def local_path(uri: str) -> str | None:
     """The path of a file:// or plain URI; None for other stores."""
     if uri.startswith("file:"):

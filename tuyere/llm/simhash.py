@@ -304,20 +304,35 @@ def links(fps: DataFrame, distance: int = 3, block: int = BLOCK) -> DataFrame:
     return rows.mapInArrow(search, "a long, b long")
 
 
+#: A node with more than one in so many of all links has its least neighbour broadcast; there are fewer such nodes.
+HOT = 1000
+
+
+def _with_least(links: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """links (a, b) with m of their a, from least (a, m, n: how many links a has). The links of a node with many of them stay
+    where they are, so that they do not meet in one task."""
+    many = F.col("n") * HOT > total
+    hot = least.where(many).select("a", "m")
+    rest = links.join(F.broadcast(hot.select("a")), "a", "left_anti").join(least.where(~many).select("a", "m"), "a")
+    return links.join(F.broadcast(hot), "a").select("a", "b", "m").unionByName(rest.select("a", "b", "m"))
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root (the smallest node reachable) for all nodes of the links a-b, by alternating large-star and small-star."""
     pairs = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    if pairs.isEmpty():
+    digest = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+    before = digest(pairs)
+    if not before.n:
         return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    before = None
     for _ in range(most_rounds):
+        total = 2 * before.n
         both = pairs.union(pairs.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = _with_least(both.where("b > a"), least, total).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, least, total).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b")))
         pairs = written(small.distinct(), "links")
-        now = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        now = digest(pairs)
         if now == before:
             return pairs.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
         before = now
@@ -345,7 +360,8 @@ def drop_near_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 def keep_first(df: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows that stay, of groups with doc_id, component_id, root and text_hash."""
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = first.groupBy("root", F.col("doc_id").alias("__kept")).agg(F.min("text_hash").alias("__kept_hash")).drop("root")
-    rows = df.withColumn("__hash", F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
-    rows = rows.join(kept, (F.col("__hash") == F.col("__kept_hash")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__kept")), "left_semi")
-    return rows.dropDuplicates([id_col, "__hash"]).drop("__hash")
+    kept = first.groupBy("root", "doc_id").agg(F.min("text_hash").alias("text_hash")).drop("root")
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])  # so that no column's name clashes
+    rows = df.select(whole.alias("row"), F.col(f"`{id_col}`").alias("i"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("h"))
+    rows = rows.join(kept, (F.col("h") == F.col("text_hash")) & F.col("i").eqNullSafe(F.col("doc_id")), "left_semi")
+    return rows.dropDuplicates(["i", "h"]).select("row.*")
