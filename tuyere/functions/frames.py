@@ -10,59 +10,72 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a bucket: a series is cut into as many equal spans of time as it has times that many rows. A series so has at most
-#: MOST_BUCKETS summary rows until its buckets hold LARGEST rows.
-ROWS, LARGEST, MOST_BUCKETS = 20_000, 2_000_000, 2_000
+#: A series of more rows is cut into as many equal spans of time as it has times that many rows. It so has at most MOST_BUCKETS
+#: summary rows until its buckets hold LARGEST rows. Where no series has more, none is cut, and no summaries are joined.
+ROWS, LARGEST, MOST_BUCKETS = 50_000, 2_000_000, 2_000
 
 
-def bucketed(df: DataFrame, key: str, t: str, rows: int = ROWS) -> DataFrame:
-    """Adds _b, the row's bucket in its series; only series of more than one bucket take part in the join. Kept if there."""
-    if "_b" in df.columns:
-        return df
-    sizes = df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n"), F.min(t).alias("_from"), F.max(t).alias("_to")).where(F.col("_n") > rows)
-    wanted = F.ceil(F.col("_n") / F.greatest(F.lit(rows), F.least(F.lit(LARGEST), F.ceil(F.col("_n") / MOST_BUCKETS))))
+def bucketed(df: DataFrame, key: str, t: str) -> tuple[DataFrame, bool]:
+    """df with _b, the row's bucket in its series, and whether any series has several; only those take part in the join."""
+    sizes = df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n"), F.min(t).alias("_from"), F.max(t).alias("_to")).where(F.col("_n") > ROWS)
+    if sizes.isEmpty():
+        return df.withColumn("_b", F.lit(0)), False
+    wanted = F.ceil(F.col("_n") / F.greatest(F.lit(ROWS), F.least(F.lit(LARGEST), F.ceil(F.col("_n") / MOST_BUCKETS))))
     spans = sizes.select("_key", "_from", F.ceil((F.col("_to") - F.col("_from") + 1) / wanted).alias("_span"))
-    return df.join(spans, F.col(key) == F.col("_key"), "left").withColumn("_b", F.coalesce(F.floor((F.col(t) - F.col("_from")) / F.col("_span")), F.lit(0))).drop("_key", "_from", "_span")
+    cut = df.join(spans, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn("_b", F.coalesce(F.floor((F.col(t) - F.col("_from")) / F.col("_span")), F.lit(0)))
+    return cut.drop("_key", "_from", "_span"), True
 
 
-def neighbours(df: DataFrame, key: str, t: str, order: list[str], present: Column, payload: Column, rows: int = ROWS) -> DataFrame:
-    """Adds prev and next: the payload of the nearest row at or before, and at or after, for which present holds."""
-    own = "_b" in df.columns
-    data = bucketed(df, key, t, rows).withColumn("_p", F.when(present, payload))
-    place = F.when(F.col("_p").isNotNull(), F.struct(*order))
-    buckets = data.groupBy(key, "_b").agg(F.min_by("_p", place).alias("_first"), F.max_by("_p", place).alias("_last"))
+def neighbours(df: DataFrame, key: str, t: str, order: list[str], present: Column, payload: Column, many: bool | None = None) -> DataFrame:
+    """Adds prev and next: the payload of the nearest row at or before, and at or after, for which present holds. Rows that
+    have their buckets already keep them, and many tells whether there are several."""
+    own = many is not None
+    data, many = (df, many) if own else bucketed(df, key, t)
+    data = data.withColumn("_p", F.when(present, payload))
     # what follows is sought in the opposite order: a frame that grows takes one step per row, one that shrinks starts anew at each
-    by_bucket = Window.partitionBy(key)  # a row per bucket, not per point
-    carried = buckets.select(
-        F.col(key).alias("_key"),
-        F.col("_b").alias("_bucket"),
-        F.last("_last", True).over(by_bucket.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.last("_first", True).over(by_bucket.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)).alias("_after"),
-    ).where("_before is not null or _after is not null")
-    within = Window.partitionBy(key, "_b")
-    data = data.withColumn("prev", F.last("_p", True).over(within.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    data = data.withColumn("next", F.last("_p", True).over(within.orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)))
-    data = data.join(carried, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_b") == F.col("_bucket")), "left").withColumn("prev", F.coalesce("prev", "_before")).withColumn("next", F.coalesce("next", "_after"))
-    return data.drop("_p", "_before", "_after", "_key", "_bucket", *([] if own else ["_b"]))
-
-
-def numbered(df: DataFrame, key: str, t: str, order: list[str], rows: int = ROWS) -> DataFrame:
+    within = Window.partitionBy(key, "_b") if many else Window.partitionBy(key)
+    rows = data.withColumn("prev", F.last("_p", True).over(within.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("next", F.last("_p", True).over(within.orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)))
+    if many:
+        place = F.when(F.col("_p").isNotNull(), F.struct(*order))
+        buckets = data.groupBy(key, "_b").agg(F.min_by("_p", place).alias("_first"), F.max_by("_p", place).alias("_last"))
+        by_bucket = Window.partitionBy(key)  # a row per bucket, not per point
+        carried = buckets.select(
+            F.col(key).alias("_key"),
+            F.col("_b").alias("_bucket"),
+            F.last("_last", True).over(by_bucket.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+            F.last("_first", True).over(by_bucket.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)).alias("_after"),
+        ).where("_before is not null or _after is not null")
+        rows = rows.join(carried, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_b") == F.col("_bucket")), "left")
+        rows = rows.withColumn("prev", F.coalesce("prev", "_before")).withColumn("next", F.coalesce("next", "_after")).drop("_before", "_after", "_key", "_bucket")
+    return rows.drop("_p", *([] if own else ["_b"]))
+
+
+def numbered(df: DataFrame, key: str, t: str, order: list[str], many: bool | None = None) -> DataFrame:
     """Adds _i, the row's number in its series from 0: the number in its bucket plus the rows of all buckets before."""
-    own = "_b" in df.columns
-    data = bucketed(df, key, t, rows)
-    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = data.groupBy(key, "_b").count().select(F.col(key).alias("_key"), F.col("_b").alias("_bucket"), F.sum("count").over(before).alias("_o")).where("_o > 0")
-    number = F.row_number().over(Window.partitionBy(key, "_b").orderBy(*order)) - 1
-    found = data.withColumn("_n", number).join(offsets, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_b") == F.col("_bucket")), "left")
-    return found.withColumn("_i", F.coalesce("_o", F.lit(0)) + F.col("_n")).drop("_n", "_o", "_key", "_bucket", *([] if own else ["_b"]))
-
-
-def chunked(df: DataFrame, key: str, t: str, order: list[str], before: int, after: int, size: int = 100_000, rows: int = ROWS) -> DataFrame:
+    own = many is not None
+    data, many = (df, many) if own else bucketed(df, key, t)
+    if not many:
+        rows = data.withColumn("_i", (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long"))
+    else:
+        before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = data.groupBy(key, "_b").count().select(F.col(key).alias("_key"), F.col("_b").alias("_bucket"), F.sum("count").over(before).alias("_o")).where("_o > 0")
+        number = F.row_number().over(Window.partitionBy(key, "_b").orderBy(*order)) - 1
+        rows = data.withColumn("_n", number).join(offsets, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_b") == F.col("_bucket")), "left")
+        rows = rows.withColumn("_i", F.coalesce("_o", F.lit(0)) + F.col("_n")).drop("_n", "_o", "_key", "_bucket")
+    return rows if own else rows.drop("_b")
+
+
+def chunked(df: DataFrame, key: str, t: str, order: list[str], before: int, after: int, size: int = 100_000) -> DataFrame:
     """Numbered rows in chunks, with so many rows of the neighbouring chunks copied into each; _home marks the own rows.
     Row frames over Window.partitionBy(key, "_c").orderBy("_i") are exact for them."""
-    data = numbered(df, key, t, order, rows)
+    before_after(max(before, after), size)
+    data, many = bucketed(df, key, t)
+    data = numbered(data, key, t, order, many).drop("_b")
+    if not many and size >= ROWS:
+        return data.withColumn("_c", F.lit(0)).withColumn("_home", F.lit(True))
     chunk, within = F.floor(F.col("_i") / size), F.col("_i") % size
-    copies = F.array_compact(F.array(chunk, F.when(within < before_after(after, size), chunk - 1), F.when(within >= size - before_after(before, size), chunk + 1)))
+    copies = F.array_compact(F.array(chunk, F.when(within < after, chunk - 1), F.when(within >= size - before, chunk + 1)))
     return data.withColumn("_own", chunk).withColumn("_c", F.explode(copies)).withColumn("_home", F.col("_c") == F.col("_own")).drop("_own")
 
 

@@ -7,9 +7,13 @@ finds the nearest values beyond the marks; only those are put in order.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tuyere.functions.storage import stored
+
 #: The approximate quantiles' rank error is at most the number of values divided by this.
 ACCURACY = 10_000
 
@@ -21,28 +25,30 @@ def quantiles(df: DataFrame, columns: dict[str, Column], shares: list[float], by
     keys = [f"_g{k}" for k in range(len(by))]
     rows = df.select(*[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], *[c.cast("double").alias(f"_x{k}") for k, c in enumerate(columns.values())])
     margin = 3.0 / ACCURACY
-    marks = F.array(*[F.lit(float(min(1.0, max(0.0, s + d)))) for s in shares for d in (-margin, margin)])
-    xs = range(len(columns))
-    summary = rows.groupBy(*keys).agg(*[F.count(f"_x{k}").alias(f"_n{k}") for k in xs], *[F.percentile_approx(f"_x{k}", marks, ACCURACY).alias(f"_m{k}") for k in xs])
+    marks = ", ".join(f"{min(1.0, max(0.0, s + d))!r}D" for s in shares for d in (-margin, margin))
+    xs, js = range(len(columns)), range(len(shares))
+    summary = rows.groupBy(*keys).agg(*[F.expr(f"count(_x{k})").alias(f"_n{k}") for k in xs], *[F.expr(f"percentile_approx(_x{k}, array({marks}), {ACCURACY})").alias(f"_m{k}") for k in xs])
     if by:
-        summary = summary.select(*[F.col(k).alias(f"{k}_") for k in keys], *[f"_n{k}" for k in xs], *[f"_m{k}" for k in xs])
-        same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
-        marked = rows.join(summary, same).drop(*[f"{k}_" for k in keys])
+        summary = stored(summary.withColumnsRenamed({k: f"{k}_" for k in keys}), "quantile-marks")
+        marked = rows.join(summary, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]).drop(*[f"{k}_" for k in keys])
+        mark, size = lambda k, i: f"_m{k}[{i}]", lambda k: f"_n{k}"
     else:
-        marked = rows.crossJoin(F.broadcast(summary))  # one row
+        found, marked = summary.first(), rows  # a few numbers, which go into the filters of the next pass
+        mark, size = lambda k, i: f"double('{found[f'_m{k}'][i]!r}')" if found[f"_m{k}"] else "double(null)", lambda k: f"{found[f'_n{k}']}L"
     # the values between the marks, counted by value, and the nearest ones beyond them, the lower with all that are below
     parts, beyond = [], []
     for k in xs:
-        x, m, n = F.col(f"_x{k}"), F.col(f"_m{k}"), F.col(f"_n{k}")
-        for j in range(len(shares)):
-            inside = (x >= m[2 * j]) & (x <= m[2 * j + 1])
-            parts.append(F.when(F.coalesce(inside, F.lit(False)), F.struct(F.lit(k).alias("c"), F.lit(j).alias("j"), n.alias("n"), x.alias("x"))))
-            lower, upper = F.when(x < m[2 * j], x), F.when(x > m[2 * j + 1], x)
-            for value, w in ((F.max(lower), F.count(lower)), (F.min(upper), F.least(F.count(upper), F.lit(1)))):
-                beyond.append(F.struct(F.lit(k).alias("c"), F.lit(j).alias("j"), F.max(n).alias("n"), value.alias("x"), w.cast("long").alias("w")))
-    between = marked.select(*keys, F.explode(F.array_compact(F.array(*parts))).alias("e")).select(*keys, "e.*").groupBy(*keys, "c", "j", "n", "x").agg(F.count("*").alias("w"))
-    counts = between.unionByName(marked.groupBy(*keys).agg(F.array(*beyond).alias("e")).select(*keys, F.explode("e").alias("e")).select(*keys, "e.*"))
-    counts = counts.where("w > 0 or n = 0")
+        inside = [f"_x{k} between {mark(k, 2 * j)} and {mark(k, 2 * j + 1)}" for j in js]
+        here = ", ".join(f"if({c}, {j}, null)" for j, c in enumerate(inside))
+        counted = marked.where(" or ".join(inside)).groupBy(*keys, F.expr(size(k)).alias("n"), F.col(f"_x{k}").alias("x"), F.expr(f"array({here})").alias("js")).agg(F.count("*").alias("w"))
+        parts.append(counted.selectExpr(*keys, f"{k} as c", "explode(array_compact(js)) as j", "n", "x", "w"))
+        for j in js:
+            low, high = f"_x{k} < {mark(k, 2 * j)}", f"_x{k} > {mark(k, 2 * j + 1)}"
+            n = f"max({size(k)})"
+            beyond.append(f"named_struct('c', {k}, 'j', {j}, 'n', {n}, 'x', max(_x{k}) filter (where {low}), 'w', count_if({low}))")
+            beyond.append(f"named_struct('c', {k}, 'j', {j}, 'n', {n}, 'x', min(_x{k}) filter (where {high}), 'w', least(count_if({high}), 1L))")
+    rest = marked.groupBy(*keys).agg(F.expr(f"array({', '.join(beyond)})").alias("e")).selectExpr(*keys, "inline(e)")
+    counts = reduce(DataFrame.unionByName, parts, rest).where("w > 0 or n = 0")
     order = Window.partitionBy(*keys, "c", "j").orderBy("x")
     upto = F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     counts = counts.withColumn("upto", upto)

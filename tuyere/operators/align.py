@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tuyere.functions.frames import chunked, neighbours, numbered, with_stats
+from tuyere.functions.frames import chunked, neighbours, with_stats
+from tuyere.functions.storage import stored
 
 HOUR = 3_600_000_000
 FREQUENCIES = {"1s": 1, "5s": 5, "1m": 60, "1min": 60, "1h": 3600, "1d": 86400}
@@ -100,7 +101,7 @@ def flag_outliers(aligned: DataFrame, sigmas: float = 3.0) -> DataFrame:
 
 def align(df: DataFrame, step: int = HOUR, method: str = "linear", max_gap: int = 6 * HOUR, shared: bool = False) -> DataFrame:
     """series, t, v, status, is_outlier."""
-    points = points_of(df)
+    points = stored(points_of(df), "align-points")
     return flag_outliers(interpolate(points, grid_of(points, step, shared), method, max_gap))
 
 

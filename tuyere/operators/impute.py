@@ -14,8 +14,9 @@ ORDER = ["t", "id"]
 
 
 def _around(df: DataFrame, value: str) -> DataFrame:
-    rows = numbered(bucketed(df, "series", "t"), "series", "t", ORDER)
-    return neighbours(rows, "series", "t", ORDER, F.col(value).isNotNull(), F.struct("_i", "t", F.col(value).alias("x"))).drop("_b")
+    rows, many = bucketed(df, "series", "t")
+    rows = numbered(rows, "series", "t", ORDER, many)
+    return neighbours(rows, "series", "t", ORDER, F.col(value).isNotNull(), F.struct("_i", "t", F.col(value).alias("x")), many).drop("_b")
 
 
 def fill_linear(df: DataFrame, value: str = "v", name: str = "filled", by_time: bool = False) -> DataFrame:

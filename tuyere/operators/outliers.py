@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tuyere.functions.frames import centred, chunked, frame, with_stats
-from tuyere.functions.quantiles import with_quantiles
+from tuyere.functions.quantiles import quantiles, with_quantiles
 
 ORDER = ["t", "id"]
 
@@ -33,10 +33,17 @@ def iqr(df: DataFrame, factor: float = 1.5, name: str = "is_outlier") -> DataFra
     return rows.withColumn(name, _flag(_beyond(F.col("_q")[0], F.col("_q")[1], factor))).drop("_q")
 
 
+def with_rolling_median(rows: DataFrame, value: Column, window, name: str) -> DataFrame:
+    """Adds the median of the values in a window of few rows; nulls do not count."""
+    rows = rows.withColumn(name, F.collect_list(value).over(window)).withColumn(name, F.sort_array(name))
+    return rows.withColumn(name, F.expr(f"(get({name}, (size({name}) - 1) div 2) + get({name}, size({name}) div 2)) / 2"))
+
+
 def _rolling_mad(rows: DataFrame, before: int, after: int, factor: float, name: str) -> DataFrame:
     w = frame("series", before, after)
-    rows = rows.withColumn("_d", F.abs(F.col("v") - F.percentile("v", 0.5).over(w)))
-    return rows.withColumn(name, _flag(F.col("_d") > factor * F.percentile("_d", 0.5).over(w))).drop("_d")
+    rows = with_rolling_median(rows, F.col("v"), w, "_d").withColumn("_d", F.abs(F.col("v") - F.col("_d")))
+    rows = with_rolling_median(rows, F.col("_d"), w, "_dd")
+    return rows.withColumn(name, _flag(F.col("_d") > factor * F.col("_dd"))).drop("_d", "_dd")
 
 
 def rolling_mad(df: DataFrame, window: int = 10, factor: float = 3.0, name: str = "is_outlier", chunk: int = 100_000) -> DataFrame:
@@ -83,15 +90,15 @@ METHODS = {"zscore": zscore, "iqr": iqr, "rolling_mad": rolling_mad, "moving_ave
 def ensemble(df: DataFrame, methods: tuple[str, ...] = ("zscore", "iqr", "rolling_mad", "moving_average"), window: int = 10, reach: int = 120, chunk: int = 100_000) -> DataFrame:
     """votes, and is_outlier where more than half of the methods agree. The rows are numbered and dealt to chunks once; all
     row windows share that order, and the series' statistics are joined to it."""
-    rows = df
-    if "zscore" in methods:
-        rows = with_stats(rows, "series", F.avg("v").alias("_m"), F.stddev_pop("v").alias("_s"))
-    if "iqr" in methods:
-        rows = with_quantiles(rows, "series", F.col("v"), [0.25, 0.75], "_q")
     before, after = centred(window)
     halo = max([2 * before if "rolling_mad" in methods else 0, before if "moving_average" in methods else 0, reach + before if "exponential" in methods else 0])
-    if halo:
-        rows = chunked(rows, "series", "t", ORDER, halo, 2 * after, chunk)
+    rows = chunked(df, "series", "t", ORDER, halo, 2 * after, chunk) if halo else df
+    if "zscore" in methods:
+        stats = df.groupBy(F.col("series").alias("_z")).agg(F.avg("v").alias("_m"), F.stddev_pop("v").alias("_s"))
+        rows = rows.join(stats, F.col("series").eqNullSafe(F.col("_z")), "left").drop("_z")
+    if "iqr" in methods:
+        q = quantiles(df, {"v": F.col("v")}, [0.25, 0.75], ["series"]).select(F.col("series").alias("_z"), F.col("q").alias("_q"))
+        rows = rows.join(q, F.col("series").eqNullSafe(F.col("_z")), "left").drop("_z")
     for m in methods:
         if m == "zscore":
             rows = rows.withColumn("_zscore", _flag(F.try_divide(F.abs(F.col("v") - F.col("_m")), F.col("_s")) > 3.0))
@@ -126,7 +133,7 @@ def replace(flagged: DataFrame, how: str = "median", chunk: int = 100_000) -> Da
         return rows.withColumn("fixed", F.when(F.col("is_outlier"), clipped).otherwise(F.col("v"))).drop("_q")
     if how == "rolling_median":
         rows = chunked(flagged, "series", "t", ORDER, 2, 2, chunk)
-        rows = rows.withColumn("_x", F.percentile(inlier, F.lit(0.5)).over(frame("series", 2, 2))).where("_home")
+        rows = with_rolling_median(rows, inlier, frame("series", 2, 2), "_x").where("_home")
         return rows.withColumn("fixed", F.when(F.col("is_outlier"), F.col("_x")).otherwise(F.col("v"))).drop("_x", "_i", "_c", "_home")
     if how == "interpolation":
         from tuyere.operators.impute import fill_linear
@@ -148,8 +155,9 @@ def rolling(df: DataFrame, window: int = 5, chunk: int = 100_000) -> DataFrame:
     before, after = centred(window)
     rows, w = chunked(df, "series", "t", ORDER, before, after, chunk), frame("series", before, after)
     full = F.count("v").over(w) == window
-    for name, c in (("roll_mean", F.avg("v")), ("roll_std", F.stddev_samp("v")), ("roll_median", F.percentile("v", 0.5))):
+    for name, c in (("roll_mean", F.avg("v")), ("roll_std", F.stddev_samp("v"))):
         rows = rows.withColumn(name, F.when(full, c.over(w)))
+    rows = with_rolling_median(rows.withColumn("_full", full), F.col("v"), w, "roll_median").withColumn("roll_median", F.when(F.col("_full"), F.col("roll_median"))).drop("_full")
     return rows.where("_home").drop("_i", "_c", "_home")
 
 
