@@ -1,4 +1,11 @@
-"""Registered queries run their operators with the operators' own settings."""
+"""Registered queries run their operators with the operators' own settings, or with those that are stated."""
+
+import itertools
+
+import numpy as np
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import functions as F
 
 from tuyere.operators import attribution, scale
 from tuyere.plans import model_queries, table_queries
@@ -13,11 +20,12 @@ def test_yeo_johnson_query_is_the_operator(spark):
     assert got.keys() == expected.keys() and max(abs(got[k] - expected[k]) for k in got) <= 0.001
 
 
-def test_shap_ranking_fits_the_whole_grid(spark, monkeypatch):
+def test_shap_ranking_fits_the_stated_choice(spark, monkeypatch):
+    """One choice of the operator's grid, as the README says; the operator itself takes the whole grid in three folds."""
     seen = []
 
     def fit(train, features, target, *, grid=attribution.GRID, folds=3, seed=42):
-        seen.append((grid, folds))
+        seen.append(grid)
         raise InterruptedError
 
     monkeypatch.setattr(attribution, "fit", fit)
@@ -25,4 +33,24 @@ def test_shap_ranking_fits_the_whole_grid(spark, monkeypatch):
         model_queries.shap_ranking(spark, SF)
     except InterruptedError:
         pass
-    assert seen == [(((3, 5, 7), (0.01, 0.1, 0.2), (100, 200, 300)), 3)]
+    assert attribution.GRID == ((3, 5, 7), (0.01, 0.1, 0.2), (100, 200, 300))
+    assert seen == [model_queries.SHAP_GRID] and all(x in own for (x,), own in zip(seen[0], attribution.GRID, strict=True))
+
+
+def test_first_trees_of_one_fit_are_the_smaller_choices(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(240, 2))
+    y = x[:, 0] ** 2 + x[:, 1] + rng.normal(0, 0.5, 240)
+    table = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y, strict=True)], "a double, b double, y double").coalesce(1).cache()
+    grid, folds = ((1, 2), (0.3,), (2, 5)), 2
+    rows = VectorAssembler(inputCols=["a", "b"], outputCol="_x").transform(table).select("_x", F.col("y").alias("_y")).withColumn("f", F.pmod(F.xxhash64(F.lit(42), "_x", "_y"), F.lit(folds))).cache()
+    errors = {}
+    for choice in itertools.product(*grid):
+        depth, rate, n = choice
+        for k in range(folds):
+            model = GBTRegressor(featuresCol="_x", labelCol="_y", seed=42, maxDepth=depth, stepSize=rate, maxIter=n).fit(rows.where(F.col("f") != k))
+            e = model.transform(rows.where(F.col("f") == k)).agg(F.avg((F.col("prediction") - F.col("_y")) ** 2)).first()[0]
+            errors[choice] = errors.get(choice, 0) + e
+    got = attribution.fit(table, ["a", "b"], "y", grid=grid, folds=folds)
+    best = min(errors, key=errors.get)
+    assert (got.getMaxDepth(), got.getStepSize(), len(got.trees)) == best

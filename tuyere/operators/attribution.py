@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tuyere.functions.storage import stored
 from tuyere.operators.stats import rank_of
 
 #: Depths, rates and numbers of trees that are tried.
@@ -36,18 +37,30 @@ def prepare(df: DataFrame, features: list[str], target: str, *, id_col: str = "i
 
 
 def fit(train: DataFrame, features: list[str], target: str, *, grid: tuple[Iterable, Iterable, Iterable] = GRID, folds: int = 3, seed: int = 42):
-    """The boosted trees of least squared error in cross-validation; without folds if the grid holds one choice."""
-    from pyspark.ml.evaluation import RegressionEvaluator
+    """The boosted trees of least squared error in cross-validation; without folds if the grid holds one choice.
+
+    Boosting adds tree after tree, so the choices that differ in the number of trees only are one fit of the largest, whose
+    first trees are the smaller ones; its error after each tree takes one pass over the fold left out."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-
-    rows = VectorAssembler(inputCols=features, outputCol="_x").transform(train).select("_x", target)
-    trees = GBTRegressor(featuresCol="_x", labelCol=target, seed=seed)
-    choices = ParamGridBuilder().addGrid(trees.maxDepth, list(grid[0])).addGrid(trees.stepSize, list(grid[1])).addGrid(trees.maxIter, list(grid[2])).build()
-    if len(choices) == 1:
-        return trees.fit(rows, choices[0])
-    return CrossValidator(estimator=trees, estimatorParamMaps=choices, evaluator=RegressionEvaluator(labelCol=target, metricName="mse"), numFolds=folds, parallelism=4, seed=seed).fit(rows).bestModel
+
+    depths, rates, sizes = (sorted(set(x)) for x in grid)
+    rows = VectorAssembler(inputCols=features, outputCol="_x").transform(train).select("_x", F.col(target).alias("_y"))
+    trees = lambda depth, rate, n: GBTRegressor(featuresCol="_x", labelCol="_y", seed=seed, maxDepth=depth, stepSize=rate, maxIter=n)
+    if len(depths) * len(rates) * len(sizes) == 1:
+        return trees(depths[0], rates[0], sizes[0]).fit(rows)
+    rows = stored(rows.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), "_x", "_y"), F.lit(folds))), "folds")
+    best = None
+    for depth in depths:
+        for rate in rates:
+            errors = np.zeros(len(sizes))
+            for k in range(folds):
+                model = trees(depth, rate, sizes[-1]).fit(rows.where(F.col("_fold") != k))
+                by_tree = model.evaluateEachIteration(rows.where(F.col("_fold") == k), "squared")
+                errors += [by_tree[n - 1] for n in sizes]
+            choice = min(zip(errors.tolist(), [(depth, rate, n) for n in sizes], strict=True))
+            best = min(best, choice) if best else choice
+    return trees(*best[1]).fit(rows)
 
 
 def leaves(model) -> list[tuple[float, list[tuple[int, float, float, float]]]]:
