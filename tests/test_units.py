@@ -132,3 +132,28 @@ def test_streams(spark, tmp_path):
     loop = streams.ClosedLoop(collect=lambda df: df.where("v > 0"), analyse=lambda df: 1 / 0, act=lambda df: df.limit(3))
     assert loop(spark.read.parquet(str(tmp_path / "in"))).count() == 3
     assert [(p, s) for _, p, s, _ in loop.history] == [("collect", "done"), ("analyse", "failed"), ("act", "done")]
+
+
+def test_pending_tables_and_incremental_import(spark, tmp_path):
+    from tuyere.operators import imports
+
+    schema = "work_type string, category string, pool string, dataset string, ordinal int"
+    d = spark.createDataFrame([("w", "c", "p1", "a", 1), ("w", "c", "p2", "b", 2)], schema)
+    tables = spark.createDataFrame([("p1", "pending"), ("p2", "created"), ("p9", "pending")], "pool string, status string")
+    path = f"file://{tmp_path}/tables"
+    built = imports.build_pending(tables, d, path)
+    assert {tuple(r) for r in built.select("pool", "status").collect()} == {("p1", "created"), ("p2", "created"), ("p9", "failed")}
+    assert {r.dataset for r in spark.read.parquet(path).collect()} == {"a"}
+    new, after = imports.incremental_import(d, spark.createDataFrame([("w", "c", "p2", "n", 3), ("w", "c", "p1", "a", 4)], schema), built, path)
+    assert {r.dataset for r in new.collect()} == {"a", "b", "n"}
+    assert {tuple(r) for r in after.select("pool", "status").collect()} == {("p1", "created"), ("p2", "created"), ("p9", "failed")}
+    assert {r.dataset for r in spark.read.parquet(path).collect()} == {"a", "b", "n"}
+    sheet = spark.createDataFrame([(1, "w", "c", None, "t1"), (2, "w", "c", "named", "t2")], "ordinal int, work_type string, category string, dataset string, id string")
+    assert [r.dataset for r in imports.fixed_pool_sheet(sheet, "Text data", "id").orderBy("ordinal").collect()] == ["t1", "named"]
+
+
+def test_time_column(spark):
+    df = spark.createDataFrame([("x", "2024-01-01", 1.0), ("2024-01-02", None, 2.0)], "bad_time string, start_date string, v double")
+    assert stats.time_column(df) == "start_date"
+    assert stats.time_column(df.select("v", "bad_time")) is None
+    assert stats.time_column(df.select("v", F.current_timestamp().alias("at"))) == "at"

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tuyere.functions import names
-from tuyere.operators import dictionary, graph, impute, knowledge, mapping, metrics, outliers, retrieval, scale, stats
+from tuyere.operators import dictionary, graph, imports, impute, knowledge, mapping, metrics, outliers, retrieval, scale, stats
+from tuyere.sources import catalog
 from tuyere.sources.testdata import SERIES_SQL, series, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -438,3 +439,83 @@ QUERIES["metric_adaptation"] = lambda spark, sf: metrics.adaptation(table(spark,
 ORACLE_SQL["metric_adaptation"] = "SELECT l_returnflag, round(avg((l_tax::DOUBLE >= l_discount::DOUBLE)::INT), 6) AS rate FROM lineitem GROUP BY 1"
 QUERIES["lof_scores"] = lambda spark, sf: outliers.local_outlier_factor(table(spark, sf, "embeddings"), "vec_id", "embedding", 10).select("vec_id", *_r("lof", digits=4))
 QUERIES["kg_link_scores"] = lambda spark, sf: graph.link_candidates(table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("x")), spark.createDataFrame([], "src string, dst string"), 0.5)
+
+
+# imports and settings: a sheet with known, new, repeated and blank rows, and pools written with underscores
+def _sheet(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part")
+    k = F.col("p_partkey")
+    work_type = F.when(k % 11 == 0, F.concat(F.lit("NEW "), F.col("p_brand"))).otherwise(F.col("p_type"))
+    pool = F.when(k % 7 == 0, F.concat(F.lit("size_"), (F.col("p_size") % 10).cast("string"))).when(k % 13 == 0, "no pool").otherwise(F.concat(F.lit(" size "), (F.col("p_size") % 10).cast("string")))
+    dataset = F.when(k % 5 == 0, F.concat(F.lit("extra "), (k % 40).cast("string"))).when(k % 17 == 0, "  ").otherwise(F.col("p_name"))
+    return p.select(k.alias("ordinal"), work_type.alias("work_type"), F.concat_ws(" - ", "p_type", "p_brand").alias("category"), pool.alias("pool"), dataset.alias("dataset"))
+
+
+def _imported(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    d = parts(spark, sf)
+    types = d.groupBy("work_type").agg(F.min("ordinal").alias("no"))
+    return imports.template_import(d, types, d.select("pool").distinct(), _sheet(spark, sf))
+
+
+QUERIES["import_template"] = lambda spark, sf: _imported(spark, sf)[0]
+QUERIES["import_template_types"] = lambda spark, sf: _imported(spark, sf)[1]
+QUERIES["import_template_counts"] = lambda spark, sf: _imported(spark, sf)[2]
+_SHEET = (
+    f"WITH {PARTS}, h AS (SELECT p_partkey AS ordinal, CASE WHEN p_partkey % 11 = 0 THEN 'NEW ' || p_brand ELSE p_type END AS work_type, p_type || ' - ' || p_brand AS category, "
+    "CASE WHEN p_partkey % 7 = 0 THEN 'size_' || (p_size % 10) WHEN p_partkey % 13 = 0 THEN 'no pool' ELSE 'size ' || (p_size % 10) END AS raw, "
+    "CASE WHEN p_partkey % 5 = 0 THEN 'extra ' || (p_partkey % 40) WHEN p_partkey % 17 = 0 THEN '' ELSE p_name END AS dataset FROM part), "
+    "k AS (SELECT DISTINCT pool FROM d), s AS (SELECT h.* EXCLUDE (raw), coalesce(k.pool, raw) AS pool, CASE WHEN dataset = '' THEN 'blank' WHEN k.pool IS NULL THEN 'unknown pool' END AS bad FROM h LEFT JOIN k ON replace(raw, ' ', '_') = replace(k.pool, ' ', '_')), "
+    "r AS (SELECT *, CASE WHEN bad IS NOT NULL THEN 'skipped: ' || bad WHEN EXISTS (SELECT 1 FROM d WHERE d.work_type = s.work_type AND d.category = s.category AND d.pool = s.pool AND d.dataset = s.dataset) OR row_number() OVER (PARTITION BY work_type, category, pool, dataset, bad IS NULL ORDER BY ordinal) > 1 THEN 'skipped: known' ELSE 'added' END AS status FROM s), "
+    "w AS (SELECT work_type, min(ordinal) AS first FROM r WHERE bad IS NULL AND work_type NOT IN (SELECT work_type FROM d) GROUP BY 1)"
+)
+ORACLE_SQL["import_template"] = f"{_SHEET} SELECT work_type, category, pool, dataset, ordinal, status FROM r"
+ORACLE_SQL["import_template_types"] = f"{_SHEET} SELECT work_type, (SELECT max(n) FROM (SELECT min(ordinal) AS n FROM d GROUP BY work_type)) + row_number() OVER (ORDER BY first) AS no FROM w"
+ORACLE_SQL["import_template_counts"] = (
+    f"{_SHEET} SELECT (SELECT count(*) FROM w) AS work_types_added, (SELECT count(*) FROM (SELECT work_type, category FROM r WHERE bad IS NULL EXCEPT SELECT work_type, category FROM d)) AS categories_added, "
+    "(SELECT count(*) FROM r WHERE status = 'added') AS datasets_added, (SELECT count(*) FROM r WHERE status <> 'added') AS rows_skipped"
+)
+
+
+def _settings(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    s = table(spark, sf, "supplier")
+    k = F.col("s_suppkey")
+    attributes = s.select(k.alias("dataset_id"), F.lit("grid").alias("time_alignment_strategy"), F.when(k % 2 == 0, "Asia/Shanghai").when(k % 3 == 0, "").alias("default_timezone"), F.when(k % 5 == 0, "unix").alias("timestamp_format"), (k % 60).cast("int").alias("sampling_interval_seconds"), (k % 2 == 0).alias("allow_interpolation"), F.lit("linear").alias("interpolation_method"))
+    return attributes, s.select(k.alias("dataset_id"), F.concat(F.lit("t"), (F.col("s_nationkey")).cast("string")).alias("table_name"))
+
+
+def align_settings(spark: SparkSession, sf: str) -> DataFrame:
+    return imports.alignment_settings(*_settings(spark, sf), "t3")
+
+
+def align_settings_update(spark: SparkSession, sf: str) -> DataFrame:
+    return imports.update_alignment_settings(*_settings(spark, sf), "t3", {"time_alignment_strategy": "nearest", "sampling_interval_seconds": 5})
+
+
+QUERIES["align_settings"], QUERIES["align_settings_update"] = align_settings, align_settings_update
+_SET = "a AS (SELECT s_suppkey AS dataset_id, 't' || s_nationkey AS table_name, 'grid' AS time_alignment_strategy, CASE WHEN s_suppkey % 2 = 0 THEN 'Asia/Shanghai' WHEN s_suppkey % 3 = 0 THEN '' END AS default_timezone, CASE WHEN s_suppkey % 5 = 0 THEN 'unix' END AS timestamp_format, (s_suppkey % 60)::INT AS sampling_interval_seconds, s_suppkey % 2 = 0 AS allow_interpolation, 'linear' AS interpolation_method FROM supplier)"
+ORACLE_SQL["align_settings"] = f"WITH {_SET} SELECT dataset_id, time_alignment_strategy, coalesce(nullif(default_timezone, ''), 'UTC') AS default_timezone, coalesce(timestamp_format, 'ISO8601') AS timestamp_format, sampling_interval_seconds, allow_interpolation, interpolation_method FROM a WHERE table_name = 't3'"
+ORACLE_SQL["align_settings_update"] = f"WITH {_SET} SELECT dataset_id, CASE WHEN table_name = 't3' THEN 'nearest' ELSE time_alignment_strategy END AS time_alignment_strategy, CASE WHEN table_name = 't3' THEN 'UTC' ELSE default_timezone END AS default_timezone, CASE WHEN table_name = 't3' THEN 'ISO8601' ELSE timestamp_format END AS timestamp_format, CASE WHEN table_name = 't3' THEN 5 ELSE sampling_interval_seconds END AS sampling_interval_seconds, CASE WHEN table_name <> 't3' THEN allow_interpolation END AS allow_interpolation, CASE WHEN table_name <> 't3' THEN interpolation_method END AS interpolation_method FROM a"
+
+
+def model_registry(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "nation")
+    make = lambda rows, name: rows.select(F.concat(F.lit("m"), F.col("n_nationkey").cast("string")).alias("model_id"), F.concat(F.lit(name), "n_name").alias("name"), F.col("n_nationkey").alias("created"), F.create_map(F.lit("region"), F.col("n_regionkey").cast("string")).alias("tags"))
+    models = imports.register_model(make(n.where("n_nationkey < 15"), "first "), make(n.where("n_nationkey >= 10"), "second "))
+    models = imports.unregister_models(imports.register_model(models, make(n.where("n_nationkey < 3"), "third "), overwrite=True), ["m2", "m99"])
+    return mapping.registry_list(models, ("region", "1")).select("model_id", "name", "created")
+
+
+QUERIES["model_registry"] = model_registry
+ORACLE_SQL["model_registry"] = "SELECT 'm' || n_nationkey AS model_id, CASE WHEN n_nationkey < 3 THEN 'third ' WHEN n_nationkey < 15 THEN 'first ' ELSE 'second ' END || n_name AS name, n_nationkey AS created FROM nation WHERE n_nationkey <> 2 AND n_regionkey = 1"
+
+# queries of operators that had none
+QUERIES["graph_degrees"] = lambda spark, sf: graph.degrees(*_graph(spark, sf)[1:])
+ORACLE_SQL["graph_degrees"] = f"{_GRAPH} SELECT id, type, (SELECT count(*) FROM edges WHERE dst = id) AS n_in, (SELECT count(*) FROM edges WHERE src = id) AS n_out FROM nodes"
+QUERIES["attribute_fields"] = lambda spark, sf: Q.distinct_attributes(table(spark, sf, "nation").groupBy("n_regionkey").agg(F.map_from_entries(F.collect_list(F.struct(F.col("n_nationkey").cast("string"), F.when(F.col("n_nationkey") % 4 == 0, " ").otherwise(F.substring("n_name", 1, 2))))).alias("fields")))
+ORACLE_SQL["attribute_fields"] = "SELECT count(DISTINCT left(n_name, 2)) AS n FROM nation WHERE n_nationkey % 4 <> 0"
+QUERIES["survey_links"] = lambda spark, sf: metrics.survey_links(table(spark, sf, "part").select(F.col("p_name").alias("question"), F.col("p_size").cast("string").alias("yes"), F.when(F.col("p_partkey") % 9 > 0, (F.col("p_partkey") % 7).cast("string")).otherwise("-").alias("no"), (F.col("p_size") + F.col("p_partkey") % 7 + (F.col("p_partkey") % 3 == 0).cast("int")).cast("string").alias("total")))
+ORACLE_SQL["survey_links"] = "SELECT p_name AS question, unnest(['Yes', 'No']) AS answer, unnest([p_size, p_partkey % 7])::INT AS n FROM part WHERE p_partkey % 9 > 0 AND p_partkey % 3 > 0"
+QUERIES["read_raw"] = lambda spark, sf: catalog.read_raw(table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("price"), F.col("o_custkey").cast("double").alias("customer")), "o_orderkey", limit=50)
+ORACLE_SQL["read_raw"] = "WITH o AS (SELECT * FROM orders ORDER BY o_orderkey LIMIT 50) SELECT o_orderkey, 'price' AS series, o_totalprice::DOUBLE AS v FROM o UNION ALL SELECT o_orderkey, 'customer', o_custkey::DOUBLE FROM o"
+QUERIES["read_table"] = lambda spark, sf: catalog.read_table(table(spark, sf, "part"), ["p_partkey", "p_name", "p_size"], "p_size > 25 and p_type like '%TIN%'")
+ORACLE_SQL["read_table"] = "SELECT p_partkey, p_name, p_size FROM part WHERE p_size > 25 AND p_type LIKE '%TIN%'"
