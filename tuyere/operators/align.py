@@ -53,7 +53,8 @@ def interpolate(points: DataFrame, grid: DataFrame, method: str = "linear", max_
         order, point = Window.partitionBy("series", "_c").orderBy("_i"), F.struct("t", "v")
         near = chunked(points, "series", "t", ["t"], 1, 2)
         near = near.select("series", "t", "v", F.lag(point).over(order).alias("p0"), F.lead(point).over(order).alias("p2"), F.lead(point, 2).over(order).alias("p3"), "_home").where("_home")
-        found = bracket(near, grid, "p0", "p2", "p3").select("*", "prev.p0", "prev.p2", "prev.p3")
+        # stored, so that its partitions are no part of the plan: a union with the grid, dealt by the same key, must deal both anew
+        found = bracket(stored(near.drop("_home"), "align-neighbours"), grid, "p0", "p2", "p3").select("*", "prev.p0", "prev.p2", "prev.p3")
     else:
         found = bracket(points, grid)
     a, b, t = F.col("prev"), F.col("next"), F.col("t")

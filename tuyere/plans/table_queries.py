@@ -56,7 +56,7 @@ ORACLE_SQL["scale_log"] = f"SELECT {KEY}, round(ln(l_extendedprice::DOUBLE), 6)
 QUERIES["scale_grouped"] = lambda spark, sf: scale.within_groups(series(spark, sf), ["series"], "v").select("id", *_r("scaled"))
 ORACLE_SQL["scale_grouped"] = f"WITH {SERIES_SQL} SELECT id, round((v - avg(v) OVER w) / nullif(stddev_samp(v) OVER w, 0), 6) AS scaled FROM s WINDOW w AS (PARTITION BY series)"
 QUERIES["scale_quantile"] = lambda spark, sf: scale.quantile_scale(_items(spark, sf), "l_extendedprice").select("l_orderkey", "l_linenumber", *_r("scaled"))
-_POINTS = "(SELECT least(1000, count(l_extendedprice)) AS m FROM i)"
+_POINTS = "(SELECT least(1000, count(x)) AS m FROM i)"
 _Q1000 = f"WITH i AS (SELECT {KEY}, l_extendedprice::DOUBLE AS x FROM lineitem), m AS {_POINTS}, g AS (SELECT unnest(range(m)) AS k, m FROM m), a AS (SELECT list(x ORDER BY x) AS xs, count(*) AS n FROM i), "
 _Q1000 += "q AS (SELECT k, m, xs[floor(k::DOUBLE / (m - 1) * (n - 1))::BIGINT + 1] + (xs[least(n, floor(k::DOUBLE / (m - 1) * (n - 1))::BIGINT + 2)] - xs[floor(k::DOUBLE / (m - 1) * (n - 1))::BIGINT + 1]) * (k::DOUBLE / (m - 1) * (n - 1) - floor(k::DOUBLE / (m - 1) * (n - 1))) AS v FROM g, a), "
 _Q1000 += "s AS (SELECT v, min(k) AS lo, max(k) AS hi, any_value(m) AS m FROM q GROUP BY v), t AS (SELECT *, lead(v) OVER (ORDER BY v) AS v2, lead(lo) OVER (ORDER BY v) AS lo2, row_number() OVER (ORDER BY v) AS place FROM s) "
