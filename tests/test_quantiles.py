@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tuyere.functions.quantiles import how_many_up_to, quantiles
+from tuyere.functions.quantiles import evenly, how_many_up_to, quantiles
 from tuyere.functions.special import normal_inverse, normal_share
 from tuyere.operators import scale, stats
 
@@ -48,6 +48,15 @@ def test_search_and_ranks(spark):
         assert got[v] == first + (values.count(v) + 1) / 2
 
 
+def test_even_quantiles(spark):
+    rng = random.Random(6)
+    for n, points in ((2, 2), (7, 5), (50, 50), (400, 33), (1000, 1000)):
+        values = [float(rng.choice([rng.randrange(5), rng.random()])) for _ in range(n)]
+        got = {r.k: r.v for r in evenly(spark.createDataFrame([(v,) for v in values], "_v double"), n, points).collect()}
+        assert sorted(got) == list(range(points))
+        assert np.allclose([got[k] for k in range(points)], np.quantile(values, np.linspace(0, 1, points)), atol=1e-12)
+
+
 def test_normal_functions():
     from statistics import NormalDist
 

@@ -73,3 +73,33 @@ def how_many_up_to(bounds: Column, x: Column, most: int, key=lambda e: e) -> Col
     """How many of the sorted bounds (no more than ``most``) are not above x, by binary search."""
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, most).bit_length()))])
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(key(F.get(bounds, at + step - 1)) <= x, at + step).otherwise(at))
+
+
+def cumulative(values: DataFrame, buckets: int = 1000) -> DataFrame:
+    """_v, _n, _before: the distinct values of the column _v, how often each occurs, and how many values are below it. Counts
+    are summed per bucket of values first (buckets lie between approximate quantiles), so that the running sum over everything
+    has one row per bucket, and no task orders all."""
+    counts = values.groupBy("_v").agg(F.count("*").alias("_n"))
+    bounds = values.agg(F.array_distinct(F.percentile_approx("_v", F.array(*[F.lit(k / buckets) for k in range(1, buckets)]), 10 * buckets)).alias("_q"))  # one row
+    counts = counts.crossJoin(F.broadcast(bounds)).withColumn("_b", how_many_up_to(F.col("_q"), F.col("_v"), buckets)).drop("_q")
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
+    offsets = counts.groupBy("_b").agg(F.sum("_n").alias("_s")).select("_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_o"))
+    within = Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_c", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(F.broadcast(offsets), "_b")  # no more rows than buckets
+    return counts.select("_v", "_n", (F.col("_o") + F.col("_c")).alias("_before"))
+
+
+def evenly(values: DataFrame, n: int, points: int) -> DataFrame:
+    """k, v: so many quantiles (two at least) in equal steps of the n values (two at least) of the column _v. Each distinct
+    value is at the places from its _before on, and tells for which k the place below or above it is one of them."""
+    table = stored(cumulative(values), "cumulative")
+    span, steps = n - 1, points - 1
+    exact = lambda place: f"(greatest(0L, {place}) * {steps}L + {span}L - 1) div {span}L"
+
+    def at(shift: int, name: str) -> DataFrame:
+        ks = table.selectExpr("_v", f"{exact(f'_before - {shift}L')} as a", f"least({steps}L, {exact(f'_before + _n - {shift}L')} - 1) as b").where("a <= b")
+        return ks.selectExpr("explode(sequence(a, b)) as k", f"_v as {name}")
+
+    low, high = at(0, "lo"), at(1, "hi")
+    place = f"(k * {span}L % {steps}L) / {steps}D"
+    return low.join(high, "k", "left").selectExpr("k", f"lo + (coalesce(hi, lo) - lo) * {place} as v")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tuyere.functions.quantiles import how_many_up_to, quantiles
+from tuyere.functions.quantiles import evenly, how_many_up_to, quantiles
 
 LINEAR = ("zscore", "mad", "minmax", "robust", "iqr_q1")
 
@@ -70,10 +70,11 @@ def quantile_scale(df: DataFrame, column: str, points: int = 1000, output: str =
     Where reference quantiles are equal, the mean of the lowest and the highest share of that value counts. A table of fewer
     rows than points has as many reference quantiles as rows."""
     n = df.where(F.col(column).isNotNull()).count()
+    if n < 2:
+        return df.withColumn("scaled", F.when(F.col(column).isNotNull(), 0.0))
     points = max(2, min(points, n))
-    share = [k / (points - 1) for k in range(points)]
-    ref = quantiles(df, {column: F.col(column)}, share).select(F.col("q").alias("_q"))
-    steps = ref.select(F.posexplode("_q").alias("k", "v")).groupBy("v").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
+    ref = evenly(df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("_v")), n, points)
+    steps = ref.groupBy("v").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
     steps = steps.agg(F.sort_array(F.collect_list(F.struct("v", "lo", "hi"))).alias("_s"))  # no more entries than points
     x, s = F.col(column).cast("double"), F.col("_s")
     at = how_many_up_to(s, x, points, lambda e: e["v"])

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tuyere.functions.quantiles import how_many_up_to, quantiles
+from tuyere.functions.quantiles import cumulative, quantiles
 
 
 def longer(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -94,17 +94,9 @@ def _with_t(e: DataFrame) -> DataFrame:
 
 
 def ranks(df: DataFrame, column: str, buckets: int = 1000) -> DataFrame:
-    """_v, _rank: the average rank of each distinct value. Counts per value are summed per bucket of values first (buckets lie
-    between approximate quantiles), so that the running sum over everything has one row per bucket, and no task orders all."""
-    values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("_v"))
-    counts = values.groupBy("_v").agg(F.count("*").alias("_n"))
-    bounds = values.agg(F.array_distinct(F.percentile_approx("_v", F.array(*[F.lit(k / buckets) for k in range(1, buckets)]), 10 * buckets)).alias("_q"))  # one row
-    counts = counts.crossJoin(F.broadcast(bounds)).withColumn("_b", how_many_up_to(F.col("_q"), F.col("_v"), buckets)).drop("_q")
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
-    offsets = counts.groupBy("_b").agg(F.sum("_n").alias("_s")).select("_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_o"))
-    within = Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_c", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(F.broadcast(offsets), "_b")  # no more rows than buckets
-    return counts.select("_v", (F.col("_o") + F.col("_c") + (F.col("_n") + 1) / 2).alias("_rank"))
+    """_v, _rank: the average rank of each distinct value."""
+    table = cumulative(df.where(F.col(column).isNotNull()).select(F.col(column).alias("_v")), buckets)
+    return table.select("_v", (F.col("_before") + (F.col("_n") + 1) / 2).alias("_rank"))
 
 
 def rank_of(df: DataFrame, column: str, name: str) -> DataFrame:
