@@ -4,8 +4,9 @@
    stored, so that texts are read once.
 2. Each rule's failures are summed by host, within each map task first.
 3. A host's failure rate is shrunk towards the rates of all hosts: a beta prior per rule, whose mean is the share of all rows
-   that fail and whose strength comes from how much hosts differ beyond chance (analysis of variance of the rates). Hosts that
-   differ by no more than chance get a strength of ``MOST_STRENGTH`` rows.
+   that fail and whose strength comes from how much hosts differ beyond chance (analysis of variance of the rates), from
+   ``LEAST_STRENGTH`` rows, so that a document or two are no verdict about a host, to ``MOST_STRENGTH``, also where hosts differ
+   by no more than chance.
 4. A host fails if for some rule the shrunk rate, less ``sureness`` standard deviations of its posterior, is above ``most``.
    Documents of failed hosts go, besides those that fail by themselves.
 5. The verdicts of hosts with more than one in ``HOT`` of all rows (fewer than HOT hosts) are broadcast; other hosts' rows
@@ -27,7 +28,7 @@ from tuyere.llm.shared import SPACE_PATTERN, written
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOL_PATTERN = r"[#*$%&|<>]"
-HOT, MOST_STRENGTH = 1000, 10_000.0
+HOT, LEAST_STRENGTH, MOST_STRENGTH = 1000, 10.0, 10_000.0
 #: What a document fails: the first two decide about it alone, all of them about its host.
 RULES: dict[str, str] = {
     "few_words": "n_words < 50",
@@ -87,7 +88,7 @@ def host_rates(counts: DataFrame, rules: dict[str, str], most: float, sureness:
             size = (n - total["squares"] / n) / (m - 1)
             spread = between + (size - 1) * within
             alike = (between - within) / spread if spread > 0 else 0.0  # correlation of a host's rows
-            strength = min(MOST_STRENGTH, max(1 / alike - 1, 1e-3)) if alike > 0 else MOST_STRENGTH
+            strength = min(MOST_STRENGTH, max(LEAST_STRENGTH, 1 / alike - 1)) if alike > 0 else MOST_STRENGTH
         rate = (F.col(f"f_{r}") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))
         rates.append(rate.alias(f"rate_{r}"))
         bad = bad | (rate - sureness * F.sqrt(rate * (1 - rate) / (F.col("n") + F.lit(strength) + 1)) > most)

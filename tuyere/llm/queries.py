@@ -184,7 +184,7 @@ ORACLE_SQL: dict[str, str] = {
         v AS (SELECT rule, count(*) AS m, sum(n) AS n, sum(n * n) AS squares, sum(f) AS f, sum(f * f / n) AS q FROM s GROUP BY rule),
         e AS (SELECT rule, f / n AS mean, (q - f * f / n) / (m - 1) AS between_hosts, (f - q) / (n - m) AS within_hosts, (n - squares / n) / (m - 1) AS size FROM v),
         z AS (SELECT *, (between_hosts - within_hosts) / nullif(between_hosts + (size - 1) * within_hosts, 0) AS alike FROM e),
-        i AS (SELECT rule, mean, CASE WHEN isfinite(alike) AND alike > 0 THEN least(10000, greatest(1 / alike - 1, 0.001)) ELSE 10000 END AS strength FROM z),
+        i AS (SELECT rule, mean, CASE WHEN isfinite(alike) AND alike > 0 THEN least(10000, greatest(1 / alike - 1, 10)) ELSE 10000 END AS strength FROM z),
         j AS (SELECT source, n + strength AS total, (f + mean * strength) / (n + strength) AS rate FROM s JOIN i USING (rule)),
         k AS (SELECT source, bool_or(rate - 2 * sqrt(rate * (1 - rate) / (total + 1)) > 0.5) AS bad FROM j GROUP BY source)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
