@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuyere.operators import attention, attribution, dictionary, impute, models, semantic
+from tuyere.operators import attention, attention_training, attribution, dictionary, graph, impute, models, semantic
 from tuyere.plans.series_queries import _line_sql, _r
 from tuyere.plans.table_queries import PARTS, _graph, parts
 from tuyere.sources import synthetic
@@ -103,6 +103,23 @@ def kg_attention(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["kg_attention"] = kg_attention
+
+#: Steps of training in the query; the operator's own default is 200, each of which takes five rounds of messages.
+EPOCHS, RATE = 10, 0.02
+
+
+def kg_link_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Two layers of attention trained on the dictionary graph, and the pairs of datasets that its vectors link but no edge does."""
+    _, nodes, edges = _graph(spark, sf)
+    known = edges.where(F.col("type").isin(*attention_training.ATTEND))
+    found = attention_training.graph_of(attention.features(nodes, edges), known)
+    pairs = attention_training.examples(nodes, edges, edges.where(F.col("type").isin(*attention_training.EXAMPLES)))
+    model, _ = attention_training.train(found, pairs, epochs=EPOCHS, rate=RATE)
+    vectors = attention_training.embed(found, model).join(nodes.where("type = 'dataset'").select("id"), "id", "left_semi")
+    return graph.link_candidates(vectors, edges).select("a", "b", *_r("p"))
+
+
+QUERIES["kg_link_scores"] = kg_link_scores
 QUERIES["made_furnace"] = lambda spark, sf: synthetic.furnace(spark, 1000)
 QUERIES["made_patterns"] = lambda spark, sf: synthetic.patterns(spark, 1000)
 QUERIES["made_series"] = lambda spark, sf: synthetic.series(table(spark, sf, "supplier").select(F.col("s_name").alias("id")), 100)

@@ -438,7 +438,6 @@ ORACLE_SQL["metric_durations"] = "SELECT event_type, count(value) AS n, round(av
 QUERIES["metric_adaptation"] = lambda spark, sf: metrics.adaptation(table(spark, sf, "lineitem"), "l_returnflag", F.col("l_tax").cast("double"), F.col("l_discount").cast("double")).select("l_returnflag", *_r("rate"))
 ORACLE_SQL["metric_adaptation"] = "SELECT l_returnflag, round(avg((l_tax::DOUBLE >= l_discount::DOUBLE)::INT), 6) AS rate FROM lineitem GROUP BY 1"
 QUERIES["lof_scores"] = lambda spark, sf: outliers.local_outlier_factor(table(spark, sf, "embeddings"), "vec_id", "embedding", 10).select("vec_id", *_r("lof", digits=4))
-QUERIES["kg_link_scores"] = lambda spark, sf: graph.link_candidates(table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("x")), spark.createDataFrame([], "src string, dst string"), 0.5)
 
 
 # imports and settings: a sheet with known, new, repeated and blank rows, and pools written with underscores
