@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tuyere.plans import model_queries, series_queries, table_queries
+from tuyere.plans import column_queries, model_queries, series_queries, table_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = series_queries.QUERIES | table_queries.QUERIES | model_queries.QUERIES
-ORACLE_SQL: dict[str, str] = series_queries.ORACLE_SQL | table_queries.ORACLE_SQL | model_queries.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = series_queries.QUERIES | table_queries.QUERIES | model_queries.QUERIES | column_queries.QUERIES
+ORACLE_SQL: dict[str, str] = series_queries.ORACLE_SQL | table_queries.ORACLE_SQL | model_queries.ORACLE_SQL | column_queries.ORACLE_SQL

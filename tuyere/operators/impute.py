@@ -75,14 +75,21 @@ def fill_cubic(df: DataFrame, chunk: int = 100_000) -> DataFrame:
 
 
 def fill_statistic(df: DataFrame, how: str = "mean") -> DataFrame:
-    """The series' mean, median or mode (smallest of equals); the mean is also what a one-column nearest-neighbour or
-    chained-equation fill comes to."""
+    """The series' mean, median or mode (smallest of equals); the mean is also what a nearest-neighbour or chained-equation fill
+    of one column comes to. Those of several columns are in impute_columns."""
     if how == "median":
         return with_quantiles(df, "series", F.col("v"), [0.5], "_q").withColumn("filled", F.coalesce("v", F.col("_q")[0])).drop("_q")
     stat = {"mean": F.avg("v"), "mode": F.mode("v", True), "knn": F.avg("v"), "mice": F.avg("v")}[how]
     return with_stats(df, "series", stat.alias("_x")).withColumn("filled", F.coalesce("v", "_x")).drop("_x")
 
 
+def fill_spline(df: DataFrame) -> DataFrame:
+    """The natural cubic spline through all known values of the series."""
+    from tuyere.operators import smoothing  # which needs this module's order of rows
+
+    return smoothing.fill_spline(df)
+
+
 METHODS = {
     "linear": fill_linear,
     "time": lambda df: fill_linear(df, by_time=True),
@@ -90,7 +97,8 @@ METHODS = {
     "ffill": fill_forward,
     "bfill": fill_backward,
     "kalman": fill_smoothed,
-    "spline": fill_cubic,
+    "spline": fill_spline,
+    "cubic": fill_cubic,
     **{k: (lambda df, k=k: fill_statistic(df, k)) for k in ("mean", "median", "mode", "knn", "mice")},
 }
 

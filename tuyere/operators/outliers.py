@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tuyere.functions.frames import centred, chunked, frame, with_stats
+from tuyere.functions.nearest import nearest
 from tuyere.functions.quantiles import quantiles, with_quantiles
+from tuyere.functions.storage import stored
 
 ORDER = ["t", "id"]
 
@@ -161,17 +163,28 @@ def rolling(df: DataFrame, window: int = 5, chunk: int = 100_000) -> DataFrame:
     return rows.where("_home").drop("_i", "_c", "_home")
 
 
-def local_outlier_factor(df: DataFrame, id_col: str, vector_col: str, k: int = 20, blocks: int = 8) -> DataFrame:
-    """id, lof: exact, by nearest neighbours found block against block; each task keeps only its k best a row.
-    For sets that may be compared in full; ties are ordered by id."""
-    points = df.select(F.col(id_col).alias("i"), F.col(vector_col).cast("array<double>").alias("x")).where("x is not null")
-    stack = points.withColumn("b", F.pmod(F.xxhash64("i"), F.lit(blocks)))
-    mine = stack.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = mine.alias("p").join(stack.select(F.col("i").alias("j"), F.col("x").alias("y"), F.col("b").cast("int").alias("o")), "o").where("i <> j")
-    d = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, e: s + e))
-    near = pairs.select("i", "j", d.alias("d"))
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("r") <= k).drop("r")
-    kdist = near.groupBy("i").agg(F.max("d").alias("kd"))
-    reach = near.join(kdist.select(F.col("i").alias("j"), "kd"), "j").withColumn("reach", F.greatest("d", "kd"))
-    density = reach.groupBy("i").agg(F.try_divide(F.lit(1.0), F.avg("reach") + 1e-10).alias("lrd"))
-    return reach.join(density.select(F.col("i").alias("j"), F.col("lrd").alias("other")), "j").groupBy("i").agg(F.avg("other").alias("o")).join(density, "i").select(F.col("i").alias(id_col), (F.col("o") / F.col("lrd")).alias("lof"))
+def local_outlier_factor(df: DataFrame, id_col: str, vector_col: str, k: int = 20) -> DataFrame:
+    """id, lof: exact, over all rows with a vector. Equal vectors are one point that counts as often as it occurs, so a large
+    group of copies is compared once; nearest points come from cells around pivots (functions/nearest.py). Of points at one
+    distance those with the smaller least id are nearer. Rows whose vector holds a null or is not as long as most go without."""
+    rows = df.select(F.col(id_col).alias("i"), F.col(vector_col).cast("array<double>").alias("x")).where("x is not null and not exists(x, v -> v is null or isnan(v))")
+    rows = stored(rows, "lof-rows")
+    length = rows.groupBy(F.size("x").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
+    rows = rows.where(F.size("x") == (length.n if length else 0))
+    points = stored(rows.groupBy("x").agg(F.min("i").alias("i"), F.count("*").alias("w")), "lof-points")
+    where = points.select(F.lit("all").alias("space"), "i", "x")
+    others = nearest(where.withColumnRenamed("i", "q"), where, k + 1).where("q <> i").select("q", "i", "d")
+    counted = others.join(points.select("i", "w"), "i").unionByName(points.where("w > 1").select(F.col("i").alias("q"), "i", F.lit(0.0).alias("d"), (F.col("w") - 1).alias("w")))
+    before = F.coalesce(F.sum("w").over(Window.partitionBy("q").orderBy("d", "i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = stored(counted.withColumn("m", F.least("w", k - before)).where("m > 0").select("q", "i", "d", "m"), "lof-near")  # no more than k a point
+    reach = near.join(near.groupBy(F.col("q").alias("i")).agg(F.max("d").alias("kd")), "i")
+    density = stored(reach.groupBy("q").agg((1 / (F.sum(F.col("m") * F.greatest("d", "kd")) / F.sum("m") + 1e-10)).alias("lrd")), "lof-density")
+    mean = near.join(density.select(F.col("q").alias("i"), F.col("lrd").alias("other")), "i").groupBy("q").agg((F.sum(F.col("m") * F.col("other")) / F.sum("m")).alias("o"))
+    scores = mean.join(density, "q").join(points.select(F.col("i").alias("q"), "x"), "q").select("x", (F.col("o") / F.col("lrd")).alias("lof"))
+    return rows.join(scores, "x").select(F.col("i").alias(id_col), "lof")
+
+
+def lof_outliers(df: DataFrame, id_col: str, vector_col: str, k: int = 20, contamination: float = 0.05) -> DataFrame:
+    """id, lof, is_outlier: the given share with the largest factors."""
+    rows = stored(local_outlier_factor(df, id_col, vector_col, k), "lof")
+    return rows.crossJoin(F.broadcast(quantiles(rows, {"lof": F.col("lof")}, [1 - contamination]).select(F.col("q")[0].alias("_q")))).withColumn("is_outlier", F.col("lof") > F.col("_q")).drop("_q")

@@ -126,19 +126,6 @@ def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     return reduce(lambda p, q: p.unionByName(q), parts)
 
 
-def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
-    """a, b, n, tau: tau-b from counts of distinct pairs of values, compared with each other; for columns of few distinct
-    value pairs (their square is the work)."""
-    c = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").alias("w"))
-    p, q = c.alias("p"), c.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("w").alias("w2")).alias("q")
-    s = p.join(q, F.col("x") < F.col("x2")).agg(F.sum(F.col("w") * F.col("w2") * F.signum(F.col("y2") - F.col("y"))).alias("s"))
-    ties = lambda col: c.groupBy(col).agg(F.sum("w").alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).alias(f"t{col}"))
-    n = c.agg(F.sum("w").alias("n"))
-    one = n.crossJoin(s).crossJoin(ties("x")).crossJoin(ties("y"))  # one row each
-    all_pairs = F.col("n") * (F.col("n") - 1) / 2
-    return one.select(F.lit(a).alias("a"), F.lit(b).alias("b"), "n", F.try_divide("s", F.sqrt((all_pairs - F.col("tx")) * (all_pairs - F.col("ty")))).alias("tau"))
-
-
 def top_pairs(corr: DataFrame, n: int = 10) -> DataFrame:
     return corr.orderBy(F.desc(F.abs("r")), "a", "b").limit(n)
 

@@ -121,7 +121,7 @@ _FILL = {
 for m, (at, value) in _FILL.items():
     QUERIES[f"impute_{m}"] = lambda spark, sf, m=m: impute.METHODS[m](gappy(spark, sf)).select("id", *_r("filled"))
     ORACLE_SQL[f"impute_{m}"] = f"WITH {GAPPY_SQL}, {_line_sql('SELECT * FROM s', at)} SELECT id, round({value}, 6) AS filled FROM y"
-for m, stat in (("mean", "avg(v) OVER w"), ("median", "median(v) OVER w"), ("knn", "avg(v) OVER w"), ("mice", "avg(v) OVER w")):
+for m, stat in (("mean", "avg(v) OVER w"), ("median", "median(v) OVER w")):
     QUERIES[f"impute_{m}"] = lambda spark, sf, m=m: impute.fill_statistic(gappy(spark, sf), m).select("id", *_r("filled"))
     ORACLE_SQL[f"impute_{m}"] = f"WITH {GAPPY_SQL} SELECT id, round(coalesce(v, {stat}), 6) AS filled FROM s WINDOW w AS (PARTITION BY series)"
 QUERIES["impute_mode"] = lambda spark, sf: impute.fill_statistic(gappy(spark, sf).withColumn("v", F.floor("v").cast("double")), "mode").select("id", "filled")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tuyere.functions import names
-from tuyere.operators import dictionary, graph, imports, impute, knowledge, mapping, metrics, outliers, retrieval, scale, stats
+from tuyere.operators import concordance, dictionary, graph, imports, impute, knowledge, mapping, metrics, retrieval, scale, stats
 from tuyere.sources import catalog
 from tuyere.sources.testdata import SERIES_SQL, series, table
 
@@ -111,7 +111,7 @@ ORACLE_SQL["corr_top_pairs"] = f"SELECT a, b, n, round(r, 6) AS r FROM ({_corr_s
 QUERIES["corr_spearman"] = lambda spark, sf: stats.spearman(_items(spark, sf), NUMBERS[:3]).select("a", "b", "n", *_r("r"))
 _RANKED = "k AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS {c}" for c in NUMBERS[:3]) + " FROM lineitem)"
 ORACLE_SQL["corr_spearman"] = f"WITH {_RANKED} SELECT a, b, n, round(r, 6) AS r FROM ({_corr_sql([p for p in _PAIRS if 'l_tax' not in p], 'k')})"
-QUERIES["corr_kendall"] = lambda spark, sf: stats.kendall(_items(spark, sf), "l_quantity", "l_discount").select("a", "b", "n", *_r("tau"))
+QUERIES["corr_kendall"] = lambda spark, sf: concordance.kendall(_items(spark, sf), "l_quantity", "l_discount").select("a", "b", "n", *_r("tau"))
 ORACLE_SQL["corr_kendall"] = "WITH c AS (SELECT l_quantity AS x, l_discount AS y, count(*) AS w FROM lineitem GROUP BY 1, 2), s AS (SELECT sum(p.w * q.w * sign(q.y - p.y)) AS s FROM c p JOIN c q ON p.x < q.x), n AS (SELECT sum(w) AS n FROM c), tx AS (SELECT sum(k * (k - 1) / 2) AS t FROM (SELECT sum(w) AS k FROM c GROUP BY x)), ty AS (SELECT sum(k * (k - 1) / 2) AS t FROM (SELECT sum(w) AS k FROM c GROUP BY y)) SELECT 'l_quantity' AS a, 'l_discount' AS b, n::BIGINT AS n, round(s / sqrt((n * (n - 1) / 2 - tx.t) * (n * (n - 1) / 2 - ty.t)), 6) AS tau FROM s, n, tx, ty"
 QUERIES["regression_metrics"] = lambda spark, sf: stats.regression_metrics(_items(spark, sf).withColumn("p", F.col("l_quantity") * 1500.0), "l_extendedprice", "p").select("n", *_r("r2"), *_r("rmse", "mae", digits=3))
 ORACLE_SQL["regression_metrics"] = "WITH i AS (SELECT l_extendedprice::DOUBLE AS y, l_quantity::DOUBLE * 1500 AS p FROM lineitem) SELECT count(*) AS n, round(1 - sum((y - p) ** 2) / (var_pop(y) * count(*)), 6) AS r2, round(sqrt(avg((y - p) ** 2)), 3) AS rmse, round(avg(abs(y - p)), 3) AS mae FROM i"
@@ -437,7 +437,6 @@ QUERIES["metric_durations"] = lambda spark, sf: metrics.durations(table(spark, s
 ORACLE_SQL["metric_durations"] = "SELECT event_type, count(value) AS n, round(avg(value * 60), 4) AS mean_s, round(stddev_samp(value * 60), 4) AS sd_s FROM events GROUP BY 1"
 QUERIES["metric_adaptation"] = lambda spark, sf: metrics.adaptation(table(spark, sf, "lineitem"), "l_returnflag", F.col("l_tax").cast("double"), F.col("l_discount").cast("double")).select("l_returnflag", *_r("rate"))
 ORACLE_SQL["metric_adaptation"] = "SELECT l_returnflag, round(avg((l_tax::DOUBLE >= l_discount::DOUBLE)::INT), 6) AS rate FROM lineitem GROUP BY 1"
-QUERIES["lof_scores"] = lambda spark, sf: outliers.local_outlier_factor(table(spark, sf, "embeddings"), "vec_id", "embedding", 10).select("vec_id", *_r("lof", digits=4))
 
 
 # imports and settings: a sheet with known, new, repeated and blank rows, and pools written with underscores
