@@ -7,6 +7,9 @@ which are copied to the next chunk as a halo.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce, wraps
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,6 +97,32 @@ def centred(n: int) -> tuple[int, int]:
     return n // 2, n - 1 - n // 2
 
 
+def clean(df: DataFrame, *columns: str) -> DataFrame:
+    """NaN is no value: null takes its place in those of the columns that can hold one."""
+    kinds = dict(df.dtypes)
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns if kinds.get(c) in ("double", "float")})
+
+
+def without_nan(*columns: str) -> Callable:
+    """For operators whose first argument is a DataFrame with such columns."""
+
+    def around(operator: Callable) -> Callable:
+        @wraps(operator)
+        def run(df: DataFrame, *args, **options):
+            return operator(clean(df, *columns), *args, **options)
+
+        return run
+
+    return around
+
+
+def with_groups(df: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the columns of groups, which has a row for each value of the keys; null is a value like any other."""
+    renamed = groups.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    return df.join(renamed, same, "left").drop(*[f"_of_{k}" for k in keys])
+
+
 def with_stats(df: DataFrame, key: str, *stats: Column) -> DataFrame:
-    """Joins statistics of each key's rows; they are aggregated before the shuffle."""
-    return df.join(df.groupBy(key).agg(*stats), key)
+    """Joins statistics of each key's rows; they are aggregated before the shuffle. Rows of a null key are a group."""
+    return with_groups(df, df.groupBy(key).agg(*stats), [key])

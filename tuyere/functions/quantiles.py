@@ -19,11 +19,12 @@ ACCURACY = 10_000
 
 
 def quantiles(df: DataFrame, columns: dict[str, Column], shares: list[float], by: list[str] | None = None) -> DataFrame:
-    """by..., name, n, q: for each named column the quantiles of its values that are not null, linear between two values.
+    """by..., name, n, q: for each named column the quantiles of its values that are not null or NaN, linear between two
+    values.
     A column without values has an n of 0 and null quantiles. Rows of a null group are a group of their own."""
     by = by or []
     keys = [f"_g{k}" for k in range(len(by))]
-    rows = df.select(*[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], *[c.cast("double").alias(f"_x{k}") for k, c in enumerate(columns.values())])
+    rows = df.select(*[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], *[F.when(~F.isnan(x := c.cast("double")), x).alias(f"_x{k}") for k, c in enumerate(columns.values())])
     margin = 3.0 / ACCURACY
     marks = ", ".join(f"{min(1.0, max(0.0, s + d))!r}D" for s in shares for d in (-margin, margin))
     xs, js = range(len(columns)), range(len(shares))

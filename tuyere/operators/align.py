@@ -1,6 +1,6 @@
 """Time-scale alignment: irregular series onto a common grid, with gap-limited interpolation (D family).
 
-Input points are rows (series, t in microseconds, id, v); points without a value are left out, of equal times the one with
+Input points are rows (series, t in microseconds, id, v); points without a value (null or NaN) are left out, of equal times the one with
 the smallest id counts. An empty input gives an empty output."""
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tuyere.functions.frames import chunked, neighbours, with_stats
+from tuyere.functions.frames import chunked, clean, neighbours, with_groups, with_stats
 from tuyere.functions.storage import stored
 
 HOUR = 3_600_000_000
@@ -24,7 +24,7 @@ def step_of(frequency: str) -> int:
 
 
 def points_of(df: DataFrame) -> DataFrame:
-    return df.where("v is not null").groupBy("series", "t").agg(F.min_by("v", "id").alias("v"))
+    return clean(df, "v").where("v is not null").groupBy("series", "t").agg(F.min_by("v", "id").alias("v"))
 
 
 def grid_of(points: DataFrame, step: int, shared: bool = False) -> DataFrame:
@@ -155,7 +155,7 @@ def time_offsets(df: DataFrame, most: int = 1000) -> DataFrame:
     mean = F.aggregate("x", F.lit(0.0), lambda a, e: a + e) / F.size("x")
     lists = lists.select("series", x.alias("x")).withColumn("m", mean).withColumn("s", F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, e: a + (e - F.col("m")) * (e - F.col("m"))) / F.size("x")))
     lists = lists.withColumn("z", F.when(F.col("s") > 0, F.transform("x", lambda e: (e - F.col("m")) / F.col("s"))).otherwise(F.transform("x", lambda e: F.lit(0.0))))
-    left = lists.join(F.broadcast(base), F.col("series") == F.col("base")).select(F.col("z").alias("a"))  # one row of at most ``most`` numbers
+    left = lists.join(F.broadcast(base), F.col("series").eqNullSafe(F.col("base"))).select(F.col("z").alias("a"))  # one row of at most ``most`` numbers
     pairs = lists.select("series", "z").crossJoin(F.broadcast(left))
     lags = pairs.withColumn("lag", F.explode(F.sequence(1 - F.size("z"), F.size("a") - 1)))
     overlap = F.zip_with(F.slice("a", F.greatest(F.lit(1), F.col("lag") + 1), 1000000), F.slice("z", F.greatest(F.lit(1), 1 - F.col("lag")), 1000000), lambda p, q: F.coalesce(p * q, F.lit(0.0)))
@@ -163,4 +163,4 @@ def time_offsets(df: DataFrame, most: int = 1000) -> DataFrame:
     r = F.aggregate(F.zip_with("a", "z", lambda p, q: p * q), F.lit(0.0), lambda t, e: t + e) / F.size("a")
     best = scored.groupBy("series").agg(F.min_by(F.struct("lag", "na", "nz", F.when(F.col("na") == F.col("nz"), r * r).otherwise(0.0).alias("r2")), F.struct(-F.col("c"), "lag")).alias("x"))
     small = (F.col("x.na") < 10) | (F.col("x.nz") < 10)
-    return best.join(counts, "series").select("series", "n", F.when(small, 0).otherwise(F.col("x.lag")).alias("lag"), F.when(small, 0.0).otherwise(F.col("x.r2")).alias("r2"))
+    return with_groups(best, counts, ["series"]).select("series", "n", F.when(small, 0).otherwise(F.col("x.lag")).alias("lag"), F.when(small, 0.0).otherwise(F.col("x.r2")).alias("r2"))

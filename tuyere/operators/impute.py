@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tuyere.functions.frames import bucketed, chunked, frame, neighbours, numbered, with_stats
+from tuyere.functions.frames import bucketed, chunked, clean, frame, neighbours, numbered, with_stats, without_nan
 from tuyere.functions.quantiles import with_quantiles
 
 ORDER = ["t", "id"]
@@ -21,12 +21,14 @@ def _around(df: DataFrame, value: str) -> DataFrame:
 
 def fill_linear(df: DataFrame, value: str = "v", name: str = "filled", by_time: bool = False) -> DataFrame:
     """Linear in the row number (or in time), the ends filled with the nearest value."""
+    df = clean(df, value)
     a, b, at = F.col("prev"), F.col("next"), "t" if by_time else "_i"
     line = a["x"] + (b["x"] - a["x"]) * F.coalesce(F.try_divide(F.col(at) - a[at], b[at] - a[at]), F.lit(0.0))
     rows = _around(df, value)
     return rows.withColumn(name, F.coalesce(value, line, a["x"], b["x"])).drop("prev", "next", "_i")
 
 
+@without_nan("v")
 def fill_nearest(df: DataFrame) -> DataFrame:
     """The nearer row's value (the earlier of equals); the ends stay null."""
     a, b, i = F.col("prev"), F.col("next"), F.col("_i")
@@ -34,24 +36,28 @@ def fill_nearest(df: DataFrame) -> DataFrame:
     return _around(df, "v").withColumn("filled", F.coalesce("v", value)).drop("prev", "next", "_i")
 
 
+@without_nan("v")
 def fill_forward(df: DataFrame, limit: int | None = None) -> DataFrame:
     a = F.col("prev")
     value = a["x"] if limit is None else F.when(F.col("_i") - a["_i"] <= limit, a["x"])
     return _around(df, "v").withColumn("filled", value).drop("prev", "next", "_i")
 
 
+@without_nan("v")
 def fill_backward(df: DataFrame, limit: int | None = None) -> DataFrame:
     b = F.col("next")
     value = b["x"] if limit is None else F.when(b["_i"] - F.col("_i") <= limit, b["x"])
     return _around(df, "v").withColumn("filled", value).drop("prev", "next", "_i")
 
 
+@without_nan("v")
 def fill_smoothed(df: DataFrame, chunk: int = 100_000) -> DataFrame:
     """Linear fill, then the centred mean of three over all points."""
     rows = chunked(fill_linear(df, name="_x"), "series", "t", ORDER, 1, 1, chunk)
     return rows.withColumn("filled", F.avg("_x").over(frame("series", 1, 1))).where("_home").drop("_x", "_i", "_c", "_home")
 
 
+@without_nan("v")
 def fill_cubic(df: DataFrame, chunk: int = 100_000) -> DataFrame:
     """The cubic in the row number through two known values on either side; linear where one side has a single one, and the
     ends filled with the nearest value. It is local, so that no task needs a whole series."""
@@ -74,6 +80,7 @@ def fill_cubic(df: DataFrame, chunk: int = 100_000) -> DataFrame:
     return rows.withColumn("filled", F.coalesce("v", cubic, line, p["x"], q["x"])).drop("prev", "next", "_i", "_far_a", "_far_b")
 
 
+@without_nan("v")
 def fill_statistic(df: DataFrame, how: str = "mean") -> DataFrame:
     """The series' mean, median or mode (smallest of equals); the mean is also what a nearest-neighbour or chained-equation fill
     of one column comes to. Those of several columns are in impute_columns."""
@@ -103,6 +110,7 @@ METHODS = {
 }
 
 
+@without_nan("v")
 def fill_by_priority(df: DataFrame, methods: tuple[str, ...] = ("linear", "time", "ffill", "bfill")) -> tuple[DataFrame, str]:
     """The first method that leaves fewer nulls, else the median; and its name. How many nulls a method leaves follows from one
     aggregation per series, so only the chosen method runs."""
@@ -122,6 +130,7 @@ def fill_by_priority(df: DataFrame, methods: tuple[str, ...] = ("linear", "time"
     return METHODS["median"](df), "median"
 
 
+@without_nan("v")
 def fill_statistics(filled: DataFrame) -> DataFrame:
     """Of the filled places: count, rate, mean, deviation, least, largest."""
     x = F.when(F.col("v").isNull(), F.col("filled"))
@@ -130,12 +139,14 @@ def fill_statistics(filled: DataFrame) -> DataFrame:
 
 def missing_pattern(df: DataFrame, columns: list[str], most: int = 10) -> DataFrame:
     """pattern (a digit per column, 1 is missing), n: the first patterns in falling order of the bitmap."""
+    df = clean(df, *columns)
     bitmap = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in columns])
     return df.groupBy(bitmap.alias("pattern")).agg(F.count("*").alias("n")).orderBy(F.desc("pattern")).limit(most)
 
 
 def missing_rates(df: DataFrame, columns: list[str]) -> DataFrame:
     """column_name, n_missing, rate: a row per column, in one pass."""
+    df = clean(df, *columns)
     parts = [F.struct(F.lit(c).alias("column_name"), F.count_if(F.col(c).isNull()).alias("n_missing"), F.count("*").alias("n")) for c in columns]
     return df.agg(F.array(*parts).alias("x")).select(F.explode("x").alias("x")).select("x.column_name", "x.n_missing", F.try_divide("x.n_missing", "x.n").alias("rate"))
 
@@ -143,6 +154,7 @@ def missing_rates(df: DataFrame, columns: list[str]) -> DataFrame:
 def missing_mechanism(df: DataFrame, column: str, others: list[str]) -> DataFrame:
     """mean_corr and mechanism: the mean absolute correlation of being missing here with being present elsewhere; below 0.1
     MCAR, below 0.3 MAR, else (also when it is undefined) MNAR."""
+    df = clean(df, column, *others)
     y = F.col(column).isNull().cast("double")
     parts = []
     for c in others:

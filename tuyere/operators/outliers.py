@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tuyere.functions.frames import centred, chunked, frame, with_stats
+from tuyere.functions.frames import centred, chunked, frame, with_stats, without_nan
 from tuyere.functions.nearest import nearest
 from tuyere.functions.quantiles import quantiles, with_quantiles
 from tuyere.functions.storage import stored
@@ -25,11 +25,13 @@ def _beyond(low: Column, high: Column, factor: float) -> Column:
     return (F.col("v") < low - factor * (high - low)) | (F.col("v") > high + factor * (high - low))
 
 
+@without_nan("v")
 def zscore(df: DataFrame, threshold: float = 3.0, name: str = "is_outlier") -> DataFrame:
     rows = with_stats(df, "series", F.avg("v").alias("_m"), F.stddev_pop("v").alias("_s"))
     return rows.withColumn(name, _flag(F.try_divide(F.abs(F.col("v") - F.col("_m")), F.col("_s")) > threshold)).drop("_m", "_s")
 
 
+@without_nan("v")
 def iqr(df: DataFrame, factor: float = 1.5, name: str = "is_outlier") -> DataFrame:
     rows = with_quantiles(df, "series", F.col("v"), [0.25, 0.75], "_q")
     return rows.withColumn(name, _flag(_beyond(F.col("_q")[0], F.col("_q")[1], factor))).drop("_q")
@@ -48,6 +50,7 @@ def _rolling_mad(rows: DataFrame, before: int, after: int, factor: float, name:
     return rows.withColumn(name, _flag(F.col("_d") > factor * F.col("_dd"))).drop("_d", "_dd")
 
 
+@without_nan("v")
 def rolling_mad(df: DataFrame, window: int = 10, factor: float = 3.0, name: str = "is_outlier", chunk: int = 100_000) -> DataFrame:
     """Deviation from the centred rolling median, against the rolling median of such deviations."""
     before, after = centred(window)
@@ -60,12 +63,14 @@ def _moving_average(rows: DataFrame, before: int, after: int, factor: float, nam
     return rows.withColumn(name, _flag(F.abs(F.col("v") - F.avg("v").over(w)) > factor * F.stddev_samp("v").over(w)))
 
 
+@without_nan("v")
 def moving_average(df: DataFrame, window: int = 10, factor: float = 3.0, name: str = "is_outlier", chunk: int = 100_000) -> DataFrame:
     before, after = centred(window)
     rows = _moving_average(chunked(df, "series", "t", ORDER, before, after, chunk), before, after, factor, name)
     return rows.where("_home").drop("_i", "_c", "_home")
 
 
+@without_nan("v")
 def exponential(df: DataFrame, alpha: float = 0.3, window: int = 10, factor: float = 3.0, reach: int = 120, name: str = "is_outlier", chunk: int = 100_000) -> DataFrame:
     """Residual from the adjusted exponentially weighted mean, against its centred rolling mean. Weights beyond ``reach``
     rows are below (1 - alpha) ** reach, less than a double's precision, so a halo of that many rows is exact."""
@@ -89,6 +94,7 @@ def _exponential(rows: DataFrame, alpha: float, before: int, after: int, factor:
 METHODS = {"zscore": zscore, "iqr": iqr, "rolling_mad": rolling_mad, "moving_average": moving_average, "exponential": exponential}
 
 
+@without_nan("v")
 def ensemble(df: DataFrame, methods: tuple[str, ...] = ("zscore", "iqr", "rolling_mad", "moving_average"), window: int = 10, reach: int = 120, chunk: int = 100_000) -> DataFrame:
     """votes, and is_outlier where more than half of the methods agree. The rows are numbered and dealt to chunks once; all
     row windows share that order, and the series' statistics are joined to it."""
@@ -118,6 +124,7 @@ def ensemble(df: DataFrame, methods: tuple[str, ...] = ("zscore", "iqr", "rollin
     return rows.withColumn("votes", votes).withColumn("is_outlier", F.col("votes") > len(methods) / 2).drop("_m", "_s", "_q", *[f"_{m}" for m in methods])
 
 
+@without_nan("v")
 def replace(flagged: DataFrame, how: str = "median", chunk: int = 100_000) -> DataFrame:
     """Adds fixed: the value, or for outliers the inliers' median or mean, the line between the inliers around, the centred
     rolling median of 5 inliers, or the value clipped to the series' quartile fences."""
@@ -144,6 +151,7 @@ def replace(flagged: DataFrame, how: str = "median", chunk: int = 100_000) -> Da
     raise ValueError(f"unknown replacement {how}")
 
 
+@without_nan("v")
 def statistics(flagged: DataFrame) -> DataFrame:
     """Per series: counts, rate, and mean, deviation, least and largest value of outliers and of the others."""
     aggs = [F.count("*").alias("n"), F.count_if("is_outlier").alias("n_outliers"), F.avg(F.col("is_outlier").cast("double")).alias("rate")]
@@ -152,6 +160,7 @@ def statistics(flagged: DataFrame) -> DataFrame:
     return flagged.groupBy("series").agg(*aggs)
 
 
+@without_nan("v")
 def rolling(df: DataFrame, window: int = 5, chunk: int = 100_000) -> DataFrame:
     """Centred rolling mean, deviation and median, null where the window is not full of values."""
     before, after = centred(window)

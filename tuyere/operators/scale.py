@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tuyere.functions.frames import clean, with_groups
 from tuyere.functions.quantiles import evenly, how_many_up_to, quantiles
 
 LINEAR = ("zscore", "mad", "minmax", "robust", "iqr_q1")
@@ -15,6 +16,7 @@ LINEAR = ("zscore", "mad", "minmax", "robust", "iqr_q1")
 
 def parameters(df: DataFrame, columns: list[str], method: str, low: float = 0.0, high: float = 1.0) -> DataFrame:
     """A row per column. A width of 0 becomes 1 (for minmax: a constant goes to the lower bound)."""
+    df = clean(df, *columns)
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in columns])).alias("e")).select("e.*")
     g = long.groupBy("name")
     if method == "zscore":
@@ -54,6 +56,7 @@ def apply(df: DataFrame, p: DataFrame, columns: list[str], inverse: bool = False
 
 def log_scale(df: DataFrame, column: str, offset: float = 0.0) -> DataFrame:
     """ln(x + offset) if that is positive everywhere, else log1p of x clipped from below."""
+    df = clean(df, column)
     bad = df.agg(F.coalesce(F.min(F.col(column) + offset) <= 0, F.lit(False)).alias("_bad"))
     x = F.col(column)
     return df.crossJoin(F.broadcast(bad)).withColumn(column, F.when(F.col("_bad"), F.log1p(F.greatest(x, F.lit(-offset + 1e-10)))).otherwise(F.log(F.when(x + offset > 0, x + offset)))).drop("_bad")
@@ -61,14 +64,16 @@ def log_scale(df: DataFrame, column: str, offset: float = 0.0) -> DataFrame:
 
 def within_groups(df: DataFrame, group: list[str], column: str) -> DataFrame:
     """z-scores within groups, from statistics that are aggregated before the shuffle."""
+    df = clean(df, column)
     s = df.groupBy(*group).agg(F.avg(column).alias("_a"), F.stddev_samp(column).alias("_b"))
-    return df.join(s, group).withColumn("scaled", F.try_divide(F.col(column) - F.col("_a"), F.col("_b"))).drop("_a", "_b")
+    return with_groups(df, s, group).withColumn("scaled", F.try_divide(F.col(column) - F.col("_a"), F.col("_b"))).drop("_a", "_b")
 
 
 def quantile_scale(df: DataFrame, column: str, points: int = 1000, output: str = "uniform") -> DataFrame:
     """The share of the reference quantiles below a value, linear between two of them, or the normal quantile of that share.
     Where reference quantiles are equal, the mean of the lowest and the highest share of that value counts. A table of fewer
     rows than points has as many reference quantiles as rows."""
+    df = clean(df, column)
     n = df.where(F.col(column).isNotNull()).count()
     if n < 2:
         return df.withColumn("scaled", F.when(F.col(column).isNotNull(), 0.0))
@@ -104,7 +109,7 @@ def normal_quantile(p):
 def yeo_johnson(df: DataFrame, column: str, steps: int = 40, standardise: bool = True) -> tuple[DataFrame, float]:
     """The transform with the likeliest lambda, found by golden-section search, standardised; every likelihood is one
     aggregation."""
-    x = F.col(column)
+    df, x = clean(df, column), F.col(column)
 
     def transformed(lam: float):
         up = F.log1p(F.greatest(x, F.lit(0.0))) if abs(lam) < 1e-12 else (F.pow(F.greatest(x, F.lit(0.0)) + 1, F.lit(lam)) - 1) / lam

@@ -8,11 +8,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tuyere.functions.frames import clean
 from tuyere.functions.quantiles import cumulative, quantiles
 
 
 def longer(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("param"), F.col(c).cast("double").alias("x")) for c in columns])).alias("e")).select("e.*")
+    return clean(df, *columns).select(F.explode(F.array(*[F.struct(F.lit(c).alias("param"), F.col(c).cast("double").alias("x")) for c in columns])).alias("e")).select("e.*")
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -79,6 +80,7 @@ def _pairs(columns: list[str]) -> list[tuple[str, str]]:
 
 def pearson(df: DataFrame, columns: list[str], target: str | None = None) -> DataFrame:
     """a, b, n, r, t over rows complete in both; r is 0 for fewer than 3 rows and null for a constant; one aggregation."""
+    df = clean(df, *columns, *([target] if target else []))
     pairs = [(c, target) for c in columns if c != target] if target else _pairs(columns)
     parts = []
     for a, b in pairs:
@@ -107,6 +109,7 @@ def rank_of(df: DataFrame, column: str, name: str) -> DataFrame:
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     """a, b, n, r, t: ranks within the rows complete in both columns, ties averaged. Columns without nulls are ranked once
     for all their pairs, which then take one aggregation."""
+    df = clean(df, *columns)
     nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n{k}") for k, c in enumerate(columns)]).first()
     full = [c for k, c in enumerate(columns) if not nulls[k]]
     parts = []
@@ -151,12 +154,13 @@ def network(corr: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def regression_metrics(df: DataFrame, y: str, predicted: str) -> DataFrame:
-    e = F.col(y) - F.col(predicted)
+    df, e = clean(df, y, predicted), F.col(y) - F.col(predicted)
     return df.where(F.col(y).isNotNull() & F.col(predicted).isNotNull()).agg(F.count("*").alias("n"), (1 - F.try_divide(F.sum(e * e), F.var_pop(y) * F.count(y))).alias("r2"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"))
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """bin (from 1), n: equal widths between the least and the largest value."""
+    df = clean(df, column)
     ends = df.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
     place = F.floor(F.coalesce(F.try_divide(F.col(column) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)) * bins) + 1
     return df.where(F.col(column).isNotNull()).crossJoin(F.broadcast(ends)).groupBy(F.least(place, F.lit(bins)).cast("int").alias("bin")).agg(F.count("*").alias("n"))

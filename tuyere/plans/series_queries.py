@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuyere.operators import align, impute, outliers
+from tuyere.operators import align, impute, outliers, scale
 from tuyere.sources.testdata import GAPPY_SQL, SERIES_SQL, gappy, series, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -128,3 +128,25 @@ QUERIES["impute_mode"] = lambda spark, sf: impute.fill_statistic(gappy(spark, sf
 ORACLE_SQL["impute_mode"] = f"WITH {GAPPY_SQL}, c AS (SELECT series, floor(v) AS v, count(*) AS n FROM s WHERE v IS NOT NULL GROUP BY 1, 2), m AS (SELECT series, arg_min(v, (-n, v)) AS x FROM c GROUP BY 1) SELECT id, coalesce(floor(v), x) AS filled FROM s JOIN m USING (series)"
 QUERIES["impute_stats"] = lambda spark, sf: impute.fill_statistics(impute.fill_linear(gappy(spark, sf))).select("series", "n_filled", *_r("rate", "mean", "std", "least", "largest"))
 ORACLE_SQL["impute_stats"] = f"WITH {GAPPY_SQL}, {_line_sql('SELECT * FROM s', 'i')}, z AS (SELECT series, CASE WHEN v IS NULL THEN line END AS x FROM y) SELECT series, count(x) AS n_filled, round(count(x) / count(*), 6) AS rate, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, round(min(x), 6) AS least, round(max(x), 6) AS largest FROM z GROUP BY 1"
+
+# the same with a series without a name, and values that are not numbers
+_ODD = "s AS (SELECT CASE WHEN event_type <> (SELECT min(event_type) FROM events) THEN event_type ELSE '?' END AS series, epoch_us(ts) AS t, event_id AS id, CASE WHEN event_id % 89 <> 7 THEN value END AS v FROM events)"
+
+
+def odd_series(spark: SparkSession, sf: str) -> DataFrame:
+    rows = series(spark, sf)
+    first = rows.agg(F.min("series").alias("first"))  # one row
+    return rows.crossJoin(F.broadcast(first)).select(F.when(F.col("series") != F.col("first"), F.col("series")).alias("series"), "t", "id", F.when(F.col("id") % 89 != 7, F.col("v")).otherwise(float("nan")).alias("v"))
+
+
+QUERIES["odd_zscore"] = lambda spark, sf: outliers.zscore(odd_series(spark, sf)).select("id", "series", "is_outlier")
+QUERIES["odd_ensemble"] = lambda spark, sf: outliers.ensemble(odd_series(spark, sf)).select("id", "series", "votes", "is_outlier")
+QUERIES["odd_mean_fill"] = lambda spark, sf: impute.fill_statistic(odd_series(spark, sf), "mean").select("id", *_r("filled"))
+QUERIES["odd_align"] = lambda spark, sf: align.align(odd_series(spark, sf)).select("series", "t", *_r("v"), "status", "is_outlier")
+QUERIES["odd_scale_grouped"] = lambda spark, sf: scale.within_groups(odd_series(spark, sf), ["series"], "v").select("id", *_r("scaled"))
+_NAMED = "nullif(series, '?') AS series"
+ORACLE_SQL["odd_zscore"] = f"WITH {_ODD} SELECT id, {_NAMED}, o AS is_outlier FROM ({_FLAGGED['zscore']})"
+ORACLE_SQL["odd_ensemble"] = f"SELECT id, {_NAMED}, votes, is_outlier FROM ({ORACLE_SQL['outlier_ensemble'].replace(SERIES_SQL, _ODD)}) JOIN (SELECT event_id AS id, CASE WHEN event_type <> (SELECT min(event_type) FROM events) THEN event_type ELSE '?' END AS series FROM events) USING (id)"
+ORACLE_SQL["odd_mean_fill"] = f"WITH {_ODD} SELECT id, round(coalesce(v, avg(v) OVER (PARTITION BY series)), 6) AS filled FROM s"
+ORACLE_SQL["odd_align"] = f"SELECT {_NAMED}, t, v, status, is_outlier FROM ({ORACLE_SQL['align_linear_hourly'].replace(SERIES_SQL, _ODD)})"
+ORACLE_SQL["odd_scale_grouped"] = f"WITH {_ODD} SELECT id, round((v - avg(v) OVER w) / nullif(stddev_samp(v) OVER w, 0), 6) AS scaled FROM s WINDOW w AS (PARTITION BY series)"
