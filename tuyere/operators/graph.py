@@ -119,22 +119,60 @@ def data_anomalies(series: DataFrame, threshold: float = 2.5) -> DataFrame:
     return s.select("series", F.round(z, 6).alias("z"), F.round(F.least(z / 5, F.lit(1.0)), 6).alias("score"), (z > threshold).alias("is_anomaly"))
 
 
+def representative(front: DataFrame, left: int, many: int = 1_000_000) -> DataFrame:
+    """Of the paths (root, node, score, path, hop_count) to one node those that the best simple path of ``left`` more steps can
+    begin with: for any set of that many nodes to come, the best path that avoids them. That is the best path; for each node
+    between its ends the best one without it; and so on, one node more at each of ``left`` turns. With the few hops of a trace
+    these are less than ten paths, however many there are. More than ``many`` paths are thinned out in eight lots first, so
+    that no task has all paths to a node that much leads to."""
+
+    def keep(key, table):
+        import pyarrow as pa
+
+        scores, paths = table.column("score").to_pylist(), table.column("path").to_pylist()
+        order = sorted(range(len(paths)), key=lambda k: (scores[k], " → ".join(paths[k])), reverse=True)
+        sets = [(k, frozenset(paths[k][1:-1])) for k in order]
+        kept, todo = set(), {frozenset()}
+        for turn in range(left + 1):
+            new = set()
+            for avoid in todo:
+                best = next(((k, nodes) for k, nodes in sets if not nodes & avoid), None)
+                if best:
+                    kept.add(best[0])
+                    new |= {avoid | {x} for x in best[1]}
+            todo = new
+        return table.take(pa.array(sorted(kept)))
+
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in front.schema)
+    lots = [8, 1] if front.count() > many else [1]
+    for n in lots:
+        front = front.groupBy("root", "node", F.pmod(F.xxhash64("path"), F.lit(n)).alias("lot")).applyInArrow(keep, kind)
+    return front
+
+
 def trace(edges: DataFrame, roots: DataFrame, anomalous: DataFrame, hops: int = 5, least: float = 0.3, keep: int = 10, stop_types: DataFrame | None = None) -> DataFrame:
-    """root, node, score, hop_count, path: best path to each node, going against edges, a fifth more where the neighbour is
-    anomalous, a tenth less each step, and never below ``least``; the ``keep`` best endpoints of each root."""
+    """root, node, score, hop_count, path: best simple path to each node, going against edges, a fifth more where the neighbour
+    is anomalous, a tenth less each step, and never below ``least``; the ``keep`` best endpoints of each root.
+
+    Each hop's paths are stored, and only those that a best path can begin with go on: the work grows with edges times hops,
+    not with the number of paths."""
     w = reduce(lambda c, kv: c.when(F.col("type") == kv[0], kv[1]), list(TRACE.items())[1:], F.when(F.col("type") == "propagation", 1.0)).otherwise(0.3)
     back = edges.select(F.col("dst").alias("node"), F.col("src").alias("to"), (F.col("weight") * w).alias("w"))
     coupled = edges.where("type = 'coupling'").select(F.col("src").alias("node"), F.col("dst").alias("to"), (F.col("weight") * 0.8).alias("w"))
-    steps = back.unionByName(coupled).join(anomalous.select(F.col("id").alias("to"), F.lit(0.2).alias("plus")), "to", "left")
+    steps = stored(back.unionByName(coupled).join(anomalous.select(F.col("id").alias("to"), F.lit(0.2).alias("plus")), "to", "left"), "trace-steps")
     front = roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(1.0).alias("score"), F.array("id").alias("path"), F.lit(0).alias("hop_count"))
     found = None
     for k in range(1, hops + 1):
         front = front.select("root", "node", "score", "path").join(steps, "node").where(~F.array_contains("path", F.col("to")))
         front = front.withColumn("score", (F.col("score") + F.coalesce("plus", F.lit(0.0))) * F.col("w") * 0.9).where(F.col("score") >= least)
-        front = front.select("root", F.col("to").alias("node"), "score", F.concat("path", F.array("to")).alias("path"), F.lit(k).alias("hop_count"))
+        front = stored(front.select("root", F.col("to").alias("node"), "score", F.concat("path", F.array("to")).alias("path"), F.lit(k).alias("hop_count")), "trace-front")
         found = front if found is None else found.unionByName(front)
+        if k == hops or front.isEmpty():
+            break
         if stop_types is not None:
             front = front.join(stop_types.select(F.col("id").alias("node")), "node", "left_anti")
+        if k > 1:  # before that there is one path to each node
+            front = stored(representative(front, hops - k), "trace-front")
     best = found.groupBy("root", "node").agg(F.max(F.struct("score", F.concat_ws(" → ", "path").alias("path"), "hop_count")).alias("x")).select("root", "node", F.round("x.score", 6).alias("score"), "x.hop_count", "x.path")
     order = Window.partitionBy("root").orderBy(F.desc("score"), "node")
     return best.withColumn("r", F.row_number().over(order)).where(F.col("r") <= keep).drop("r")
