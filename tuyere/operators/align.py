@@ -164,3 +164,12 @@ def time_offsets(df: DataFrame, most: int = 1000) -> DataFrame:
     best = scored.groupBy("series").agg(F.min_by(F.struct("lag", "na", "nz", F.when(F.col("na") == F.col("nz"), r * r).otherwise(0.0).alias("r2")), F.struct(-F.col("c"), "lag")).alias("x"))
     small = (F.col("x.na") < 10) | (F.col("x.nz") < 10)
     return with_groups(best, counts, ["series"]).select("series", "n", F.when(small, 0).otherwise(F.col("x.lag")).alias("lag"), F.when(small, 0.0).otherwise(F.col("x.r2")).alias("r2"))
+
+
+def synchronise(df: DataFrame, least: float = 0.8) -> DataFrame:
+    """The offsets of all sources against the one with most points, and a warning where the times of two sources of equal
+    length do not go together well (a squared correlation below ``least``)."""
+    found = time_offsets(df)
+    n = found.agg(F.max("n").alias("most"))  # one row
+    weak = (F.col("n") == F.col("most")) & (F.col("r2") < least)
+    return found.crossJoin(F.broadcast(n)).withColumn("warning", F.when(weak, F.concat(F.lit("weak match: r2 "), F.format_number("r2", 3)))).drop("most")

@@ -79,6 +79,23 @@ def apply_rules(df: DataFrame, rules: dict[str, tuple[str, float]]) -> tuple[Dat
     return df.select(*kept), [c for c in df.columns if c not in rules]
 
 
+def map_table(df: DataFrame, rules: dict[str, tuple[str, float]], names: DataFrame | None = None, required: list[str] = (), least: float = 0.6) -> tuple[DataFrame, dict]:
+    """df mapped by the rules and, where names (target, ordinal) are given, by rules found for the columns that have none; and
+    a report: success (some column is mapped), mapped and unmapped columns, the rules found, and warnings for required source
+    columns that df lacks. Of two columns found for one target only the one with the better score is mapped."""
+    rest, found = [c for c in df.columns if c not in rules], {}
+    if names is not None and rest:
+        sources = df.sparkSession.createDataFrame([(c,) for c in rest], "source string")
+        taken = {t for t, _ in rules.values()}
+        for r in sorted(discover(sources, names, least).collect(), key=lambda r: (-r.score, r.source)):  # a row a column
+            if r.target not in taken:
+                taken.add(r.target)
+                found[r.source] = (r.target, 1.0)
+    mapped, unmapped = apply_rules(df, rules | found)
+    missing = [f"required column {c} is missing" for c in required if c not in df.columns]
+    return mapped, {"success": len(unmapped) < len(df.columns), "mapped": [c for c in df.columns if c not in unmapped], "unmapped": unmapped, "found": {c: t for c, (t, _) in found.items()}, "warnings": missing}
+
+
 def pool_of(columns: list[str]) -> str:
     """The pool with the highest score, the first of equals; the first pool where no column name says anything."""
     names = {c.lower() for c in columns}

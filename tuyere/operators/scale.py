@@ -59,7 +59,7 @@ def log_scale(df: DataFrame, column: str, offset: float = 0.0) -> DataFrame:
     df = clean(df, column)
     bad = df.agg(F.coalesce(F.min(F.col(column) + offset) <= 0, F.lit(False)).alias("_bad"))
     x = F.col(column)
-    return df.crossJoin(F.broadcast(bad)).withColumn(column, F.when(F.col("_bad"), F.log1p(F.greatest(x, F.lit(-offset + 1e-10)))).otherwise(F.log(F.when(x + offset > 0, x + offset)))).drop("_bad")
+    return df.crossJoin(F.broadcast(bad)).withColumn(column, F.when(x.isNull(), None).when(F.col("_bad"), F.log1p(F.greatest(x, F.lit(-offset + 1e-10)))).otherwise(F.log(F.when(x + offset > 0, x + offset)))).drop("_bad")
 
 
 def within_groups(df: DataFrame, group: list[str], column: str) -> DataFrame:
@@ -115,7 +115,7 @@ def yeo_johnson(df: DataFrame, column: str, steps: int = 40, standardise: bool =
         up = F.log1p(F.greatest(x, F.lit(0.0))) if abs(lam) < 1e-12 else (F.pow(F.greatest(x, F.lit(0.0)) + 1, F.lit(lam)) - 1) / lam
         low = F.greatest(-x, F.lit(0.0))
         down = -F.log1p(low) if abs(lam - 2) < 1e-12 else -(F.pow(low + 1, F.lit(2 - lam)) - 1) / (2 - lam)
-        return F.when(x >= 0, up).otherwise(down)
+        return F.when(x.isNotNull(), F.when(x >= 0, up).otherwise(down))  # greatest() passes over nulls
 
     def minus_likelihood(lam: float) -> float:
         import math

@@ -32,7 +32,6 @@ def _items(spark: SparkSession, sf: str) -> DataFrame:
 _ITEMS = "i AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag, " + ", ".join(f"{c}::DOUBLE AS {c}" for c in NUMBERS) + " FROM lineitem)"
 
 QUERIES["outlier_isolation_forest"] = lambda spark, sf: models.isolation_forest(_items(spark, sf), NUMBERS).select("id", *_r("iso_score"), "is_outlier")
-QUERIES["outlier_autoencoder"] = lambda spark, sf: models.linear_autoencoder(_items(spark, sf), NUMBERS).select("id", *_r("error"), "is_outlier")
 QUERIES["normality"] = lambda spark, sf: models.normality(_items(spark, sf), NUMBERS).select("param", "n", "test", *_r("statistic", "p"), "is_normal")
 QUERIES["shap_factorize"] = lambda spark, sf: attribution.factorize(_items(spark, sf).select("id", "l_returnflag"), "l_returnflag", "id")
 ORACLE_SQL["shap_factorize"] = f"WITH {_ITEMS}, f AS (SELECT l_returnflag, row_number() OVER (ORDER BY min(id)) - 1 AS code FROM i WHERE l_returnflag IS NOT NULL GROUP BY 1) SELECT id, coalesce(code, -1)::DOUBLE AS l_returnflag FROM i LEFT JOIN f USING (l_returnflag)"

@@ -112,6 +112,36 @@ def export_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     edges.write.json(f"{path}/edges")
 
 
+def write_dictionary(levels: dict[str, DataFrame], attributes: DataFrame, path: str, most: int = 200_000) -> None:
+    """The dictionary as one JSON document of five keys, as read_dictionary reads it: levels has base_work_types, categories,
+    pools and datasets (with ordinal), attributes (pool_en, fields). A document is one row, so it has at most so many entries."""
+    n = sum(x.count() for x in levels.values())
+    if n > most:
+        raise ValueError(f"{n} entries are too many for one document")
+    doc = None
+    for key, rows in levels.items():
+        fields = [c for c in rows.columns if c != "ordinal"]
+        part = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", F.struct(*fields).alias("x")))), lambda e: e["x"]).alias(key))
+        doc = part if doc is None else doc.crossJoin(part)  # one row each
+    templates = attributes.agg(F.map_from_entries(F.collect_list(F.struct("pool_en", "fields"))).alias("attribute_templates"))
+    doc.crossJoin(templates).coalesce(1).write.mode("overwrite").json(path)
+
+
+def save_scenario(rows: DataFrame, path: str, **about) -> None:
+    """A scenario (id, timestep, value, is_anomaly): its rows as long CSV, its figures and what is known about it as JSON."""
+    rows.write.mode("overwrite").option("header", True).csv(f"{path}/series")
+    figures = rows.agg(F.countDistinct("id").alias("series"), F.count("*").alias("points"), F.count_if("is_anomaly").alias("anomalies"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    figures.coalesce(1).write.mode("overwrite").json(f"{path}/statistics")
+    rows.sparkSession.createDataFrame([(k, str(v)) for k, v in sorted(about.items())], "key string, value string").coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+
+
+def results_json(ranked: DataFrame, query: str) -> DataFrame:
+    """One row: the query and its ranked results (name, s, at most as many as were asked for) as JSON, scores to four digits."""
+    rows = F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("o"), "name", F.round("s", 4).alias("score"))))
+    listed = F.transform(rows, lambda e, k: F.struct((k + 1).alias("rank"), e["name"].alias("name"), e["score"].alias("score")))
+    return ranked.agg(F.to_json(F.struct(F.lit(query).alias("query"), F.count("*").alias("n"), listed.alias("results"))).alias("document"))
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).option("encoding", "UTF-8").csv(path)
 
@@ -120,10 +150,77 @@ def markdown(ranked: DataFrame) -> DataFrame:
     return ranked.select(F.format_string("| %s | %.4f |", "name", "s").alias("line"))
 
 
+def export_alignment(aligned: DataFrame) -> DataFrame:
+    """timestamp, value, is_interpolated, where a value is missing counts as interpolated, as the export has it."""
+    return aligned.select("series", F.timestamp_micros("t").alias("timestamp"), F.col("v").alias("value"), F.col("v").isNull().alias("is_interpolated"))
+
+
+def alignment_log(aligned: DataFrame, table: str, batch_id: str, method: str) -> DataFrame:
+    """A row for each aligned point: from which time it comes (its own where it is exact, else null), and whether it is
+    interpolated."""
+    exact = F.col("status") == "EXACT_MATCH"
+    return aligned.select(F.lit(table).alias("table_name"), F.lit(batch_id).alias("batch_id"), "series", F.when(exact, F.col("t")).alias("source_t"), F.col("t").alias("aligned_t"), F.lit(method).alias("method"), F.col("status").contains("INTERPOLATED").alias("is_interpolated"))
+
+
+def batch_summary(aligned: DataFrame, table: str, batch_id: str, n_source: int, **config) -> DataFrame:
+    """One row: the batch's counts, and its settings as JSON."""
+    import json
+
+    counts = aligned.agg(F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.count("*").alias("n_aligned"), F.count_if(F.col("status").contains("INTERPOLATED")).alias("n_interpolated"), F.count_if(F.col("v").isNull()).alias("n_missing"))
+    return counts.select(F.lit(batch_id).alias("batch_id"), F.lit(table).alias("table_name"), "start_t", "end_t", F.lit(n_source).alias("n_source"), "n_aligned", "n_interpolated", "n_missing", F.lit(json.dumps(config, sort_keys=True, default=str)).alias("config"))
+
+
+def append_rows(rows: DataFrame, table: str) -> None:
+    """Logs grow by whole batches; a batch is one commit of the table's format."""
+    rows.write.mode("append").saveAsTable(table)
+
+
+SYSTEM_COLUMNS = [("id", "string"), ("created_at", "timestamp")]
+
+
+def ddl_columns(columns: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The system's columns and the attributes; one that is named like a column before it gets _attr, and a number if that is
+    taken too."""
+    out, seen = list(SYSTEM_COLUMNS), {c for c, _ in SYSTEM_COLUMNS}
+    for name, kind in columns:
+        new, k = name, 1
+        while new.lower() in seen:
+            new, k = f"{name}_attr" if k == 1 else f"{name}_attr{k}", k + 1
+        seen.add(new.lower())
+        out.append((new, kind))
+    return out
+
+
 def ddl(table: str, columns: list[tuple[str, str]]) -> str:
-    fields = ", ".join(f"`{c}` {t}" for c, t in [("id", "string"), ("created_at", "timestamp"), *columns])
+    fields = ", ".join(f"`{c}` {t}" for c, t in ddl_columns(columns))
     return f"CREATE TABLE IF NOT EXISTS `{table}` ({fields}) USING parquet"
 
 
 def health(spark: SparkSession) -> dict:
     return {"spark": spark.version, "tables": len(spark.catalog.listTables()), "ok": spark.range(1).count() == 1}
+
+
+def table_info(spark: SparkSession, part: str = "") -> DataFrame:
+    """table_name, place, column_name, kind, n_rows of all tables whose name holds the text."""
+    rows = []
+    for t in list_tables(spark, part):
+        n = spark.table(t).count()
+        rows += [(t, k, c.name, c.dataType, n) for k, c in enumerate(spark.catalog.listColumns(t))]
+    return spark.createDataFrame(rows, "table_name string, place int, column_name string, kind string, n_rows long")
+
+
+def clear_table(spark: SparkSession, table: str) -> int:
+    """Deletes the rows and keeps the table; returns how many there were."""
+    n, kept = spark.table(table).count(), spark.table(table).limit(0).schema
+    spark.createDataFrame([], kept).write.mode("overwrite").saveAsTable(table)
+    return n
+
+
+def drop_tables(spark: SparkSession, part: str) -> list[str]:
+    """Drops the tables whose name holds the text, which must not be empty; returns their names."""
+    if not part:
+        raise ValueError("name the tables to drop")
+    names = list_tables(spark, part)
+    for t in names:
+        spark.sql(f"DROP TABLE `{t}`")
+    return names
