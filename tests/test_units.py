@@ -11,7 +11,7 @@ from tuyere.functions import frames, names, special
 from tuyere.operators import align, impute, mapping, metrics, outliers, scale, stats
 from tuyere.plans import preprocessing
 from tuyere.sources import catalog
-from tuyere.streaming import streams
+from tuyere.streaming import channels, streams
 
 S = 1_000_000
 
@@ -123,7 +123,7 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("tumbled").agg(F.sum("n")).first()[0] == 30 and spark.table("tumbled").count() == 5
-    q = streams.running_anomalies(stream(), "key", "v").writeStream.format("memory").queryName("odd").outputMode("append").start()
+    q = channels.running_anomalies(stream(), "key", "v").writeStream.format("memory").queryName("odd").outputMode("append").start()
     q.processAllAvailable()
     q.stop()
     assert [r.value for r in spark.table("odd").where("is_anomaly").orderBy("value").collect()] == [2.0, 102.0]  # the third of 0, 1, 2 is far from the first two

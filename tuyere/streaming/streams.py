@@ -1,4 +1,5 @@
-"""Streaming forms, additional to the batch operators: tumbling grids, running anomaly statistics, a message bus."""
+"""Streaming forms, additional to the batch operators: tumbling grids, sessions, a message bus without state, a closed
+loop. What keeps state is in channels."""
 
 from __future__ import annotations
 
@@ -21,28 +22,6 @@ def sessions(stream: DataFrame, ts: str, key: str, gap: str = "30 minutes", late
     return stream.withWatermark(ts, late).groupBy(F.session_window(ts, gap), key).agg(F.count("*").alias("n"))
 
 
-def running_anomalies(stream: DataFrame, key: str, value: str, threshold: float = 2.5) -> DataFrame:
-    """key, value, z, is_anomaly against all values of the key before; the state of a key is three numbers."""
-    import pandas as pd
-
-    def update(group, batches, state):
-        n, mean, m2 = state.get if state.exists else (0, 0.0, 0.0)
-        for pdf in batches:
-            out = []
-            for x in pdf[value]:
-                sd = (m2 / n) ** 0.5 if n else 0.0
-                z = abs(x - mean) / sd if sd > 1e-10 else 0.0
-                out.append((group[0], float(x), z, z > threshold))
-                n += 1
-                step = x - mean
-                mean += step / n
-                m2 += step * (x - mean)
-            yield pd.DataFrame(out, columns=["key", "value", "z", "is_anomaly"])
-        state.update((n, mean, m2))
-
-    return stream.where(F.col(value).isNotNull()).select(F.col(key).alias("key"), F.col(value).cast("double").alias(value)).groupBy("key").applyInPandasWithState(update, "key string, value double, z double, is_anomaly boolean", "n long, mean double, m2 double", "append", "NoTimeout")
-
-
 def bus(stream: DataFrame, only: Column | None = None, transform: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Messages of a stream or table, filtered and transformed."""
     if only is not None:
