@@ -4,17 +4,22 @@ A page is read as a sequence of words and tags. Words score positive and tags ne
 pages: the logarithm of how often a kind of word or tag occurs inside and outside the marked main text. One linear scan
 finds the contiguous region of the best total.
 
-What is by its element or role a menu, footer, form, script or the like has no part in the sequence. The words of a class or
-id are features with learned weights of the same form, whole names and parts of names apart. An element whose names score
-below ``NAMED_OUT`` counts as one negative tag, and its text is no article; but an element that holds a main element, or an
-article or first heading and half of the page's words, is the article's wrapper, whatever its names.
+What is by its element or role a menu, footer, form, script or the like has no part in the sequence, unless it wraps the
+article: holds a main element, or half of the page's prose with an article or first heading, or four fifths of it. Such an
+element that is never closed ends where the article begins.
+
+The words of a class or id are features with learned weights of the same form, whole names and parts of names apart. So is
+the place of a named block, whatever its name: beside the smallest element that holds most of the prose, or in it before,
+among or after its plain paragraphs, or one of several alike; and whether its words are links. An element whose features
+score below ``NAMED_OUT`` counts as one negative tag, and its text is no article; a wrapper of the article is never cut.
 
 The text of the region: character references decoded, white space inside a block as one space, trimmed, blocks in page
 order joined by one space. Nothing else is dropped or cut.
 
 Cases: a null or empty page, one without words, and one of excluded parts only give an empty text; unclosed elements end
 with the page or with the element around them; a truncated tag at the end is no text; repeated rows give equal rows; very
-long pages are taken whole in one pass.
+long pages are taken whole in one pass; an empty table gives an empty result; columns named as the results, in any case, are
+replaced.
 """
 
 from __future__ import annotations
@@ -40,6 +45,11 @@ SIBLINGS = frozenset("li dt dd tr td th option p".split())
 LONG = 10
 #: Names that score lower are no article; a part of a name counts half as much as a whole name.
 NAMED_OUT, PART_OF_NAME = -1.0, 0.5
+#: Elements that end at the article if they are never closed; and blocks whose place is a feature.
+UNCLOSED = frozenset("nav header aside footer form menu dialog fieldset".split())
+PLACED = frozenset("div section article aside ul ol".split())
+#: Shares of the prose: of the element around the article, of a wrapper with a heading in it, and of one without.
+CONTAINER, WRAPPER, LONE_WRAPPER = 0.6, 0.5, 0.8
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _NAMING = re.compile(r"""\b(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -47,6 +57,7 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HEADING = re.compile("h[1-6]")
 _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 TEXT, OPEN, CLOSE, SINGLE = range(4)
+CONTAINERS = frozenset("html body main article section div td form".split())
 
 
 class Page:
@@ -55,6 +66,7 @@ class Page:
     def __init__(self, html: str) -> None:
         self.events: list[tuple[int, str, str]] = []
         self.ends: dict[int, int] = {}
+        self.unclosed: set[int] = set()
         stack: list[tuple[str, int]] = []
         at, search = 0, _TOKEN.search
 
@@ -64,7 +76,9 @@ class Page:
 
         def close(depth: int) -> None:
             while len(stack) > depth:
-                self.ends[stack.pop()[1]] = len(self.events)
+                opened = stack.pop()[1]
+                self.ends[opened] = len(self.events)
+                self.unclosed.add(opened)
 
         while found := search(html, at):
             text(found.start())
@@ -76,7 +90,9 @@ class Page:
             if closing:
                 for depth in range(len(stack) - 1, -1, -1):
                     if stack[depth][0] == name:
+                        opened = stack[depth][1]
                         close(depth)
+                        self.unclosed.discard(opened)
                         break
                 self.events.append((CLOSE, name, ""))
             elif name in VOID or attributes.rstrip().endswith("/") and name not in RAW:
@@ -92,21 +108,74 @@ class Page:
                     close(len(stack) - 1)
         text(len(html))
         close(0)
-        self.words, self.mains, self.articles = [0], [0], [0]  # counts before each event
-        left_out_until = 0
+        self._count()
+
+    def _count(self) -> None:
+        """What stands before each event: words of prose and in links, main elements, articles and first headings; then where
+        unclosed elements end, and the element around the article."""
+        self.prose, self.words, self.linked, self.mains, self.articles = [0], [0], [0], [0], [0]
+        starts: list[int] = []
+        paragraph, link, head_until = False, 0, -1
         for k, (op, value, _) in enumerate(self.events):
-            if op == OPEN and value in LEFT_OUT:
-                left_out_until = max(left_out_until, self.ends[k])
-            self.words.append(self.words[-1] + (len(value.split()) if op == TEXT and k >= left_out_until else 0))
-            self.mains.append(self.mains[-1] + (op == OPEN and value == "main"))
-            self.articles.append(self.articles[-1] + (op == OPEN and value in ("article", "h1")))
-
-    def wraps(self, k: int) -> bool:
-        """Whether the element of an event holds the article."""
-        end = self.ends[k]
-        if self.events[k][1] in ("html", "body", "main") or self.mains[end] > self.mains[k]:
+            n = linked = prose = 0
+            if op == TEXT and k >= head_until:
+                n = len(value.split())
+                linked = n if link else 0
+                prose = n if (paragraph or n >= LONG) and not link else 0
+            elif op in (OPEN, CLOSE):
+                if value == "a":
+                    link = int(op == OPEN)
+                elif value == "p":
+                    paragraph = op == OPEN
+                elif value not in INLINE:
+                    paragraph = False
+                if op == OPEN and (value == "head" or value in RAW):
+                    head_until = max(head_until, self.ends[k])
+                if op == OPEN and value in ("main", "article", "h1"):
+                    starts.append(k)
+            for total, x in ((self.prose, prose), (self.words, n), (self.linked, linked), (self.mains, int(op == OPEN and value == "main")), (self.articles, int(op == OPEN and value in ("article", "h1")))):
+                total.append(total[-1] + x)
+        for k in self.unclosed:
+            if self.events[k][1] in UNCLOSED:
+                self.ends[k] = next((m for m in starts if k < m < self.ends[k]), self.ends[k])
+        whole = self.prose[-1]
+        self.container = max((k for k in self.ends if self.events[k][1] in CONTAINERS and self.prose[self.ends[k]] - self.prose[k] >= CONTAINER * whole), default=-1) if whole else -1
+        self.first_plain, self.last_plain, named_until, paragraph = -1, -1, -1, False
+        self.alike: dict[tuple[str, str], int] = {}
+        for k in range(self.container + 1, self.ends.get(self.container, 0)):
+            op, value, attributes = self.events[k]
+            if op == OPEN and value in PLACED and attributes and k >= named_until:
+                self.alike[value, attributes.strip()] = self.alike.get((value, attributes.strip()), 0) + 1
+                if naming(attributes):
+                    named_until = self.ends[k]
+            if k >= named_until and op == OPEN and value == "p":
+                self.first_plain, self.last_plain = k if self.first_plain < 0 else self.first_plain, k
+
+    def wraps(self, k: int, by_element: bool = False) -> bool:
+        """Whether the element of an event holds the article. by_element: where its element or role speaks against it."""
+        end, name = self.ends[k], self.events[k][1]
+        if name in ("html", "body", "main") or self.mains[end] > self.mains[k]:
+            return True
+        share = (self.prose[end] - self.prose[k]) / self.prose[-1] if self.prose[-1] else 0.0
+        if by_element and share >= LONE_WRAPPER and name not in ("nav", "menu", "footer", "aside", "dialog"):
             return True
-        return self.articles[end] > self.articles[k + 1] and 2 * (self.words[end] - self.words[k]) >= self.words[-1]
+        if self.articles[end] == self.articles[k + 1]:
+            return False
+        return share >= WRAPPER if by_element else 2 * (self.words[end] - self.words[k]) >= self.words[-1]
+
+    def place(self, k: int) -> list[str]:
+        """The features of where a named block stands; none where the page has no plain paragraphs to compare with."""
+        name, attributes, end = self.events[k][1], self.events[k][2], self.ends[k]
+        if name not in PLACED or self.first_plain < 0 or k <= self.container < end:
+            return []
+        n = self.words[end] - self.words[k]
+        out = ["@links"] if n and 2 * (self.linked[end] - self.linked[k]) > n else []
+        if k >= self.ends[self.container] or k < self.container:
+            own = self.events[self.container]
+            return [*out, "@same" if (name, attributes.strip()) == (own[1], own[2].strip()) else "@after" if k > self.container else "@before"]
+        if self.alike.get((name, attributes.strip()), 0) >= 3:
+            return [*out, "@alike"]
+        return [*out, "@tail" if k > self.last_plain else "@lead" if end <= self.first_plain else "@middle"]
 
 
 def left_out(name: str, attributes: str, in_article: bool) -> bool:
@@ -134,10 +203,11 @@ def naming(attributes: str) -> list[str]:
 
 
 def names_score(name: str, features: list[str], in_article: bool, weights: dict[str, float]) -> float:
-    """The sum of the features' weights, and that of the element itself where it speaks for an article."""
+    """The sum of the features' weights, and that of the element itself where it speaks for an article and one of the names is
+    known; what has unknown names only is judged by its place."""
     if not features:
         return 0.0
-    own = max(0.0, weights.get(f"#{name} inside" if in_article else f"#{name}", 0.0))
+    own = max(0.0, weights.get(f"#{name} inside" if in_article else f"#{name}", 0.0)) if any(x[0] != "@" and x in weights for x in features) else 0.0
     return own + sum(weights.get(x, 0.0) * (PART_OF_NAME if x[0] == "~" else 1.0) for x in features)
 
 
@@ -159,12 +229,12 @@ def sequence(html: str, weights: dict[str, float]) -> list[tuple[str, str]]:
             k += 1
             continue
         if op == OPEN:
-            if left_out(name, attributes, bool(where)):
+            if left_out(name, attributes, bool(where)) and not page.wraps(k, by_element=True):
                 out.append(("out", " "))
                 k = max(k + 1, page.ends[k])
                 continue
             features = naming(attributes)
-            if features and names_score(name, features, bool(where), weights) < NAMED_OUT and not page.wraps(k):
+            if features and names_score(name, features + page.place(k), bool(where), weights) < NAMED_OUT and not page.wraps(k):
                 out.append((where + "named", "" if name in INLINE else " "))
                 k = max(k + 1, page.ends[k])
                 continue
@@ -210,6 +280,7 @@ def learn_names(labelled: list[str]) -> dict[str, float]:
                 article += 1 if op == OPEN else -1
             features = naming(attributes) if op == OPEN else []
             if features:
+                features += page.place(k)
                 good = marks[0] < k < marks[1] or k < marks[0] and page.ends[k] > marks[1]
                 inner = article - (name in ("main", "article")) > 0
                 if marks[0] < k < marks[1] and names_against(page, k):
@@ -273,7 +344,7 @@ def extract(df: DataFrame, *, html_col: str = "html", weights: dict[str, float]
     from tuyere.llm.labelled_pages import LABELLED
 
     learned = weights or learn(LABELLED)
-    rest = [c for c in df.columns if c not in (html_col, "text", "n_chars")]
+    rest = [c for c in df.columns if c.lower() not in (html_col.lower(), "text", "n_chars")]
     source = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{html_col}`").alias(unused(df, "html")))
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + ["text string", "n_chars long"])
 

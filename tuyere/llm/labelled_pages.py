@@ -60,11 +60,15 @@ def _around(k: int) -> str:
 
 
 def _layout(k: int) -> str:
-    own = "".join(f'<{e} class="{n}">{_PROSE[(k + j) % 5] if e in ("p", "div", "section", "blockquote") else "Of rivers"}</{e}>' for j, (e, n) in enumerate(_INSIDE[(3 * k + i) % len(_INSIDE)] for i in range(4)))
+    """Three parts before the article, one in it (in every other page at its end), three after it. The article's own blocks are
+    in its middle, in every sixth page one is at its end."""
+    own = ["".join(f'<{e} class="{n}">{_PROSE[(k + j) % 5] if e in ("p", "div", "section", "blockquote") else "Of rivers"}</{e}>') for j, (e, n) in enumerate(_INSIDE[(3 * k + i) % len(_INSIDE)] for i in range(4))]
     before, within, after = (_around(7 * k + i) for i in (0, 1, 2)), _around(7 * k + 3), (_around(7 * k + i) for i in (4, 5, 6))
-    main = f"<!--main--><h1>River and bridge</h1>{_paragraphs(k, 2)}{own}{within}{_paragraphs(k + 2, 2)}<!--/main-->"
-    two = f"<!--main--><article><h1>River and bridge</h1>{_paragraphs(k, 2)}{own}</article>{within}<article>{_paragraphs(k + 2, 2)}</article><!--/main-->"
-    around = [f"<article>{main}</article>", f"<main>{main}</main>", f"<div>{main}</div>", f"<div>{two}</div>"][k % 4]
+    last = own.pop() if k % 6 == 1 else ""
+    middle, tail = ("", within) if k % 2 else (within, "")
+    main = f"<!--main--><h1>River and bridge</h1>{_paragraphs(k, 2)}{''.join(own)}{middle}{_paragraphs(k + 2, 2)}{tail}{last}<!--/main-->"
+    two = f"<!--main--><article><h1>River and bridge</h1>{_paragraphs(k, 1)}{''.join(own)}{_paragraphs(k + 1, 1)}</article>{within}<article>{_paragraphs(k + 2, 2)}{last}</article><!--/main-->"
+    around = [f"<article>{main}</article>", f"<main>{main}</main>", f"<div>{main}</div>", f"<div>{two}</div>"][k // 2 % 4]
     return f'<html><body><div class="{_WRAPPERS[k % len(_WRAPPERS)]}">{"".join(before)}{around}{"".join(after)}</div></body></html>'
 
 

@@ -6,7 +6,8 @@ by the out-of-place distance: the sum over the document's n-grams of how far the
 for those that it lacks. The nearest language wins, the first by name of equals.
 
 Cases: a null text and one without a letter get ``und`` and score 0; rows without a language are not learned from; without
-any labelled row every document gets ``und``; ties of count are ordered by n-gram; whole texts count, whatever their length.
+any labelled row every document gets ``und``; ties of count are ordered by n-gram; whole texts count, whatever their length;
+repeated rows give equal rows; an empty table gives an empty result; columns named as the results, in any case, are replaced.
 """
 
 from __future__ import annotations
@@ -133,7 +134,7 @@ class Comparison:
 
 def predict(df: DataFrame, known: dict[str, list[int]], *, text_col: str = "text", length: int = PROFILE_LENGTH) -> DataFrame:
     """df with lang_pred and score; columns of these names are replaced. No shuffle."""
-    rest = [c for c in df.columns if c not in ("lang_pred", "score")]
+    rest = [c for c in df.columns if c.lower() not in ("lang_pred", "score")]
     source = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`").alias(unused(df, "text")))
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + ["lang_pred string", "score double"])
 

@@ -19,7 +19,8 @@ Word counts stay distributed. The most frequent ``HEAD`` words go to all tasks;
 within it, are joined to their counts.
 
 Cases: a null text is an empty one and has one token, its end; words that training lacks count 0; without any training
-text all scores come from the unseen words alone; repeated ids are rows of their own; texts are taken whole.
+text all scores come from the unseen words alone; repeated ids are rows of their own; texts are taken whole; an
+empty table gives an empty result; further columns are ignored whatever their names.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ The seeded order is cut into 4096 bins a source by the first digits of a digest.
 tell which bins are taken whole; only the documents of the one bin at the edge are put in order, so no task gets a source.
 
 Cases: a null text has size 0; a null source is a source of its own and sorts last; documents of size 0 take 0 words; if
-all sizes are 0, all targets are 0; repeated ids are ordered by size and counted each; an empty table gives an empty result.
+all sizes are 0, all targets are 0; repeated ids are ordered by size and counted each; an empty table gives an empty result;
+further columns are ignored, or kept by repeat_documents, whatever their names.
 """
 
 from __future__ import annotations

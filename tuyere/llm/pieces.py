@@ -15,7 +15,8 @@ Where two pieces have one score (in the public vocabulary: runs of 2 and of 4 sp
 its place and not on the pieces alone; a part that holds such a piece is merged with a priority queue instead.
 
 Cases: a null text is an empty one and has no ids; white space alone is encoded as the library does; characters without a
-piece become byte pieces; texts of any length are taken whole.
+piece become byte pieces; texts of any length are taken whole; repeated rows give equal rows; an empty table gives an empty
+result; columns of the added names, in any case, are replaced.
 """
 
 from __future__ import annotations
@@ -227,8 +228,8 @@ def encode_pieces(df: DataFrame, model_path: str, *, text_col: str = "text", wit
     added = {"ids": "array<int>", "n_tokens": "long", "ids_sha256": "string", "decoded": "string", "decoded_sha256": "string"}
     if not with_ids:
         added = {k: v for k, v in added.items() if k not in ("ids", "decoded")}
-    rest = [c for c in df.columns if c not in added and c != text_col]
-    keep_text = with_ids or text_col not in df.columns
+    rest = [c for c in df.columns if c.lower() not in added and c.lower() != text_col.lower()]
+    keep_text = with_ids or text_col.lower() not in [c.lower() for c in df.columns]
     source = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`").alias("__text"))
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + ([f"`{text_col}` string"] if keep_text else []) + [f"{k} {v}" for k, v in added.items()])
 

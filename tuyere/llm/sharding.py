@@ -65,7 +65,7 @@ def place(df: DataFrame, shards: list[str], *, key_col: str = "doc_id", size: in
     spark = df.sparkSession
     names = F.array(*[F.lit(x) for x in shards])
     table = F.broadcast(table_frame(spark, shards, size).select(F.col("slot").alias("at"), "shard"))  # size rows, whatever the input
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in ("slot", "shard")]
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("slot", "shard")]
     rows = df.select(F.struct(*kept).alias("row") if kept else F.lit(None).alias("row"), slot_of(F.col(f"`{key_col}`"), size).alias("slot"))
     placed = rows.join(table, F.col("slot") == F.col("at"))
     return placed.select(*(["row.*"] if kept else []), "slot", F.get(names, F.col("shard")).alias("shard"))

@@ -6,7 +6,8 @@ or deflate, undoes the horizontal predictor, and emits one row per page. Writing
 Cases: a null or empty media value gives no page; a value that is no TIFF, a directory chain that loops, a size that the
 stored strips or tiles do not fill, or a codec or sample format that is not known gives one row whose ``error`` says so and
 whose pixels are null, never a failed job: no memory is taken for pixels before the parts that hold them are decoded, and
-no part is decoded beyond its size. Pages of any size are read whole; equal values give equal rows.
+no part is decoded beyond its size. Pages of any size are read whole; equal values give equal rows; an empty table gives an
+empty result; of the input's columns only the id and the named one are read, whatever the others are called.
 """
 
 from __future__ import annotations
