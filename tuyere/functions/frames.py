@@ -1,6 +1,6 @@
 """Ordered windows that do not put a whole series into one task.
 
-A series (the rows of one key) is cut into time buckets. What a row needs from other buckets is either the nearest known
+A series (the rows of one key) is cut into buckets of times. What a row needs from other buckets is either the nearest known
 value before or after it, which is carried over from small per-bucket summaries, or a fixed number of neighbouring rows,
 which are copied to the next chunk as a halo.
 """
@@ -13,20 +13,26 @@ from functools import reduce, wraps
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A series of more rows is cut into as many equal spans of time as it has times that many rows. It so has at most MOST_BUCKETS
-#: summary rows until its buckets hold LARGEST rows. Where no series has more, none is cut, and no summaries are joined.
-ROWS, LARGEST, MOST_BUCKETS = 50_000, 2_000_000, 2_000
+from tuyere.functions.quantiles import how_many_up_to
+
+#: A series of more rows is cut into as many buckets between approximate quantiles of its times as it has times that many rows,
+#: MOST_BUCKETS at most. Where no series has more, none is cut, and no summaries are joined.
+ROWS, MOST_BUCKETS = 50_000, 2_000
 
 
 def bucketed(df: DataFrame, key: str, t: str) -> tuple[DataFrame, bool]:
-    """df with _b, the row's bucket in its series, and whether any series has several; only those take part in the join."""
-    sizes = df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n"), F.min(t).alias("_from"), F.max(t).alias("_to")).where(F.col("_n") > ROWS)
+    """df with _b, the row's bucket in its series, and whether any series has several; only those take part in the join. Buckets
+    have about as many rows each, however the times lie; rows of one time are in one bucket."""
+    sizes = df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).where(F.col("_n") > ROWS)
     if sizes.isEmpty():
         return df.withColumn("_b", F.lit(0)), False
-    wanted = F.ceil(F.col("_n") / F.greatest(F.lit(ROWS), F.least(F.lit(LARGEST), F.ceil(F.col("_n") / MOST_BUCKETS))))
-    spans = sizes.select("_key", "_from", F.ceil((F.col("_to") - F.col("_from") + 1) / wanted).alias("_span"))
-    cut = df.join(spans, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn("_b", F.coalesce(F.floor((F.col(t) - F.col("_from")) / F.col("_span")), F.lit(0)))
-    return cut.drop("_key", "_from", "_span"), True
+    long = df.select(F.col(key).alias("_of"), F.col(t).alias("_t")).join(sizes, F.col("_of").eqNullSafe(F.col("_key")))
+    shares = F.array(*[F.lit(k / MOST_BUCKETS) for k in range(1, MOST_BUCKETS)])
+    step = F.greatest(F.lit(1), F.floor(MOST_BUCKETS / F.ceil(F.col("_n") / ROWS)))
+    marks = long.groupBy("_key", "_n").agg(F.percentile_approx("_t", shares, 10 * MOST_BUCKETS).alias("_q"))
+    marks = marks.select("_key", F.array_sort(F.array_distinct(F.filter("_q", lambda x, k: (k + 1) % step == 0))).alias("_q"))
+    cut = df.join(marks, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn("_b", F.coalesce(how_many_up_to(F.col("_q"), F.col(t), MOST_BUCKETS), F.lit(0)))
+    return cut.drop("_key", "_q"), True
 
 
 def neighbours(df: DataFrame, key: str, t: str, order: list[str], present: Column, payload: Column, many: bool | None = None) -> DataFrame:

@@ -7,8 +7,6 @@ finds the nearest values beyond the marks; only those are put in order.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,19 +35,21 @@ def quantiles(df: DataFrame, columns: dict[str, Column], shares: list[float], by
         found, marked = summary.first(), rows  # a few numbers, which go into the filters of the next pass
         mark, size = lambda k, i: f"double('{found[f'_m{k}'][i]!r}')" if found[f"_m{k}"] else "double(null)", lambda k: f"{found[f'_n{k}']}L"
     # the values between the marks, counted by value, and the nearest ones beyond them, the lower with all that are below
-    parts, beyond = [], []
+    cells, beyond = [], []
     for k in xs:
         inside = [f"_x{k} between {mark(k, 2 * j)} and {mark(k, 2 * j + 1)}" for j in js]
         here = ", ".join(f"if({c}, {j}, null)" for j, c in enumerate(inside))
-        counted = marked.where(" or ".join(inside)).groupBy(*keys, F.expr(size(k)).alias("n"), F.col(f"_x{k}").alias("x"), F.expr(f"array({here})").alias("js")).agg(F.count("*").alias("w"))
-        parts.append(counted.selectExpr(*keys, f"{k} as c", "explode(array_compact(js)) as j", "n", "x", "w"))
+        cells.append(f"if({' or '.join(inside)}, named_struct('c', {k}, 'n', {size(k)}, 'x', _x{k}, 'js', array({here})), null)")
         for j in js:
             low, high = f"_x{k} < {mark(k, 2 * j)}", f"_x{k} > {mark(k, 2 * j + 1)}"
             n = f"max({size(k)})"
             beyond.append(f"named_struct('c', {k}, 'j', {j}, 'n', {n}, 'x', max(_x{k}) filter (where {low}), 'w', count_if({low}))")
             beyond.append(f"named_struct('c', {k}, 'j', {j}, 'n', {n}, 'x', min(_x{k}) filter (where {high}), 'w', least(count_if({high}), 1L))")
+    # one pass for the values of all columns, which few rows have, and one for what lies beyond
+    counted = marked.select(*keys, F.expr(f"inline(array_compact(array({', '.join(cells)})))")).groupBy(*keys, "c", "n", "x", "js").agg(F.count("*").alias("w"))
+    counted = counted.selectExpr(*keys, "c", "explode(array_compact(js)) as j", "n", "x", "w")
     rest = marked.groupBy(*keys).agg(F.expr(f"array({', '.join(beyond)})").alias("e")).selectExpr(*keys, "inline(e)")
-    counts = reduce(DataFrame.unionByName, parts, rest).where("w > 0 or n = 0")
+    counts = rest.unionByName(counted).where("w > 0 or n = 0")
     order = Window.partitionBy(*keys, "c", "j").orderBy("x")
     upto = F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     counts = counts.withColumn("upto", upto)
@@ -104,3 +104,39 @@ def evenly(values: DataFrame, n: int, points: int) -> DataFrame:
     low, high = at(0, "lo"), at(1, "hi")
     place = f"(k * {span}L % {steps}L) / {steps}D"
     return low.join(high, "k", "left").selectExpr("k", f"lo + (coalesce(hi, lo) - lo) * {place} as v")
+
+
+def with_ranks(df: DataFrame, columns: dict[str, str], buckets: int = 1000) -> DataFrame:
+    """Adds to each row, under the given names, the average ranks of the columns' values, which must not be null.
+
+    Values lie in buckets between approximate quantiles, and a value that is such a bound has a bucket of its own: its rank
+    follows from the counts of the buckets alone. A column whose values are all bounds takes no shuffle; else each row goes to
+    the task of its bucket, and the rows of a frequent value to many."""
+    names = list(columns)
+    shares = F.array(*[F.lit(k / buckets) for k in range(1, buckets)])
+    bounds = df.agg(*[F.array_sort(F.array_distinct(F.percentile_approx(c, shares, 10 * buckets))).alias(f"_q{k}") for k, c in enumerate(names)])  # one row
+    bucket = lambda c, q: 2 * how_many_up_to(q, F.col(c), buckets) - (F.get(q, how_many_up_to(q, F.col(c), buckets) - 1) == F.col(c)).cast("int")
+    rows = df.crossJoin(F.broadcast(bounds))
+    rows = rows.withColumns({f"_b{k}": F.coalesce(bucket(c, F.col(f"_q{k}")), F.lit(0)) for k, c in enumerate(names)}).drop(*[f"_q{k}" for k in range(len(names))])
+    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_b{k}").alias("b")) for k in range(len(names))])
+    counts: dict[int, dict[int, int]] = {k: {} for k in range(len(names))}
+    for r in rows.select(F.inline(pairs)).groupBy("k", "b").agg(F.count("*").alias("n")).collect():  # a number a bucket
+        counts[r.k][r.b] = r.n
+    for k, (c, name) in enumerate(columns.items()):
+        before, table = 0, []
+        for b in sorted(counts[k]):
+            table.append((b, before, counts[k][b]))
+            before += counts[k][b]
+        offsets = df.sparkSession.createDataFrame(table, f"_b{k} int, _o long, _m long")
+        rows = rows.join(F.broadcast(offsets), f"_b{k}")
+        alone = F.col("_o") + (F.col("_m") + 1) / 2
+        if all(b % 2 for b in counts[k]):
+            rows = rows.withColumn(name, alone)
+        else:
+            lot = F.when(F.col(f"_b{k}") % 2 == 1, F.pmod(F.xxhash64(*names), F.lit(64))).otherwise(0)
+            rows = rows.withColumn("_lot", lot)
+            place = Window.partitionBy(f"_b{k}", "_lot")
+            among = F.col("_o") + F.rank().over(place.orderBy(c)) + (F.count("*").over(Window.partitionBy(f"_b{k}", "_lot", c)) - 1) / 2
+            rows = rows.withColumn(name, F.when(F.col(f"_b{k}") % 2 == 1, alone).otherwise(among)).drop("_lot")
+        rows = rows.drop("_o", "_m", f"_b{k}")
+    return rows

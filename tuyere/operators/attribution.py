@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tuyere.functions.storage import stored
 from tuyere.operators.stats import rank_of
 
-#: Depths, rates and numbers of trees that are tried.
+#: Depths, rates and numbers of trees that fit() tries with Spark's own trees. The whole grid in one go is in ``boosting``.
 GRID = ((3, 5, 7), (0.01, 0.1, 0.2), (100, 200, 300))
 
 
@@ -65,6 +65,8 @@ def fit(train: DataFrame, features: list[str], target: str, *, grid: tuple[Itera
 
 def leaves(model) -> list[tuple[float, list[tuple[int, float, float, float]]]]:
     """(value, path) of all leaves; a path has (feature, above, up to, share of rows that go this way) once per feature."""
+    if hasattr(model, "leaves"):
+        return model.leaves()
     out = []
 
     def walk(node, weight: float, path: dict) -> None:
@@ -125,8 +127,8 @@ def explain(df: DataFrame, model, features: list[str], *, id_col: str = "id", pa
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for part in batches:
-            for at in range(0, len(part), 2000):
-                rows = part.iloc[at : at + 2000]
+            for at in range(0, len(part), 10_000):
+                rows = part.iloc[at : at + 10_000]
                 base, phi = shapley(found, rows[features].to_numpy(float), pairs)
                 yield pd.DataFrame({id_col: rows[id_col].to_numpy(), "base": base, "phi": list(phi.reshape(len(rows), -1))})
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tuyere.functions.frames import numbered
 from tuyere.functions.storage import stored
 from tuyere.operators.dictionary import KEY, upsert
 
@@ -40,7 +41,8 @@ def template_import(d: DataFrame, work_types: DataFrame, pools: DataFrame, sheet
     valid = rows.where("_bad is null")
     new_types = valid.groupBy("work_type").agg(F.min("ordinal").alias("first")).join(work_types.select("work_type"), "work_type", "left_anti")
     last = work_types.agg(F.coalesce(F.max("no"), F.lit(0)).alias("last"))
-    types = new_types.crossJoin(F.broadcast(last)).select("work_type", (F.col("last") + F.row_number().over(Window.orderBy("first"))).alias("no"))  # one row per new work type
+    placed = numbered(new_types.withColumn("first", F.col("first").cast("long")).withColumn("one", F.lit(1)), "one", "first", ["first", "work_type"])
+    types = placed.crossJoin(F.broadcast(last)).select("work_type", (F.col("last") + F.col("_i") + 1).alias("no"))
     new_categories = valid.select("work_type", "category").distinct().join(d.select("work_type", "category").distinct(), ["work_type", "category"], "left_anti")
     counted = rows.agg(F.count_if(F.col("status") == "added").alias("datasets_added"), F.count_if(F.col("status") != "added").alias("rows_skipped"))
     counts = new_types.agg(F.count("*").alias("work_types_added")).crossJoin(new_categories.agg(F.count("*").alias("categories_added"))).crossJoin(counted)  # one row each

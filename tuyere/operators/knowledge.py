@@ -10,15 +10,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tuyere.functions.frames import chunked
+from tuyere.functions.frames import chunked, numbered
 from tuyere.operators.graph import descendants, induced
 
 
 def _entries(rows: DataFrame, kind: str, key: list[str], name: str, level: int) -> DataFrame:
     """The distinct keys with id, type, name and level; as many rows as the level has entries."""
-    firsts = rows.groupBy(*key).agg(F.min("ordinal").alias("o"))
-    place = F.row_number().over(Window.orderBy("o", *key)).cast("string")
-    return firsts.withColumn("id", F.concat(F.lit(f"{kind}_"), place)).select("id", F.lit(kind).alias("type"), F.col(name).alias("name"), F.lit(level).alias("level"), *[F.col(k).alias(f"_{k}") for k in key])
+    firsts = rows.groupBy(*key).agg(F.min("ordinal").cast("long").alias("o")).withColumn("one", F.lit(1))
+    firsts = numbered(firsts, "one", "o", ["o", *key])
+    return firsts.withColumn("id", F.concat(F.lit(f"{kind}_"), (F.col("_i") + 1).cast("string"))).select("id", F.lit(kind).alias("type"), F.col(name).alias("name"), F.lit(level).alias("level"), *[F.col(k).alias(f"_{k}") for k in key])
 
 
 def build(d: DataFrame, templates: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tuyere.functions.frames import clean
-from tuyere.functions.quantiles import cumulative, quantiles
+from tuyere.functions.quantiles import cumulative, quantiles, with_ranks
 
 
 def longer(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -49,18 +49,29 @@ def quality_report(df: DataFrame) -> DataFrame:
 
 
 def column_types(df: DataFrame) -> DataFrame:
-    """column_name, kind: numeric, categorical_numeric, categorical, text, datetime or unknown; one aggregation."""
+    """column_name, kind: numeric, categorical_numeric (less than 20 values), categorical (texts of which less than a twentieth
+    differ), text, datetime or unknown. Distinct values are estimated for all columns in one aggregation, to two in a hundred,
+    and counted only in those columns that seem to have few."""
     parts = []
     for name, kind in df.dtypes:
         c = F.col(f"`{name}`")
         numeric = kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")
         text = kind == "string"
         number = F.expr(f"try_cast(`{name}` as double)") if text else F.lit(None).cast("double")
-        parts.append(F.struct(F.lit(name).alias("column_name"), F.lit("number" if numeric else "text" if text else "time" if kind.startswith(("timestamp", "date")) else "other").alias("k"), F.countDistinct(c).alias("u") if numeric or text else F.lit(0).cast("long").alias("u"), F.count("*").alias("n"), F.count_if(c.isNotNull() & number.isNull()).alias("bad")))
-    e = df.agg(F.array(*parts).alias("x")).select(F.explode("x").alias("x")).select("x.*")
-    numberlike = (F.col("k") == "number") | ((F.col("k") == "text") & (F.col("bad") == 0))
-    kind = F.when(numberlike, F.when(F.col("u") < 20, "categorical_numeric").otherwise("numeric")).when(F.col("k") == "text", F.when(F.try_divide("u", "n") < 0.05, "categorical").otherwise("text")).when(F.col("k") == "time", "datetime").otherwise("unknown")
-    return e.select("column_name", kind.alias("kind"))
+        parts.append(F.struct(F.lit("number" if numeric else "text" if text else "time" if kind.startswith(("timestamp", "date")) else "other").alias("k"), F.approx_count_distinct(c, 0.02).alias("u") if numeric or text else F.lit(0).cast("long").alias("u"), F.count("*").alias("n"), F.count_if(c.isNotNull() & number.isNull()).alias("bad")))
+    found = dict(zip(df.columns, df.agg(F.array(*parts).alias("x")).first().x, strict=True))  # a row a column
+    few = [c for c, r in found.items() if r.k in ("number", "text") and r.u < 40]
+    exact = dict(zip(few, df.agg(*[F.countDistinct(F.col(f"`{c}`")).alias(f"u{k}") for k, c in enumerate(few)]).first(), strict=True)) if few else {}
+
+    def kind_of(c: str) -> str:
+        r, u = found[c], exact.get(c, found[c].u)
+        if r.k == "number" or r.k == "text" and not r.bad:
+            return "categorical_numeric" if u < 20 else "numeric"
+        if r.k == "text":
+            return "categorical" if r.n and u / r.n < 0.05 else "text"
+        return "datetime" if r.k == "time" else "unknown"
+
+    return df.sparkSession.createDataFrame([(c, kind_of(c)) for c in found], "column_name string, kind string")
 
 
 def time_column(df: DataFrame) -> str | None:
@@ -108,24 +119,23 @@ def rank_of(df: DataFrame, column: str, name: str) -> DataFrame:
 
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     """a, b, n, r, t: ranks within the rows complete in both columns, ties averaged. Columns without nulls are ranked once
-    for all their pairs, which then take one aggregation."""
+    for all their pairs, which then take one aggregation; a column shuffles its rows once at most."""
     df = clean(df, *columns)
     nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n{k}") for k, c in enumerate(columns)]).first()
     full = [c for k, c in enumerate(columns) if not nulls[k]]
     parts = []
+
+    def ranked(rows: DataFrame, columns: list[str]) -> DataFrame:
+        named = rows.select(*[F.col(c).cast("double").alias(f"_v{k}") for k, c in enumerate(columns)])
+        r = pearson(with_ranks(named, {f"_v{k}": f"_r{k}" for k in range(len(columns))}), [f"_r{k}" for k in range(len(columns))])
+        names = F.create_map(*[F.lit(x) for k, c in enumerate(columns) for x in (f"_r{k}", c)])
+        return r.select(names[F.col("a")].alias("a"), names[F.col("b")].alias("b"), "n", "r", "t")
+
     if len(full) > 1:
-        rows = df.select(*full)
-        for k, c in enumerate(full):
-            rows = rows.join(ranks(df, c).select(F.col("_v").alias(f"_v{k}"), F.col("_rank").alias(f"_r{k}")), F.col(c) == F.col(f"_v{k}"))
-        names = F.create_map(*[F.lit(x) for k, c in enumerate(full) for x in (f"_r{k}", c)])
-        r = pearson(rows.select(*[f"_r{k}" for k in range(len(full))]), [f"_r{k}" for k in range(len(full))])
-        parts.append(r.select(names[F.col("a")].alias("a"), names[F.col("b")].alias("b"), "n", "r", "t"))
+        parts.append(ranked(df, full))
     for a, b in _pairs(columns):
-        if a in full and b in full:
-            continue
-        rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("x"), F.col(b).alias("y"))
-        both = rows.join(ranks(rows, "x").select(F.col("_v").alias("_x"), F.col("_rank").alias("rx")), F.col("x") == F.col("_x")).join(ranks(rows, "y").select(F.col("_v").alias("_y"), F.col("_rank").alias("ry")), F.col("y") == F.col("_y"))
-        parts.append(pearson(both.select("rx", "ry"), ["rx", "ry"]).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "n", "r", "t"))
+        if a not in full or b not in full:
+            parts.append(ranked(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()), [a, b]))
     return reduce(lambda p, q: p.unionByName(q), parts)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuyere.operators import attention, attention_training, attribution, dictionary, graph, impute, models, semantic
+from tuyere.operators import attention, attention_training, attribution, boosting, dictionary, graph, impute, models, semantic
 from tuyere.plans.series_queries import _line_sql, _r
 from tuyere.plans.table_queries import PARTS, _graph, parts
 from tuyere.sources import synthetic
@@ -37,13 +37,10 @@ QUERIES["shap_factorize"] = lambda spark, sf: attribution.factorize(_items(spark
 ORACLE_SQL["shap_factorize"] = f"WITH {_ITEMS}, f AS (SELECT l_returnflag, row_number() OVER (ORDER BY min(id)) - 1 AS code FROM i WHERE l_returnflag IS NOT NULL GROUP BY 1) SELECT id, coalesce(code, -1)::DOUBLE AS l_returnflag FROM i LEFT JOIN f USING (l_returnflag)"
 
 
-#: One choice of the operator's grid. The whole grid is 27 choices in three folds; see the README for what it would take.
-SHAP_GRID = ((3,), (0.1,), (100,))
-
-
 def shap_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole grid, then what each column adds to the predictions of the best choice, over all rows."""
     rows = attribution.prepare(_items(spark, sf), FEATURES, "l_extendedprice")
-    model = attribution.fit(rows.where("is_train"), FEATURES, "l_extendedprice", grid=SHAP_GRID)
+    model = boosting.fit(rows.where("is_train"), FEATURES, "l_extendedprice")
     return attribution.importance(attribution.explain(rows, model, FEATURES), FEATURES)
 
 
