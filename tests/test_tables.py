@@ -7,7 +7,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from tuyere.operators import align, mapping, plots, registry, scalers
+from tuyere.operators import align, imports, mapping, plots, registry, scalers
 from tuyere.plans import preprocessing
 from tuyere.sources import catalog
 
@@ -173,3 +173,20 @@ def test_plots(spark):
     heat = plots.heat(df, ["a", "b"], ["id"])
     assert heat.count() == 100 and heat.where("param = 'b' and z is not null").count() == 0
     assert {r.side for r in plots.shapes(df, ["a"]).collect()} == {"middle"}
+
+
+def test_import_folder(spark, tmp_path):
+    levels = {"pools": ({"pool": ["name", "pool_en"], "zh": []}, ["pool"]), "work_types": ({"work_type": ["type"]}, ["work_type"])}
+    (tmp_path / "a_pools.csv").write_text("Name,ZH\n text ,w\nimage,t\n,x\n")
+    (tmp_path / "b_pools.csv").write_text("pool_en,zh\ntext,new\nbinary,b\n")
+    (tmp_path / "notes.txt").write_text("no sheet")
+    known = {"pools": spark.createDataFrame([("image", "old")], "pool string, zh string")}
+    fallback = {"work_types": spark.createDataFrame([("smelt",)], "work_type string")}
+    rows = lambda t: {r.pool: r.zh for r in t["pools"].collect()}
+    fresh, counts = imports.import_folder(spark, str(tmp_path), levels, fallback=fallback)
+    assert rows(fresh) == {"text": "w", "image": "t", "binary": "b"} and [r.work_type for r in fresh["work_types"].collect()] == ["smelt"]
+    assert {tuple(r) for r in counts.collect()} == {("pools", "sheets", 4, 3), ("work_types", "fallback", 0, 1)}
+    assert rows(imports.import_folder(spark, str(tmp_path), levels, known)[0]) == {"text": "w", "image": "old", "binary": "b"}
+    assert rows(imports.import_folder(spark, str(tmp_path), levels, known, overwrite=True)[0]) == {"text": "new", "image": "t", "binary": "b"}
+    kept, counts = imports.import_folder(spark, f"{tmp_path}/none", levels, known)
+    assert rows(kept) == {"image": "old"} and [tuple(r) for r in counts.collect()] == [("pools", "known", 0, 1)]

@@ -1,13 +1,16 @@
-"""Template imports, alignment settings of tables, and physical tables of a dictionary (S-11, S-16, S-17, B-08, B-09, H-07)."""
+"""Template imports, alignment settings of tables, and physical tables of a dictionary (S-11, S-15 to S-17, B-08, B-09, H-07)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tuyere.functions.frames import numbered
 from tuyere.functions.storage import stored
 from tuyere.operators.dictionary import KEY, upsert
+from tuyere.operators.registry import add
+from tuyere.sources.catalog import read_sheet
 
 SETTINGS = ["time_alignment_strategy", "default_timezone", "timestamp_format", "sampling_interval_seconds", "allow_interpolation", "interpolation_method"]
 DEFAULTS = {"default_timezone": "UTC", "timestamp_format": "ISO8601"}
@@ -100,3 +103,37 @@ def register_model(models: DataFrame, new: DataFrame, overwrite: bool = False) -
 
 def unregister_models(models: DataFrame, ids: list[str]) -> DataFrame:
     return models.where(~F.col("model_id").isin(ids)) if ids else models
+
+
+def sheets_of(spark: SparkSession, folder: str) -> list[str]:
+    """The CSV files of a folder, by path; none if there is no such folder."""
+    try:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path").collect()  # names only
+    except AnalysisException:
+        return []
+    return sorted(r.path for r in found)
+
+
+def import_folder(spark: SparkSession, folder: str, levels: dict[str, tuple[dict[str, list[str]], list[str]]], known: dict[str, DataFrame] | None = None, overwrite: bool = False, fallback: dict[str, DataFrame] | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(a table for each level, counts by level) from the sheets of a folder whose file name holds the level's name.
+
+    levels: the names a level's columns go by, and its key. With known tables the sheets are merged into them: keys they have
+    stay, or are replaced if overwrite is set; without them the sheets are the tables. Of several sheets of a level, those that
+    come later by path add to the earlier ones by the same rule. A level without a sheet keeps its known table, else that of
+    fallback (an earlier dictionary), else none. counts: level, source (sheets, known or fallback), n_read, n_rows."""
+    paths, out, counts = sheets_of(spark, folder), {}, []
+    for level, (aliases, key) in levels.items():
+        table = (known or {}).get(level)
+        own = [p for p in paths if level.lower() in p.rsplit("/", 1)[-1].lower()]
+        read = 0
+        for path in own:
+            sheet = read_sheet(spark, path, aliases, key)
+            read += sheet.count()
+            table = sheet if table is None else add(table, sheet.select(*[F.col(c).cast(t).alias(c) if c in sheet.columns else F.lit(None).cast(t).alias(c) for c, t in table.dtypes]), key, overwrite)[0]
+        source = "sheets" if own else "known" if table is not None else "fallback"
+        if table is None:
+            table = (fallback or {}).get(level)
+        if table is not None:
+            out[level] = table = stored(table, "import")
+            counts.append((level, source, read, table.count()))
+    return out, spark.createDataFrame(counts, "level string, source string, n_read long, n_rows long")

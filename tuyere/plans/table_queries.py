@@ -193,8 +193,12 @@ _TYPED = {
     "int": "Row_count Number Priority Level Index 优先级 序号 计数",
     "string": "Name date std num Remark",
 }
-QUERIES["infer_types"] = lambda spark, sf: table(spark, sf, "part").select(F.explode(F.array(*[F.lit(x) for words in _TYPED.values() for x in words.split()])).alias("name")).distinct().select("name", names.inferred_type(F.col("name")).alias("kind"))
-ORACLE_SQL["infer_types"] = "SELECT * FROM (VALUES " + ", ".join(f"('{x}', '{kind}')" for kind, words in _TYPED.items() for x in words.split()) + ") t(name, kind)"
+#: Each part's first word before one of the names, so that the result follows the table; the words of parts hold no keyword but
+#: those that the twin's own test finds as well.
+_ENDS = [x for words in _TYPED.values() for x in words.split()]
+QUERIES["infer_types"] = lambda spark, sf: table(spark, sf, "part").select("p_partkey", F.concat_ws("_", F.regexp_replace(F.split("p_name", " ")[0], "[^a-z]", ""), F.get(F.array(*[F.lit(x) for x in _ENDS]), (F.col("p_partkey") % len(_ENDS)).cast("int"))).alias("name")).select("p_partkey", "name", names.inferred_type(F.col("name")).alias("kind"))
+_RULES = " ".join("WHEN " + " OR ".join(f"contains(lower(name), '{w}')" for w in words) + f" THEN '{kind}'" for kind, words in names.TYPE_RULES)
+ORACLE_SQL["infer_types"] = f"WITH n AS (SELECT p_partkey, concat_ws('_', regexp_replace(string_split(p_name, ' ')[1], '[^a-z]', '', 'g'), {_ENDS!r}[(p_partkey % {len(_ENDS)})::INT + 1]) AS name FROM part) SELECT p_partkey, name, CASE {_RULES} ELSE 'string' END AS kind FROM n"
 QUERIES["table_names"] = lambda spark, sf: parts(spark, sf).select("ordinal", names.table_name("work_type", "category", "pool", "dataset").alias("table_name"))
 QUERIES["name_collisions"] = lambda spark, sf: Q.collisions(parts(spark, sf), ["category", "pool"])
 ORACLE_SQL["name_collisions"] = f"WITH {PARTS} SELECT category, pool, count(*) AS n FROM d GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY n DESC, category, pool LIMIT 5"
