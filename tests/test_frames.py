@@ -23,3 +23,12 @@ def test_chunks_of_a_cut_series(spark, monkeypatch):
     assert sorted(r._i for r in rows if r._home) == list(range(100)) and all(r._i == r.id for r in rows)
     for c in range(10):
         assert sorted(r._i for r in rows if r._c == c) == list(range(max(0, 10 * c - 2), min(100, 10 * c + 13)))
+
+
+def test_bursts_are_cut(spark, monkeypatch):
+    """A series whose rows lie at few times but one far off has buckets of about as many rows each."""
+    monkeypatch.setattr(frames, "ROWS", 100)
+    table = spark.range(1000).selectExpr("cast(null as string) as series", "if(id = 999, 1000000000000, id) as t", "id")
+    rows, many = frames.bucketed(table, "series", "t")
+    sizes = [r["count"] for r in rows.groupBy("_b").count().collect()]
+    assert many and 8 <= len(sizes) <= 12 and max(sizes) <= 150

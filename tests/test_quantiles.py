@@ -3,8 +3,10 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from tuyere.functions import quantiles as module
 from tuyere.functions.quantiles import evenly, how_many_up_to, quantiles
 from tuyere.functions.special import normal_inverse, normal_share
 from tuyere.operators import scale, stats
@@ -80,3 +82,20 @@ def test_quantile_scale_and_power_transform(spark):
     assert normal.count(None) == 1 and max(x for x in normal if x is not None) < 5.2
     scaled = [r.scaled for r in scale.yeo_johnson(table, "x")[0].collect() if r.scaled is not None]
     assert abs(np.mean(scaled)) < 1e-9 and abs(np.std(scaled) - 1) < 1e-9
+
+
+@pytest.mark.parametrize("buckets", [4, 1000])
+def test_ranks_on_rows(spark, buckets):
+    """Average ranks with frequent values, in buckets of several values and of one."""
+    rng = random.Random(12)
+    rows = [(k, float(rng.choice((1, 1, 1, 2, 9))), round(rng.gauss(0, 1), 3), rng.choice((0.0, rng.random()))) for k in range(900)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double").repartition(3)
+    got = {r.id: r for r in module.with_ranks(df, {"a": "ra", "b": "rb", "c": "rc"}, buckets).collect()}
+    assert len(got) == 900
+    for j, name in ((1, "ra"), (2, "rb"), (3, "rc")):
+        values = sorted(r[j] for r in rows)
+        first, last = {}, {}
+        for k, v in enumerate(values, 1):
+            first.setdefault(v, k)
+            last[v] = k
+        assert all(got[r[0]][name] == (first[r[j]] + last[r[j]]) / 2 for r in rows)
