@@ -84,13 +84,13 @@ def test_quantile_scale_and_power_transform(spark):
     assert abs(np.mean(scaled)) < 1e-9 and abs(np.std(scaled) - 1) < 1e-9
 
 
-@pytest.mark.parametrize("buckets", [4, 1000])
-def test_ranks_on_rows(spark, buckets):
+@pytest.mark.parametrize(("few", "rows_per_bucket"), [(1000, 20_000), (3, 200), (3, 20)])
+def test_ranks_on_rows(spark, few, rows_per_bucket):
     """Average ranks with frequent values, in buckets of several values and of one."""
     rng = random.Random(12)
     rows = [(k, float(rng.choice((1, 1, 1, 2, 9))), round(rng.gauss(0, 1), 3), rng.choice((0.0, rng.random()))) for k in range(900)]
     df = spark.createDataFrame(rows, "id long, a double, b double, c double").repartition(3)
-    got = {r.id: r for r in module.with_ranks(df, {"a": "ra", "b": "rb", "c": "rc"}, buckets).collect()}
+    got = {r.id: r for r in module.with_ranks(df, {"a": "ra", "b": "rb", "c": "rc"}, few, rows_per_bucket).collect()}
     assert len(got) == 900
     for j, name in ((1, "ra"), (2, "rb"), (3, "rc")):
         values = sorted(r[j] for r in rows)

@@ -106,37 +106,52 @@ def evenly(values: DataFrame, n: int, points: int) -> DataFrame:
     return low.join(high, "k", "left").selectExpr("k", f"lo + (coalesce(hi, lo) - lo) * {place} as v")
 
 
-def with_ranks(df: DataFrame, columns: dict[str, str], buckets: int = 1000) -> DataFrame:
+#: A column of fewer distinct values is ranked by a table of them; rows of a bucket of values where there are more.
+FEW, BUCKET_ROWS = 1000, 20_000
+
+
+def with_ranks(df: DataFrame, columns: dict[str, str], few: int = FEW, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Adds to each row, under the given names, the average ranks of the columns' values, which must not be null.
 
-    Values lie in buckets between approximate quantiles, and a value that is such a bound has a bucket of its own: its rank
-    follows from the counts of the buckets alone. A column whose values are all bounds takes no shuffle; else each row goes to
-    the task of its bucket, and the rows of a frequent value to many."""
-    names = list(columns)
+    A column of few values is ranked by counting them, and takes no shuffle. The values of any other one lie in buckets between
+    approximate quantiles, at most 1000, and each row goes to the task of its bucket; a value that is such a bound has a bucket of
+    its own, whose rank follows from the counts of the buckets, so the rows of a frequent value go to many tasks."""
+    names, spark = list(columns), df.sparkSession
+    sizes = df.agg(F.count("*").alias("n"), *[F.approx_count_distinct(c, 0.05).alias(f"d{k}") for k, c in enumerate(names)]).first()
+    small = [c for k, c in enumerate(names) if sizes[f"d{k}"] < few]
+    rows, large = df, [c for c in names if c not in small]
+    if small:
+        pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).cast("double").alias("v")) for k, c in enumerate(small)])
+        counts = df.select(F.inline(pairs)).groupBy("k", "v").agg(F.count("*").alias("n")).collect()  # little more than few a column
+        for k, c in enumerate(small):
+            before, table = 0, []
+            for v, n in sorted((r.v, r.n) for r in counts if r.k == k):
+                table.append((v, before + (n + 1) / 2))
+                before += n
+            ranks = spark.createDataFrame(table, f"_rank_v{k} double, _rank_s{k} double")
+            rows = rows.join(F.broadcast(ranks), F.col(c).cast("double") == F.col(f"_rank_v{k}")).withColumn(columns[c], F.col(f"_rank_s{k}")).drop(f"_rank_v{k}", f"_rank_s{k}")
+    if not large:
+        return rows
+    buckets = max(2, min(1000, -(-sizes.n // bucket_rows)))
     shares = F.array(*[F.lit(k / buckets) for k in range(1, buckets)])
-    bounds = df.agg(*[F.array_sort(F.array_distinct(F.percentile_approx(c, shares, 10 * buckets))).alias(f"_q{k}") for k, c in enumerate(names)])  # one row
-    bucket = lambda c, q: 2 * how_many_up_to(q, F.col(c), buckets) - (F.get(q, how_many_up_to(q, F.col(c), buckets) - 1) == F.col(c)).cast("int")
-    rows = df.crossJoin(F.broadcast(bounds))
-    rows = rows.withColumns({f"_b{k}": F.coalesce(bucket(c, F.col(f"_q{k}")), F.lit(0)) for k, c in enumerate(names)}).drop(*[f"_q{k}" for k in range(len(names))])
-    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_b{k}").alias("b")) for k in range(len(names))])
-    counts: dict[int, dict[int, int]] = {k: {} for k in range(len(names))}
-    for r in rows.select(F.inline(pairs)).groupBy("k", "b").agg(F.count("*").alias("n")).collect():  # a number a bucket
-        counts[r.k][r.b] = r.n
-    for k, (c, name) in enumerate(columns.items()):
+    bounds = df.agg(*[F.array_sort(F.array_distinct(F.percentile_approx(c, shares, 10 * buckets))).alias(f"_q{k}") for k, c in enumerate(large)]).first()
+
+    def bucket(c: str, marks: list) -> Column:
+        q = F.array(*[F.lit(float(x)) for x in marks])
+        own = lambda u: 2 * u - (F.get(q, u - 1) == F.col(c)).cast("int")
+        return F.coalesce(F.get(F.transform(F.array(how_many_up_to(q, F.col(c), len(marks))), own), F.lit(0)), F.lit(0))
+
+    rows = rows.withColumns({f"_b{k}": bucket(c, bounds[f"_q{k}"]) for k, c in enumerate(large)})
+    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_b{k}").alias("b")) for k in range(len(large))])
+    found = rows.select(F.inline(pairs)).groupBy("k", "b").agg(F.count("*").alias("n")).collect()  # a number a bucket
+    for k, c in enumerate(large):
         before, table = 0, []
-        for b in sorted(counts[k]):
-            table.append((b, before, counts[k][b]))
-            before += counts[k][b]
-        offsets = df.sparkSession.createDataFrame(table, f"_b{k} int, _o long, _m long")
-        rows = rows.join(F.broadcast(offsets), f"_b{k}")
-        alone = F.col("_o") + (F.col("_m") + 1) / 2
-        if all(b % 2 for b in counts[k]):
-            rows = rows.withColumn(name, alone)
-        else:
-            lot = F.when(F.col(f"_b{k}") % 2 == 1, F.pmod(F.xxhash64(*names), F.lit(64))).otherwise(0)
-            rows = rows.withColumn("_lot", lot)
-            place = Window.partitionBy(f"_b{k}", "_lot")
-            among = F.col("_o") + F.rank().over(place.orderBy(c)) + (F.count("*").over(Window.partitionBy(f"_b{k}", "_lot", c)) - 1) / 2
-            rows = rows.withColumn(name, F.when(F.col(f"_b{k}") % 2 == 1, alone).otherwise(among)).drop("_lot")
-        rows = rows.drop("_o", "_m", f"_b{k}")
+        for b, n in sorted((r.b, r.n) for r in found if r.k == k):
+            table.append((b, before, n))
+            before += n
+        rows = rows.join(F.broadcast(spark.createDataFrame(table, f"_b{k} int, _o long, _m long")), f"_b{k}")
+        lone = F.col(f"_b{k}") % 2 == 1
+        rows = rows.withColumn("_lot", F.when(lone, F.pmod(F.xxhash64(*names), F.lit(64))).otherwise(0))
+        among = F.col("_o") + F.rank().over(Window.partitionBy(f"_b{k}", "_lot").orderBy(c)) + (F.count("*").over(Window.partitionBy(f"_b{k}", "_lot", c)) - 1) / 2
+        rows = rows.withColumn(columns[c], F.when(lone, F.col("_o") + (F.col("_m") + 1) / 2).otherwise(among)).drop("_lot", "_o", "_m", f"_b{k}")
     return rows
