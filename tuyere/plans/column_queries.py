@@ -104,10 +104,12 @@ ORACLE_SQL["lowess"] = (
 QUERIES["impute_spline_global"] = lambda spark, sf: smoothing.fill_spline(gappy(spark, sf)).select("id", *_r("filled"))
 ORACLE_SQL["impute_spline_global"] = f"""WITH RECURSIVE {GAPPY_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY t, id) - 1 AS i FROM s),
     k AS (SELECT series, i, v, row_number() OVER w - 1 AS j, i - lag(i) OVER w AS h0, lead(i) OVER w - i AS h1, (v - lag(v) OVER w) / (i - lag(i) OVER w) AS s0, (lead(v) OVER w - v) / (lead(i) OVER w - i) AS s1 FROM n WHERE v IS NOT NULL WINDOW w AS (PARTITION BY series ORDER BY i)),
-    down AS (SELECT series, 0::BIGINT AS j, 0.0::DOUBLE AS cp, 0.0::DOUBLE AS dp FROM k WHERE j = 0
-             UNION ALL SELECT k.series, k.j, CASE WHEN s1 IS NULL THEN 0 ELSE h1 / 6.0 / ((h0 + h1) / 3.0 - h0 / 6.0 * cp) END, CASE WHEN s1 IS NULL THEN 0 ELSE (s1 - s0 - h0 / 6.0 * dp) / ((h0 + h1) / 3.0 - h0 / 6.0 * cp) END FROM down JOIN k ON k.series = down.series AND k.j = down.j + 1),
-    up AS (SELECT series, j, 0.0::DOUBLE AS m FROM k WHERE s1 IS NULL
-           UNION ALL SELECT d.series, d.j, d.dp - d.cp * up.m FROM up JOIN down d ON d.series = up.series AND d.j = up.j - 1),
+    l AS MATERIALIZED (SELECT series, list({{'a': h0 / 6.0::DOUBLE, 'b': (h0 + h1) / 3.0::DOUBLE, 'c': h1 / 6.0::DOUBLE, 'd': s1 - s0}} ORDER BY j) AS x FROM k GROUP BY series),
+    down AS (SELECT series, 0::BIGINT AS j, 0.0::DOUBLE AS cp, 0.0::DOUBLE AS dp FROM l
+             UNION ALL SELECT series, j + 1, coalesce(y.c / (y.b - y.a * cp), 0), coalesce((y.d - y.a * dp) / (y.b - y.a * cp), 0) FROM (SELECT down.series, down.j, cp, dp, l.x[down.j + 2] AS y FROM down JOIN l USING (series) WHERE down.j + 1 < len(l.x))),
+    e0 AS MATERIALIZED (SELECT series, list({{'c': cp, 'd': dp}} ORDER BY j) AS z FROM down GROUP BY series),
+    up AS (SELECT series, len(z) - 1 AS j, 0.0::DOUBLE AS m FROM e0
+           UNION ALL SELECT series, j - 1, y.d - y.c * m FROM (SELECT up.series, up.j, m, e0.z[up.j] AS y FROM up JOIN e0 USING (series) WHERE up.j > 0)),
     p AS (SELECT k.series, k.i, k.v, up.m, k.j, max(k.j) OVER (PARTITION BY k.series) AS last FROM k JOIN up ON k.series = up.series AND k.j = up.j),
     e AS (SELECT series, i, v, m, lead(i) OVER w AS i1, lead(v) OVER w AS v1, lead(m) OVER w AS m1, j, last FROM p WINDOW w AS (PARTITION BY series ORDER BY j)),
     x AS (SELECT n.id, n.v AS own, n.i AS here, e.*, f.i AS fi, f.v AS fv, (f.v1 - f.v) / (f.i1 - f.i) - (f.i1 - f.i) / 6.0 * (2 * f.m + f.m1) AS fs,

@@ -150,7 +150,8 @@ def build_tables(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES["build_tables"] = build_tables
 ORACLE_SQL["build_tables"] = f"""WITH {PARTS}, t AS (SELECT 'size ' || unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 99]) AS pool UNION SELECT pool FROM d WHERE ordinal % 2 = 1 AND pool <> 'size 7'),
-    n AS (SELECT pool, count(*) AS n FROM d WHERE ordinal % 2 = 0 OR pool <> 'size 7' GROUP BY 1)
+    w AS (SELECT work_type, category, pool, dataset FROM d WHERE ordinal % 2 = 1 AND pool <> 'size 7' EXCEPT SELECT work_type, category, pool, dataset FROM d WHERE ordinal % 2 = 0),
+    n AS (SELECT pool, count(*) AS n FROM (SELECT pool FROM d WHERE ordinal % 2 = 0 UNION ALL SELECT pool FROM w) GROUP BY 1)
     SELECT pool, CASE WHEN n IS NULL THEN 'failed' ELSE 'created' END AS status, coalesce(n, 0) AS n FROM t LEFT JOIN n USING (pool)"""
 QUERIES["register_keys"] = lambda spark, sf: parts(spark, sf).select("ordinal", joined_key("work_type", "pool", "dataset").alias("joined"))
 ORACLE_SQL["register_keys"] = f"WITH {PARTS} SELECT ordinal, concat_ws(' | ', work_type, pool, dataset) AS joined FROM d"
