@@ -10,9 +10,10 @@
    first, so a group of copies sends one row per task whatever its size. Entries of equal key and different bytes stay
    apart: they form the key's chain.
 4. Owner tasks take ranges of buckets and write their entries in order: the index files.
-5. Rows look their entry up by the bucket that the directory names and by key; where a chain has more than one entry, by
-   bytes too. Entries with more than one in ``HOT`` of all rows, fewer than HOT in number, are broadcast, so that no task gets
-   all rows of a frequent text.
+5. Rows are dealt to the bucket that the directory names, and nothing else: its owner walks the bucket's keys in order, entries
+   and rows together, and each row takes the entry that it has just passed if the keys are equal. Where a chain has more than
+   one entry, bytes are compared too. Entries with more than one in ``HOT`` of all rows, fewer than HOT in number, are broadcast,
+   so that no owner gets all rows of a frequent text.
 
 Cases: null text counts as empty; all white-space-only texts equal each other when they have any white space, and differ
 from the empty one; rows with equal ids and texts are separate rows with equal results (all kept if their id is the
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tuyere.llm.shared import SPACE_PATTERN, written
@@ -82,7 +83,7 @@ def build_index(source: DataFrame, directory: list[tuple[int, int]]) -> DataFram
 
 
 def look_up(keys: DataFrame, index: DataFrame, directory: list[tuple[int, int]], source: DataFrame) -> DataFrame:
-    """doc_id and the entry of each row of keys."""
+    """doc_id and the entry of each row of keys. A row that the directory sends to another bucket than its entry's finds none."""
     keys = keys.withColumn("bucket", bucket_of(F.col("key"), directory))
     slots = ["bucket", "key"]
     chains = index.groupBy(*slots).agg(F.count("*").alias("n")).where("n > 1").select(*slots)
@@ -98,12 +99,17 @@ def look_up(keys: DataFrame, index: DataFrame, directory: list[tuple[int, int]],
     hot = F.col("group_size") * HOT > rows
     frequent = F.broadcast(index.where(hot))  # fewer than HOT entries: each has more than one row in HOT
     found = keys.join(frequent, slots).select("doc_id", *ENTRY)
-    rest = keys.join(F.broadcast(index.where(hot).select(*slots)), slots, "left_anti").join(index.where(~hot), slots).select("doc_id", *ENTRY)
+    kind = keys.schema["doc_id"].dataType
+    entries = index.where(~hot).select("bucket", "key", F.lit(0).alias("probe"), F.lit(None).cast(kind).alias("doc_id"), F.struct("key", *ENTRY).alias("entry"))
+    probes = keys.join(F.broadcast(index.where(hot).select(*slots)), slots, "left_anti").select("bucket", "key", F.lit(1).alias("probe"), "doc_id", F.lit(None).cast(entries.schema["entry"].dataType).alias("entry"))
+    walk = Window.partitionBy("bucket").orderBy("key", "probe").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    passed = entries.unionByName(probes).withColumn("passed", F.last("entry", True).over(walk))
+    rest = passed.where("probe = 1 and passed.key = key").select("doc_id", *[F.col(f"passed.{c}").alias(c) for c in ENTRY])
     found = found.unionByName(rest)
     return found if by_bytes is None else found.unionByName(by_bytes)
 
 
-def exact_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 50_000, most_bits: int = MOST_BITS, key_bits: int = 64) -> DataFrame:
+def exact_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4_000, most_bits: int = MOST_BITS, key_bits: int = 64) -> DataFrame:
     """One row per input row: id, keep_id (smallest id with an equal text), group_size, kept, text_sha256, bucket.
 
     key_bits below 64 shortens the keys, so that chains can be tested."""
