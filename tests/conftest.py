@@ -20,4 +20,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from tuyere.functions import storage
+
+    storage.clear(session)
     session.stop()
