@@ -37,7 +37,7 @@ SPACE = "▁"
 class PieceModel:
     """Vocabulary of a SentencePiece BPE model with identity normalisation and byte fallback, and its prefix-table coder."""
 
-    def __init__(self, path: str, most_chunks: int = 500_000) -> None:
+    def __init__(self, path: str, most_chunks: int = 200_000) -> None:
         import ahocorasick
         import sentencepiece
 
