@@ -150,12 +150,12 @@ def representative(front: DataFrame, left: int, many: int = 1_000_000) -> DataFr
     return front
 
 
-def trace(edges: DataFrame, roots: DataFrame, anomalous: DataFrame, hops: int = 5, least: float = 0.3, keep: int = 10, stop_types: DataFrame | None = None) -> DataFrame:
+def trace(edges: DataFrame, roots: DataFrame, anomalous: DataFrame, hops: int = 5, least: float = 0.3, keep: int = 10, stop_types: DataFrame | None = None, many: int = 100_000) -> DataFrame:
     """root, node, score, hop_count, path: best simple path to each node, going against edges, a fifth more where the neighbour
     is anomalous, a tenth less each step, and never below ``least``; the ``keep`` best endpoints of each root.
 
-    Each hop's paths are stored, and only those that a best path can begin with go on: the work grows with edges times hops,
-    not with the number of paths."""
+    Each hop's paths are stored, and where they are more than ``many`` only those that a best path can begin with go on: the
+    work grows with edges times hops, not with the number of paths, and the result is the same."""
     w = reduce(lambda c, kv: c.when(F.col("type") == kv[0], kv[1]), list(TRACE.items())[1:], F.when(F.col("type") == "propagation", 1.0)).otherwise(0.3)
     back = edges.select(F.col("dst").alias("node"), F.col("src").alias("to"), (F.col("weight") * w).alias("w"))
     coupled = edges.where("type = 'coupling'").select(F.col("src").alias("node"), F.col("dst").alias("to"), (F.col("weight") * 0.8).alias("w"))
@@ -167,11 +167,12 @@ def trace(edges: DataFrame, roots: DataFrame, anomalous: DataFrame, hops: int =
         front = front.withColumn("score", (F.col("score") + F.coalesce("plus", F.lit(0.0))) * F.col("w") * 0.9).where(F.col("score") >= least)
         front = stored(front.select("root", F.col("to").alias("node"), "score", F.concat("path", F.array("to")).alias("path"), F.lit(k).alias("hop_count")), "trace-front")
         found = front if found is None else found.unionByName(front)
-        if k == hops or front.isEmpty():
+        n = front.count()  # of what is stored
+        if k == hops or not n:
             break
         if stop_types is not None:
             front = front.join(stop_types.select(F.col("id").alias("node")), "node", "left_anti")
-        if k > 1:  # before that there is one path to each node
+        if k > 1 and n > many:  # before that there is one path to each node
             front = stored(representative(front, hops - k), "trace-front")
     best = found.groupBy("root", "node").agg(F.max(F.struct("score", F.concat_ws(" → ", "path").alias("path"), "hop_count")).alias("x")).select("root", "node", F.round("x.score", 6).alias("score"), "x.hop_count", "x.path")
     order = Window.partitionBy("root").orderBy(F.desc("score"), "node")
