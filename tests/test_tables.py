@@ -135,6 +135,25 @@ def test_documents(spark, tmp_path):
     assert doc == {"query": "q", "n": 2, "results": [{"rank": 1, "name": "a", "score": 0.9}, {"rank": 2, "name": "b", "score": 0.1235}]}
 
 
+def test_dictionary_of_several_documents(spark, tmp_path):
+    name = lambda c: F.concat(F.lit(c), F.col("id").cast("string"))
+    none = F.lit(None).cast("string")
+    levels = {
+        "base_work_types": spark.range(2).select((F.col("id") * 5).alias("ordinal"), name("w").alias("work_type_en"), none.alias("work_type_zh"), F.lit(1).alias("no")),
+        "categories": spark.range(0).select(F.col("id").alias("ordinal"), none.alias("work_type_en"), none.alias("category_en"), none.alias("category_zh")),
+        "pools": spark.range(12).select((-F.col("id")).alias("ordinal"), name("p").alias("pool_en"), none.alias("pool_zh")),
+        "datasets": spark.range(25).select((F.col("id") * 2).alias("ordinal"), *[none.alias(c) for c in ("work_type_en", "category_en", "pool_en")], name("d").alias("dataset_en"), none.alias("dataset_zh"), none.alias("dataset_zh_short")),
+    }
+    attributes = spark.range(12).select(name("p").alias("pool_en"), F.create_map(F.lit("k"), name("v")).alias("fields"))
+    catalog.write_dictionary(levels, attributes, f"{tmp_path}/d", entries=10)
+    back = catalog.read_dictionary(spark, f"{tmp_path}/d")
+    assert [(r.ordinal, r.dataset_en) for r in back["datasets"].orderBy("ordinal").collect()] == [(k, f"d{k}") for k in range(25)]
+    assert [(r.ordinal, r.pool_en) for r in back["pools"].orderBy("ordinal").collect()] == [(k, f"p{11 - k}") for k in range(12)]
+    assert back["categories"].count() == 0 and back["base_work_types"].count() == 2
+    assert {r.pool_en: r.fields for r in back["attributes"].collect()} == {f"p{k}": {"k": f"v{k}"} for k in range(12)}
+    assert all(catalog.validate_dictionary(r.value) == [] for r in spark.read.text(f"{tmp_path}/d").collect())
+
+
 def test_ddl_of_clashing_names():
     got = catalog.ddl_columns([("value", "double"), ("id", "string"), ("ID_attr", "int"), ("id", "int")])
     assert [c for c, _ in got] == ["id", "created_at", "value", "id_attr", "ID_attr_attr", "id_attr2"]

@@ -7,11 +7,15 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tuyere.functions.frames import numbered
+
 DICTIONARY_SCHEMA = (
     "base_work_types array<struct<work_type_en:string,work_type_zh:string,no:int>>, categories array<struct<work_type_en:string,category_en:string,category_zh:string>>, "
     "pools array<struct<pool_en:string,pool_zh:string>>, datasets array<struct<work_type_en:string,category_en:string,pool_en:string,dataset_en:string,dataset_zh:string,dataset_zh_short:string>>, "
-    "attribute_templates map<string,map<string,string>>"
+    "attribute_templates map<string,map<string,string>>, first_ordinal long"
 )
+#: Entries of each key that one document of a written dictionary holds.
+ENTRIES = 50_000
 
 
 def read_table(df: DataFrame, columns: list[str] | None = None, where: str | None = None, limit: int | None = None) -> DataFrame:
@@ -89,8 +93,10 @@ def read_sheet(spark: SparkSession, path: str, aliases: dict[str, list[str]], ke
 
 
 def read_dictionary(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The levels with ordinal and the attributes of a document, or of all documents that write_dictionary cut it into."""
     doc = spark.read.schema(DICTIONARY_SCHEMA).option("multiLine", True).json(path)
-    out = {k: doc.select(F.posexplode(k).alias("ordinal", "x")).select("ordinal", "x.*") for k in ("base_work_types", "categories", "pools", "datasets")}
+    at = F.col("ordinal") + F.coalesce("first_ordinal", F.lit(0))
+    out = {k: doc.select("first_ordinal", F.posexplode(k).alias("ordinal", "x")).select(at.alias("ordinal"), "x.*") for k in ("base_work_types", "categories", "pools", "datasets")}
     out["attributes"] = doc.select(F.explode("attribute_templates").alias("pool_en", "fields"))
     return out
 
@@ -112,19 +118,27 @@ def export_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     edges.write.json(f"{path}/edges")
 
 
-def write_dictionary(levels: dict[str, DataFrame], attributes: DataFrame, path: str, most: int = 200_000) -> None:
-    """The dictionary as one JSON document of five keys, as read_dictionary reads it: levels has base_work_types, categories,
-    pools and datasets (with ordinal), attributes (pool_en, fields). A document is one row, so it has at most so many entries."""
-    n = sum(x.count() for x in levels.values())
-    if n > most:
-        raise ValueError(f"{n} entries are too many for one document")
-    doc = None
+def write_dictionary(levels: dict[str, DataFrame], attributes: DataFrame, path: str, most: int | None = None, entries: int = ENTRIES) -> None:
+    """The dictionary as JSON documents of five keys, as read_dictionary reads them: levels has base_work_types, categories,
+    pools and datasets (with ordinal), attributes (pool_en, fields). A document has at most so many entries of each level, in
+    their order, and a file of its own; a small dictionary is one document. first_ordinal tells where its entries begin. With
+    ``most``, a dictionary of more entries is refused."""
+    n = sum(x.count() for x in levels.values()) if most is not None else 0
+    if most is not None and n > most:
+        raise ValueError(f"{n} entries are too many")
+    docs = attributes.sparkSession.range(1).select(F.lit(0).cast("long").alias("part"))
     for key, rows in levels.items():
         fields = [c for c in rows.columns if c != "ordinal"]
-        part = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", F.struct(*fields).alias("x")))), lambda e: e["x"]).alias(key))
-        doc = part if doc is None else doc.crossJoin(part)  # one row each
-    templates = attributes.agg(F.map_from_entries(F.collect_list(F.struct("pool_en", "fields"))).alias("attribute_templates"))
-    doc.crossJoin(templates).coalesce(1).write.mode("overwrite").json(path)
+        placed = numbered(rows.withColumn("_s", F.lit(0)), "_s", "ordinal", ["ordinal", *fields])
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("_i", F.struct(*fields).alias("x")))), lambda e: e["x"])
+        docs = docs.join(placed.groupBy(F.floor(F.col("_i") / entries).alias("part")).agg(listed.alias(key)), "part", "full")
+    parts = -(-attributes.count() // entries) or 1
+    templates = attributes.groupBy(F.pmod(F.xxhash64("pool_en"), F.lit(parts)).alias("part")).agg(F.map_from_entries(F.collect_list(F.struct("pool_en", "fields"))).alias("attribute_templates"))
+    docs = docs.join(templates, "part", "full")
+    kinds = dict(docs.dtypes)
+    whole = [F.coalesce(k, F.array().cast(kinds[k])).alias(k) for k in levels]
+    whole += [F.coalesce("attribute_templates", F.create_map().cast(kinds["attribute_templates"])).alias("attribute_templates"), (F.col("part") * entries).alias("first_ordinal")]
+    docs.select(*whole).write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
 
 
 def save_scenario(rows: DataFrame, path: str, **about) -> None:
