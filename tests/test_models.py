@@ -134,3 +134,12 @@ def test_made_tables(spark):
     assert synthetic.fake_rows(spark, [("id", "bigint"), ("status", "string")], 8, known=known).count() == 8
     assert synthetic.fake_rows(spark, [("id", "bigint"), ("status", "string")], 8, known=known, overwrite=True).count() == 13
     assert [r.status for r in synthetic.scenario(spark.createDataFrame([("d",)], "dataset string"), "abnormal", 3).collect()] == ["anomaly"] * 3
+
+
+def test_few_codes_are_broadcast(spark):
+    from tuyere.operators import attribution
+
+    df = spark.createDataFrame([(3, "b"), (1, "a"), (2, "b"), (9, None), (7, "c")], "id long, x string")
+    got = attribution.factorize(df, "x", "id")
+    assert {r.id: r.x for r in got.collect()} == {1: 0.0, 2: 1.0, 3: 1.0, 7: 2.0, 9: -1.0}
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString() and "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
