@@ -58,3 +58,21 @@ def test_grid(spark):
     assert all(got[k].base + sum(got[k].phi) == pytest.approx(want[k]) for k in range(50))
     assert boosting.fit(df, names, "y", grid=grid).choice == model.choice
     assert boosting.fit(df.where("false"), names, "y", grid=grid).trees == []
+
+
+def test_cells_stand_for_their_rows(spark):
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.integers(0, 6, 500), rng.integers(0, 3, 500)]).astype(np.int32)
+    y = x[:, 0] * 1.5 + rng.normal(size=500)
+    cells = boosting.Cells.of(x, y)
+    assert len(cells.n) <= 18 and cells.n.sum() == 500
+    by_row, _ = boosting.grow(x, y, 4, 256)
+    by_cell, _ = boosting.grow(cells.bins, cells.total, 4, 256, times=cells.n)
+    assert all(np.allclose(getattr(by_row, k), getattr(by_cell, k)) for k in ("feature", "cut", "left", "value", "rows"))
+    names = ["a", "b"]
+    df = spark.createDataFrame([(k, *map(float, v), float(t)) for k, (v, t) in enumerate(zip(x, y, strict=True))], "id long, a double, b double, y double")
+    model = boosting.fit(df, names, "y", grid=((3,), (0.3,), (10,)))
+    explained = attribution.explain_cells(df, model, names)
+    assert explained.count() <= 18
+    rows = {r.feature: r.mean_abs for r in attribution.importance(attribution.explain(df, model, names), names).collect()}
+    assert {r.feature: r.mean_abs for r in attribution.importance(explained, names).collect()} == pytest.approx(rows)
