@@ -169,3 +169,16 @@ def test_chained_equations_without_relations(spark):
     got, changes = impute_columns.fill_by_equations(df, "id", ["a", "b"])
     assert sorted(map(tuple, got.collect())) == [(1, 1.0, None), (2, 2.0, None), (3, 3.0, None)] and changes == []
     assert impute_columns.fill_by_equations(df.where("false"), "id", ["a", "b"])[0].count() == 0
+
+
+def test_closest_of_a_block_is_exact():
+    """Against sorting all distances: ties by rank, values far from zero, bounds, fewer points than asked for."""
+    rng = np.random.default_rng(8)
+    for dims, far, k in ((1, 0.0, 3), (2, 1e7, 5), (64, 0.0, 11), (64, 1e4, 11), (3, 0.0, 500)):
+        y = np.round(rng.normal(size=(300, dims)) * 3) + far
+        x = np.concatenate([y[:40], np.round(rng.normal(size=(40, dims)) * 3) + far])
+        rank, bound = rng.permutation(300), np.where(np.arange(80) % 3, np.inf, dims**0.5)
+        d = search._distances(x, y)
+        want = [(j, c, d[j, c]) for j in range(80) for c in sorted(range(300), key=lambda c: (d[j, c], rank[c]))[:k] if d[j, c] <= bound[j]]
+        got = list(zip(*search._closest(x, y, rank, bound, k), strict=True))
+        assert [v[:2] for v in got] == [v[:2] for v in want] and np.allclose([v[2] for v in got], [v[2] for v in want], rtol=1e-15)
