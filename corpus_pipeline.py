@@ -30,7 +30,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts linked by a shingle similarity of 0.8 or more, the document with the smallest id stays; of rows
+    """Of each group of texts linked by a shingle similarity of 0.8 or more, found by SimHash and MinHash bands, the document with the smallest id stays; of rows
     with that id, the text of the smallest hash. Null and empty texts are one group, as texts without words; texts of fewer
     than five words are one shingle. All columns stay as they are; an empty table stays empty."""
     return near_copies.drop_copies(docs)
@@ -45,7 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text (null as empty), and digests of the ids and of the text they decode to; one row per row."""
-    coded = pieces.encode_pieces(docs.select("doc_id", "text"), tokenizer_file("piece_bpe_32k.model"))
+    coded = pieces.encode_pieces(docs.select("doc_id", "text"), tokenizer_file("piece_bpe_32k.model"), with_text=False)
     return coded.select("doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256")
 
 

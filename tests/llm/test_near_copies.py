@@ -75,3 +75,38 @@ def test_groups_by_brute_force_in_blocks(spark):
     assert len({least[x] for x in found}) == len(set(found.values())) and all(least[x] == least[y] for x, y in found.items())
     assert len({found.get(x, x) for x in least}) == len(set(root))
     assert near_copies.groups(docs.limit(0)).count() == 0
+
+
+def test_simhash_links_come_first(spark, monkeypatch):
+    """Texts of a changed word are linked by their SimHash alone; what it misses comes by bands, compared across groups only."""
+    rng = random.Random(3)
+    texts = []
+    for k in range(40):
+        words = [f"v{rng.randrange(5000)}" for _ in range(600)]
+        texts += [" ".join(words), " ".join([*words[:-1], "changed"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = near_copies._bags(docs, "doc_id", "text", 5)
+    bags = {near_copies._signed([near_copies._name(b)])[0]: b for b in map(near_copies.bag, texts)}
+    assert {r.fp: r.print for r in nodes.collect()} == {k: near_copies._signed([near_copies.print_of(b)])[0] for k, b in bags.items()}
+    assert near_copies.print_of(near_copies.bag(texts[0])) == simhash.fingerprint(texts[0], words=5)
+    close = near_copies.close_prints(nodes).collect()
+    assert len(close) >= 35 and all(near_copies.similarity(bags[r.a], bags[r.b]) >= 0.8 for r in close)
+    monkeypatch.setattr(near_copies, "bands", lambda found: np.array([int(found[0] >> np.uint64(1))] * 24, np.int64))  # no bands of use
+    assert len({r.component_id for r in near_copies.groups(docs).collect()}) <= 45
+    sets = [near_copies.bag(x) for x in texts[:4]]
+    assert near_copies.linked(sets, 0.8, np.array([0, 0, 1, 1])) == []
+    assert len(near_copies.linked([sets[0], sets[2], sets[1]], 0.8, np.array([0, 0, 1]))) == 1
+
+
+def test_long_chunks_and_large_texts_are_not_kept():
+    import pyarrow as pa
+
+    from tuyere.llm import pieces, shared
+    from tuyere.llm.queries import tokenizer_file
+
+    model = pieces.PieceModel(tokenizer_file("piece_bpe_32k.model"))
+    model.encode("x" * 5000 + " short words")
+    assert model.memo and max(map(len, model.memo)) <= pieces.LONGEST_KEPT
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * 30, None, "b" * 80, "", "c" * 200, "d"])], ["text"])
+    cut = [b.column(0).to_pylist() for b in shared.light_slices([batch], 0, rows=3, size=100)]
+    assert [len(c) for c in cut] == [2, 2, 1, 1] and sum(cut, []) == batch.column(0).to_pylist()

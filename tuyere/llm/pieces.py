@@ -26,12 +26,15 @@ import heapq
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tuyere.llm.shared import slices
+from tuyere.llm.shared import light_slices
 
 SPACE = "▁"
+#: Characters of a chunk that is kept: longer ones hardly ever come again.
+LONGEST_KEPT = 48
 
 
 class PieceModel:
@@ -127,7 +130,7 @@ class PieceModel:
             else:
                 before = rank[b] + 1  # of equal merges the left one, over the border, comes first
                 b = halves[b][0]
-        if len(self.fits) > 1_000_000:
+        if len(self.fits) > 300_000:
             self.fits.clear()
         self.fits[left << 20 | right] = fits
         return fits
@@ -166,12 +169,16 @@ class PieceModel:
                 got = memo.get(part)
                 if got is None:
                     plain = self.tied is not None and self.tied.search(part)
-                    got = memo[part] = tuple(self.merged(part) if plain else self.backwards(part, self.table(part)))
+                    got = tuple(self.merged(part) if plain else self.backwards(part, self.table(part)))
+                    if len(part) <= LONGEST_KEPT:
+                        memo[part] = got
                 out.extend(got)
                 start = i
         if len(memo) > self.most_chunks:
             memo.clear()
-        got = memo[chunk] = tuple(out)
+        got = tuple(out)
+        if len(chunk) <= LONGEST_KEPT:
+            memo[chunk] = got
         return got
 
     def encode(self, text: str, block: int = 1 << 20) -> list[int]:
@@ -221,15 +228,17 @@ def piece_model(path: str) -> PieceModel:
     return _models[path]
 
 
-def encode_pieces(df: DataFrame, model_path: str, *, text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def encode_pieces(df: DataFrame, model_path: str, *, text_col: str = "text", with_ids: bool = True, with_text: bool = True) -> DataFrame:
     """Adds to each row: ids array<int> (if with_ids), n_tokens, ids_sha256 (of the decimal ids joined by commas),
     decoded (if with_ids) and decoded_sha256 of the text that decoding the ids gives. No shuffle; columns of df that have
-    one of these names are replaced."""
+    one of these names are replaced. Without with_text, neither the text nor what is decoded is handed on."""
     added = {"ids": "array<int>", "n_tokens": "long", "ids_sha256": "string", "decoded": "string", "decoded_sha256": "string"}
     if not with_ids:
         added = {k: v for k, v in added.items() if k not in ("ids", "decoded")}
+    if not with_text:
+        added.pop("decoded", None)
     rest = [c for c in df.columns if c.lower() not in added and c.lower() != text_col.lower()]
-    keep_text = with_ids or text_col.lower() not in [c.lower() for c in df.columns]
+    keep_text = with_text and with_ids or text_col.lower() not in [c.lower() for c in df.columns]
     source = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`").alias("__text"))
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + ([f"`{text_col}` string"] if keep_text else []) + [f"{k} {v}" for k, v in added.items()])
 
@@ -238,7 +247,7 @@ def encode_pieces(df: DataFrame, model_path: str, *, text_col: str = "text", wit
 
         model = piece_model(model_path)
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for batch in slices(batches, 500):
+        for batch in light_slices(batches, len(rest)):
             got: dict[str, list] = {k: [] for k in added}
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 ids = model.encode(text or "")
@@ -247,7 +256,8 @@ def encode_pieces(df: DataFrame, model_path: str, *, text_col: str = "text", wit
                 got["ids_sha256"].append(sha(",".join(map(model.decimal.__getitem__, ids)).encode()))
                 got["decoded_sha256"].append(sha(decoded.encode()))
                 if with_ids:
-                    got["ids"].append(ids)
+                    got["ids"].append(np.array(ids, np.int32))
+                if "decoded" in added:
                     got["decoded"].append(decoded)
             kinds = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64()}
             columns = [batch.column(k) for k in range(batch.num_columns - (0 if keep_text else 1))] + [pa.array(v, kinds.get(k, pa.string())) for k, v in got.items()]

@@ -96,7 +96,27 @@ def one_thread() -> None:
 
 
 def slices(batches, rows: int = 1000):
-    """Arrow batches cut to at most so many rows."""
+    """Arrow batches cut to at most so many rows; in the end, Arrow gives back what it holds for later, as workers live on."""
+    import pyarrow as pa
+
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
+def light_slices(batches, column: int, rows: int = 500, size: int = 2_000_000):
+    """Arrow batches cut where a text column holds so many bytes, a row at least, and at so many rows."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        start, held = 0, 0
+        for k, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+            if k > start and (held + n > size or k - start >= rows):
+                yield batch.slice(start, k - start)
+                start, held = k, 0
+            held += n
+        if start < batch.num_rows:
+            yield batch.slice(start)
+    pa.default_memory_pool().release_unused()
