@@ -304,21 +304,29 @@ def links(fps: DataFrame, distance: int = 3, block: int = BLOCK) -> DataFrame:
     return rows.mapInArrow(search, "a long, b long")
 
 
-#: A node with more than one in so many of all links has its least neighbour broadcast; there are fewer such nodes.
-HOT = 1000
+#: A node with more than one in so many of all links, and more links than a task may well hold, has its least neighbour
+#: broadcast; there are fewer such nodes than that.
+HOT, MANY = 1000, 100_000
 
 
 def _with_least(links: DataFrame, least: DataFrame, total: int) -> DataFrame:
-    """links (a, b) with m of their a, from least (a, m, n: how many links a has). The links of a node with many of them stay
-    where they are, so that they do not meet in one task."""
-    many = F.col("n") * HOT > total
+    """links (a, b) with m of their a, from the written least (a, m, n: how many links a has). The links of a node with many of
+    them stay where they are, so that they do not meet in one task."""
+    many = (F.col("n") * HOT > total) & (F.col("n") > MANY)
     hot = least.where(many).select("a", "m")
+    if total <= MANY or hot.isEmpty():
+        return links.join(least.select("a", "m"), "a").select("a", "b", "m")
     rest = links.join(F.broadcast(hot.select("a")), "a", "left_anti").join(least.where(~many).select("a", "m"), "a")
     return links.join(F.broadcast(hot), "a").select("a", "b", "m").unionByName(rest.select("a", "b", "m"))
 
 
+def _least(links: DataFrame) -> DataFrame:
+    return written(links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "links-least")
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, root (the smallest node reachable) for all nodes of the links a-b, by alternating large-star and small-star."""
+    """node, root (the smallest node reachable) for all nodes of the links a-b, by alternating large-star and small-star. Every
+    table that a step uses twice is written, so that plans stay small: the driver keeps what it knows of each one's tasks."""
     pairs = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     digest = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
     before = digest(pairs)
@@ -327,9 +335,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         total = 2 * before.n
         both = pairs.union(pairs.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        large = _with_least(both.where("b > a"), least, total).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        least = _least(both).select("a", F.least("a", "m").alias("m"), "n")
+        large = written(_with_least(both.where("b > a"), least, total).select(F.col("b").alias("a"), F.col("m").alias("b")), "links-large")
+        least = _least(large)
         small = _with_least(large, least, total).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b")))
         pairs = written(small.distinct(), "links")
         now = digest(pairs)
