@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tuyere.functions.frames import chunked, numbered
+from tuyere.functions.storage import stored
 from tuyere.operators.graph import descendants, induced
 
 
@@ -98,9 +99,10 @@ def clear_anomalies(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Data
 
 
 def put_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
-    """edges with the new ones in place of those of the same pair; of new ones of a pair the heaviest counts."""
-    best = new.groupBy("src", "dst").agg(F.max_by(F.struct("type", "weight"), "weight").alias("e")).select("src", "dst", "e.*")
-    return edges.join(best.select("src", "dst"), ["src", "dst"], "left_anti").unionByName(best.select(edges.columns))
+    """edges with the new ones in place of those of the same pair; of new ones of a pair the heaviest counts. The pairs are as
+    many as the rows, so they are merged: by the size of a well compressed file, Spark would take them for few and broadcast them."""
+    best = stored(new.groupBy("src", "dst").agg(F.max_by(F.struct("type", "weight"), "weight").alias("e")).select("src", "dst", "e.*"), "knowledge-new")
+    return edges.join(best.select("src", "dst").hint("merge"), ["src", "dst"], "left_anti").unionByName(best.select(edges.columns))
 
 
 def near(edges: DataFrame, ids: DataFrame, hops: int = 2) -> DataFrame:

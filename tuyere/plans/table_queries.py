@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tuyere.functions import names
+from tuyere.functions.storage import stored
 from tuyere.operators import concordance, dictionary, graph, imports, impute, knowledge, mapping, metrics, retrieval, scale, stats
 from tuyere.sources import catalog
 from tuyere.sources.testdata import SERIES_SQL, series, table
@@ -328,10 +329,11 @@ ORACLE_SQL["kg_marks"] = f"{_KNOWN} SELECT id, type = 'pool' OR name LIKE '%blue
 
 
 def kg_put_edges(spark: SparkSession, sf: str) -> DataFrame:
-    _, edges = _knowledge(spark, sf)
-    new = edges.where("type = 'cross' and weight = 0.5").select("src", "dst", F.lit("coupling").alias("type"), F.lit(0.8).alias("weight"))
-    swapped = new.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("propagation").alias("type"), F.lit(0.6).alias("weight"))
-    return knowledge.clear_anomalies(spark.range(0).select(F.lit("x").alias("id")), knowledge.put_edges(edges, new.unionByName(swapped).unionByName(new.withColumn("weight", F.lit(0.1)))))[1]
+    edges = stored(_knowledge(spark, sf)[1], "knowledge-edges")
+    row = lambda src, dst, kind, weight: F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(kind).alias("type"), F.lit(weight).alias("weight"))
+    new = F.array(row("src", "dst", "coupling", 0.8), row("dst", "src", "propagation", 0.6), row("src", "dst", "coupling", 0.1))
+    new = edges.where("type = 'cross' and weight = 0.5").select(F.explode(new).alias("e")).select("e.*")
+    return knowledge.clear_anomalies(spark.range(0).select(F.lit("x").alias("id")), knowledge.put_edges(edges, new))[1]
 
 
 QUERIES["kg_put_edges"] = kg_put_edges
