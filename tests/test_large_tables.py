@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tuyere.functions import names
 from tuyere.operators import knowledge
 
 
@@ -13,3 +14,13 @@ def test_put_edges_broadcasts_no_pairs(spark, tmp_path):
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
     n = edges.where("src < '5'").count()
     assert {(r.weight, r["count"]) for r in got.groupBy("weight").count().collect()} == {(0.8, n), (0.5, 1000 - n)}
+
+
+def test_names_compute_each_replacement_once(spark):
+    rows = spark.createDataFrame([("  9(A b)【c】% ", "Order"), (None, ""), ("x" * 60, "(a)"), ("---", "9")], "a string, b string")
+    one = rows.select(names.normalise_name(F.col("a")).alias("n"))
+    both = rows.select(names.table_name(F.col("a"), F.col("b")).alias("n"))
+    for df, most in ((one, 5), (both, 10)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= most
+    assert [r.n for r in one.collect()] == ["t_9_a_b_c", "unnamed", "x" * 50, ""]
+    assert [r.n for r in both.collect()] == ["t_9_a_b_c_order_col", "unnamed_unnamed", "x" * 50 + "_a", "_t_9"]

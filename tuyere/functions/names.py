@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,25 +26,33 @@ SEPARATORS, BRACKETS = r"(?U)[\s&%#\-./\\]+", r"[()（）\[\]「」『』〈〉
 LONGEST_NAME, LONGEST_TABLE, DIGEST = 50, 63, 5
 
 
+def _once(x: Column, then: Callable[[Column], Column]) -> Column:
+    """then(x), where x is computed once however often then uses it: a name of its own, as a lambda's argument."""
+    return F.get(F.transform(F.array(x), then), F.lit(0))
+
+
 def normalise_name(c: Column) -> Column:
     """Lower case; separators and brackets to one underscore, none at the ends; no digit first; no reserved word; 50
     characters. Null and empty names are unnamed; a name of separators only becomes empty."""
     x = F.regexp_replace(F.regexp_replace(F.lower(c), SEPARATORS, "_"), BRACKETS, "_")
     x = F.regexp_replace(F.regexp_replace(x, "_+", "_"), "^_|_$", "")
-    x = F.when(x.rlike(r"(?U)^\d"), F.concat(F.lit("t_"), x)).otherwise(x)
-    x = F.when(x.isin(RESERVED), F.concat(x, F.lit("_col"))).otherwise(x)
-    x = F.when(F.length(x) > LONGEST_NAME, F.regexp_replace(F.substring(x, 1, LONGEST_NAME), "_+$", "")).otherwise(x)
+    x = _once(x, lambda x: F.when(x.rlike(r"(?U)^\d"), F.concat(F.lit("t_"), x)).otherwise(x))
+    x = _once(x, lambda x: F.when(x.isin(RESERVED), F.concat(x, F.lit("_col"))).otherwise(x))
+    x = _once(x, lambda x: F.when(F.length(x) > LONGEST_NAME, F.regexp_replace(F.substring(x, 1, LONGEST_NAME), "_+$", "")).otherwise(x))
     return F.when(F.coalesce(c, F.lit("")) == "", "unnamed").otherwise(x)
 
 
 def table_name(*parts: Column) -> Column:
     """The normalised parts joined; where that is too long, each is cut so that the parts, their joints and five digits of the
     raw names' CRC-32 fit."""
-    names = [normalise_name(p) for p in parts]
-    joined = F.concat_ws("_", *names)
     digest = F.right(F.concat(F.lit("0" * DIGEST), F.lower(F.hex(F.crc32(F.concat_ws("_", *parts).cast("binary"))))), F.lit(DIGEST))
     each = (LONGEST_TABLE - (len(parts) - 1) - DIGEST) // len(parts)
-    return F.when(F.length(joined) > LONGEST_TABLE, F.concat_ws("_", *[F.substring(n, 1, each) for n in names], digest)).otherwise(joined)
+
+    def joined(names: Column) -> Column:
+        whole, cut = F.concat_ws("_", names), F.transform(names, lambda n: F.substring(n, 1, each))
+        return F.when(F.length(whole) > LONGEST_TABLE, F.concat_ws("_", cut, digest)).otherwise(whole)
+
+    return _once(F.array(*[normalise_name(p) for p in parts]), joined)
 
 
 def inferred_type(c: Column) -> Column:
