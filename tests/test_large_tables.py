@@ -1,9 +1,10 @@
 """What keeps queries within memory and time on tables much larger than their files suggest."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tuyere.functions import names
-from tuyere.operators import knowledge
+from tuyere.operators import knowledge, models
 
 
 def test_put_edges_broadcasts_no_pairs(spark, tmp_path):
@@ -24,3 +25,19 @@ def test_names_compute_each_replacement_once(spark):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= most
     assert [r.n for r in one.collect()] == ["t_9_a_b_c", "unnamed", "x" * 50, ""]
     assert [r.n for r in both.collect()] == ["t_9_a_b_c_order_col", "unnamed_unnamed", "x" * 50 + "_a", "_t_9"]
+
+
+def test_forest_scores_each_row_once_as_a_walk_does(spark):
+    random = np.random.default_rng(1)
+    trees = [models.grow_tree(random.normal(size=(64, 3)), random, 6) for _ in range(5)]
+    rows = random.normal(size=(5000, 3))
+
+    def walk(tree, row, at=0):
+        while tree[at, 0] >= 0:
+            at = int(tree[at, 2] if row[int(tree[at, 0])] <= tree[at, 1] else tree[at, 3])
+        return tree[at, 4]
+
+    expected = np.array([sum(walk(t, row) for t in trees) for row in rows])
+    assert (models.depths([models._steps(t) for t in trees], 6, rows) == expected).all()
+    table = spark.range(500).select("id", F.sin("id").alias("x"), F.cos("id").alias("y"))
+    assert "ArrowEvalPython" not in models.isolation_forest(table, ["x", "y"])._jdf.queryExecution().executedPlan().toString()
