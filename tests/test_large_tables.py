@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tuyere.functions import names
-from tuyere.operators import knowledge, models
+from tuyere.operators import autoencoder, knowledge, models
 
 
 def test_put_edges_broadcasts_no_pairs(spark, tmp_path):
@@ -41,3 +41,33 @@ def test_forest_scores_each_row_once_as_a_walk_does(spark):
     assert (models.depths([models._steps(t) for t in trees], 6, rows) == expected).all()
     table = spark.range(500).select("id", F.sin("id").alias("x"), F.cos("id").alias("y"))
     assert "ArrowEvalPython" not in models.isolation_forest(table, ["x", "y"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lanes_learn_as_plain_steps_do():
+    random = np.random.default_rng(3)
+    sizes = autoencoder.shapes(3, (5, 2, 5))
+    first, rows = autoencoder.start(sizes, 1), random.normal(size=(3, 70, 3))
+    net = autoencoder.Lanes(np.concatenate([first, np.zeros(2 * len(first))]), sizes, 3, 32, np.float64)
+    assert net.learn(rows.transpose(1, 0, 2).reshape(-1, 3), 4, 0.01) == 3
+    for lane in range(3):
+        p, m, v = first, np.zeros_like(first), np.zeros_like(first)
+        for t, k in enumerate(range(0, 70, 32), 5):
+            _, g = autoencoder.loss_and_gradient(p, sizes, rows[lane, k : k + 32])
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            p = p - 0.01 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        assert np.allclose(net.p[lane], p, atol=1e-12) and np.allclose(net.m[lane] / 10, m, atol=1e-12)
+
+
+def test_autoencoder_deals_a_single_file_to_parts(spark, monkeypatch):
+    """All rows are learned from or held out, in parts of like size, and are scored once."""
+    monkeypatch.setattr(autoencoder, "NET_ROWS", 1000)
+    monkeypatch.setattr(autoencoder, "PARTS", 4)
+    rows = spark.range(0, 10_003, 1, 1).select((F.col("id") % 10 == 0).alias("held"), F.array(F.sin("id"), F.cos("id")).alias("x"))
+    blocks = autoencoder.packed(rows, 4)
+    sizes = {r.part: r.n for r in blocks.groupBy("part").agg(F.sum(F.length("held")).alias("n"), F.sum(F.length("x")).alias("bytes")).collect()}
+    assert len(sizes) == 4 and sum(sizes.values()) == 10_003 and max(sizes.values()) <= 1.3 * min(sizes.values())
+    assert blocks.agg(F.sum(F.length("x"))).first()[0] == 10_003 * 16
+    params, losses = autoencoder.train(rows, 2, hidden=(8, 2, 8), rounds=6, rate=0.01)
+    assert len(losses) == 7 and losses[-1] < 0.1 * losses[0] and np.isfinite(params).all()
+    got = autoencoder.autoencoder(spark.range(500).select("id", F.sin("id").alias("x"), F.cos("id").alias("y")), ["x", "y"], rounds=1)
+    assert "ArrowEvalPython" not in got._jdf.queryExecution().executedPlan().toString()
