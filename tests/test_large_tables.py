@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tuyere.functions import names
+from tuyere.functions import names, quantiles
 from tuyere.operators import autoencoder, knowledge, models
 
 
@@ -71,3 +71,13 @@ def test_autoencoder_deals_a_single_file_to_parts(spark, monkeypatch):
     assert len(losses) == 7 and losses[-1] < 0.1 * losses[0] and np.isfinite(params).all()
     got = autoencoder.autoencoder(spark.range(500).select("id", F.sin("id").alias("x"), F.cos("id").alias("y")), ["x", "y"], rounds=1)
     assert "ArrowEvalPython" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranking_tasks_follow_the_rows(spark, monkeypatch):
+    """Repeated values take few bytes, so Spark would join the partitions of all rows to a few; they are ordered once."""
+    monkeypatch.setattr(quantiles, "TASK_ROWS", 2000)
+    table = spark.range(20_000).select("id", (F.col("id") * 7919 % 5000).cast("double").alias("x"))
+    got = quantiles.with_ranks(table, {"x": "r"}, few=100, bucket_rows=200)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert got.rdd.getNumPartitions() == 10 and plan.count("Window [") == 1 and plan.count("Sort [") == 1
+    assert got.where("abs(r - (4 * x + 2.5)) > 1e-9").count() == 0
