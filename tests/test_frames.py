@@ -5,6 +5,7 @@ from compare import difference
 
 from tuyere.catalogue import ORACLE_SQL, QUERIES
 from tuyere.functions import frames
+from tuyere.operators import impute
 
 SF = "/root/testdata/sf0.001"
 CUT = ["align_linear_hourly", "align_cubic", "impute_linear", "impute_spline", "impute_kalman", "outlier_rolling_mad", "outlier_ensemble", "outlier_replace_interpolation", "rolling_stats"]
@@ -32,3 +33,17 @@ def test_bursts_are_cut(spark, monkeypatch):
     rows, many = frames.bucketed(table, "series", "t")
     sizes = [r["count"] for r in rows.groupBy("_b").count().collect()]
     assert many and 8 <= len(sizes) <= 12 and max(sizes) <= 150
+
+
+def test_cubic_fill_cuts_a_series_once(spark, monkeypatch):
+    """Buckets without a known value, or with one, take what they need from others; the rows are put in order once."""
+    values = [(s, k, k, float(k * k) if k % m == 3 else None) for s, n, m in (("a", 400, 37), ("b", 90, 4), (None, 60, 50), ("d", 30, 99)) for k in range(n)]
+    table = spark.createDataFrame(values, "series string, t long, id long, v double").repartition(3)
+    whole = {(r.series, r.id): r.filled for r in impute.fill_cubic(table).collect()}
+    monkeypatch.setattr(frames, "ROWS", 8)
+    cuts = []
+    monkeypatch.setattr(impute, "bucketed", lambda *a: cuts.append(a) or frames.bucketed(*a))
+    cut = {(r.series, r.id): r.filled for r in impute.fill_cubic(table).collect()}
+    assert len(cuts) == 1 and len(cut) == len(values) and set(cut) == set(whole)
+    assert all(cut[k] == pytest.approx(whole[k], abs=1e-6) for k in whole)
+    assert all(cut["a", k] == pytest.approx(k * k, abs=1e-6) for k in range(3 + 37, 336)) and cut[None, 59] == 53.0**2 and cut["d", 5] == 9.0
