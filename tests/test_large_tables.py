@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tuyere.functions import names, quantiles
-from tuyere.operators import autoencoder, knowledge, models
+from tuyere.operators import autoencoder, knowledge, layout, models
 
 
 def test_put_edges_broadcasts_no_pairs(spark, tmp_path):
@@ -81,3 +81,12 @@ def test_ranking_tasks_follow_the_rows(spark, monkeypatch):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert got.rdd.getNumPartitions() == 10 and plan.count("Window [") == 1 and plan.count("Sort [") == 1
     assert got.where("abs(r - (4 * x + 2.5)) > 1e-9").count() == 0
+
+
+def test_layout_makes_the_graph_once(spark):
+    nodes = spark.range(60).select(F.col("id").cast("string").alias("id"), F.lit("n").alias("type"), F.least("id", F.lit(1)).cast("int").alias("level"))
+    edges = spark.range(1, 60).select(F.lit("0").alias("src"), F.col("id").cast("string").alias("dst"))
+    left, kept = layout.first_children(nodes, edges, 20)
+    for df in (left, kept):
+        assert "Range" not in df._jdf.queryExecution().executedPlan().toString()
+    assert left.count() == 21 and kept.count() == 20

@@ -13,12 +13,13 @@ from tuyere.functions.storage import stored
 def first_children(nodes: DataFrame, edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """The graph with at most so many children of a type for each parent, the first by id, and their edges; nodes without a
     parent stay. A child that one of its parents keeps stays, with the edges of the parents that keep it."""
+    nodes, edges = stored(nodes, "layout-nodes"), stored(edges, "layout-graph")  # each is used several times, and a graph may be long in the making
     kinds = nodes.select(F.col("id").alias("dst"), F.col("type").alias("kind"))
     order = Window.partitionBy("src", "kind").orderBy(F.length("dst"), "dst")
     kept = edges.join(kinds, "dst").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).select(*edges.columns)
     kept = stored(kept, "layout-edges")
     roots = nodes.join(edges.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").select("id")
-    left = nodes.join(roots.unionByName(kept.select(F.col("dst").alias("id"))).distinct(), "id", "left_semi")
+    left = stored(nodes.join(roots.unionByName(kept.select(F.col("dst").alias("id"))).distinct(), "id", "left_semi"), "layout-left")
     return left, kept.join(left.select(F.col("id").alias("src")), "src", "left_semi").select(*edges.columns)
 
 
