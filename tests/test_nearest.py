@@ -182,3 +182,29 @@ def test_closest_of_a_block_is_exact():
         want = [(j, c, d[j, c]) for j in range(80) for c in sorted(range(300), key=lambda c: (d[j, c], rank[c]))[:k] if d[j, c] <= bound[j]]
         got = list(zip(*search._closest(x, y, rank, bound, k), strict=True))
         assert [v[:2] for v in got] == [v[:2] for v in want] and np.allclose([v[2] for v in got], [v[2] for v in want], rtol=1e-15)
+
+
+def test_queries_are_copied_by_groups_of_cells(spark, monkeypatch):
+    """In many dimensions a query visits most cells: it is stored once and goes to a few groups, whose blocks may be empty."""
+    monkeypatch.setattr(search, "CELL", 20)
+    monkeypatch.setattr(search, "FEW", 3)
+    rows = {}
+
+    def counted(df, name):
+        rows[name] = stored(df, name)
+        return rows[name]
+
+    stored = search.stored
+    monkeypatch.setattr(search, "stored", counted)
+    x = np.random.default_rng(9).normal(size=(800, 24)).astype(np.float32)
+    points = spark.createDataFrame([("s", k, v.tolist()) for k, v in enumerate(x)], "space string, i long, x array<float>")
+    got = {}
+    for r in search.nearest(points.withColumnRenamed("i", "q"), points, 5).orderBy("q", "r").collect():
+        got.setdefault(r.q, []).append(r.i)
+    d = search._distances(x.astype(float), x.astype(float))
+    assert all(got[q] == np.lexsort((np.arange(800), d[q]))[:5].tolist() for q in range(800))
+    visits = rows["nearest-visits"]
+    assert visits.count() <= 800 and visits.schema["x"].dataType.simpleString() == "array<float>"
+    copies = visits.select(F.explode("visits").alias("v")).select("v.*").collect()
+    cells = sum(bin(b).count("1") for r in copies for b in r.cells)
+    assert len(copies) <= 12 * 800 and cells > 25 * 800
