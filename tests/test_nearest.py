@@ -208,3 +208,30 @@ def test_queries_are_copied_by_groups_of_cells(spark, monkeypatch):
     copies = visits.select(F.explode("visits").alias("v")).select("v.*").collect()
     cells = sum(bin(b).count("1") for r in copies for b in r.cells)
     assert len(copies) <= 12 * 800 and cells > 25 * 800
+
+
+def test_lof_outliers_in_many_dimensions(spark, monkeypatch):
+    """Flags of a plain version, from several groups of cells, with each vector stored once for the cells it visits."""
+    monkeypatch.setattr(search, "CELL", 20)
+    monkeypatch.setattr(search, "FEW", 3)
+    counts, stored = {}, search.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(search, "stored", counted)
+    n, k = 400, 10
+    x = np.random.default_rng(10).normal(size=(n, 16)).astype(np.float32)
+    x[7] *= 4
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
+    got = {r.id: r.is_outlier for r in outliers.lof_outliers(df, "id", "v", k, 0.05).collect()}
+    d = search._distances(x.astype(float), x.astype(float))
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1, kind="stable")[:, :k]
+    far = np.take_along_axis(d, near, 1)
+    density = 1 / (np.maximum(far, far[:, -1][near]).mean(1) + 1e-10)
+    lof = density[near].mean(1) / density
+    assert got == dict(enumerate((lof > np.quantile(lof, 0.95)).tolist())) and got[7]
+    assert counts["nearest-home"] == n and counts["nearest-visits"] <= n
