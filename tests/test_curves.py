@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from tuyere.catalogue import QUERIES
+from tuyere.functions import frames
 from tuyere.functions import inversions as counting
 from tuyere.operators import concordance, smoothing
 from tuyere.sources.testdata import gappy
@@ -169,3 +170,28 @@ def test_impute_spline_runs_through_all_known_values(spark):
     got = {r.id: r.filled for r in QUERIES["impute_spline"](spark, sf).collect()}
     assert len(want) > 80 and len(got) == sum(map(len, series.values()))
     assert all(got[k] == pytest.approx(v, abs=1e-5) for k, v in want.items())
+
+
+def test_banded_systems_in_blocks():
+    """Blocks of every fill, with bands that reach beyond the system and do not count."""
+    rng = np.random.default_rng(12)
+    for n in (2, 7, 32, 33, 57, 200):
+        band, right = rng.uniform(-1, 1, size=(n, 5)) + [0, 0, 6, 0, 0], rng.normal(size=(n, 3))
+        whole = sum(np.diag(band[max(0, -k) : n - max(0, k), k + 2], k) for k in range(-2, 3) if abs(k) < n)
+        before = band.copy()
+        assert np.allclose(smoothing.solve_banded(band, right), np.linalg.solve(whole, right), atol=1e-12)
+        assert (band == before).all()
+
+
+def test_spline_cuts_a_series_once(spark, monkeypatch):
+    """Buckets without a known value, or with one; rows are put in order once."""
+    values = [(s, k, k, float(k % 5 + k * k) if k % m == 3 else None) for s, n, m in (("a", 400, 37), ("b", 90, 4), (None, 60, 50), ("d", 30, 99), ("e", 20, 21)) for k in range(n) if s != "e" or k != 3]
+    table = spark.createDataFrame(values, "series string, t long, id long, v double").repartition(3)
+    whole = {(r.series, r.id): r.filled for r in smoothing.fill_spline(table).collect()}
+    cuts, cut_by = [], frames.bucketed
+    monkeypatch.setattr(frames, "ROWS", 8)
+    for module in (frames, smoothing):
+        monkeypatch.setattr(module, "bucketed", lambda *a: cuts.append(a) or cut_by(*a), raising=False)
+    cut = {(r.series, r.id): r.filled for r in smoothing.fill_spline(table, chunk=3).collect()}
+    assert len(cuts) == 1 and len(cut) == len(values) and set(cut) == set(whole)
+    assert all(v == pytest.approx(whole[k], abs=1e-6) if v is not None else whole[k] is None and k[0] == "e" for k, v in cut.items())
